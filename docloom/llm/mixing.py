@@ -37,6 +37,8 @@ from docloom.llm.common import WORD, saved
 WEIGHTS = (5, 2, 1)
 #: Documents beyond the whole blocks, of each source, among which the last words are sought.
 LAST_DOCS = 4_000
+#: Documents at least that are not drawn with their block, where a source has as many.
+LEAST_DOCS = 64
 #: Documents among which an exact sum is sought, at the very end of a source's target.
 REFINE = 256
 
@@ -137,11 +139,19 @@ def plan(sized: DataFrame, weights=WEIGHTS, share=1.5, epochs=2.0, shards=16, se
         rounds = int(want[i] // sizes[i]) if sizes[i] else 0
         mine = [(b, e) for e in range(rounds) for b in sorted(w, key=lambda b: _order(seed, i, e, b))]
         room, docs = round(want[i] - rounds * sizes[i]), 0
-        for place, b in enumerate(sorted(w, key=lambda b: _order(seed, i, rounds, b)) if room > 0 else ()):
-            if not docs and w[b][0] <= room:
-                mine.append((b, rounds))
-                room -= w[b][0]
-            elif docs < LAST_DOCS:
+        ordered = sorted(w, key=lambda b: _order(seed, i, rounds, b)) if room > 0 else []
+        whole = 0
+        while whole < len(ordered) and w[ordered[whole]][0] <= room:
+            room -= w[ordered[whole]][0]
+            whole += 1
+        while whole and docs < LEAST_DOCS:  # the edge gets some blocks back, to have documents to choose from
+            whole -= 1
+            room += w[ordered[whole]][0]
+            docs += w[ordered[whole]][1]
+        mine += [(b, rounds) for b in ordered[:whole]]
+        docs = 0
+        for place, b in enumerate(ordered[whole:]):
+            if docs < LAST_DOCS:
                 rest.append((i, b, place, room))
                 docs += w[b][1]
         units.append(mine)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import mixing, packing, simhash
+from docloom.llm import digest, media, mixing, packing, simhash
 from docloom.llm.common import table
 
 
@@ -20,9 +20,19 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op5_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.digest_rows(table(spark, sf_dir, "documents"))
+
+
+def op8_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_rows(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_packing": op3_packing,
+    "op5_digest": op5_digest,
     "op6_mixing": op6_mixing,
+    "op8_matroska": op8_matroska,
     "op4_simhash": op4_simhash,
 }
 
