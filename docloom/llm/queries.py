@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import digest, media, mixing, packing, simhash
+from docloom.llm import digest, langid, media, mixing, packing, quality, secrets, simhash
 from docloom.llm.common import table
 
 
@@ -28,11 +28,26 @@ def op8_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_rows(table(spark, sf_dir, "documents"))
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op1_secrets": op1_secrets,
     "op3_packing": op3_packing,
     "op5_digest": op5_digest,
     "op6_mixing": op6_mixing,
     "op8_matroska": op8_matroska,
+    "op9_language": op9_language,
+    "op10_quality": op10_quality,
     "op4_simhash": op4_simhash,
 }
 
