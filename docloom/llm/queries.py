@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import digest, langid, media, mixing, packing, quality, secrets, simhash
+from docloom.llm import digest, html, langid, media, mixing, packing, quality, secrets, simhash, suffix_lm
 from docloom.llm.common import table
 
 
@@ -40,11 +40,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.page_texts(table(spark, sf_dir, "pages"))
+
+
+def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_lm.score_rows(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
+    "op2_html": op2_html,
     "op3_packing": op3_packing,
     "op5_digest": op5_digest,
     "op6_mixing": op6_mixing,
+    "op7_suffix_tree": op7_suffix_tree,
     "op8_matroska": op8_matroska,
     "op9_language": op9_language,
     "op10_quality": op10_quality,
