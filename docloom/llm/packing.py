@@ -17,10 +17,12 @@ columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import saved
 
-#: Distinct chunks of text whose ids a worker remembers; it forgets all at once beyond.
-REMEMBERED = 400_000
+#: Distinct chunks of text whose ids a worker remembers; beyond, it forgets the later half.
+REMEMBERED = 600_000
 #: Items in one group of one round.
 GROUP_ITEMS = 20_000
 #: Groups of one round that meet in one group of the next.
@@ -45,41 +47,63 @@ class IdEncoder:
     """Ids of texts, as little-endian 32-bit bytes.
 
     The tokenizer's rules for words split a text before any space between two characters that are
-    not white space, so the ids of a text are those of its space-led chunks, one
-    after the other, and each distinct chunk is encoded once.
+    not white space, so the ids of a text are those of its space-led chunks, one after
+    the other, and each distinct chunk is encoded once, new ones joined to one text.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def chunks(self, text: str) -> list[str]:
-        parts = text.split(" ")
-        out = [parts[0]]
-        if "  " not in text and " \n" not in text and "\n " not in text and not _ODD_SPACE.search(text):
-            out.extend([" " + p for p in parts[1:]])
-            return [c for c in out if c]
-        for p in parts[1:]:
-            if p and not p[0].isspace() and out[-1] and not out[-1][-1].isspace():
-                out.append(" " + p)
-            else:
-                out[-1] += " " + p
-        return [c for c in out if c]
+        self.spaced: dict[str, bytes] = {}  # by the chunk without its leading space
+        self.plain: dict[str, bytes] = {}
+
+    def learn_plain(self, chunks: set[str]) -> None:
+        new = sorted(chunks.difference(self.plain))
+        for at in range(0, len(new), 1024):
+            part = new[at : at + 1024]
+            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.plain[c] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def learn_spaced(self, chunks: set[str]) -> None:
+        new = sorted(chunks.difference(self.spaced))
+        for at in range(0, len(new), 2048):
+            part = new[at : at + 2048]
+            e = self.tokenizer.encode_batch([" " + " ".join(part)], add_special_tokens=False)[0]
+            ids = np.array(e.ids, dtype="<u4").tobytes()
+            starts = np.cumsum([0] + [len(c) + 1 for c in part[:-1]])
+            cuts = [4 * x for x in np.searchsorted(np.array([o[0] for o in e.offsets]), starts).tolist()] + [len(ids)]
+            for i, c in enumerate(part):
+                self.spaced[c] = ids[cuts[i] : cuts[i + 1]]
+
+    def forget(self) -> None:
+        for known in (self.plain, self.spaced):
+            if len(known) > REMEMBERED:  # what came first comes most
+                for c in list(islice(known, REMEMBERED // 2, None)):
+                    del known[c]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        split = [self.chunks(t) for t in texts]
-        new = list({c for cs in split for c in cs if c not in known})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join([known[c] for c in cs]) for cs in split]
+        self.forget()
+        split: list[tuple[list[str], list[str]]] = []  # plain chunks, then spaced ones
+        for t in texts:
+            if "  " in t or " \n" in t or "\n " in t or t[-1:] == " " or _ODD_SPACE.search(t):
+                chunks = [""]
+                for p in t.split(" "):
+                    if p and not p[0].isspace() and chunks[-1] and not chunks[-1][-1].isspace():
+                        chunks.append(" " + p)
+                    else:
+                        chunks[-1] += " " + p
+                chunks[0] = chunks[0][1:]
+                split.append((chunks, []))
+            else:
+                head, *tail = t.split(" ")
+                split.append(([head], tail))
+        self.learn_plain({c for head, _ in split for c in head})
+        self.learn_spaced(set().union(*[tail for _, tail in split]))
+        plain, spaced = self.plain.__getitem__, self.spaced.__getitem__
+        return [b"".join(map(plain, head)) + b"".join(map(spaced, tail)) for head, tail in split]
 
 
 _ENCODERS: dict[str, IdEncoder] = {}
