@@ -17,9 +17,11 @@ columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import base64
 import os
 import re
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import islice
@@ -32,7 +34,9 @@ from pyspark.sql import functions as F
 from docloom.llm.common import saved
 
 #: Distinct chunks of text whose ids a worker remembers; beyond, it forgets the later half.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
+#: Text on which two encoders of one vocabulary must agree.
+PROBE = "It's 12 o'clock; élan vital!! naïve 中文 \U0001f44d  <|endoftext|> don't\n\n  x_y = {'a': [1, 2.50]}\t\x85 "
 #: Items in one group of one round.
 GROUP_ITEMS = 20_000
 #: Groups of one round that meet in one group of the next.
@@ -48,35 +52,40 @@ class IdEncoder:
 
     The tokenizer's rules for words split a text before any space between two characters that are
     not white space, so the ids of a text are those of its space-led chunks, one after
-    the other, and each distinct chunk is encoded once, new ones joined to one text.
+    the other, and each distinct chunk is encoded once.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.fast = self.same_by_ranks(ranks) if ranks else None
         self.spaced: dict[str, bytes] = {}  # by the chunk without its leading space
         self.plain: dict[str, bytes] = {}
 
+    def same_by_ranks(self, ranks: str):
+        """A quicker encoder of the same vocabulary, given as ranks; None unless it gives the tokenizer's ids on PROBE."""
+        import public_tokenizers
+        import tiktoken
+
+        with open(ranks, "rb") as f:
+            merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
+        return fast.encode_ordinary if fast.encode_ordinary(PROBE) == self.tokenizer.encode(PROBE, add_special_tokens=False).ids else None
+
+    def ids(self, chunk: str) -> bytes:
+        got = self.fast(chunk) if self.fast else self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        return array("I", got).tobytes()
+
     def learn_plain(self, chunks: set[str]) -> None:
-        new = sorted(chunks.difference(self.plain))
-        for at in range(0, len(new), 1024):
-            part = new[at : at + 1024]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.plain[c] = np.array(e.ids, dtype="<u4").tobytes()
+        for c in chunks.difference(self.plain):
+            self.plain[c] = self.ids(c)
 
     def learn_spaced(self, chunks: set[str]) -> None:
-        new = sorted(chunks.difference(self.spaced))
-        for at in range(0, len(new), 2048):
-            part = new[at : at + 2048]
-            e = self.tokenizer.encode_batch([" " + " ".join(part)], add_special_tokens=False)[0]
-            ids = np.array(e.ids, dtype="<u4").tobytes()
-            starts = np.cumsum([0] + [len(c) + 1 for c in part[:-1]])
-            cuts = [4 * x for x in np.searchsorted(np.array([o[0] for o in e.offsets]), starts).tolist()] + [len(ids)]
-            for i, c in enumerate(part):
-                self.spaced[c] = ids[cuts[i] : cuts[i + 1]]
+        for c in chunks.difference(self.spaced):
+            self.spaced[c] = self.ids(" " + c)
 
     def forget(self) -> None:
         for known in (self.plain, self.spaced):
@@ -118,13 +127,13 @@ def pieces_of(ids: bytes, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((at, capacity) for at in range(first, n, capacity))]
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, ranks: str | None, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
     id_type = docs.schema[id_col].dataType
     schema = f"{id_col} {id_type.simpleString()}, piece int, start long, length long, ids_crc32 long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _ENCODERS:
-            _ENCODERS[tokenizer] = IdEncoder(tokenizer)
+            _ENCODERS[tokenizer] = IdEncoder(tokenizer, ranks)
         encoder, end = _ENCODERS[tokenizer], np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
             rows: list[int] = []
@@ -223,11 +232,13 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
     return out.selectExpr("rows[0] as sequence_id", "inline(arrays_zip(rows, offsets))").selectExpr("rows as row", "sequence_id", "cast(offsets as long) as offset")
 
 
-def packed_sequences(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
+def packed_sequences(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    tokenizer: file of the tokenizer; ranks: its vocabulary as ranks, if there is such a file, for a quicker encoder."""
     if tokenizer is None:
         import public_tokenizers
 
-        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    pieces = saved(token_pieces(docs, str(tokenizer), capacity, end_id, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "pieces")
+        tokenizer, ranks = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    pieces = saved(token_pieces(docs, str(tokenizer), ranks and str(ranks), capacity, end_id, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "pieces")
     return pieces.join(pack(pieces.select("row", "length"), capacity), "row").select(id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
