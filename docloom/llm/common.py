@@ -14,7 +14,14 @@ _OWN_DIR: list[str] = []
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of 1,000 rows, where the session still has Spark's 10,000: long texts add up."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,6 +38,7 @@ def scratch_dir(spark: SparkSession) -> str:
 def saved(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, and survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{scratch_dir(spark)}/docloom/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

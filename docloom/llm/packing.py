@@ -62,6 +62,8 @@ class IdEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.fast = self.same_by_ranks(ranks) if ranks else None
+        if self.fast:
+            del self.tokenizer
         self.spaced: dict[str, bytes] = {}  # by the chunk without its leading space
         self.plain: dict[str, bytes] = {}
 
