@@ -130,7 +130,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     """Learns from all rows of docs that labels has; both must be training rows already."""
     marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label"))
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = feature_counts(texts.join(marks, "id").select("label", "text")).toPandas()
+    # labels grow with the documents, so this is a shuffle at every size
+    found = feature_counts(texts.join(marks.hint("merge"), "id").select("label", "text")).toPandas()
     n = np.zeros((2, WIDTH))
     n[found["label"], found["feature"]] = found["n"]
     have = n[:, BUCKETS]  # every row has the bias
