@@ -153,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     rows = texts.join(F.broadcast(picked[0].unionByName(picked[1])), "id").withColumn("turn", turn)
     rows = [rows.where(F.col("label") == k).orderBy("turn", "id", "text").limit(sample).select("id", "label", "text") for k in (0, 1)]
     got = rows[0].unionByName(rows[1]).mapInArrow(run, "id string, label int, idx array<int>" if docs.schema[id_col].dataType.simpleString() == "string" else f"id {docs.schema[id_col].dataType.simpleString()}, label int, idx array<int>").toArrow()
-    idx = [np.asarray(v, dtype=np.int64) for v in got.column("idx").to_pylist()]
+    idx = [np.asarray(v.values) for v in got.column("idx")]
     y = np.where(got.column("label").to_numpy() == 1, 1.0, -1.0)
     order = np.random.default_rng(1).permutation(len(idx))
     back, used = order[::5], np.setdiff1d(order, order[::5])
