@@ -72,7 +72,7 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", words: int = 3, na
 
 
 def ring_keys(fps: DataFrame, max_bits: int, segments: int) -> tuple[DataFrame, list[tuple[int, int]]]:
-    """Rows (fp, key) for each rotation of the ring, and the chain tests (bits, budget) that a pair must pass."""
+    """Rows (fp, turn, key) for each rotation of the ring, and the chain tests (bits, budget) that a pair must pass."""
     width = 64 // segments
     lead = max(n for n in range(1, segments) if n * max_bits // segments == 0)
     tests = [
@@ -81,8 +81,7 @@ def ring_keys(fps: DataFrame, max_bits: int, segments: int) -> tuple[DataFrame,
         if n == segments or (n + 1) * max_bits // segments > n * max_bits // segments
     ]
     turns = F.explode(F.sequence(F.lit(0), F.lit(segments - 1))).alias("turn")
-    mask = (1 << (lead * width)) - 1
-    keys = fps.select("fp", turns).select("fp", F.expr(f"(cast(turn as bigint) * {1 << (lead * width)}L) + ({rotated('fp', 'turn', width)} & {mask}L)").alias("key"))
+    keys = fps.select("fp", turns).select("fp", "turn", F.expr(f"{rotated('fp', 'turn', width)} & {(1 << (lead * width)) - 1}L").alias("key"))
     return keys, tests
 
 
@@ -96,17 +95,19 @@ def close_pairs(fps: DataFrame, max_bits: int = 2, segments: int = 16, pair_limi
         pair_limit = 1 << 62  # the common-neighbour form is exact for two bits at most
     width = 64 // segments
     keys, tests = ring_keys(fps, max_bits, segments)
-    lead_bits = max(n for n in range(1, segments) if n * max_bits // segments == 0) * width
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    grouped = saved(keys.join(sizes, "key"), "ring")
-    small = grouped.where(F.col("n") <= pair_limit).select("key", "fp", F.expr(f"cast(shiftrightunsigned(key, {lead_bits}) as int)").alias("turn"))
-    left = small.select("key", F.col("fp").alias("a"), F.expr(rotated("fp", "turn", width)).alias("ra"))
-    right = small.select(F.col("key").alias("key_b"), F.col("fp").alias("b"), F.expr(rotated("fp", "turn", width)).alias("rb"))
+    sizes = keys.groupBy("turn", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    grouped = saved(keys.join(sizes, ["turn", "key"]), "ring")
+    small = grouped.where(F.col("n") <= pair_limit)
+    left = small.select("turn", "key", F.col("fp").alias("a"), F.expr(rotated("fp", "turn", width)).alias("ra"))
+    right = small.select("turn", "key", F.col("fp").alias("b"), F.expr(rotated("fp", "turn", width)).alias("rb"))
     chain = [
         F.expr(f"bit_count((ra ^ rb) & {(1 << bits) - 1}L) <= {budget}" if bits < 64 else f"bit_count(ra ^ rb) <= {budget}")
         for bits, budget in tests
     ]
-    pairs = left.join(right, [F.col("key") == F.col("key_b"), F.col("a") < F.col("b"), *chain]).select("a", "b")
+    pairs = left.join(right, ["turn", "key"]).where("a < b")
+    for test in chain:
+        pairs = pairs.where(test)
+    pairs = pairs.select("a", "b")
     if max_bits > 2:
         return pairs.distinct()
     crowd = grouped.where(F.col("n") > pair_limit).select("fp").distinct()
