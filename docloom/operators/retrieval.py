@@ -34,13 +34,15 @@ def tokenize(c: Column, words: Column | None = None, ngrams: bool = True) -> Col
         han = F.regexp_extract_all(norm, F.lit("([\\u4e00-\\u9fff])"), F.lit(1))
         none = F.array().cast("array<string>")
         bags.append(han)
-        for n in (2, 3):
-            grams = F.transform(F.sequence(F.lit(1), F.size(han) - (n - 1)), lambda i, n=n: F.array_join(F.slice(han, i, n), ""))
-            bags.append(F.when(F.size(han) >= n, grams).otherwise(none))
+        bags += [F.when(F.size(han) >= n, _joined_runs(han, n)).otherwise(none) for n in (2, 3)]
     bag = F.concat(*bags)
     return F.when(norm == "", F.array().cast("array<string>")).when(F.size(bag) == 0, F.array(F.lower(norm))).otherwise(bag)
 
 
+def _joined_runs(items: Column, n: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.size(items) - (n - 1)), lambda i: F.array_join(F.slice(items, i, n), ""))
+
+
 @dataclass
 class Bm25Index:
     """postings (term, chunk_id, tf, dl), terms (term, df, idf), stats (n, avgdl: one row)."""

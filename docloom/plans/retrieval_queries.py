@@ -175,7 +175,7 @@ def min_rerank_score(t: Tables) -> DataFrame:
 
 
 MID = f"""{RERANKED}, mid AS (SELECT query_id, mid_id AS chunk_id, score, small_count, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best, round(score, 9) DESC, mid_id) AS rank FROM (
-    SELECT query_id, chunk_id // 5 AS mid_id, min(rank) AS best, max(score) AS score, count(*) AS small_count FROM reranked WHERE chunk_id % 10 <> 9 GROUP BY ALL)) WHERE rank <= 5)"""
+    SELECT query_id, chunk_id // 5 AS mid_id, min(rank) AS best, max(score) AS score, count(*) AS small_count FROM reranked WHERE chunk_id % 10 <> 9 AND chunk_id IN (SELECT doc_id FROM documents) GROUP BY ALL)) WHERE rank <= 5)"""
 BIG = f"""{MID}, big AS (SELECT query_id, big_id AS chunk_id, score, mid_count, small_count, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best, round(score, 9) DESC, big_id) AS rank FROM (
     SELECT query_id, chunk_id // 8 AS big_id, min(rank) AS best, max(score) AS score, count(*) AS mid_count, sum(small_count)::BIGINT AS small_count FROM mid GROUP BY ALL)) WHERE rank <= 3)"""
 

@@ -14,7 +14,7 @@ LANGUAGES = ("zh", "en")
 
 def read_manuals(spark: SparkSession, folder: str, excluded: list[str] | None = None) -> DataFrame:
     """Markdown files but the excluded names: doc_id, doc_name, source_path, text."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(folder).select("*", F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_name").alias("file_name"))
+    raw = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True).select("*", F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_name").alias("file_name"))
     name = X.path_stem(F.url_decode(F.replace("file_name", F.lit("+"), F.lit("%2B"))))
     kept = raw if not excluded else raw.where(~F.col("file_name").isin(*excluded))
     return kept.select(X.safe_id(name, "doc").alias("doc_id"), name.alias("doc_name"), "source_path", F.col("value").alias("text"))
@@ -51,7 +51,7 @@ def read_qa_records(spark: SparkSession, folder: str, legacy: bool = False) -> t
     """Records (question_id, question, content, status, images) and evidence (question_id, ref_no, file, start_line, end_line) of JSON
     files of mixed shapes: a reference is `path:lines` or an object with file or source and lines as text, list or null. legacy: the
     first of a list only, and no text references."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder)
+    raw = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
     v = raw.select(F.try_parse_json("value").alias("v")).where("v IS NOT NULL")
     get = lambda p, t: F.try_variant_get("v", p, t)
     records = v.select(get("$.id", "string").alias("question_id"), get("$.question", "string").alias("question"), get("$.content", "string").alias("content"), get("$.status", "string").alias("status"), get("$.images", "array<string>").alias("images"))

@@ -21,7 +21,7 @@ ALLOWED_FAILS, COOLDOWN_SECONDS = 3, 30
 
 def windowed(events: DataFrame, measures: dict[str, Column], length: str = "5 minutes", slide: str | None = None, late: str = "10 minutes", keys: tuple[str, ...] = ()) -> DataFrame:
     w = F.window("ts", length, slide) if slide else F.window("ts", length)
-    x = events.withWatermark("ts", late) if events.isStreaming else events
+    x = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     g = x.groupBy(w.alias("w"), *keys).agg(*[c.alias(n) for n, c in measures.items()])
     return g.select(F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', w.start)").alias("window_start"), *keys, *measures)
 
