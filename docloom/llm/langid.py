@@ -138,8 +138,10 @@ def fit(train: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col
             out = [model.outputs(t).tolist() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.float64()))], ["lang", "outputs"])
 
-    some = train.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.lit(9)).alias("turn"))
-    some = some.orderBy("turn", "text").limit(WEIGHT_ROWS).select("lang", "text").mapInArrow(run, "lang string, outputs array<double>").collect()
+    # the rows of least hash, found by hash alone, so that no task gathers more texts than these
+    keyed = train.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col), F.lit(9)).alias("turn"))
+    least = keyed.select("turn").distinct().orderBy("turn").limit(WEIGHT_ROWS)
+    some = keyed.join(F.broadcast(least), "turn").dropDuplicates(["turn"]).select("lang", "text").mapInArrow(run, "lang string, outputs array<double>").collect()
     outputs, langs = np.array([r["outputs"] for r in some]), np.array([r["lang"] for r in some])
     model.scale = np.maximum(np.median(np.abs(outputs), axis=0), 1e-6)
     for i, lang in enumerate(languages):

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,24 +36,93 @@ from docloom.llm.common import saved
 SHINGLES_AT_ONCE = 1 << 16
 
 
-def text_fingerprint(text: str | None, words: int = 3) -> int:
-    """Unsigned 64-bit SimHash of one text."""
+def shingle_hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
+    """XXH64 of a text's shingles, in arrays of bounded length; nothing for a text without words."""
     import xxhash
 
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return 0
+        return
     if len(tokens) <= words:
         shingles: list[bytes] = [b" ".join(tokens)]
     else:
         shingles = [b" ".join(x) for x in zip(*(tokens[i:] for i in range(words)), strict=False)]
     hash64 = xxhash.xxh64_intdigest
-    ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(shingles), SHINGLES_AT_ONCE):
         part = shingles[at : at + SHINGLES_AT_ONCE]
-        h = np.fromiter((hash64(s, 42) for s in part), dtype="<u8", count=len(part))
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(shingles), bitorder="little").view("<u8")[0])
+        yield np.fromiter((hash64(s, 42) for s in part), dtype="<u8", count=len(part))
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """Of each bit: in how many of the hashes it is set."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def text_fingerprint(text: str | None, words: int = 3) -> int:
+    """Unsigned 64-bit SimHash of one text."""
+    ones, n = np.zeros(64, dtype=np.int64), 0
+    for h in shingle_hashes(text, words):
+        ones += majority(h)
+        n += len(h)
+    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+
+
+#: A text's parts end at shingles whose hash is 0 modulo PART; SKETCH parts of least fingerprint stand for it, and its VALUES least shingle hashes.
+PART, SKETCH, VALUES = 8, 8, 128
+#: Texts that share a part and are compared with each other at once; beyond, blocks of this size, each with the HEADS texts nearest to all.
+BLOCK, HEADS = 64, 4
+
+
+def text_sketch(text: str | None, words: int) -> tuple[int, list[int], list[int]]:
+    """(fingerprint, least part fingerprints, least distinct shingle hashes) of a text. A part's fingerprint is the SimHash of its shingles."""
+    h = np.concatenate([np.zeros(0, "<u8"), *shingle_hashes(text, words)])
+    if not len(h):
+        return 0, [], []
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    starts = np.concatenate([[0], np.flatnonzero(h[:-1] % PART == 0) + 1])
+    sizes = np.diff(np.concatenate([starts, [len(h)]]))
+    ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
+    pack = lambda x: np.packbits(x, axis=-1, bitorder="little").view("<u8").ravel()
+    whole = int(pack(ones.sum(axis=0) * 2 > len(h))[0])
+    parts = np.unique(pack(ones * 2 > sizes[:, None]) * np.uint64(0x9E3779B97F4A7C15))  # mixed, so that the least are any
+    return whole, parts[:SKETCH].view(np.int64).tolist(), np.unique(h)[:VALUES].view(np.int64).tolist()
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two shingle sets as estimated by their least hashes; exact for sets of up to VALUES shingles."""
+    both = np.union1d(a, b)
+    if len(a) == VALUES or len(b) == VALUES:
+        both = both[:VALUES]
+    return len(np.intersect1d(np.intersect1d(a, b, assume_unique=True), both, assume_unique=True)) / max(1, len(both))
+
+
+def candidate_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
+    """nodes (fp, parts, sketch): pairs (a, b) of texts that share a part and whose shingle sets seem that similar.
+
+    Where over BLOCK texts share a part, they are dealt to blocks, and the HEADS texts whose fingerprints are nearest
+    to the bitwise majority of all are put into every block: copies of one text are near it, and so meet."""
+    keys = nodes.select("fp", F.explode("parts").alias("part"))
+    sizes = keys.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = saved(keys.join(sizes, "part"), "parts")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = shared.select("fp", "part", F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("block"))
+    crowd = shared.where(F.col("n") > BLOCK)
+    bit = lambda i: F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1))
+    middle = crowd.groupBy("part").agg(F.struct(*[(2 * F.sum(bit(i)) > F.count(F.lit(1))).cast("int").alias(f"b{i}") for i in range(64)]).alias("m"))
+    apart = sum((F.abs(bit(i) - F.col(f"m.b{i}")) for i in range(1, 64)), F.abs(bit(0) - F.col("m.b0")))
+    w = Window.partitionBy("part").orderBy("apart", "fp")
+    heads = crowd.join(middle, "part").select("part", "fp", blocks.alias("blocks"), apart.alias("apart")).withColumn("k", F.row_number().over(w)).where(F.col("k") <= HEADS)
+    heads = heads.select("fp", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    rows = dealt.unionByName(heads).distinct().join(nodes.select("fp", "sketch"), "fp")
+
+    def compare(key: tuple, t: pa.Table) -> pa.Table:
+        fps = t.column("fp").to_pylist()
+        order = sorted(range(len(fps)), key=fps.__getitem__)
+        sets = [np.asarray(v.values).view(np.uint64) for v in t.column("sketch").combine_chunks()] if len(fps) else []
+        pairs = [(fps[i], fps[j]) for x, i in enumerate(order) for j in order[x + 1 :] if likeness(sets[i], sets[j]) >= similarity]
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+
+    return rows.groupBy("part", "block").applyInArrow(compare, "a long, b long").distinct()
 
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", words: int = 3, name: str = "fp") -> DataFrame:
@@ -157,13 +226,57 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, max_bits: int = 2, segments: int = 16) -> DataFrame:
-    """docs without the documents that a link chain leads to a kept one: of each component the row with the least id stays."""
+#: An estimate from VALUES hashes is this much too low once in a few hundred times.
+SLACK = 0.1
+
+
+def verified_pairs(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """pairs (a, b) and texts (fp, text): the pairs whose whole shingle sets have at least that Jaccard similarity."""
+
+    def shingles(text: str | None) -> np.ndarray:
+        return np.unique(np.concatenate([np.zeros(0, "<u8"), *shingle_hashes(text, words)]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int, np.ndarray] | None = None
+        for b in batches:
+            a, other = b.column(0).to_pylist(), b.column(1).to_pylist()
+            keep = []
+            for x, ta, tb in zip(a, b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if last is None or last[0] != x:
+                    last = (x, shingles(ta))
+                t = shingles(tb)
+                both = len(np.intersect1d(last[1], t, assume_unique=True))
+                keep.append(both >= similarity * (len(last[1]) + len(t) - both))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(other, pa.int64())], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left, right = texts.select(F.col("fp").alias("a"), F.col("text").alias("ta")), texts.select(F.col("fp").alias("b"), F.col("text").alias("tb"))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, max_bits: int = 2, segments: int = 16, similarity: float = 0.8) -> DataFrame:
+    """docs without the documents that a chain of links leads to a kept one: of each component the row with the least id stays.
+
+    Candidates: texts whose fingerprints differ in max_bits or fewer bits, found by the ring, and texts that share the SimHash of one
+    of their parts. They link if their whole shingle sets have at least `similarity`. Equal fingerprints link as they are."""
     columns = docs.columns
-    marked = saved(with_fingerprint(docs, text_col, words, "__fp").withColumn("__row", F.monotonically_increasing_id()), "marked")
-    prints = marked.select(id_col, F.col("__fp").alias("fp"), F.col("__row").alias("row"))
-    roots = linked(prints, id_col, max_bits, segments).select("fp", "root")
-    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("row"))).alias("first")
-    per_fp = prints.groupBy("fp").agg(first)
-    kept = per_fp.join(roots, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
+    at = columns.index(text_col)
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, t) for n, t in (("__fp", T.LongType()), ("__parts", T.ArrayType(T.LongType())), ("__sketch", T.ArrayType(T.LongType())))]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [text_sketch(t, words) for t in b.column(at).to_pylist()]
+            fps = np.array([g[0] for g in got], dtype=np.uint64).view(np.int64)
+            lists = [pa.array([g[k] for g in got], pa.list_(pa.int64())) for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps), *lists], schema.names)
+
+    marked = saved(docs.mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id()), "marked")
+    prints = marked.select(F.col(id_col).alias("id"), F.col("__fp").alias("fp"), F.col("__row").alias("row"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
+    nodes = saved(prints.groupBy("fp").agg(first, F.min("row").alias("row")), "nodes")
+    sketches = saved(nodes.select("row").join(marked.select(F.col("__row").alias("row"), F.col("__fp").alias("fp"), F.col("__parts").alias("parts"), F.col("__sketch").alias("sketch")), "row"), "sketches")
+    pairs = saved(candidate_pairs(sketches, similarity - SLACK).unionByName(close_pairs(nodes.select("fp"), max_bits, segments)).distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct().join(nodes.select("fp", F.col("row").alias("__row")), "fp")
+    texts = saved(marked.select("__row", F.col(text_col).alias("text")).join(wanted, "__row").select("fp", "text"), "texts")
+    roots = components(verified_pairs(pairs, texts, words, similarity)).withColumnRenamed("node", "fp")
+    kept = nodes.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
     return marked.join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in columns])

@@ -183,6 +183,42 @@ def test_every_link_is_found_in_crowds_and_out_of_them(spark, limit, bits):
     assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in groups.values() if len(g) > 1)
 
 
+def test_one_document_of_each_group_stays(spark):
+    """Against all pairs of five-word shingle sets, with a crowd of copies around one text, and a passage that all share."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
+    passage = " ".join(word() for _ in range(40))
+    base = [" ".join(word() for _ in range(rng.randint(60, 300))) for _ in range(150)]
+    texts = [f"{b} {passage}" if k % 2 else b for k, b in enumerate(base)]
+    for k, b in enumerate(base[:20]):
+        for _ in range(150 if k == 0 else 4):
+            w = b.split()
+            for _ in range(rng.randint(1, max(1, len(w) // 60))):
+                w[rng.randrange(len(w))] = word()
+            texts.append(" ".join(w))
+    rng.shuffle(texts)
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            n = len(sets[i] & sets[j])
+            if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    want = {i for i in range(len(texts)) if find(i) == i}
+    got = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert want <= got and len(got - want) <= 0.01 * len(texts)
+
+
 def test_components_of_long_chains(spark):
     pairs = [(i, i + 1) for i in range(200)] + [(1000 + i, 1000 + i // 2) for i in range(1, 100)] + [(5, 5)]
     got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
