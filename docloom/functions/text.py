@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ LIST_ITEM = r"^(\s*)([-+*]|\d+[.)])\s+"
 SENTENCE_END = r"(?<=[.!?。！？;；])\s+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 
@@ -46,8 +53,11 @@ def approx_tokens(c: Column) -> Column:
 
 def markdown_tokens(c: Column, image_cost: int = 256) -> Column:
     """Tokens of the markdown, and a fixed cost for each image in it."""
-    value = strip(c)
-    return F.when(F.length(value) == 0, F.lit(0).cast("long")).otherwise(approx_tokens(value) + F.regexp_count(value, F.lit(IMAGE)) * image_cost).cast("long")
+    def count(value: Column) -> Column:
+        tokens = approx_tokens(value) + F.regexp_count(value, F.lit(IMAGE)) * image_cost
+        return F.when(F.length(value) == 0, F.lit(0).cast("long")).otherwise(tokens).cast("long")
+
+    return let(strip(c), count)
 
 
 def path_name(c: Column) -> Column:
@@ -73,12 +83,16 @@ def split_sentences(c: Column) -> Column:
 
 def overlap_windows(c: Column, max_tokens: int, overlap_tokens: int = 0) -> Column:
     """Windows of 2 * max_tokens characters that overlap; the last is the first to cover the end."""
-    value, width = strip(c), max(1, 2 * max_tokens)
+    width = max(1, 2 * max_tokens)
     step = max(1, width - 2 * max(0, min(overlap_tokens, max_tokens - 1)))
-    n = F.length(value)
-    last = F.greatest(F.lit(0), F.ceil((n - width) / step)).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), last), lambda i: strip(F.substring(value, i * step + 1, F.lit(width))))
-    return F.when(n == 0, F.array().cast("array<string>")).when(n <= width, F.array(value)).otherwise(F.filter(pieces, lambda p: p != ""))
+
+    def cut(value: Column) -> Column:
+        n = F.length(value)
+        last = F.greatest(F.lit(0), F.ceil((n - width) / step)).cast("int")
+        pieces = F.transform(F.sequence(F.lit(0), last), lambda i: strip(F.substring(value, i * step + 1, F.lit(width))))
+        return F.when(n == 0, F.array().cast("array<string>")).when(n <= width, F.array(value)).otherwise(F.filter(pieces, lambda p: p != ""))
+
+    return let(strip(c), cut)
 
 
 def line_kind(c: Column) -> Column:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.text import SPACE, strip
+from docloom.functions.text import SPACE, let, strip
 
 # Defaults of the scoring rule, of fusion, and of candidate numbers.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -27,16 +27,17 @@ QUERY_BLOCK = 4096
 def tokenize(c: Column, words: Column | None = None, ngrams: bool = True) -> Column:
     """ASCII words in lower case, words of a segmenter if given, and Han characters with their bigrams and trigrams; the
     whole text where there is none of these, nothing for blank text."""
-    norm = F.regexp_replace(strip(c), f"{SPACE}+", " ")
-    ascii_words = F.transform(F.regexp_extract_all(norm, F.lit("([A-Za-z0-9_]+)"), F.lit(1)), F.lower)
-    bags = [ascii_words] + ([words] if words is not None else [])
-    if ngrams:
-        han = F.regexp_extract_all(norm, F.lit("([\\u4e00-\\u9fff])"), F.lit(1))
-        none = F.array().cast("array<string>")
-        bags.append(han)
-        bags += [F.when(F.size(han) >= n, _joined_runs(han, n)).otherwise(none) for n in (2, 3)]
-    bag = F.concat(*bags)
-    return F.when(norm == "", F.array().cast("array<string>")).when(F.size(bag) == 0, F.array(F.lower(norm))).otherwise(bag)
+    none = F.array().cast("array<string>")
+
+    def bags(norm: Column) -> Column:
+        ascii_words = F.transform(F.regexp_extract_all(norm, F.lit("([A-Za-z0-9_]+)"), F.lit(1)), F.lower)
+        parts = [ascii_words] + ([words] if words is not None else [])
+        if ngrams:
+            runs = [lambda han: han, *[lambda han, n=n: F.when(F.size(han) >= n, _joined_runs(han, n)).otherwise(none) for n in (2, 3)]]
+            parts.append(let(F.regexp_extract_all(norm, F.lit("([\\u4e00-\\u9fff])"), F.lit(1)), lambda han: F.concat(*[r(han) for r in runs])))
+        return F.when(norm == "", none).otherwise(let(F.concat(*parts), lambda bag: F.when(F.size(bag) == 0, F.array(F.lower(norm))).otherwise(bag)))
+
+    return let(F.regexp_replace(strip(c), f"{SPACE}+", " "), bags)
 
 
 def _joined_runs(items: Column, n: int) -> Column:

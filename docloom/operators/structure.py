@@ -99,8 +99,10 @@ def _packed(items: Column, most: Column | int, joiner: str, separator: int, cut:
 
 
 def split_paragraph(text: Column, most: int) -> Column:
-    value = X.normalize_text(text)
-    return F.when(X.approx_tokens(value) <= most, F.filter(F.array(value), lambda v: v != "")).otherwise(_packed(X.split_sentences(value), most, " ", 0, most))
+    return X.let(
+        X.normalize_text(text),
+        lambda value: F.when(X.approx_tokens(value) <= most, F.filter(F.array(value), lambda v: v != "")).otherwise(_packed(X.split_sentences(value), most, " ", 0, most)),
+    )
 
 
 def list_items(md: Column) -> Column:
@@ -137,30 +139,38 @@ def split_table(md: Column, most: int) -> Column:
 
 def split_code(md: Column, most: int) -> Column:
     """Windows of the body, each between the fences."""
-    value = X.strip(md)
-    lines = F.split(value, "\n")
     fence = "^(```+|~~~+)"
-    closed = F.element_at(lines, -1).rlike(fence)
-    opening = F.element_at(lines, 1)
-    closing = F.when(closed, F.element_at(lines, -1)).otherwise(F.substring(opening, 1, 3))
-    body = F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - F.when(closed, 2).otherwise(1), F.lit(0))), "\n")
-    width = 2 * F.greatest(F.lit(1).cast("long"), F.lit(most) - X.approx_tokens(F.concat_ws("\n", opening, closing)))
-    count = F.greatest(F.lit(1), F.ceil(F.length(body) / width)).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), count - 1), lambda i: X.strip(F.substring(body, (i * width + 1).cast("int"), width.cast("int"))))
-    fenced = F.transform(F.filter(pieces, lambda p: p != ""), lambda p: F.concat_ws("\n", opening, p, closing))
-    return F.when((F.size(lines) >= 2) & opening.rlike(fence), fenced).otherwise(X.overlap_windows(value, most))
+
+    def cut(value: Column) -> Column:
+        return X.let(F.split(value, "\n"), lambda lines: F.when((F.size(lines) >= 2) & F.element_at(lines, 1).rlike(fence), fenced(lines)).otherwise(X.overlap_windows(value, most)))
+
+    def fenced(lines: Column) -> Column:
+        closed = F.element_at(lines, -1).rlike(fence)
+        opening = F.element_at(lines, 1)
+        closing = F.when(closed, F.element_at(lines, -1)).otherwise(F.substring(opening, 1, 3))
+        body = F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - F.when(closed, 2).otherwise(1), F.lit(0))), "\n")
+        width = 2 * F.greatest(F.lit(1).cast("long"), F.lit(most) - X.approx_tokens(F.concat_ws("\n", opening, closing)))
+
+        def pieces(w: Column) -> Column:
+            count = F.greatest(F.lit(1), F.ceil(F.length(w["body"]) / w["width"])).cast("int")
+            return F.transform(F.sequence(F.lit(0), count - 1), lambda i: X.strip(F.substring(w["body"], (i * w["width"] + 1).cast("int"), w["width"].cast("int"))))
+
+        parts = X.let(F.struct(body.alias("body"), width.alias("width")), pieces)
+        return F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.concat_ws("\n", opening, p, closing))
+
+    return X.let(X.strip(md), cut)
 
 
 def split_element(kind: Column, md: Column, text: Column, most: int) -> Column:
     """An element's parts: itself where it fits, else as its kind is split."""
-    value = X.strip(md)
-    return (
-        F.when(X.markdown_tokens(value) <= most, F.filter(F.array(value), lambda v: v != ""))
+    return X.let(
+        X.strip(md),
+        lambda value: F.when(X.markdown_tokens(value) <= most, F.filter(F.array(value), lambda v: v != ""))
         .when(kind == "paragraph", split_paragraph(text, most))
         .when(kind == "list", split_list(value, most))
         .when(kind == "table", split_table(value, most))
         .when(kind == "code", split_code(value, most))
-        .otherwise(X.overlap_windows(value, most))
+        .otherwise(X.overlap_windows(value, most)),
     )
 
 
