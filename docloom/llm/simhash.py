@@ -74,7 +74,7 @@ BLOCK, HEADS = 64, 4
 
 
 def text_sketch(text: str | None, words: int) -> tuple[int, list[int], list[int]]:
-    """(fingerprint, least part fingerprints, least distinct shingle hashes) of a text. A part's fingerprint is the SimHash of its shingles."""
+    """(fingerprint, least part fingerprints, least distinct shingle hashes, of 32 bits) of a text. A part's fingerprint is the SimHash of its shingles."""
     h = np.concatenate([np.zeros(0, "<u8"), *shingle_hashes(text, words)])
     if not len(h):
         return 0, [], []
@@ -85,7 +85,7 @@ def text_sketch(text: str | None, words: int) -> tuple[int, list[int], list[int]
     pack = lambda x: np.packbits(x, axis=-1, bitorder="little").view("<u8").ravel()
     whole = int(pack(ones.sum(axis=0) * 2 > len(h))[0])
     parts = np.unique(pack(ones * 2 > sizes[:, None]) * np.uint64(0x9E3779B97F4A7C15))  # mixed, so that the least are any
-    return whole, parts[:SKETCH].view(np.int64).tolist(), np.unique(h)[:VALUES].view(np.int64).tolist()
+    return whole, parts[:SKETCH].view(np.int64).tolist(), np.unique(h.astype(np.uint32))[:VALUES].view(np.int32).tolist()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -118,7 +118,7 @@ def candidate_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
     def compare(key: tuple, t: pa.Table) -> pa.Table:
         fps = t.column("fp").to_pylist()
         order = sorted(range(len(fps)), key=fps.__getitem__)
-        sets = [np.asarray(v.values).view(np.uint64) for v in t.column("sketch").combine_chunks()] if len(fps) else []
+        sets = [np.asarray(v.values).view(np.uint32) for v in t.column("sketch").combine_chunks()] if len(fps) else []
         pairs = [(fps[i], fps[j]) for x, i in enumerate(order) for j in order[x + 1 :] if likeness(sets[i], sets[j]) >= similarity]
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
@@ -260,13 +260,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     of their parts. They link if their whole shingle sets have at least `similarity`. Equal fingerprints link as they are."""
     columns = docs.columns
     at = columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, t) for n, t in (("__fp", T.LongType()), ("__parts", T.ArrayType(T.LongType())), ("__sketch", T.ArrayType(T.LongType())))]])
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, t) for n, t in (("__fp", T.LongType()), ("__parts", T.ArrayType(T.LongType())), ("__sketch", T.ArrayType(T.IntegerType())))]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [text_sketch(t, words) for t in b.column(at).to_pylist()]
             fps = np.array([g[0] for g in got], dtype=np.uint64).view(np.int64)
-            lists = [pa.array([g[k] for g in got], pa.list_(pa.int64())) for k in (1, 2)]
+            lists = [pa.array([g[k] for g in got], pa.list_(kind)) for k, kind in ((1, pa.int64()), (2, pa.int32()))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps), *lists], schema.names)
 
     marked = saved(docs.mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id()), "marked")
