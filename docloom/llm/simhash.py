@@ -23,7 +23,9 @@ only has a null component id; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -67,62 +69,113 @@ def text_fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-#: A text's parts end at shingles whose hash is 0 modulo PART; SKETCH parts of least fingerprint stand for it, and its VALUES least shingle hashes.
-PART, SKETCH, VALUES = 8, 8, 128
-#: Texts that share a part and are compared with each other at once; beyond, blocks of this size, each with the HEADS texts nearest to all.
-BLOCK, HEADS = 64, 4
-
-
-def text_sketch(text: str | None, words: int) -> tuple[int, list[int], list[int]]:
-    """(fingerprint, least part fingerprints, least distinct shingle hashes, of 32 bits) of a text. A part's fingerprint is the SimHash of its shingles."""
-    h = np.concatenate([np.zeros(0, "<u8"), *shingle_hashes(text, words)])
-    if not len(h):
-        return 0, [], []
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    starts = np.concatenate([[0], np.flatnonzero(h[:-1] % PART == 0) + 1])
-    sizes = np.diff(np.concatenate([starts, [len(h)]]))
-    ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
-    pack = lambda x: np.packbits(x, axis=-1, bitorder="little").view("<u8").ravel()
-    whole = int(pack(ones.sum(axis=0) * 2 > len(h))[0])
-    parts = np.unique(pack(ones * 2 > sizes[:, None]) * np.uint64(0x9E3779B97F4A7C15))  # mixed, so that the least are any
-    return whole, parts[:SKETCH].view(np.int64).tolist(), np.unique(h.astype(np.uint32))[:VALUES].view(np.int32).tolist()
-
-
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two shingle sets as estimated by their least hashes; exact for sets of up to VALUES shingles."""
-    both = np.union1d(a, b)
-    if len(a) == VALUES or len(b) == VALUES:
-        both = both[:VALUES]
-    return len(np.intersect1d(np.intersect1d(a, b, assume_unique=True), both, assume_unique=True)) / max(1, len(both))
-
-
-def candidate_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
-    """nodes (fp, parts, sketch): pairs (a, b) of texts that share a part and whose shingle sets seem that similar.
-
-    Where over BLOCK texts share a part, they are dealt to blocks, and the HEADS texts whose fingerprints are nearest
-    to the bitwise majority of all are put into every block: copies of one text are near it, and so meet."""
-    keys = nodes.select("fp", F.explode("parts").alias("part"))
-    sizes = keys.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = saved(keys.join(sizes, "part"), "parts")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = shared.select("fp", "part", F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("block"))
-    crowd = shared.where(F.col("n") > BLOCK)
-    bit = lambda i: F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1))
-    middle = crowd.groupBy("part").agg(F.struct(*[(2 * F.sum(bit(i)) > F.count(F.lit(1))).cast("int").alias(f"b{i}") for i in range(64)]).alias("m"))
-    apart = sum((F.abs(bit(i) - F.col(f"m.b{i}")) for i in range(1, 64)), F.abs(bit(0) - F.col("m.b0")))
-    w = Window.partitionBy("part").orderBy("apart", "fp")
-    heads = crowd.join(middle, "part").select("part", "fp", blocks.alias("blocks"), apart.alias("apart")).withColumn("k", F.row_number().over(w)).where(F.col("k") <= HEADS)
-    heads = heads.select("fp", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    rows = dealt.unionByName(heads).distinct().join(nodes.select("fp", "sketch"), "fp")
-
-    def compare(key: tuple, t: pa.Table) -> pa.Table:
-        fps = t.column("fp").to_pylist()
-        order = sorted(range(len(fps)), key=fps.__getitem__)
-        sets = [np.asarray(v.values).view(np.uint32) for v in t.column("sketch").combine_chunks()] if len(fps) else []
-        pairs = [(fps[i], fps[j]) for x, i in enumerate(order) for j in order[x + 1 :] if likeness(sets[i], sets[j]) >= similarity]
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
-
-    return rows.groupBy("part", "block").applyInArrow(compare, "a long, b long").distinct()
+#: Texts whose shingles tell which are common, how many of these are known, and in how many of the texts they are at least.
+SAMPLE, COMMON, OFTEN = 10_000, 200_000, 4
+#: Members of a token's group compared before links are joined again, and group size beyond which a group is compared in pairs of blocks.
+NEAR, WIDE = 32, 2048
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """Distinct shingle hashes of a text, in order."""
+    return np.unique(np.concatenate([np.zeros(0, "<u8"), *shingle_hashes(text, words)]))
+
+
+def prefix(h: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """Of a shingle set, those that come first by (count in the sample, hash), so many that two sets of that similarity share one of them."""
+    n = len(h)
+    if len(common) and n:
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        h = h[np.lexsort((h, np.where(common[at] == h, counts[at], 0)))]
+    return h[: n - math.ceil(similarity * n - 1e-9) + 1] if n else h
+
+
+def parity_bits(h: np.ndarray) -> bytes:
+    """Parity of the hashes by their low bits, in at least twice as many bits as hashes (a power of two). Two sets differ in at
+    least as many members as their parities in bits; halves of a parity combined by XOR give that of half the size."""
+    m = max(256, 1 << max(0, 2 * len(h) - 1).bit_length())
+    odd = np.bincount((h & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def may_link(sizes: np.ndarray, other: np.ndarray, differ: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of these sizes, with at least `differ` members in one of them only, can be that similar."""
+    return (np.minimum(sizes, other) >= similarity * np.maximum(sizes, other) - 1e-9) & (differ * (1 + similarity) <= (1 - similarity) * (sizes + other) + 1e-6)
+
+
+def group_pairs(nodes: list[int], roots: list[int], sizes: list[int], bits: list[bytes], blocks: list[int], similarity: float, least: int, most: int | None) -> Iterator[tuple[int, int]]:
+    """Pairs of a group's members, in order of size, that are in different components and may link. Of members at most `most` places
+    apart and at least `least`; blocks: if these differ, only pairs of different blocks."""
+    node, root, size, block = (np.array(x, dtype=np.int64) for x in (nodes, roots, sizes, blocks))
+    words = np.array([len(b) // 8 for b in bits])
+    for w in np.unique(words).tolist():  # sizes of linked sets differ by a quarter at most, so words are w or twice that
+        own = np.flatnonzero((words == w) | (words == 2 * w))
+        table = np.stack([folded(np.frombuffer(bits[i], "<u8"), w) for i in own])
+        n, r, k, mine = size[own], root[own], block[own], words[own] == w
+        crossing = bool((k != k[0]).any())
+        for d in range(least, min(len(own), (most or len(own)) + 1)):
+            near = n[:-d] >= similarity * n[d:] - 1e-9
+            if not near.any():
+                break
+            at = np.flatnonzero(near & (r[:-d] != r[d:]) & (mine[:-d] | mine[d:]) & ((k[:-d] != k[d:]) | (not crossing)))
+            for lo in range(0, len(at), 1 << 14):
+                x = at[lo : lo + (1 << 14)]
+                differ = np.bitwise_count(table[x] ^ table[x + d]).sum(axis=1, dtype=np.int64)
+                x = x[may_link(n[x], n[x + d], differ, similarity)]
+                yield from zip(np.minimum(node[own[x]], node[own[x + d]]).tolist(), np.maximum(node[own[x]], node[own[x + d]]).tolist(), strict=True)
+
+
+def pair_batches(pairs: Iterator[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    while some := list(islice(pairs, 1 << 16)):
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*some, strict=True)], ["a", "b"])
+
+
+def filtered_pairs(pairs: DataFrame, features: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that may link by size and parity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            keep = []
+            for na, nb, x, y in zip(*(t.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                left, right = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                w = min(len(left), len(right))
+                differ = np.bitwise_count(folded(left, w) ^ folded(right, w)).sum(dtype=np.int64)
+                keep.append(bool(may_link(na, nb, differ, similarity)))
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    of = lambda c: features.select(F.col("fp").alias(c), F.col("size").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"))
+    close = pairs.join(of("a"), "a").join(of("b"), "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9)
+    return close.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(run, "a long, b long")
+
+
+def grouped_pairs(groups: DataFrame, roots: DataFrame, features: DataFrame, similarity: float, least: int, most: int | None) -> DataFrame:
+    """groups (token, n, fp): the pairs of each group's members that are not yet in one component and may link, as group_pairs takes them.
+    Without `most`, large groups are dealt to blocks and each two of these are compared in a task of their own."""
+    at = groups.where(F.col("n") > least).join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    open_ = at.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token")
+    blocks = F.when(F.col("n") > WIDE, F.ceil(F.col("n") / WIDE)).otherwise(1).cast("int") if most is None else F.lit(1)
+    rows = at.join(open_, "token").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("fp", F.lit(1)), "blocks").cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("p", F.least("block", "with")).withColumn("q", F.greatest("block", "with"))
+    rows = rows.join(features.select("fp", "size", "bits"), "fp").select("token", "p", "q", "blocks", "fp", "root", "size", "bits", "block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def members() -> Iterator[tuple]:
+            for b in batches:
+                yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+
+        def found() -> Iterator[tuple[int, int]]:
+            for key, group in groupby(members(), key=lambda m: m[:4]):
+                _, _, _, _, nodes, root, sizes, bits, block = zip(*group, strict=True)
+                yield from group_pairs(nodes, root, sizes, bits, block, similarity, 1 if key[3] > 1 else least, most)
+
+        yield from pair_batches(found())
+
+    return rows.repartition("token", "p", "q").sortWithinPartitions("token", "p", "q", "size", "fp").mapInArrow(run, "a long, b long").distinct()
 
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", words: int = 3, name: str = "fp") -> DataFrame:
@@ -226,16 +279,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: An estimate from VALUES hashes is this much too low once in a few hundred times.
-SLACK = 0.1
-
-
 def verified_pairs(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """pairs (a, b) and texts (fp, text): the pairs whose whole shingle sets have at least that Jaccard similarity."""
 
-    def shingles(text: str | None) -> np.ndarray:
-        return np.unique(np.concatenate([np.zeros(0, "<u8"), *shingle_hashes(text, words)]))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int, np.ndarray] | None = None
         for b in batches:
@@ -243,8 +289,8 @@ def verified_pairs(pairs: DataFrame, texts: DataFrame, words: int, similarity: f
             keep = []
             for x, ta, tb in zip(a, b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if last is None or last[0] != x:
-                    last = (x, shingles(ta))
-                t = shingles(tb)
+                    last = (x, shingle_set(ta, words))
+                t = shingle_set(tb, words)
                 both = len(np.intersect1d(last[1], t, assume_unique=True))
                 keep.append(both >= similarity * (len(last[1]) + len(t) - both))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(other, pa.int64())], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -253,30 +299,65 @@ def verified_pairs(pairs: DataFrame, texts: DataFrame, words: int, similarity: f
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, max_bits: int = 2, segments: int = 16, similarity: float = 0.8) -> DataFrame:
+def common_shingles(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, and counts of the commonest shingles of a bounded sample of different texts. They only order the shingles:
+    any order gives the same links, and one with the common shingles last gives small groups."""
+    share = SAMPLE / max(1, docs.count())
+    some = docs.select(F.col(text_col).alias("text")).where(F.pmod(F.xxhash64(text_col), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, words).view(np.int64))], ["h"])
+
+    counts = some.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    h, n = counts.column("h").to_numpy().view(np.uint64), counts.column("n").to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without the documents that a chain of links leads to a kept one: of each component the row with the least id stays.
 
-    Candidates: texts whose fingerprints differ in max_bits or fewer bits, found by the ring, and texts that share the SimHash of one
-    of their parts. They link if their whole shingle sets have at least `similarity`. Equal fingerprints link as they are."""
+    Texts link if their whole shingle sets have at least `similarity`. Two such sets share a shingle of their prefixes, the rarest fifth
+    of each, so the members of each such shingle's group are the candidates: first all with the least one, then those of different
+    components with each other. Pairs that sizes or parities rule out are left out; all others are verified."""
     columns = docs.columns
     at = columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, t) for n, t in (("__fp", T.LongType()), ("__parts", T.ArrayType(T.LongType())), ("__sketch", T.ArrayType(T.IntegerType())))]])
+    own = (("__fp", T.LongType()), ("__size", T.LongType()), ("__bits", T.BinaryType()), ("__prefix", T.ArrayType(T.LongType())))
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, t) for n, t in own]])
+    common, counts = common_shingles(docs, text_col, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [text_sketch(t, words) for t in b.column(at).to_pylist()]
-            fps = np.array([g[0] for g in got], dtype=np.uint64).view(np.int64)
-            lists = [pa.array([g[k] for g in got], pa.list_(kind)) for k, kind in ((1, pa.int64()), (2, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps), *lists], schema.names)
+            texts = b.column(at).to_pylist()
+            sets = [shingle_set(t, words) for t in texts]
+            fps = pa.array(np.array([text_fingerprint(t, words) for t, h in zip(texts, sets, strict=True)], dtype=np.uint64).view(np.int64))
+            prefixes = pa.array([prefix(h, common, counts, similarity).view(np.int64) for h in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*b.columns, fps, pa.array([len(h) for h in sets], pa.int64()), pa.array([parity_bits(h) for h in sets], pa.binary()), prefixes], schema.names)
 
     marked = saved(docs.mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id()), "marked")
     prints = marked.select(F.col(id_col).alias("id"), F.col("__fp").alias("fp"), F.col("__row").alias("row"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
     nodes = saved(prints.groupBy("fp").agg(first, F.min("row").alias("row")), "nodes")
-    sketches = saved(nodes.select("row").join(marked.select(F.col("__row").alias("row"), F.col("__fp").alias("fp"), F.col("__parts").alias("parts"), F.col("__sketch").alias("sketch")), "row"), "sketches")
-    pairs = saved(candidate_pairs(sketches, similarity - SLACK).unionByName(close_pairs(nodes.select("fp"), max_bits, segments)).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct().join(nodes.select("fp", F.col("row").alias("__row")), "fp")
-    texts = saved(marked.select("__row", F.col(text_col).alias("text")).join(wanted, "__row").select("fp", "text"), "texts")
-    roots = components(verified_pairs(pairs, texts, words, similarity)).withColumnRenamed("node", "fp")
+    whole = marked.join(nodes.select(F.col("row").alias("__row")), "__row", "left_semi")
+    features = whole.select(F.col("__fp").alias("fp"), F.col("__size").alias("size"), F.col("__bits").alias("bits"))
+    keys = whole.select(F.col("__fp").alias("fp"), F.explode("__prefix").alias("token"))
+    tokens = saved(keys.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "tokens")
+    groups = saved(keys.join(tokens.where("n > 2").select("token", "n", "a"), "token"), "groups")
+    features = saved(features.join(tokens.where("n = 2").select(F.explode(F.array("a", "b")).alias("fp")).unionByName(groups.select("fp")).distinct(), "fp"), "features")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = saved(pairs, "pairs")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes.select("fp", F.col("row").alias("__row")), "fp")
+        texts = saved(marked.select("__row", F.col(text_col).alias("text")).join(wanted, "__row").select("fp", "text"), "texts")
+        return saved(verified_pairs(pairs, texts, words, similarity), "links")
+
+    stars = tokens.where("n = 2").select("a", "b").unionByName(groups.where("fp <> a").select("a", F.col("fp").alias("b"))).distinct()
+    links = verified(filtered_pairs(stars, features, similarity))
+    for least, most in ((1, NEAR), (NEAR + 1, None)):
+        roots = components(links).withColumnRenamed("node", "fp")
+        links = links.unionByName(verified(grouped_pairs(groups, roots, features, similarity, least, most)))
+    roots = components(links).withColumnRenamed("node", "fp")
     kept = nodes.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
     return marked.join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in columns])

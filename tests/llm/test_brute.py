@@ -393,3 +393,55 @@ def test_dual_coordinate_descent_separates():
     y = np.array(y)
     w = quality.dual_coordinate_descent(rows, y, np.ones(40), np.ones(200))
     assert all(y[i] * w[r].sum() > 0 for i, r in enumerate(rows))
+
+
+def stay(texts, links):
+    """Least index of each component that the links of shingle sets of 0.8 make; links: a list that gets their number."""
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            n = len(sets[i] & sets[j])
+            if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n):
+                links.append((i, j))
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i for i in range(len(texts)) if find(i) == i}
+
+
+@pytest.mark.parametrize("wide", [2048, 50])
+def test_links_of_drifting_chains_and_of_families_behind_one_passage(spark, monkeypatch, wide):
+    """No tolerance: chains of copies each like its neighbours only, and families in which a passage is most of each text."""
+    monkeypatch.setattr(simhash, "WIDE", wide, raising=False)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
+    texts = []
+    for _ in range(2):
+        w = [word() for _ in range(120)]
+        for k in range(160):
+            w[k % 120] = word()
+            if k % 2:
+                w[(k * 7) % 120] = word()
+            texts.append(" ".join(w))
+    passage = [word() for _ in range(60)]
+    for _ in range(60):
+        family = [word() for _ in range(rng.randint(12, 24))]
+        for _ in range(3):
+            w = [*passage, *family]
+            w[rng.randrange(len(w))] = word()
+            texts.append(" ".join(w))
+    rng.shuffle(texts)
+    links = []
+    want = stay(texts, links)
+    got = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(links) > 300 and 2 < len(want) < len(texts) / 2
+    assert got == want
