@@ -80,6 +80,13 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, "<u8"), *shingle_hashes(text, words)]))
 
 
+def set_hash(h: np.ndarray) -> int:
+    """XXH64 of a shingle set: texts of one set are one node."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(h.tobytes(), 42)
+
+
 def prefix(h: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
     """Of a shingle set, those that come first by (count in the sample, hash), so many that two sets of that similarity share one of them."""
     n = len(h)
@@ -319,7 +326,7 @@ def common_shingles(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndar
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without the documents that a chain of links leads to a kept one: of each component the row with the least id stays.
 
-    Texts link if their whole shingle sets have at least `similarity`. Two such sets share a shingle of their prefixes, the rarest fifth
+    Texts of equal shingle sets are one node; two nodes link if their whole shingle sets have at least `similarity`. Two such sets share a shingle of their prefixes, the rarest fifth
     of each, so the members of each such shingle's group are the candidates: first all with the least one, then those of different
     components with each other. Pairs that sizes or parities rule out are left out; all others are verified."""
     columns = docs.columns
@@ -332,7 +339,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
         for b in batches:
             texts = b.column(at).to_pylist()
             sets = [shingle_set(t, words) for t in texts]
-            fps = pa.array(np.array([text_fingerprint(t, words) for t, h in zip(texts, sets, strict=True)], dtype=np.uint64).view(np.int64))
+            fps = pa.array(np.array([set_hash(h) for h in sets], dtype=np.uint64).view(np.int64))
             prefixes = pa.array([prefix(h, common, counts, similarity).view(np.int64) for h in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*b.columns, fps, pa.array([len(h) for h in sets], pa.int64()), pa.array([parity_bits(h) for h in sets], pa.binary()), prefixes], schema.names)
 

@@ -445,3 +445,15 @@ def test_links_of_drifting_chains_and_of_families_behind_one_passage(spark, monk
     got = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert len(links) > 300 and 2 < len(want) < len(texts) / 2
     assert got == want
+
+
+def test_equal_fingerprints_do_not_link_unlike_texts(spark):
+    """A repeated line makes the fingerprint; the sets are far apart. Copies of one text's set still are one node."""
+    line = "all rights of this page are reserved by us "
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("klmnopqrst") for _ in range(rng.randint(3, 7)))
+    texts = [line * 200 + " ".join(word() for _ in range(40)) for _ in range(6)]
+    assert len({simhash.text_fingerprint(t, 5) for t in texts}) < len(texts)
+    texts += [texts[0], texts[1].upper()]
+    got = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == set(range(6))
