@@ -3,9 +3,9 @@
 A page is cut into blocks, the text between starts and ends of block-level elements, each with its
 root-to-leaf path of block-level tags. Text length and punctuation of all blocks of
 one path are added up and divided by the path's blocks. Both ratios are smoothed over the paths in
-page order, fused by multiplication, and paths above a share of the mean are content paths. The element
-whose blocks on content paths hold most text is the article: of nested ones, the innermost that
-still holds nearly all of it, `article` and `main` elements first. Its text
+page order, fused by multiplication, and paths above a share of the mean are content paths. Where the page's
+outermost `article` and `main` elements together hold half of the text on content paths or more, all of them with such text are the
+article; else the innermost element that holds all blocks on content paths, and the page's h1. Its text
 is all its blocks in page order, but for parts that are by tag, role or name no article text.
 
 Defined cases: null and empty html, and pages without any text in the body, give an empty text;
@@ -15,7 +15,6 @@ unclosed elements end with the page; repeated rows each get a row; null ids and
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 from typing import NamedTuple
@@ -41,8 +40,10 @@ NAMES = re.compile(
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>?|([^<]+)|(<)""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([^\s=/"'>]+)""")
 PUNCTUATION = re.compile(r"""[.,;:!?'"()–—…“”‘’«»、。，；：！？]""")
-#: A path is content if its fused ratio is over this share of the mean; an inner element may replace an outer one that holds this share of its text.
-SHARE_OF_MEAN, NEARLY_ALL = 0.25, 0.9
+#: A path is content if its fused ratio is over this share of the mean.
+SHARE_OF_MEAN = 0.25
+#: Elements that hold one passage and so are no article.
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li td pre".split())
 
 
 class Block(NamedTuple):
@@ -169,19 +170,23 @@ def main_text(page: str | None) -> str:
         return ""
     ratios = fused_ratios(shown)
     cut = SHARE_OF_MEAN * sum(ratios.values()) / len(ratios)
-    weight: dict[int, int] = defaultdict(int)
-    total = 0
-    for b in shown:
-        if ratios[b.path] >= cut:
-            total += len(b.text)
-            for e in set(b.elements):
-                weight[e] += len(b.text)
-    if not weight:
-        return "\n".join([b.text for b in shown])
-    named = [e for e in weight if tags[e] in ("article", "main") and weight[e] >= 0.5 * total]
-    holders = named or [e for e in weight if weight[e] >= NEARLY_ALL * total and tags[e] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "pre")] or [min(weight)]
-    best = max(holders, key=lambda e: (weight[e] >= NEARLY_ALL * max(weight[h] for h in holders), e))
-    return "\n".join([b.text for b in shown if best in b.elements])
+    content = [b for b in shown if ratios[b.path] >= cut]
+    tops = {}  # outermost article or main element, by place of the content block in it
+    for i, b in enumerate(content):
+        for e in b.elements:
+            if tags[e] in ("article", "main"):
+                tops[i] = e
+                break
+    if 2 * sum(len(content[i].text) for i in tops) >= sum(len(b.text) for b in content) > 0:
+        articles = set(tops.values())
+        return "\n".join([b.text for b in shown if not articles.isdisjoint(b.elements)])
+    content += [b for b in shown if b.elements and tags[b.elements[-1]] == "h1"]
+    best = None
+    for level in zip(*[b.elements for b in content], strict=False):
+        if len(set(level)) > 1 or tags[level[0]] in LEAVES:
+            break
+        best = level[0]
+    return "\n".join([b.text for b in shown if best is None or best in b.elements])
 
 
 def page_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -457,3 +457,14 @@ def test_equal_fingerprints_do_not_link_unlike_texts(spark):
     texts += [texts[0], texts[1].upper()]
     got = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == set(range(6))
+
+
+def test_html_titles_leads_and_several_articles_stay():
+    """Pages without an article element keep what stands beside the body; of several articles none goes."""
+    long = "A sentence of the body, long enough to weigh; and it goes on, as bodies do. " * 3
+    body = "".join(f"<p>{long}{i}.</p>" for i in range(12))
+    paragraphs = [f"{long}{i}." for i in range(12)]
+    page = f"<html><body><nav>Home, news.</nav><div id=content><h1>Title</h1><p>The lead, in short.</p><div class=body>{body}</div><p>The end, at last.</p></div><footer>By us.</footer></body></html>"
+    assert html.main_text(page) == "\n".join(["Title", "The lead, in short.", *paragraphs, "The end, at last."])
+    split = f"<body><article><h2>One</h2>{body}</article><div class=ads>Buy, now.</div><article><h2>Two</h2>{''.join(f'<p>{x}</p>' for x in paragraphs[:8])}</article><div class=comments><article><p>{long}</p></article></div></body>"
+    assert html.main_text(split) == "\n".join(["One", *paragraphs, "Two", *paragraphs[:8]])
