@@ -6,8 +6,8 @@ others by weight, until none is above.
 
 Drawing: a source's documents are dealt to blocks by a hash of their content. The
 blocks stand in a permuted order of the source. Whole rounds take every
-block; the rest of the target takes leading blocks while they fit, and then, one
-by one, documents of the blocks that follow while they fit. So every source has a
+block; the rest of the target takes the blocks that fit, in order, and then, one
+by one, documents of the other blocks that fit, as many as can fill it. So every source has a
 quota of block draws. A splitting tree deals the quotas to output shards:
 each node divides its quotas among its two halves by a multivariate
 hypergeometric draw, so leaves have exact, disjoint quotas, filled with the permuted
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from docloom.llm.common import WORD, saved
 
 WEIGHTS = (5, 2, 1)
-#: Documents beyond the whole blocks, of each source, among which the last words are sought.
+#: Documents beyond the whole blocks, of each source, at least, among which the last words are sought.
 LAST_DOCS = 4_000
 #: Documents at least that are not drawn with their block, where a source has as many.
 LEAST_DOCS = 64
@@ -91,17 +91,20 @@ def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Data
 
 
 def _last(rows: list[tuple[int, int]], room: int) -> list[int]:
-    """Keys of the rows taken: leading ones while they fit; then the set of the last few of these and the next REFINE
+    """Keys of the rows taken: all that fit, in order; then the set of the last few of these and the first REFINE
     others whose sizes add up best to what is left."""
-    taken, at = [], 0
-    while at < len(rows) and rows[at][1] <= room:
-        taken.append(rows[at])
-        room -= rows[at][1]
-        at += 1
+    taken, others = [], []
+    for r in rows:
+        if r[1] <= room:
+            taken.append(r)
+            room -= r[1]
+        else:
+            others.append(r)
     back = taken[-REFINE // 16 :]
     taken = taken[: len(taken) - len(back)]
     room += sum(n for _, n in back)
-    pool = [r for r in back + rows[at : at + REFINE] if 0 < r[1] <= room]
+    pool = [r for r in back if r[1]] + [r for r in others if r[1] <= room][:REFINE]
+    taken += [r for r in back if not r[1]]
     sums, steps = 1, []
     for _, n in pool:  # bit s of sums: s can be reached
         steps.append(sums)
@@ -134,26 +137,25 @@ def plan(sized: DataFrame, weights=WEIGHTS, share=1.5, epochs=2.0, shards=16, se
         words[r["sid"]][r["block"]] = (r["n"], r["docs"])
 
     units: list[list[tuple[int, int]]] = []
-    rest: list[tuple[int, int, int, int]] = []  # sid, block, place in order, room
+    edges: list[tuple[int, int, list[int]]] = []  # sid, room, blocks not taken, in order
     for i, w in enumerate(words):
         rounds = int(want[i] // sizes[i]) if sizes[i] else 0
         mine = [(b, e) for e in range(rounds) for b in sorted(w, key=lambda b: _order(seed, i, e, b))]
         room, docs = round(want[i] - rounds * sizes[i]), 0
         ordered = sorted(w, key=lambda b: _order(seed, i, rounds, b)) if room > 0 else []
-        whole = 0
-        while whole < len(ordered) and w[ordered[whole]][0] <= room:
-            room -= w[ordered[whole]][0]
-            whole += 1
-        while whole and docs < LEAST_DOCS:  # the edge gets some blocks back, to have documents to choose from
-            whole -= 1
-            room += w[ordered[whole]][0]
-            docs += w[ordered[whole]][1]
-        mine += [(b, rounds) for b in ordered[:whole]]
-        docs = 0
-        for place, b in enumerate(ordered[whole:]):
-            if docs < LAST_DOCS:
-                rest.append((i, b, place, room))
-                docs += w[b][1]
+        taken, left, back = [], [], []
+        for b in ordered:
+            if w[b][0] <= room:
+                taken.append(b)
+                room -= w[b][0]
+            else:
+                left.append(b)
+        while taken and docs < LEAST_DOCS:  # the edge gets some blocks back, to have documents to choose from
+            back.insert(0, taken.pop())
+            room += w[back[0]][0]
+            docs += w[back[0]][1]
+        mine += [(b, rounds) for b in taken]
+        edges.append((i, room, back + left))
         units.append(mine)
     quotas = split_quotas(np.array([len(u) for u in units], dtype=np.int64), shards, seed) if units else np.zeros((shards, 0), dtype=np.int64)
     draws: dict[tuple[int, int], list[tuple[int, int]]] = {}
@@ -163,7 +165,20 @@ def plan(sized: DataFrame, weights=WEIGHTS, share=1.5, epochs=2.0, shards=16, se
             draws.setdefault((i, b), []).append((int(s), e))
     block_draws = spark.createDataFrame([(i, b, d) for (i, b), d in sorted(draws.items())], "sid int, block int, draws array<struct<shard:int,round:int>>")
 
-    room_of = {i: room for i, _, _, room in rest}
+    room_of = {i: room for i, room, _ in edges}
+    rooms = F.broadcast(spark.createDataFrame(sorted(room_of.items()), "sid int, room long"))
+    fitting = dealt.join(rooms, "sid").where("size <= room")
+    fits = {(r["sid"], r["block"]): (r["n"], r["docs"]) for r in fitting.groupBy("sid", "block").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("docs")).toLocalIterator()}
+    rest: list[tuple[int, int, int]] = []  # sid, block, place in order: until their fitting documents can fill the room
+    for i, room, open_blocks in edges:
+        found_words = docs = 0
+        for place, b in enumerate(open_blocks):
+            if found_words >= room and docs >= LAST_DOCS:
+                break
+            n, d = fits.get((i, b), (0, 0))
+            if d:
+                rest.append((i, b, place))
+                found_words, docs = found_words + n, docs + d
     round_of = {i: int(want[i] // sizes[i]) for i in room_of}
 
     def fill(key: tuple, t: pa.Table) -> pa.Table:
@@ -172,8 +187,8 @@ def plan(sized: DataFrame, weights=WEIGHTS, share=1.5, epochs=2.0, shards=16, se
         taken = _last(list(zip(t.column("rk").to_pylist(), t.column("size").to_pylist(), strict=True)), room_of[i])
         return pa.table({"sid": pa.array([i] * len(taken), pa.int32()), "rk": pa.array(taken, pa.int64())})
 
-    edge = spark.createDataFrame([(i, b, p) for i, b, p, _ in rest], "sid int, block int, place int")
-    at_edge = dealt.join(F.broadcast(edge), ["sid", "block"]).withColumn("turn", F.xxhash64(F.lit(seed), "rk"))
+    edge = spark.createDataFrame(rest, "sid int, block int, place int")
+    at_edge = fitting.join(F.broadcast(edge), ["sid", "block"]).withColumn("turn", F.xxhash64(F.lit(seed), "rk"))
     alike = at_edge.groupBy("sid", "place", "rk", "turn").agg(F.sum("size").alias("size"))
     rounds = spark.createDataFrame(sorted(round_of.items()), "sid int, round int")
     singles = saved(alike.groupBy("sid").applyInArrow(fill, "sid int, rk long"), "singles")
