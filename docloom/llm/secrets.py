@@ -2,20 +2,23 @@
 
 The patterns (assignments, access keys, hex strings) give the base findings of every
 text, and at the same time labelled credentials. Of each kind a bounded sample
-(`sample` distinct values of least hash) trains a probabilistic automaton: a prefix
-tree over character classes, whose states are merged, from the root on, where their
-continuations do not differ more than a Hoeffding bound allows. Ordinary tokens of the same
-corpus train one more automaton as the contrast.
-
-Every candidate of every text (a token of letters and digits, long enough) is scored by each
-kind's automaton against the contrast, per character. A candidate that overlaps no base finding
-of its kind and scores above the kind's threshold becomes a span of that kind. The
-threshold is what all but `miss` of the kind's own training values exceed, and
-is above 0 at least.
-
-Defined cases: null text counts as empty; repeated rows each get a row; without any labelled
-credential no spans are added; null ids stay; other columns are ignored (findings) or
-kept (redacted).
+(`sample` distinct values of least hash, of at most `longest` characters) trains a probabilistic automaton: a prefix
+tree whose states are merged, from the root on, where the lengths to go, the next symbols and the next characters
+of their continuations, and so on below, differ by no more than a Hoeffding bound allows. Letters and digits are
+one symbol of a credential's tree and each separator another, so a state stands for a place in
+the format: a fixed length, a separator or a literal prefix keeps its states apart, free text becomes a loop. An
+equal sample of ordinary tokens, out of all texts, trains the contrast, with letters of either case and digits as symbols.
+
+Every candidate of every text (a run of `A-Za-z0-9+/_.=-` of 6 or more characters, full stops at its
+end taken off) is scored by each kind's automaton: the log-likelihood of the unlikeliest step of its format (a symbol or the end), and the whole
+token's log-likelihood by characters less that by the contrast. A candidate that overlaps no base finding of any kind and exceeds both of a kind's
+thresholds becomes a span of the kind whose second it exceeds most, of the kind listed first where two are equal. Thresholds are what all
+but `miss` of the kind's values exceed when the other half of them trains. Where more than `false` of the ordinary tokens exceed these and as many come
+near (no gap lies between, as for credentials like words), the second is raised to what all but `false` of them reach; behind a gap they are taken for unlabelled credentials.
+
+Defined cases: null text counts as empty; a text is scanned whole, however long; repeated rows each get a row; an empty table gives no rows; without
+any labelled credential no spans are added; null ids stay; base findings of two kinds may overlap and all count; other columns are ignored (findings) or
+kept (redacted), whatever their names.
 """
 
 from __future__ import annotations
@@ -23,10 +26,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,10 +42,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LEAST = 6
 
-#: A candidate: a whole token of these characters and this length, with a letter and a digit.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=@-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_.=@-])")
-_DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
-CONTRAST = re.compile(r"(?<!\S)[^\s]{6,}(?!\S)")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
+SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
+PLACE = np.full(128, len(SIGNS), dtype=np.int64)
+PLACE[[ord(c) for c in SIGNS]] = np.arange(len(SIGNS))
+_DIGIT = re.compile(r"[0-9]")
 
 Span = tuple[int, int, str]
 
@@ -68,173 +73,267 @@ def credential(text: str, span: Span) -> str:
     return ASSIGN.match(text, a)[2] if kind == "assign" else text[a:b]
 
 
-def classes(value: str) -> str:
-    """Character classes: digits d, hex letters h or H, other letters a or A, the rest themselves."""
-    return "".join(["d" if "0" <= c <= "9" else "h" if "a" <= c <= "f" else "H" if "A" <= c <= "F" else "a" if "g" <= c <= "z" else "A" if "G" <= c <= "Z" else c if c < "\x7f" else "~" for c in value])
+def candidates(text: str) -> set[str]:
+    return {t for t in {m.rstrip(".") for m in CANDIDATE.findall(text)} if len(t) >= 6}
 
 
-@dataclass
-class Automaton:
-    """States by number; 0 is the start. next: symbol to state; seen: passes by symbol; ends: values that end."""
+def format_symbol(c: str) -> str:
+    return "w" if c.isalnum() else c
 
-    next: list[dict[str, int]] = field(default_factory=lambda: [{}])
-    seen: list[Counter] = field(default_factory=lambda: [Counter()])
-    ends: list[int] = field(default_factory=lambda: [0])
 
-    def add(self, value: str, times: int = 1) -> None:
-        at = 0
-        for c in value:
-            if c not in self.next[at]:
-                self.next[at][c] = len(self.next)
-                self.next.append({})
-                self.seen.append(Counter())
-                self.ends.append(0)
-            self.seen[at][c] += times
-            at = self.next[at][c]
-        self.ends[at] += times
-
-    def total(self, state: int) -> int:
-        return self.ends[state] + sum(self.seen[state].values())
-
-    def alike(self, a: int, b: int, alpha: float) -> bool:
-        """Whether all continuations of a and b, as far as both have them, agree within the bound."""
-        stack = [(a, b)]
-        while stack:
-            a, b = stack.pop()
-            n, m = self.total(a), self.total(b)
-            if not n or not m:
-                continue
-            bound = math.sqrt(0.5 * math.log(2 / alpha)) * (1 / math.sqrt(n) + 1 / math.sqrt(m))
-            if abs(self.ends[a] / n - self.ends[b] / m) > bound:
-                return False
-            for c in self.seen[a].keys() | self.seen[b].keys():
-                if abs(self.seen[a][c] / n - self.seen[b][c] / m) > bound:
-                    return False
-                if c in self.next[a] and c in self.next[b]:
-                    stack.append((self.next[a][c], self.next[b][c]))
-        return True
-
-    def fold(self, into: int, tree: int) -> None:
-        """Adds the counts of the tree below state `tree` to those from state `into` on."""
-        stack = [(into, tree)]
-        while stack:
-            into, tree = stack.pop()
-            self.ends[into] += self.ends[tree]
-            for c, n in self.seen[tree].items():
-                self.seen[into][c] += n
-                if c in self.next[into]:
-                    stack.append((self.next[into][c], self.next[tree][c]))
-                else:
-                    self.next[into][c] = self.next[tree][c]
-
-
-def infer(values: dict[str, int] | Counter, alpha: float = 0.05) -> Automaton:
-    """Merges the states of the values' prefix tree that are statistically alike."""
-    a = Automaton()
-    for v in sorted(values):
-        a.add(v, values[v])
-    kept, edge = [0], [(0, c) for c in sorted(a.next[0])]
-    while edge:
-        edge.sort(key=lambda e: (-a.seen[e[0]][e[1]], e))
-        state, c = edge.pop(0)
-        new = a.next[state][c]
-        if new in kept:
-            continue
-        for old in kept:
-            if a.alike(old, new, alpha):
-                a.next[state][c] = old
-                a.fold(old, new)
-                break
-        else:
-            kept.append(new)
-        edge = [(s, x) for s in kept for x in a.next[s] if a.next[s][x] not in kept]
-    numbers = {s: i for i, s in enumerate(kept)}
-    return Automaton([{c: numbers[t] for c, t in a.next[s].items()} for s in kept], [a.seen[s] for s in kept], [a.ends[s] for s in kept])
+def word_symbol(c: str) -> str:
+    return "d" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else c
 
 
-#: Symbols over which each state's distribution is smoothed: the classes, 27 other printable signs, and the end.
-SYMBOLS = 33
+@dataclass
+class State:
+    """next: symbol to state; seen: passes by symbol; chars: passes by character; togo: passes by characters that follow."""
+
+    next: dict[str, int] = field(default_factory=dict)
+    seen: Counter = field(default_factory=Counter)
+    chars: Counter = field(default_factory=Counter)
+    togo: Counter = field(default_factory=Counter)
+    total: int = 0
+
+    @property
+    def ends(self) -> int:
+        return self.total - sum(self.seen.values())
+
+
+def furthest(a: Counter, n: int, b: Counter, m: int) -> float:
+    """Largest difference of two frequencies."""
+    return max((abs(a[c] / n - b[c] / m) for c in a.keys() | b.keys()), default=0.0)
+
+
+def cdf_gap(a: Counter, n: int, b: Counter, m: int) -> float:
+    """Largest difference of two distributions, summed up from the least value."""
+    most = left = right = 0.0
+    for x in sorted(a.keys() | b.keys()):
+        left, right = left + a[x] / n, right + b[x] / m
+        most = max(most, abs(left - right))
+    return most
+
+
+def alike(states: list[State], a: int, b: int, alpha: float) -> bool:
+    """Whether all continuations of a and b, as far as both have them, agree within the bound."""
+    stack = [(a, b)]
+    while stack:
+        x, y = (states[i] for i in stack.pop())
+        n, m = x.total, y.total
+        bound = math.sqrt(0.5 * math.log(2 / alpha)) * (1 / math.sqrt(n) + 1 / math.sqrt(m))
+        if bound >= 1:  # too few to tell apart, and below them there are fewer
+            continue
+        if cdf_gap(x.togo, n, y.togo, m) > bound or furthest(x.seen, n, y.seen, m) > bound or furthest(x.chars, n, y.chars, m) > bound:
+            return False
+        stack += [(x.next[c], y.next[c]) for c in x.next if c in y.next]
+    return True
+
+
+def fold(states: list[State], into: int, tree: int) -> None:
+    """Adds the counts of the tree below state `tree` to those from state `into` on."""
+    stack = [(into, tree)]
+    while stack:
+        x, y = (states[i] for i in stack.pop())
+        x.total += y.total
+        x.seen.update(y.seen)
+        x.chars.update(y.chars)
+        x.togo.update(y.togo)
+        for c, below in y.next.items():
+            if c in x.next:
+                stack.append((x.next[c], below))
+            else:
+                x.next[c] = below
+
+
+def infer(values: Iterable[str], symbol: Callable[[str], str] = format_symbol, alpha: float = 0.05) -> list[State]:
+    """The values' prefix tree with its statistically compatible states merged; the first state is the start."""
+    states = [State()]
+    for v in sorted(values):
+        at = 0
+        for i, c in enumerate(v):
+            s, here = symbol(c), states[at]
+            here.total += 1
+            here.seen[s] += 1
+            here.chars[c] += 1
+            here.togo[len(v) - i] += 1
+            if s not in here.next:
+                here.next[s] = len(states)
+                states.append(State())
+            at = here.next[s]
+        states[at].total += 1
+        states[at].togo[0] += 1
+    kept = [0]
+    while edge := [(states[s].seen[c], s, c) for s in kept for c in states[s].next if states[s].next[c] not in kept]:
+        _, s, c = max(edge, key=lambda e: (e[0], -e[1], e[2]))
+        new = states[s].next[c]
+        old = next((k for k in kept if alike(states, k, new, alpha)), None)
+        if old is None:
+            kept.append(new)
+        else:
+            states[s].next[c] = old
+            fold(states, old, new)
+    number = {s: i for i, s in enumerate(kept)}
+    return [State({c: number[t] for c, t in states[s].next.items()}, states[s].seen, states[s].chars, states[s].togo, states[s].total) for s in kept]
 
 
-def log_likelihood(a: Automaton, value: str) -> float:
-    """Mean natural log-probability of the classes of value and its end; states without a step restart at 0."""
-    at, out = 0, 0.0
-    for c in value:
-        out += math.log((a.seen[at][c] + 0.05) / (a.total(at) + 0.05 * SYMBOLS))
-        at = a.next[at].get(c, 0)
-    out += math.log((a.ends[at] + 0.05) / (a.total(at) + 0.05 * SYMBOLS))
-    return out / (len(value) + 1)
+@dataclass
+class Automaton:
+    """An inferred automaton as tables: next state by (state, character), log-probability of the character and of its symbol by the
+    same, and of ending in a state, by the character counts and by the symbol counts."""
+
+    step: np.ndarray
+    log: np.ndarray
+    format: np.ndarray
+    end: np.ndarray
+
+    @classmethod
+    def of(cls, states: list[State], symbol: Callable[[str], str], weight: float = 2.0) -> Automaton:
+        """Counts are smoothed towards the whole automaton's: symbols and ends with `weight` counts in each state, characters with as many
+        as there are different ones. A character without a step leads to the start."""
+        chars, symbols = sum((s.chars for s in states), Counter()), sum((s.seen for s in states), Counter())
+        ends = sum(s.ends for s in states)
+        whole = sum(chars.values()) + ends
+        share = lambda n: (n + 0.02) / (whole + 0.02 * (len(SIGNS) + 1))
+        mine = [symbol(c) for c in SIGNS]
+        step = np.zeros((len(states), len(SIGNS)), dtype=np.int32)
+        log, form, end = np.empty((len(states), len(SIGNS))), np.empty((len(states), len(SIGNS))), np.empty(len(states))
+        for i, s in enumerate(states):
+            step[i] = [s.next.get(x, 0) for x in mine]
+            log[i] = [math.log((s.chars[c] + len(chars) * share(chars[c])) / (s.total + len(chars))) for c in SIGNS]
+            form[i] = [math.log((s.seen[x] + weight * share(symbols[x])) / (s.total + weight)) for x in mine]
+            end[i] = math.log((s.ends + weight * share(ends)) / (s.total + weight))
+        return cls(step, log, form, end)
+
+    def score(self, signs: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log-likelihoods, and those of the unlikeliest step, of tokens given as places in SIGNS, from starts on, longest first; all
+        tokens go ahead character by character."""
+        state, out, worst = np.zeros(len(starts), dtype=np.int64), np.zeros(len(starts)), np.zeros(len(starts))
+        flat_step, flat_log, flat_form, wide = self.step.ravel(), self.log.ravel(), self.format.ravel(), len(SIGNS)
+        counts = np.searchsorted(-lengths, -np.arange(lengths[0]) - 1, side="right") if len(lengths) else []
+        for i, n in enumerate(counts):
+            at = state[:n] * wide + signs[starts[:n] + i]
+            out[:n] += flat_log[at]
+            np.minimum(worst[:n], flat_form[at], out=worst[:n])
+            state[:n] = flat_step[at]
+        return out + self.end[state], np.minimum(worst, self.end[state])
+
+
+def laid_out(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    tokens = sorted(tokens, key=lambda t: (-len(t), t))
+    lengths = np.array([len(t) for t in tokens], dtype=np.int64)
+    signs = PLACE[np.frombuffer("".join(tokens).encode("ascii"), dtype=np.uint8)]
+    return signs, np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64), lengths, tokens
 
 
 @dataclass
 class SecretModel:
     automata: dict[str, Automaton]
-    contrast: Automaton
-    least: dict[str, float]
-
-    def margin(self, kind: str, shape: str) -> float:
-        return log_likelihood(self.automata[kind], shape) - log_likelihood(self.contrast, shape)
-
-    def extra(self, text: str, base: list[Span]) -> list[Span]:
-        """Spans that the automata add to the base ones: the best kind of each candidate."""
-        out: list[Span] = []
-        if not self.automata or not _DIGIT.search(text):
-            return out
-        for m in CANDIDATE.finditer(text):
-            token = m[0]
-            if not _DIGIT.search(token) or not _LETTER.search(token) or any(a < m.end() and m.start() < b for a, b, _ in base):
-                continue
-            shape = classes(token)
-            scores = {k: self.margin(k, shape) - self.least[k] for k in self.automata}
-            kind = max(sorted(scores), key=scores.get)
-            if scores[kind] > 0:
-                out.append((m.start(), m.end(), kind))
+    contrast: Automaton | None
+    least: dict[str, tuple[float, float]]
+
+    def scores(self, tokens: Iterable[str]) -> tuple[list[str], dict[str, np.ndarray]]:
+        """Of each kind: two rows, the unlikeliest step's log-likelihood and the margin over the contrast."""
+        *places, tokens = laid_out(list(tokens))
+        if not tokens:
+            return tokens, {k: np.zeros((2, 0)) for k in self.automata}
+        plain = self.contrast.score(*places)[0]
+        own = {k: a.score(*places) for k, a in self.automata.items()}
+        return tokens, {k: np.stack([worst, x - plain]) for k, (x, worst) in own.items()}
+
+    def secrets(self, tokens: Iterable[str]) -> dict[str, str]:
+        """Tokens that a kind's automaton tells to be credentials, with the kind."""
+        if not self.automata:
+            return {}
+        tokens, scores = self.scores(tokens)
+        kinds = [k for k in KINDS if k in scores]
+        above = np.array([np.where(scores[k][0] >= self.least[k][0], scores[k][1] - self.least[k][1], -np.inf) for k in kinds])
+        best = above.argmax(axis=0)
+        return {tokens[i]: kinds[best[i]] for i in np.flatnonzero(above.max(axis=0) > 0)} if tokens else {}
+
+    def scanned(self, texts: list[str | None]) -> list[tuple[list[Span], list[Span]]]:
+        """Base spans and added spans of each text."""
+        own = [candidates(t or "") for t in texts]
+        known = self.secrets(set().union(*own))
+        out = []
+        for text, mine in zip(texts, own, strict=True):
+            base = base_spans(text or "")
+            extra = []
+            if known and not known.keys().isdisjoint(mine):
+                for m in CANDIDATE.finditer(text):
+                    token = m[0].rstrip(".")
+                    a, b = m.start(), m.start() + len(token)
+                    if token in known and not any(x < b and a < y for x, y, _ in base):
+                        extra.append((a, b, known[token]))
+            out.append((base, extra))
         return out
 
 
-def labelled(docs: DataFrame, text_col: str, sample: int) -> tuple[dict[str, set[str]], set[str]]:
-    """Distinct credentials of each kind, and ordinary tokens: at most `sample` of each, those of least hash."""
+def labelled(docs: DataFrame, text_col: str, sample: int, longest: int) -> dict[str, list[str]]:
+    """Distinct credentials of each kind, and ordinary candidates under "": at most `sample` of each, those of least hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least: dict[str, dict[str, str]] = defaultdict(dict)
+        import xxhash
 
-        def keep(kind: str, value: str) -> None:
-            mine = least[kind]
-            mine[hashlib.md5(value.encode("utf-8", "surrogatepass")).hexdigest()] = value
+        least: dict[str, dict[int, str]] = {k: {} for k in ("", *KINDS)}
+        limit = dict.fromkeys(least, 1 << 64)
+
+        def keep(kind: str, values: Iterable[str]) -> None:
+            mine, below = least[kind], limit[kind]
+            for v in values:
+                h = xxhash.xxh64_intdigest(v, 7)
+                if h < below and len(v) <= longest:
+                    mine[h] = v
             if len(mine) > 4 * sample:
-                for h in sorted(mine)[sample:]:
+                order = sorted(mine)
+                limit[kind] = order[sample - 1] + 1
+                for h in order[sample:]:
                     del mine[h]
 
         for b in batches:
+            ordinary: set[str] = set()
             for text in b.column(0).to_pylist():
                 if not text:
                     continue
                 spans = base_spans(text)
-                for s in spans:
-                    keep(s[2], credential(text, s)[:256])
-                if hashlib.md5(text[:64].encode("utf-8", "surrogatepass")).digest()[0] < 4:
-                    for m in CONTRAST.finditer(text):
-                        if not any(a < m.end() and m.start() < z for a, z, _ in spans):
-                            keep("", m[0][:256])
-        rows = [(k, h, v) for k, mine in least.items() for h, v in sorted(mine.items())[:sample]]
+                if not spans:
+                    ordinary |= candidates(text)
+                    continue
+                for kind in KINDS:
+                    keep(kind, [credential(text, s) for s in spans if s[2] == kind])
+                free = [m[0].rstrip(".") for m in CANDIDATE.finditer(text) if not any(a < m.end() and m.start() < z for a, z, _ in spans)]
+                ordinary.update([t for t in free if len(t) >= 6])
+            keep("", ordinary)
+        rows = [(k, h - (1 << 63), v) for k, mine in least.items() for h, v in sorted(mine.items())[:sample]]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ["kind", "hash", "value"])
+            kinds, hashes, values = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(hashes, pa.int64()), pa.array(values, pa.string())], ["kind", "hash", "value"])
 
-    found = docs.select(text_col).mapInArrow(run, "kind string, hash string, value string").distinct().persist()
-    out: dict[str, set[str]] = {}
-    for kind in ("", *KINDS):
-        out[kind] = {r["value"] for r in found.where(F.col("kind") == kind).orderBy("hash").limit(sample).collect()}
+    found = docs.select(text_col).mapInArrow(run, "kind string, hash long, value string").distinct().persist()
+    out = {k: [r["value"] for r in found.where(F.col("kind") == k).orderBy("hash").limit(sample).collect()] for k in ("", *KINDS)}
     found.unpersist()
-    return {k: v for k, v in out.items() if k and v}, out[""]
-
-
-def fit(docs: DataFrame, text_col: str = "text", sample: int = 1500, miss: float = 0.02) -> SecretModel:
-    kinds, ordinary = labelled(docs, text_col, sample)
-    automata = {k: infer(Counter(map(classes, v))) for k, v in kinds.items()}
-    model = SecretModel(automata, infer(Counter(map(classes, ordinary))), {})
-    for k, values in kinds.items():
-        margins = sorted(model.margin(k, classes(v)) for v in values)
-        model.least[k] = max(0.05, margins[int(miss * len(margins))])
+    return {k: v for k, v in out.items() if v}
+
+
+def fit(docs: DataFrame, text_col: str = "text", sample: int = 1500, longest: int = 256, miss: float = 0.02, false: float = 0.001) -> SecretModel:
+    values = labelled(docs, text_col, sample, longest)
+    ordinary = values.pop("", [])
+    if not values:
+        return SecretModel({}, None, {})
+    contrast = Automaton.of(infer(ordinary, word_symbol), word_symbol)
+    of = lambda v: Automaton.of(infer(v), format_symbol)
+    model = SecretModel({k: of(v) for k, v in values.items()}, contrast, {})
+    plain = model.scores(ordinary)[1]
+    for kind, mine in values.items():
+        mine = sorted(mine)
+        halves = ((mine[::2], mine[1::2]), (mine[1::2], mine[::2])) if len(mine) > 1 else ((mine, mine),)
+        unseen = np.concatenate([SecretModel({kind: of(train)}, contrast, {}).scores(test)[1][kind] for train, test in halves], axis=1)
+        typical, margin = np.sort(unseen)[:, int(miss * unseen.shape[1])].tolist()
+        least = max(0.0, margin)
+        ordinary_margins = np.sort(plain[kind][1][plain[kind][0] >= typical])
+        above, near = int((ordinary_margins >= least).sum()), int(((ordinary_margins >= least / 2) & (ordinary_margins < least)).sum())
+        if above > false * len(ordinary) and near >= above:
+            least = float(ordinary_margins[-1 - int(false * len(ordinary))])
+        model.least[kind] = (typical, least)
     return model
 
 
@@ -245,10 +344,9 @@ def findings(docs: DataFrame, model: SecretModel, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text in b.column(1).to_pylist():
-                base = base_spans(text or "")
+            for base, extra in model.scanned(b.column(1).to_pylist()):
                 n = Counter(k for _, _, k in base)
-                spans = sorted(base + model.extra(text or "", base), key=lambda s: (s[0], KINDS.index(s[2])))
+                spans = sorted(base + extra, key=lambda s: (s[0], KINDS.index(s[2])))
                 out.append((*[n[k] for k in KINDS], hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
             cols = zip(*out, strict=True) if out else [()] * 5
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -267,12 +365,9 @@ def redacted(docs: DataFrame, text_col: str = "text", length_col: str | None = "
     names, at = docs.columns, docs.columns.index(text_col)
     length_at = names.index(length_col) if length_col in names else None
 
-    def clean(text: str | None) -> str | None:
-        if not text:
-            return text
-        base = base_spans(text)
+    def cleaned(text: str | None, spans: list[Span]) -> str | None:
         out, end = [], 0
-        for a, b, _ in sorted(base + model.extra(text, base)):
+        for a, b, _ in sorted(spans):
             if b > end:
                 if a >= end:
                     out += [text[end:a], mark]
@@ -282,11 +377,11 @@ def redacted(docs: DataFrame, text_col: str = "text", length_col: str | None = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols = list(b.columns)
-            texts = [clean(t) for t in b.column(at).to_pylist()]
+            before = b.column(at).to_pylist()
+            texts = [cleaned(t, base + extra) for t, (base, extra) in zip(before, model.scanned(before), strict=True)]
             cols[at] = pa.array(texts, cols[at].type)
             if length_at is not None:
                 old = cols[length_at].to_pylist()
-                before = b.column(at).to_pylist()
                 cols[length_at] = pa.array([n if t == was else len(t) for n, t, was in zip(old, texts, before, strict=True)], cols[length_at].type)
             yield pa.RecordBatch.from_arrays(cols, names)
 
