@@ -4,7 +4,9 @@ Hierarchical residual packing: pieces are dealt over groups of bounded size;
 each group packs its items best-fit, longest first, and emits the bins that
 are nearly full. Underfull bins go up one level of a tree as single items, are
 dealt over fewer groups, and are packed again, until one group is left or a
-round cannot shrink the number of groups any more.
+round cannot shrink the number of groups any more. Every group but the last round's leaves only bins of
+`NEARLY_FULL` of the capacity and more behind. Where rounds end with several groups, about as many underfull
+bins are left as the groups hold items: bins over half full, of which no two fit together, but for one a group at most. So many sequences this can cost.
 
 A document's ids are those of the tokenizer, then `end_id`. Documents longer
 than `capacity` are cut into pieces of `capacity` ids, of which the first may be
@@ -12,7 +14,8 @@ shorter. Nothing is dropped or padded.
 
 Defined cases: null and empty texts give one piece with the end id alone;
 repeated rows are packed as often as they occur; a null id stays null; other
-columns are ignored; an empty table gives no rows.
+columns are ignored, whatever their names; a text of any length is tokenized whole; items of equal length go in the order
+of their rows; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -55,12 +58,15 @@ class IdEncoder:
     the other, and each distinct chunk is encoded once.
     """
 
-    def __init__(self, path: str, ranks: str | None = None):
+    def __init__(self, path: str, ranks: str | None = None, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        own = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
+        self.special = {c: array("I", [self.tokenizer.token_to_id(c)]).tobytes() for c in own}
+        self.at_special = re.compile("(" + "|".join(re.escape(c) for c in sorted(own, key=len, reverse=True)) + ")") if own else None
         self.fast = self.same_by_ranks(ranks) if ranks else None
         if self.fast:
             del self.tokenizer
@@ -96,6 +102,14 @@ class IdEncoder:
                     del known[c]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. With `special`, the strings of special tokens stand for their ids; else they are text like any other."""
+        if not self.at_special or not any(map(self.at_special.search, texts)):
+            return self.encode_plain(texts)
+        split = [self.at_special.split(t) for t in texts]
+        plain = iter(self.encode_plain([x for parts in split for x in parts[::2]]))
+        return [b"".join(self.special[x] if i % 2 else next(plain) for i, x in enumerate(parts)) for parts in split]
+
+    def encode_plain(self, texts: list[str]) -> list[bytes]:
         self.forget()
         split: list[tuple[list[str], list[str]]] = []  # plain chunks, then spaced ones
         for t in texts:
@@ -117,7 +131,7 @@ class IdEncoder:
         return [b"".join(map(plain, head)) + b"".join(map(spaced, tail)) for head, tail in split]
 
 
-_ENCODERS: dict[str, IdEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], IdEncoder] = {}
 
 
 def pieces_of(ids: bytes, capacity: int) -> list[tuple[int, int]]:
@@ -129,14 +143,14 @@ def pieces_of(ids: bytes, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((at, capacity) for at in range(first, n, capacity))]
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, ranks: str | None, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, ranks: str | None, capacity: int, end_id: int, id_col: str, text_col: str, special: bool = False) -> DataFrame:
     id_type = docs.schema[id_col].dataType
     schema = f"{id_col} {id_type.simpleString()}, piece int, start long, length long, ids_crc32 long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _ENCODERS:
-            _ENCODERS[tokenizer] = IdEncoder(tokenizer, ranks)
-        encoder, end = _ENCODERS[tokenizer], np.array([end_id], dtype="<u4").tobytes()
+        if (tokenizer, special) not in _ENCODERS:
+            _ENCODERS[tokenizer, special] = IdEncoder(tokenizer, ranks, special)
+        encoder, end = _ENCODERS[tokenizer, special], np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
             rows: list[int] = []
             out: list[tuple[int, int, int, int]] = []
@@ -234,13 +248,14 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
     return out.selectExpr("rows[0] as sequence_id", "inline(arrays_zip(rows, offsets))").selectExpr("rows as row", "sequence_id", "cast(offsets as long) as offset")
 
 
-def packed_sequences(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def packed_sequences(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", special: bool = False) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    tokenizer: file of the tokenizer; ranks: its vocabulary as ranks, if there is such a file, for a quicker encoder."""
+    tokenizer: file of the tokenizer; ranks: its vocabulary as ranks, if there is such a file, for a quicker encoder; special: whether
+    strings of special tokens in a text stand for their ids (by default they are ordinary text, as the vocabularies' README has it)."""
     if tokenizer is None:
         import public_tokenizers
 
         tokenizer, ranks = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
-    pieces = saved(token_pieces(docs, str(tokenizer), ranks and str(ranks), capacity, end_id, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    pieces = saved(token_pieces(docs, str(tokenizer), ranks and str(ranks), capacity, end_id, id_col, text_col, special).withColumn("row", F.monotonically_increasing_id()), "pieces")
     return pieces.join(pack(pieces.select("row", "length"), capacity), "row").select(id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

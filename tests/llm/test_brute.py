@@ -143,6 +143,19 @@ def test_encoder_equals_the_tokenizer_on_odd_spaces():
         assert e.encode(texts) == [np.array(x.ids, dtype="<u4").tobytes() for x in t.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("special", [False, True])
+def test_ids_are_those_of_the_tokenizer_with_and_without_special_tokens(special):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    t.encode_special_tokens = not special
+    texts = ["a <|endoftext|> b", "a<|endoftext|><|endoftext|>  b", " <|endoftext|>", "<|endoftext|", "", "plain"]
+    for ranks in (None, path("byte_bpe_50k.tiktoken")):
+        got = packing.IdEncoder(path("byte_bpe_50k.json"), ranks, special).encode(texts)
+        assert got == [np.array(t.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in texts]
+
+
 def test_packing_in_several_rounds(spark, monkeypatch):
     monkeypatch.setattr(packing, "GROUP_ITEMS", 50)
     rng = random.Random(1)
