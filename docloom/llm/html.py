@@ -1,15 +1,19 @@
 """Main text of web pages by tag-path ratios.
 
-A page is cut into blocks, the text between starts and ends of block-level elements, each with its
-root-to-leaf path of block-level tags. Text length and punctuation of all blocks of
-one path are added up and divided by the path's blocks. Both ratios are smoothed over the paths in
-page order, fused by multiplication, and paths above a share of the mean are content paths. Where the page's
-outermost `article` and `main` elements together hold half of the text on content paths or more, all of them with such text are the
-article; else the innermost element that holds all blocks on content paths, and the page's h1. Its text
-is all its blocks in page order, but for parts that are by tag, role or name no article text.
+A page is cut into blocks, the text between starts and ends of block-level elements. A block's path leads from the root to its
+container: paragraphs, headings, lists, tables and their parts belong to the element around them, unless their name is a hint. Text length and
+punctuation of all blocks of one path are added up and divided by the path's blocks, and both ratios are smoothed over the
+paths in page order. They are fused with the share of text that is not in links: the root of the length, times one to two by punctuation. Paths are
+weighed by hints: a name like those in HINTS, on an element that does not hold the article, counts as HINTED.
+
+The article is where the text of high ratio is: the outermost `article` and `main` elements if together they hold half of it, else the
+innermost element that holds all paths of CONTENT of the mean ratio or more, and the page's h1. A path outside of it counts as OUTSIDE. All blocks of paths
+with at least KEEP of the mean ratio make the text, in page order; the mean is weighed by length. Only scripts, styles, forms and the like, and HTML's own page
+parts (header, footer, aside), go without being weighed.
 
 Defined cases: null and empty html, and pages without any text in the body, give an empty text;
-unclosed elements end with the page; repeated rows each get a row; null ids and urls are kept; other columns are ignored.
+unclosed elements end with the page; pages of any length are read whole; paths of equal ratio are kept or dropped together; repeated rows each get a row; null ids and
+urls are kept; other columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,25 +33,36 @@ RAW = frozenset("script style noscript template textarea select iframe object sv
 #: Start tags of these close an open p, and those of a pair an open sibling.
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
-#: Parts that are no article text, by tag, by role, and by words in class or id.
-LEFT_OUT = frozenset("nav header footer aside form head menu dialog".split())
+#: Parts of a page by tag and role that are no article text.
+LEFT_OUT = frozenset("header footer aside form head menu dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adslot|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|sidebar|side|rail|widget|comments?|commentlist|disqus|"
-    r"discussion|replies|reply|respond|nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|toolbar|header|masthead|topbar|footer|copyright|subscribe|newsletter|signup|login|share|sharing|social|related|recommended)(?=$|[\s_-])",
-    re.IGNORECASE,
+#: Words of classes and ids that hint at other parts, alone or with a number or one of the endings.
+HINTS = frozenset(
+    """ad ads advert adverts advertisement advertising adslot adsense adbox sponsor sponsors sponsored promo promos promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay
+    sidebar rail widget comment comments disqus discussion reply replies responses respond nav navbar navigation menu breadcrumb breadcrumbs pagination pager toolbar header masthead topbar footer
+    copyright subscribe newsletter signup login share sharing social related recommended""".split()
 )
+ENDINGS = frozenset("area bar block box banner container form item items label list links section slot thread text unit widget wrap wrapper".split())
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>?|([^<]+)|(<)""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([^\s=/"'>]+)""")
 PUNCTUATION = re.compile(r"""[.,;:!?'"()–—…“”‘’«»、。，；：！？]""")
-#: A path is content if its fused ratio is over this share of the mean.
-SHARE_OF_MEAN = 0.25
-#: Elements that hold one passage and so are no article.
-LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li td pre".split())
+#: Shares of the mean ratio: from which a path shows where the article is, and from which its blocks are kept.
+CONTENT, KEEP = 0.25, 0.08
+#: Weights of paths behind a hint, and outside of the article.
+HINTED, OUTSIDE = 0.02, 0.1
+#: Weight of the path itself in smoothing; the rest is its neighbours'.
+OWN_WEIGHT = 0.8
+#: Elements whose text belongs to the element around them.
+PARTS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption colgroup thead tbody tfoot tr td th pre blockquote figure figcaption details summary address center hgroup".split())
+
+
+def is_hint(word: str) -> bool:
+    head, _, end = re.sub(r"[\s_-]*\d*$", "", word.lower()).replace("_", "-").partition("-")
+    return head in HINTS and (not end or end in ENDINGS or end in HINTS)
 
 
 class Block(NamedTuple):
-    path: str
+    path: tuple[int | str, ...]  # labels from the root to the container
     elements: tuple[int, ...]  # numbers of the open block-level elements, outermost first
     text: str
     left_out: bool
@@ -59,12 +74,14 @@ class Element(NamedTuple):
     label: str
     number: int
     out: bool
+    hint: bool
 
 
-def blocks_of(page: str) -> tuple[list[Block], dict[int, str]]:
-    """Blocks in page order, and the tag of each block-level element by number."""
+def blocks_of(page: str) -> tuple[list[Block], dict[int, str], set[int]]:
+    """Blocks in page order, the tag of each block-level element by number, and the elements whose name is a hint."""
     blocks: list[Block] = []
     tags: dict[int, str] = {}
+    hints: set[int] = set()
     stack: list[Element] = []
     parts: list[str] = []
     linked, in_link, at = 0, 0, 0
@@ -74,7 +91,8 @@ def blocks_of(page: str) -> tuple[list[Block], dict[int, str]]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                blocks.append(Block("/".join([e.label for e in stack]), tuple([e.number for e in stack]), text, any(e.out for e in stack), linked))
+                path = tuple([e.label for e in stack if e.hint or e.tag not in PARTS])
+                blocks.append(Block(path, tuple([e.number for e in stack]), text, any(e.out for e in stack), linked))
             parts.clear()
         linked = 0
 
@@ -127,6 +145,7 @@ def blocks_of(page: str) -> tuple[list[Block], dict[int, str]]:
                     break
         given = {(x[0] or x[4]).lower(): unescape(x[1] or x[2] or x[3]) for x in ATTRIBUTE.findall(attributes)} if attributes.strip(" /") else {}
         name = f"{given.get('class', '')} {given.get('id', '')}".strip()
+        hint = tag not in ("html", "body") and any(map(is_hint, name.split()))
         inside = any(e.tag in ("article", "main") for e in stack)
         out = (
             tag in LEFT_OUT and not (tag == "header" and inside)
@@ -134,59 +153,75 @@ def blocks_of(page: str) -> tuple[list[Block], dict[int, str]]:
             or "hidden" in given
             or given.get("aria-hidden") == "true"
             or "display:none" in given.get("style", "").replace(" ", "").lower()
-            or bool(name) and tag not in ("html", "body") and bool(NAMES.search(name)) and not (tag == "header" and inside)
         )
         if tag != "html" or not stack:
             number = len(tags)
             tags[number] = tag
+            if hint:
+                hints.add(number)
             if not attributes.endswith("/"):
-                stack.append(Element(tag, f"{tag}.{name}" if name else tag, number, out))
+                stack.append(Element(tag, f"{tag}.{name}" if name else tag, number, out, hint))
     flush()
-    return blocks, tags
+    return blocks, tags, hints
 
 
-def fused_ratios(blocks: list[Block]) -> dict[str, float]:
-    """Of each path: its smoothed length ratio times its smoothed punctuation ratio."""
-    size: dict[str, list[float]] = {}
+def fused_ratios(blocks: list[Block]) -> dict[tuple, float]:
+    """Of each path: its smoothed length and punctuation ratios and its share of text outside of links, fused."""
+    size: dict[tuple, list[float]] = {}
     for b in blocks:
-        mine = size.setdefault(b.path, [0.0, 0.0, 0.0])
-        mine[0] += len(b.text) - min(b.linked, len(b.text))
+        mine = size.setdefault(b.path, [0.0, 0.0, 0.0, 0.0])
+        mine[0] += len(b.text)
         mine[1] += len(PUNCTUATION.findall(b.text))
         mine[2] += 1
-    ratios = [(length / n, marks / n) for length, marks, n in size.values()]
+        mine[3] += min(b.linked, len(b.text))
+    ratios = [(length / n, marks / n) for length, marks, n, _ in size.values()]
     out = {}
-    for i, path in enumerate(size):
-        near = [(ratios[j], w) for j, w in ((i - 1, 0.25), (i, 0.5), (i + 1, 0.25)) if 0 <= j < len(ratios)]
+    for i, (path, (all_text, _, _, linked)) in enumerate(size.items()):
+        near = [(ratios[j], w) for j, w in ((i - 1, (1 - OWN_WEIGHT) / 2), (i, OWN_WEIGHT), (i + 1, (1 - OWN_WEIGHT) / 2)) if 0 <= j < len(ratios)]
         whole = sum(w for _, w in near)
         length, marks = (sum(r[k] * w for r, w in near) / whole for k in (0, 1))
-        out[path] = length * (1.0 + marks)
+        out[path] = length**0.5 * (1 + marks / (1 + marks)) * (1 - linked / all_text)
     return out
 
 
+def mean_ratio(blocks: list[Block], weighed: list[float]) -> float:
+    return sum(len(b.text) * w for b, w in zip(blocks, weighed, strict=True)) / sum(len(b.text) for b in blocks)
+
+
+def articles_of(blocks: list[Block], weighed: list[float], tags: dict[int, str], hints: set[int]) -> set[int]:
+    """Numbers of the elements that are the article; empty if that is the whole page."""
+    mass: dict[int, float] = {}  # of the outermost article and main elements
+    for b, w in zip(blocks, weighed, strict=True):
+        top = next((e for e in b.elements if tags[e] in ("article", "main")), None)
+        if top is not None and hints.isdisjoint(b.elements[: b.elements.index(top)]):
+            mass[top] = mass.get(top, 0.0) + len(b.text) * w
+    if 2 * sum(mass.values()) >= sum(len(b.text) * w for b, w in zip(blocks, weighed, strict=True)):
+        return {e for e, m in mass.items() if m > 0}
+    cut = CONTENT * mean_ratio(blocks, weighed)
+    content = [b.elements for b, w in zip(blocks, weighed, strict=True) if w >= cut or b.elements and tags[b.elements[-1]] == "h1"]
+    best: set[int] = set()
+    for level in zip(*content, strict=False):
+        if len(set(level)) > 1 or tags[level[0]] in PARTS:
+            break
+        best = {level[0]}
+    return best
+
+
 def main_text(page: str | None) -> str:
-    blocks, tags = blocks_of(page or "")
+    blocks, tags, hints = blocks_of(page or "")
     shown = [b for b in blocks if not b.left_out]
     if not shown:
         return ""
     ratios = fused_ratios(shown)
-    cut = SHARE_OF_MEAN * sum(ratios.values()) / len(ratios)
-    content = [b for b in shown if ratios[b.path] >= cut]
-    tops = {}  # outermost article or main element, by place of the content block in it
-    for i, b in enumerate(content):
-        for e in b.elements:
-            if tags[e] in ("article", "main"):
-                tops[i] = e
-                break
-    if 2 * sum(len(content[i].text) for i in tops) >= sum(len(b.text) for b in content) > 0:
-        articles = set(tops.values())
-        return "\n".join([b.text for b in shown if not articles.isdisjoint(b.elements)])
-    content += [b for b in shown if b.elements and tags[b.elements[-1]] == "h1"]
-    best = None
-    for level in zip(*[b.elements for b in content], strict=False):
-        if len(set(level)) > 1 or tags[level[0]] in LEAVES:
-            break
-        best = level[0]
-    return "\n".join([b.text for b in shown if best is None or best in b.elements])
+    weighed = [ratios[b.path] * (1.0 if hints.isdisjoint(b.elements) else HINTED) for b in shown]
+    articles = articles_of(shown, weighed, tags, hints)
+    weighed = []
+    for b in shown:
+        at = next((i for i, e in enumerate(b.elements) if e in articles), None)
+        hinted = not hints.isdisjoint(b.elements if at is None else b.elements[at + 1 :])
+        weighed.append(ratios[b.path] * (HINTED if hinted else 1.0) * (OUTSIDE if at is None and articles else 1.0))
+    cut = KEEP * mean_ratio(shown, weighed)
+    return "\n".join([b.text for b, w in zip(shown, weighed, strict=True) if w >= cut > 0])
 
 
 def page_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
