@@ -47,3 +47,12 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
 def split_no(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo parts; 0 for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts, F.lit(0))
+
+
+#: Rows of numbers up to which a table is broadcast; larger ones are joined by a shuffle.
+FEW = 500_000
+
+
+def sized(rows: DataFrame) -> DataFrame:
+    """rows of a written table, to be broadcast if they are few."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows

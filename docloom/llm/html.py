@@ -11,7 +11,7 @@ innermost element that holds all paths of CONTENT of the mean ratio or more, and
 with at least KEEP of the mean ratio make the text, in page order; the mean is weighed by length. Only scripts, styles, forms and the like, and HTML's own page
 parts (header, footer, aside), go without being weighed.
 
-Defined cases: null and empty html, and pages without any text in the body, give an empty text;
+Defined cases: null and empty html, and pages without any text in the body or with none but in nav elements, give an empty text;
 unclosed elements end with the page; pages of any length are read whole; paths of equal ratio are kept or dropped together; repeated rows each get a row; null ids and
 urls are kept; other columns are ignored, whatever their names; an empty table gives no rows.
 """
@@ -210,7 +210,7 @@ def articles_of(blocks: list[Block], weighed: list[float], tags: dict[int, str],
 def main_text(page: str | None) -> str:
     blocks, tags, hints = blocks_of(page or "")
     shown = [b for b in blocks if not b.left_out]
-    if not shown:
+    if all(any(tags[e] == "nav" for e in b.elements) for b in shown):
         return ""
     ratios = fused_ratios(shown)
     weighed = [ratios[b.path] * (1.0 if hints.isdisjoint(b.elements) else HINTED) for b in shown]

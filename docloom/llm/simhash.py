@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import saved
+from docloom.llm.common import saved, sized
 
 SHINGLES_AT_ONCE = 1 << 16
 
@@ -323,48 +323,80 @@ def common_shingles(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndar
     return h[order], n[order]
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, max_bits: int = 2) -> DataFrame:
     """docs without the documents that a chain of links leads to a kept one: of each component the row with the least id stays.
 
-    Texts of equal shingle sets are one node; two nodes link if their whole shingle sets have at least `similarity`. Two such sets share a shingle of their prefixes, the rarest fifth
-    of each, so the members of each such shingle's group are the candidates: first all with the least one, then those of different
-    components with each other. Pairs that sizes or parities rule out are left out; all others are verified."""
+    Texts of equal shingle sets are one node; two nodes link if their whole shingle sets have at least `similarity`. Candidates come in three
+    rounds, each without the pairs that are in one component by then: fingerprints within max_bits, by the ring of segments; then, as that similarity allows for more bits
+    than any ring can prune by, nodes that share a shingle of their prefixes, the rarest fifth of each, which two such sets always do: first all
+    members of a shingle's group with the least one, then those of different components with each other. Pairs that sizes or parities rule
+    out are left out; all others are verified.
+
+    Null and empty texts have the empty set and are one node; rows with equal ids go by their place; a component with null ids only keeps its first row;
+    columns of docs may have any names."""
     columns = docs.columns
     at = columns.index(text_col)
-    own = (("__fp", T.LongType()), ("__size", T.LongType()), ("__bits", T.BinaryType()), ("__prefix", T.ArrayType(T.LongType())))
+    mine = lambda name: next(n for i in range(len(columns) + 1) if (n := f"__{name}{i or ''}") not in {c.lower() for c in columns})
+    node, size, bits, front, mark, row = map(mine, ("node", "size", "bits", "front", "mark", "row"))
+    own = ((node, T.LongType()), (size, T.LongType()), (bits, T.BinaryType()), (front, T.ArrayType(T.LongType())), (mark, T.LongType()))
     schema = T.StructType([*docs.schema.fields, *[T.StructField(n, t) for n, t in own]])
     common, counts = common_shingles(docs, text_col, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(at).to_pylist()
-            sets = [shingle_set(t, words) for t in texts]
+            sets, marks = [], []
+            for t in b.column(at).to_pylist():
+                parts = list(shingle_hashes(t, words))
+                ones = sum(map(majority, parts), np.zeros(64, dtype=np.int64))
+                marks.append(np.packbits(ones * 2 > sum(map(len, parts)), bitorder="little").view("<i8")[0])
+                sets.append(np.unique(np.concatenate([np.zeros(0, "<u8"), *parts])))
             fps = pa.array(np.array([set_hash(h) for h in sets], dtype=np.uint64).view(np.int64))
-            prefixes = pa.array([prefix(h, common, counts, similarity).view(np.int64) for h in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*b.columns, fps, pa.array([len(h) for h in sets], pa.int64()), pa.array([parity_bits(h) for h in sets], pa.binary()), prefixes], schema.names)
+            fronts = pa.array([prefix(h, common, counts, similarity).view(np.int64) for h in sets], pa.list_(pa.int64()))
+            added = [fps, pa.array([len(h) for h in sets], pa.int64()), pa.array([parity_bits(h) for h in sets], pa.binary()), fronts, pa.array(np.array(marks, dtype=np.int64))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *added], schema.names)
 
-    marked = saved(docs.mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id()), "marked")
-    prints = marked.select(F.col(id_col).alias("id"), F.col("__fp").alias("fp"), F.col("__row").alias("row"))
+    marked = saved(docs.mapInArrow(run, schema).withColumn(row, F.monotonically_increasing_id()), "marked")
+    prints = marked.select(F.col(f"`{id_col}`").alias("id"), F.col(node).alias("fp"), F.col(mark).alias("mark"), F.col(row).alias("row"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
-    nodes = saved(prints.groupBy("fp").agg(first, F.min("row").alias("row")), "nodes")
-    whole = marked.join(nodes.select(F.col("row").alias("__row")), "__row", "left_semi")
-    features = whole.select(F.col("__fp").alias("fp"), F.col("__size").alias("size"), F.col("__bits").alias("bits"))
-    keys = whole.select(F.col("__fp").alias("fp"), F.explode("__prefix").alias("token"))
+    nodes = saved(prints.groupBy("fp").agg(first, F.min(F.struct("row", "mark")).alias("of")).select("fp", "first", "of.row", "of.mark"), "nodes")
+    more = saved(prints.join(nodes.select("fp", F.col("row").alias("kept")), "fp").where("row <> kept").select("row"), "more")
+    whole = without(marked, row, more)
+    features = whole.select(F.col(node).alias("fp"), F.col(size).alias("size"), F.col(bits).alias("bits"))
+    keys = whole.select(F.col(node).alias("fp"), F.explode(front).alias("token"))
     tokens = saved(keys.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "tokens")
     groups = saved(keys.join(tokens.where("n > 2").select("token", "n", "a"), "token"), "groups")
-    features = saved(features.join(tokens.where("n = 2").select(F.explode(F.array("a", "b")).alias("fp")).unionByName(groups.select("fp")).distinct(), "fp"), "features")
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = saved(pairs, "pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes.select("fp", F.col("row").alias("__row")), "fp")
-        texts = saved(marked.select("__row", F.col(text_col).alias("text")).join(wanted, "__row").select("fp", "text"), "texts")
+        wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes.select("fp", "row"), "fp"), "wanted")
+        texts = saved(marked.select(F.col(row).alias("row"), F.col(f"`{text_col}`").alias("text")).join(sized(wanted), "row").select("fp", "text"), "texts")
         return saved(verified_pairs(pairs, texts, words, similarity), "links")
 
+    one = nodes.groupBy("mark").agg(F.min("fp").alias("a"))
+    equal = nodes.join(one, "mark").where("a <> fp").select("a", F.col("fp").alias("b"))
+    ring = close_pairs(one.select(F.col("mark").alias("fp")), max_bits)
+    for c in ("a", "b"):
+        ring = ring.join(one.select(F.col("mark").alias(c), F.col("a").alias(f"node_{c}")), c)
+    near = saved(equal.unionByName(ring.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))), "near")
+    in_pairs = tokens.where("n = 2").select(F.explode(F.array("a", "b")).alias("fp")).unionByName(near.select(F.explode(F.array("a", "b")).alias("fp")))
+    features = saved(features.join(in_pairs.unionByName(groups.select("fp")).distinct(), "fp"), "features")
+    links = verified(filtered_pairs(near, features, similarity))
+    roots = components(links).withColumnRenamed("node", "fp")
     stars = tokens.where("n = 2").select("a", "b").unionByName(groups.where("fp <> a").select("a", F.col("fp").alias("b"))).distinct()
-    links = verified(filtered_pairs(stars, features, similarity))
+    for c in ("a", "b"):
+        stars = stars.join(roots.select(F.col("fp").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
+    open_ = stars.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
+    links = links.unionByName(verified(filtered_pairs(open_, features, similarity)))
     for least, most in ((1, NEAR), (NEAR + 1, None)):
         roots = components(links).withColumnRenamed("node", "fp")
         links = links.unionByName(verified(grouped_pairs(groups, roots, features, similarity, least, most)))
     roots = components(links).withColumnRenamed("node", "fp")
-    kept = nodes.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
-    return marked.join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in columns])
+    member = nodes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    stays = member.groupBy("root").agg(F.min("first").alias("first")).select("root", F.col("first.row").alias("kept"))
+    dropped = saved(prints.join(member.select("fp", "root"), "fp").join(stays, "root").where("row <> kept").select("row"), "dropped")
+    return without(marked, row, dropped).select(*[F.col(f"`{c}`") for c in columns])
+
+
+def without(df: DataFrame, key: str, rows: DataFrame) -> DataFrame:
+    """df without the rows whose key is in the written table rows (row)."""
+    return df.join(sized(rows.withColumnRenamed("row", key)), key, "left_anti")

@@ -313,8 +313,8 @@ def test_mixing(docs, rows):
         sums = {0}
         for i, _, _, source in rows:
             if source == s:
-                sums |= {x + sizes[i] for x in sums if x + sizes[i] <= room - whole}
-        assert taken[s] == whole + max(sums)
+                sums |= {x + sizes[i] for x in sums if x <= room - whole}
+        assert abs(taken[s] - room) == min(abs(whole + x - room) for x in sums)
     total = sum(mixing.targets([words[s] for s in sorted(words)]))
     assert abs(total - 1.5 * sum(words.values())) < 1e-6
 
@@ -504,6 +504,24 @@ def test_equal_fingerprints_do_not_link_unlike_texts(spark):
     assert got == set(range(6))
 
 
+def test_html_ratios_decide(spark, sf, monkeypatch):
+    """Menus of links go and short parts stay by their ratios; names alone decide nothing inside long text, nor parts of names."""
+    long = "A sentence of the body, long enough to weigh; and it goes on, as bodies do. " * 3
+    body = "".join(f"<p>{long}{i}.</p>" for i in range(6))
+    paragraphs = [f"{long}{i}." for i in range(6)]
+    menu = "".join(f'<li><a href="/{i}">Topic {i}</a></li>' for i in range(8))
+    article = f'<h1>Title</h1><div class=lead><p>In short.</p></div>{body}<section class="promo-code"><p>Codes of old promotions, explained.</p></section><div class="side-by-side"><p>Left, right.</p></div><ul><li>one</li><li>two</li></ul>'
+    want = "\n".join(["Title", "In short.", *paragraphs, "Codes of old promotions, explained.", "Left, right.", "one", "two"])
+    parts = f'<div class="x1"><ul>{menu}</ul></div>%s<section id="responses"><p>First! comment.</p></section><div class="comment-list"><p>Nice, I liked this one; thanks.</p></div><p class="copyright">By us.</p>'
+    with_main = f"<html><body><main>{parts % article}</main></body></html>"
+    without = f'<html><body>{parts % f"<div>{article}</div>"}</body></html>'
+    assert html.main_text(with_main) == want and html.main_text(without) == want
+    pages = [r["html"] for r in table(spark, sf, "pages").select("html").collect()] + [with_main, without]
+    before = [html.main_text(p) for p in pages]
+    monkeypatch.setattr(html, "fused_ratios", lambda blocks: {b.path: 1.0 for b in blocks})
+    assert all(html.main_text(p) != t for p, t in zip(pages, before, strict=True))
+
+
 def test_html_titles_leads_and_several_articles_stay():
     """Pages without an article element keep what stands beside the body; of several articles none goes."""
     long = "A sentence of the body, long enough to weigh; and it goes on, as bodies do. " * 3
@@ -515,6 +533,32 @@ def test_html_titles_leads_and_several_articles_stay():
     assert html.main_text(split) == "\n".join(["One", *paragraphs, "Two", *paragraphs[:8]])
 
 
+def test_mixing_comes_nearest_from_above_too(spark):
+    """Sources of few, huge documents: what is taken is nearest to the target, above or below it."""
+    rows = [(k, "w " * n, "a" if n < 2000 else "b") for k, n in enumerate([*[100 + k for k in range(300)], 7000, 6100])]
+    sizes = {k: len(t.split()) for k, t, _ in rows}
+    got = {r["doc_id"]: r for r in mixing.mix_report(spark.createDataFrame(rows, "doc_id long, text string, source string"), share=1.7).collect()}
+    for s in "ab":
+        mine = [k for k, _, x in rows if x == s]
+        target, taken = got[mine[0]]["target"], sum(got[k]["taken"] for k in mine)
+        words = sum(sizes[k] for k in mine)
+        rest = target - target // words * words
+        sums = {0}
+        for k in mine:
+            sums |= {x + sizes[k] for x in sums if x <= 2 * rest}
+        assert abs(taken - target) <= min(abs(x - rest) for x in sums) + 1
+        assert all(got[k]["taken"] <= 2 * sizes[k] for k in mine)
+    assert mixing._last([(1, 7000), (2, 6100)], 5068) == [2] and mixing._last([(1, 7000), (2, 6100)], 3000) == []
+
+
+def test_mix_has_more_shards_where_it_is_larger(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 1000)
+    got = mixing.mixed(docs, max_blocks=512)
+    assert 30 < got.select("mix_shard").distinct().count() <= 64
+    want = Counter(r["doc_id"] for r in mixing.mixed(docs).collect())
+    assert sum(Counter(r["doc_id"] for r in got.collect()).values()) > 0 and max(want.values()) <= 2
+
+
 def test_mixing_passes_over_huge_documents(spark):
     """One document of 400,000 words among short ones, wherever it stands in the order: the target is met."""
     import pyspark.sql.functions as F
