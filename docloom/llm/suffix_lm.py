@@ -1,17 +1,22 @@
 """Language-model scoring with a probabilistic suffix tree over bytes.
 
-A text is its words (A-Z lower-cased), joined by blanks and closed by one end symbol. The
-tree holds contexts of up to `depth` symbols. A context is retained if it is frequent enough
-(`least_share` of all symbols, which bounds the tree) and its next-symbol distribution diverges from that of its
-suffix; suffixes of retained contexts are retained too. Distributions are smoothed towards the suffix's.
-A symbol's probability comes from the longest suffix of what precedes it that is a state of the tree.
+A text is its words (A-Z lower-cased), joined by blanks and closed by one end symbol; all 256 bytes are symbols. A context of up to
+`depth` symbols is retained if training texts hold it `least` times or more and its next-symbol distribution diverges from its suffix's, so
+that it gains `gain` nats or more over all its occurrences; suffixes of retained contexts are retained too. Both limits are absolute, so the tree
+grows with the corpus. Distributions are smoothed towards the suffix's, up to the uniform one. A symbol's probability comes from the longest suffix of what precedes it that is a
+state of the tree.
+
+Nothing of the tree is held whole anywhere. A gram is a symbol with the `depth` symbols before it. The grams of all texts, with their
+training counts, are a table; each shorter context's counts, distributions and divergences are joins and groups of such tables, in which a key has 256 rows at most from the next
+longer ones. Texts are dealt to buckets of about BUCKET characters by a hash; the different grams of a bucket are looked up in the last table by a join, and meet the
+bucket's texts again in a sorted partition.
 
 Beside it stands the base score of single words. Counts of all training words are
-a table; the `frequent` most common are sent to all tasks, the others join by word.
+a table; the `frequent` most common of up to LONGEST bytes are broadcast (20 MB at most), the others join by word.
 
-Defined cases: null text counts as empty and consists of its end; rows with a null id are training
-or held out as crc32 of an empty text says; repeated rows each get a row; without training rows the
-model is uniform over 256 symbols; other columns are ignored.
+Defined cases: null text counts as empty and consists of its end; texts of any length are scored whole, in pieces; rows with a null id are training
+or held out as crc32 of an empty text says; repeated rows each get a row; words of equal count are taken as common in order; without training rows the
+model is uniform over 256 symbols; other columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +24,6 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +35,13 @@ from docloom.llm.common import saved, split_no
 #: The end of a text; no other white space than blanks is left in it.
 END = 0x0A
 DEPTH = 5
-LEAST_SHARE, LEAST_COUNT = 2e-6, 2
-#: Mean divergence (nats) from the suffix's distribution that retains a context.
-DIVERGENCE = 0.02
+#: Occurrences, and gain in nats over all of them, from which a context is retained.
+LEAST, GAIN = 4, 4.0
 #: Weight of the suffix's distribution, in counts for each different symbol that followed the context.
 PRIOR = 4.0
-#: Symbols with a column of their own; the other bytes share the last.
-OWN = 63
-WIDE = OWN + 1
-FREQUENT = 100_000
+#: Characters of text in a bucket, about.
+BUCKET = 16_000_000
+FREQUENT, LONGEST = 100_000, 64
 CHUNK = 1 << 20
 
 
@@ -47,45 +49,100 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def grams(train: DataFrame, text_col: str, depth: int) -> DataFrame:
-    """Rows (code, n): code holds the next symbol in its lowest byte, then the symbols before it, latest first."""
+def codes_of(words: list[bytes], depth: int) -> Iterator[np.ndarray]:
+    """A text's grams, in arrays of bounded length: the symbol in the lowest byte, then those before it, latest first."""
+    raw = bytes([END]) * depth + b" ".join(words) + bytes([END])
+    for at in range(0, len(raw) - depth, CHUNK):
+        x = np.frombuffer(raw, dtype=np.uint8, count=min(CHUNK + depth, len(raw) - at), offset=at).astype(np.int64)
+        n = len(x) - depth
+        code = x[depth:].copy()
+        for d in range(1, depth + 1):
+            code |= x[depth - d : depth - d + n] << (8 * d)
+        yield code
+
+
+def merged(tables: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    codes, counts = (np.concatenate(x) for x in zip(*tables, strict=True))
+    order = np.argsort(codes, kind="stable")
+    codes, counts = codes[order], counts[order]
+    at = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    return codes[at], np.add.reduceat(counts, at)
+
+
+def grams(docs: DataFrame, depth: int) -> DataFrame:
+    """docs (p, held, text), each p in one partition and in a row: (p, code, n) for each gram of a bucket; n is its count in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: list[np.ndarray] = []
+        now: int | None = None
+        waiting: dict[bool, list[np.ndarray]] = {True: [], False: []}
         tables: list[tuple[np.ndarray, np.ndarray]] = []
-        waiting = 0
 
-        def merge() -> None:
-            if codes:
-                tables.append(np.unique(np.concatenate(codes), return_counts=True))
-                codes.clear()
+        def count() -> None:
+            for held, codes in waiting.items():
+                if codes:
+                    code, n = np.unique(np.concatenate(codes), return_counts=True)
+                    tables.append((code, n * (not held)))
+                    codes.clear()
             if len(tables) > 1 and sum(len(t[0]) for t in tables[1:]) > len(tables[0][0]):
-                both = np.concatenate([t[0] for t in tables]), np.concatenate([t[1] for t in tables])
-                order = np.argsort(both[0], kind="stable")
-                c, n = both[0][order], both[1][order]
-                at = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-                tables[:] = [(c[at], np.add.reduceat(n, at))]
+                tables[:] = [merged(tables)]
 
+        def out() -> Iterator[pa.RecordBatch]:
+            count()
+            if tables:
+                code, n = merged(tables)
+                for at in range(0, len(code), 100_000):
+                    c = code[at : at + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), now, np.int32)), pa.array(c), pa.array(n[at : at + 100_000])], ["p", "code", "n"])
+                tables.clear()
+
+        held_back = 0
         for b in batches:
-            for text in b.column(0).to_pylist():
-                raw = bytes([END]) * depth + b" ".join(words_of(text)) + bytes([END])
-                for at in range(0, len(raw) - depth, CHUNK):
-                    x = np.frombuffer(raw, dtype=np.uint8, count=min(CHUNK + depth, len(raw) - at), offset=at).astype(np.int64)
-                    n = len(x) - depth
-                    code = x[depth:].copy()
-                    for d in range(1, depth + 1):
-                        code |= x[depth - d : depth - d + n] << (8 * d)
-                    codes.append(code)
-                    waiting += n
-                    if waiting > CHUNK:
-                        merge()
-                        waiting = 0
-        merge()
-        for c, n in tables:
-            for at in range(0, len(c), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000]), pa.array(n[at : at + 100_000])], ["code", "n"])
-
-    return train.select(text_col).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+            for p, held, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if p != now:
+                    yield from out()
+                    now = p
+                for code in codes_of(words_of(text), depth):
+                    waiting[held].append(code)
+                    held_back += len(code)
+                if held_back > CHUNK:
+                    count()
+                    held_back = 0
+        yield from out()
+
+    return docs.select("p", "held", "text").mapInArrow(run, "p int, code long, n long")
+
+
+def tree_scores(table: DataFrame, depth: int, least: int = LEAST, gain: float = GAIN) -> DataFrame:
+    """table (code, n) of grams with their training counts: (code, p), p being the probability of the gram's symbol after the longest
+    suffix of the others that the tree has."""
+    below = lambda d: F.col("code").bitwiseAND((1 << 8 * d) - 1)
+    levels = [saved(table, "grams")]
+    for d in range(depth, 0, -1):
+        levels.insert(0, saved(levels[0].groupBy(below(d).alias("code")).agg(F.sum("n").alias("n")), "grams"))
+    whole = levels[0].agg(F.sum("n").alias("total"), F.count_if(F.col("n") > 0).alias("kinds")).first()
+    weight = PRIOR * max(1, whole["kinds"] or 0)
+    scored = root = levels[0].select("code", ((F.col("n") + weight / 256) / ((whole["total"] or 0) + weight)).alias("q"))
+    smooth, apart = [], []
+    for d in range(1, depth + 1):
+        x = levels[d].select("code", "n", F.shiftright("code", 8).alias("ctx"), below(d).alias("below"))
+        totals = x.groupBy("ctx").agg(F.sum("n").alias("total"), F.count_if(F.col("n") > 0).alias("kinds"))
+        weight = PRIOR * F.greatest("kinds", F.lit(1))
+        x = x.join(totals, "ctx").join(scored.select(F.col("code").alias("below"), F.col("q").alias("prior")), "below")
+        q = F.when(F.col("total") >= least, (F.col("n") + weight * F.col("prior")) / (F.col("total") + weight)).otherwise(F.col("prior"))
+        smooth.append(saved(x.select("code", "ctx", "below", "n", "total", "prior", q.alias("q")), "tree"))
+        scored = smooth[-1].select("code", "q")
+        seen = smooth[-1].where((F.col("total") >= least) & (F.col("n") > 0))
+        gains = seen.groupBy("ctx").agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("prior"))).alias("gain"))
+        apart.append(gains.where(F.col("gain") >= gain).select("ctx"))
+    states = [saved(apart[-1], "states")]
+    for d in range(depth - 1, 0, -1):
+        suffixes = states[0].select(F.col("ctx").bitwiseAND((1 << 8 * d) - 1).alias("ctx"))
+        states.insert(0, saved(apart[d - 1].unionByName(suffixes).distinct(), "states"))
+    found = root.select("code", F.col("q").alias("p"))
+    for x, kept in zip(smooth, states, strict=True):
+        x = x.join(kept.withColumn("kept", F.lit(True)), "ctx", "left").join(found.select(F.col("code").alias("below"), F.col("p").alias("shorter")), "below")
+        found = x.select("code", F.when(F.col("kept"), F.col("q")).otherwise(F.col("shorter")).alias("p"))
+    return found
 
 
 def word_counts(train: DataFrame, text_col: str) -> DataFrame:
@@ -111,168 +168,70 @@ def word_counts(train: DataFrame, text_col: str) -> DataFrame:
     return train.select(text_col).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-@dataclass
-class Alphabet:
-    symbol: np.ndarray  # of each byte
-    other: np.ndarray  # log10 share of each byte among those without a symbol of their own
-
-    @classmethod
-    def of(cls, counts: np.ndarray) -> Alphabet:
-        own = np.argsort(-counts, kind="stable")[:OWN]
-        symbol = np.full(256, OWN, dtype=np.int64)
-        symbol[own] = np.arange(OWN)
-        rest = np.where(symbol == OWN, counts + 0.5, 0.0)
-        other = np.zeros(256)
-        other[symbol == OWN] = np.log10(rest[symbol == OWN] / rest.sum())
-        return cls(symbol, other)
-
-    def fold(self, counts: np.ndarray) -> np.ndarray:
-        """Counts (…, 256) by byte, as counts (…, WIDE) by symbol."""
-        out = np.zeros((*counts.shape[:-1], WIDE))
-        np.add.at(out, (..., self.symbol), counts)
-        return out
-
-
-def smoothed(counts: np.ndarray, prior: np.ndarray) -> np.ndarray:
-    weight = PRIOR * np.maximum(1, (counts > 0).sum(axis=-1, keepdims=True))
-    return (counts + weight * prior) / (counts.sum(axis=-1, keepdims=True) + weight)
-
-
-def subtree(code: np.ndarray, n: np.ndarray, parent: np.ndarray, alphabet: Alphabet, depth: int, least: float) -> list[tuple[int, int, np.ndarray]]:
-    """Retained contexts (depth, context, distribution) below the two latest symbols that all codes share.
-
-    parent: distribution after the latest symbol alone."""
-    levels: list[dict[int, tuple[np.ndarray, bool]]] = []
-    above = {int(code[0]) >> 8 & 0xFF: parent}
-    for d in range(2, depth + 1):
-        ctx = code >> 8 & (1 << 8 * d) - 1
-        at, place = np.unique(ctx, return_inverse=True)
-        counts = np.zeros((len(at), WIDE))
-        np.add.at(counts, (place, alphabet.symbol[code & 0xFF]), n)
-        total = counts.sum(axis=1)
-        level: dict[int, tuple[np.ndarray, bool]] = {}
-        for i in np.flatnonzero(total >= least):
-            prior = above.get(int(at[i]) & (1 << 8 * (d - 1)) - 1)
-            if prior is not None:
-                p = counts[i] / total[i]
-                seen = p > 0
-                apart = float((p[seen] * np.log(p[seen] / prior[seen])).sum())
-                level[int(at[i])] = (smoothed(counts[i], prior), apart >= DIVERGENCE)
-        levels.append(level)
-        above = {c: p for c, (p, _) in level.items()}
-    kept: list[tuple[int, int, np.ndarray]] = []
-    needed: set[int] = set()
-    for d in range(depth, 1, -1):
-        level = levels[d - 2]
-        stay = needed | {c for c, (_, apart) in level.items() if apart}
-        kept += [(d, c, level[c][0]) for c in sorted(stay)]
-        needed = {c & (1 << 8 * (d - 1)) - 1 for c in stay}
-    return kept
-
-
-@dataclass
-class SuffixTree:
-    depth: int
-    alphabet: Alphabet
-    step: np.ndarray  # (2 * states, WIDE): the state one symbol further back; states from `states` on have stopped
-    log10: np.ndarray  # (states, WIDE)
-
-    @classmethod
-    def build(cls, depth: int, alphabet: Alphabet, nodes: list[tuple[int, int, np.ndarray]]) -> SuffixTree:
-        """nodes: (depth, context by bytes, distribution), with the root (0, 0, ...) first. A context with a byte that has no
-        symbol of its own is left out, as its column would be shared."""
-        number: dict[tuple[int, int], int] = {}
-        probs = []
-        for d, ctx, p in sorted(nodes, key=lambda x: x[:2]):
-            if d and (alphabet.symbol[ctx >> 8 * (d - 1) & 0xFF] == OWN or (d - 1, ctx & (1 << 8 * (d - 1)) - 1) not in number):
-                continue
-            number[d, ctx] = len(number)
-            probs.append(p)
-        n = len(number)
-        step = np.empty((2 * n, WIDE), dtype=np.int32)
-        step[:] = (np.arange(2 * n) % n + n)[:, None]
-        for (d, ctx), i in number.items():
-            if d:
-                step[number[d - 1, ctx & (1 << 8 * (d - 1)) - 1], alphabet.symbol[ctx >> 8 * (d - 1) & 0xFF]] = i
-        return cls(depth, alphabet, step, np.log10(np.array(probs)).astype(np.float32))
-
-    def score(self, words: list[bytes]) -> float:
-        """log10 probability of a text's symbols and its end."""
-        raw = bytes([END]) * self.depth + b" ".join(words) + bytes([END])
-        flat, logs, n_states, out = self.step.ravel(), self.log10.ravel(), len(self.log10), 0.0
-        for at in range(0, len(raw) - self.depth, CHUNK):
-            x = np.frombuffer(raw, dtype=np.uint8, count=min(CHUNK + self.depth, len(raw) - at), offset=at)
-            s = self.alphabet.symbol[x]
-            n = len(s) - self.depth
-            state = np.zeros(n, dtype=np.int64)
-            for d in range(1, self.depth + 1):
-                state = flat[state * WIDE + s[self.depth - d : self.depth - d + n]].astype(np.int64)
-            state %= n_states
-            out += float(logs[state * WIDE + s[self.depth :]].sum(dtype=np.float64)) + float(self.alphabet.other[x[self.depth :]].sum())
-        return out
-
-
-def fit_tree(train: DataFrame, text_col: str, depth: int = DEPTH) -> SuffixTree:
-    table = saved(grams(train, text_col, depth), "grams")
-    pairs = np.zeros((256, 256))
-    for r in table.groupBy(F.expr("cast(code & 65535 as int)").alias("pair")).agg(F.sum("n").alias("n")).collect():
-        pairs[r["pair"] >> 8, r["pair"] & 0xFF] = r["n"]
-    alphabet = Alphabet.of(pairs.sum(axis=0))
-    by_symbol = alphabet.fold(pairs)
-    total = by_symbol.sum()
-    uniform = np.bincount(alphabet.symbol, minlength=WIDE) / 256
-    root = smoothed(by_symbol.sum(axis=0), uniform)
-    least = max(LEAST_COUNT, LEAST_SHARE * total)
-    ones = smoothed(by_symbol, root)
-
-    def group(key: tuple, t: pa.Table) -> pa.Table:
-        code = t.column("code").to_numpy()
-        kept = subtree(code, t.column("n").to_numpy(), ones[int(code[0]) >> 8 & 0xFF], alphabet, depth, least)
-        return pa.table({"depth": pa.array([k[0] for k in kept], pa.int32()), "ctx": pa.array([k[1] for k in kept], pa.int64()), "p": pa.array([k[2].tobytes() for k in kept], pa.binary())})
-
-    # a row of the result is a context with least_share of all symbols, so there are depth / least_share at most
-    found = table.groupBy(F.expr("cast((code >> 8) & 65535 as int)").alias("pair")).applyInArrow(group, "depth int, ctx long, p binary").toArrow()
-    nodes = [(0, 0, root)] + [(1, c, ones[c]) for c in range(256) if by_symbol[c].sum() >= least]
-    nodes += [(d, c, np.frombuffer(p)) for d, c, p in zip(*[found.column(x).to_pylist() for x in ("depth", "ctx", "p")], strict=True)]
-    return SuffixTree.build(depth, alphabet, nodes)
-
-
 def score_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, frequent: int = FREQUENT) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    id_type = docs.schema[id_col].dataType.simpleString()
+    spark, id_type = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     held = split_no(F.col(id_col), 10) == 0
-    train = docs.where(~held)
-    tree = fit_tree(train, text_col, depth)
-    vocab = saved(word_counts(train, text_col), "words")
-    ends = train.count()
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held.alias("held"))
+    size = docs.agg(F.sum(F.length("text")).alias("chars"), F.count_if(~F.col("held")).alias("train")).first()
+    buckets = max(1, -(-(size["chars"] or 0) // BUCKET))
+    docs = docs.withColumn("p", F.pmod(F.xxhash64("id", "text"), F.lit(buckets)).cast("int"))
+    looked_for = saved(grams(docs.repartition(buckets, "p").sortWithinPartitions("p"), depth), "lookups")
+    known = tree_scores(looked_for.groupBy("code").agg(F.sum("n").alias("n")), depth)
+    found = looked_for.select("p", "code").join(known.withColumnRenamed("p", "likely"), "code").select("p", "code", F.log10("likely").cast("float").alias("log"))
+
+    vocab = saved(word_counts(docs.where("not held"), "text"), "words")
+    ends = size["train"]
     row = vocab.agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).first()
     v, n = row["v"] + (ends > 0), (row["n"] or 0) + ends
     base = n + 0.1 * (v + 1)
     log_of = lambda c: math.log10((c + 0.1) / base)
-    common = {bytes(r["word"]): log_of(r["n"]) for r in vocab.orderBy(F.desc("n"), "word").limit(frequent).collect()}
+    frequent_words = vocab.where(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(frequent).collect()
+    common = spark.sparkContext.broadcast({bytes(r["word"]): log_of(r["n"]) for r in frequent_words})
     end_log, end_known = log_of(ends), int(ends > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = common.get
+        get = common.value.get
+        now, parts, codes, logs = None, [], np.zeros(0, np.int64), np.zeros(0)
         for b in batches:
-            out = []
-            for text in b.column(1).to_pylist():
-                words = words_of(text)
-                logs = [get(w) for w in words]
-                rare = [w for w, x in zip(words, logs, strict=True) if x is None]
-                out.append((len(words) + 1, len(words) - len(rare) + end_known, math.fsum(x for x in logs if x is not None) + end_log, tree.score(words), rare))
+            p, is_text = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero((p[1:] != p[:-1]) | (is_text[1:] != is_text[:-1])) + 1
+            out, rows = [], []
+            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), b.num_rows], strict=True):
+                if lo == hi:
+                    continue
+                if p[lo] != now:
+                    now, parts = p[lo], []
+                if not is_text[lo]:
+                    parts.append((b.column(2).slice(lo, hi - lo).to_numpy(), b.column(3).slice(lo, hi - lo).to_numpy()))
+                    continue
+                if parts:
+                    codes, logs = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    order = np.argsort(codes)
+                    codes, logs, parts = codes[order], logs[order].astype(np.float64), []
+                for i, text in enumerate(b.column(5).slice(lo, hi - lo).to_pylist(), lo):
+                    words = words_of(text)
+                    mine = [get(w) for w in words]
+                    rare = [w for w, x in zip(words, mine, strict=True) if x is None]
+                    score = math.fsum(float(logs[np.searchsorted(codes, c)].sum()) for c in codes_of(words, depth))
+                    rows.append(i)
+                    out.append((len(words) + 1, len(words) - len(rare) + end_known, math.fsum(x for x in mine if x is not None) + end_log, score, rare))
             cols = list(zip(*out, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [id_col, "held_out", "n_tokens", "known", "part", "score", "rare"])
-
-    scored = docs.select(id_col, text_col, held.alias("held_out")).mapInArrow(run, f"{id_col} {id_type}, held_out boolean, n_tokens long, known long, part double, score double, rare array<binary>")
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(4).take(at), b.column(6).take(at), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["id", "held", "n_tokens", "known", "part", "score", "rare"])
+
+    null = lambda kind: F.lit(None).cast(kind)
+    tables = found.select("p", F.lit(False).alias("is_text"), "code", "log", null(id_type).alias("id"), null("string").alias("text"), null("boolean").alias("held"))
+    texts = docs.select("p", F.lit(True).alias("is_text"), null("long").alias("code"), null("float").alias("log"), "id", "text", "held")
+    meet = tables.unionByName(texts).repartition(buckets, "p").sortWithinPartitions("p", "is_text")
+    scored = meet.mapInArrow(run, f"id {id_type}, held boolean, n_tokens long, known long, part double, score double, rare array<binary>")
     scored = saved(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     spread = scored.select("row", F.explode("rare").alias("word"))
-    found = spread.join(vocab, "word", "left").groupBy("row").agg(
+    more = spread.join(vocab, "word", "left").groupBy("row").agg(
         F.sum(F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(base))).alias("rest"), F.count("n").alias("more")
     )
-    none = F.lit(0.0)
-    return scored.join(found, "row", "left").select(
-        id_col, "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("part") + F.coalesce("rest", none)).alias("base_score"), "score",
+    return scored.join(more, "row", "left").select(
+        F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("part") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score",
     )

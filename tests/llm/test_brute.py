@@ -358,19 +358,44 @@ def test_suffix_tree_beats_single_words_on_held_out_rows(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_suffix_tree_is_a_distribution_and_takes_the_longest_state(docs):
-    tree = suffix_lm.fit_tree(docs, "text", 3)
-    p = 10.0 ** tree.log10.astype(float)
-    assert np.abs(p.sum(axis=1) - 1).max() < 1e-3
-    raw = bytes([10]) * 3 + b"the thing" + bytes([10])
-    s = tree.alphabet.symbol[np.frombuffer(raw, dtype=np.uint8)]
-    total = 0.0
-    for i in range(3, len(raw)):
-        state, n = 0, len(tree.log10)
-        for d in range(1, 4):
-            state = tree.step[state, s[i - d]]
-        total += tree.log10[state % n, s[i]] + tree.alphabet.other[raw[i]]
-    assert abs(total - tree.score([b"the", b"thing"])) < 1e-4
+@pytest.mark.parametrize(("depth", "bucket"), [(3, 16_000_000), (5, 40_000)])
+def test_suffix_tree_scores_equal_those_of_a_plain_tree(docs, rows, monkeypatch, depth, bucket):
+    """Retention, smoothing and the longest state, against dictionaries; texts of another script, held out, among them."""
+    monkeypatch.setattr(suffix_lm, "BUCKET", bucket)
+    rows = [(i, t) for i, t, _, _ in rows] + [(9000 + i, t) for i, t in enumerate(["\u65e5\u672c\u8a9e \u306e \u6587", None, "", "\u65e5\u672c\u8a9e", "qqq \u00e9 zz"] * 3)]
+    count = [defaultdict(Counter) for _ in range(depth + 1)]  # by length: context (oldest first) -> symbol -> n
+    stream = lambda t: bytes([10]) * depth + b" ".join((t or "").encode().lower().split()) + bytes([10])
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 10:
+            raw = stream(t)
+            for k in range(depth, len(raw)):
+                for d in range(depth + 1):
+                    count[d][raw[k - d : k]][raw[k]] += 1
+
+    def smooth(ctx, symbol):
+        prior = smooth(ctx[1:], symbol) if ctx else 1 / 256
+        mine = count[len(ctx)].get(ctx, {})
+        total, weight = sum(mine.values()), 4.0 * max(1, len(mine))
+        return (mine.get(symbol, 0) + weight * prior) / (total + weight) if total >= 4 or not ctx else prior
+
+    kept = {b""}
+    for d in range(1, depth + 1):
+        for ctx, mine in count[d].items():
+            total = sum(mine.values())
+            if total >= 4 and sum(n * math.log(n / total / smooth(ctx[1:], x)) for x, n in mine.items()) >= 4.0:
+                kept |= {ctx[k:] for k in range(d)}
+    spark = docs.sparkSession
+    got = {r["doc_id"]: r for r in suffix_lm.score_rows(spark.createDataFrame(rows, "doc_id long, text string"), depth=depth).collect()}
+    states = len(kept)
+    assert states > 500
+    for i, t in rows[::7] + rows[-15:]:
+        raw, score = stream(t), 0.0
+        for k in range(depth, len(raw)):
+            ctx = raw[k - depth : k]
+            while ctx not in kept:
+                ctx = ctx[1:]
+            score += math.log10(smooth(ctx, raw[k]))
+        assert abs(got[i]["score"] - score) < 1e-4 * max(1, abs(score))
 
 
 def test_media_round_trip(docs, rows):
