@@ -2,14 +2,14 @@
 
 parse() walks a file's variable-length EBML elements: header, segment, tracks,
 cues, clusters with simple blocks and block groups, and undoes lacing of all three
-kinds. It gives the packet table: track, timestamp, key flag, and the byte range of
-each frame. write() stores samples as one audio track: clusters of blocks with laced
+kinds. A segment of unknown size reaches to the end, a cluster of unknown size to the next element of its own level. It gives the packet table: track, timestamp, key flag, and the byte range of
+each frame. packets_since() starts at the cluster that the cues name. write() stores samples as one audio track: clusters of blocks with laced
 frames of FRAME samples, and a cue per cluster.
 
 Defined cases: null text counts as empty; payloads are padded by zeros to a
-positive multiple of 64 bytes; equal texts give equal values; repeated rows and null
-ids are kept; bytes after a truncated element are ignored by the parser, which raises
-ValueError only where a lace contradicts its block's size; other columns are ignored.
+positive multiple of 64 bytes; texts of any length are stored whole, in as many clusters as it takes; equal texts give equal values; repeated rows and null
+ids are kept; an empty table gives no rows; other columns are ignored, whatever their names. An element that reaches beyond the file's end, and what follows, is ignored;
+where a file contradicts itself parse() raises ValueError, and packet_table gives what was read up to there and one more row with the error.
 """
 
 from __future__ import annotations
@@ -34,6 +34,9 @@ SEGMENT, INFO, TICK, MUXER, WRITER = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4D80, 0
 TRACKS, TRACK, NUMBER, UID, KIND, LACING, CODEC, AUDIO, RATE_ID, CHANNELS, DEPTH = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER, TIME, SIMPLE, GROUP, BLOCK, REFERENCE = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
 CUES, CUE, CUE_TIME, CUE_PLACES, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
+SEEK_HEAD, CHAPTERS, ATTACHMENTS, TAGS = 0x114D9B74, 0x1043A770, 0x1941A469, 0x1254C367
+#: A cluster of unknown size ends where one of these begins.
+TOP = frozenset((EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES, SEEK_HEAD, CHAPTERS, ATTACHMENTS, TAGS))
 
 
 class Packet(NamedTuple):
@@ -106,14 +109,14 @@ def read_number(data: bytes, at: int, keep_marker: bool) -> tuple[int, int]:
     return value, at + width
 
 
-def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int]]:
-    """(id, start, end) of the elements' bodies; an unknown size reaches to the end."""
+def elements(data: bytes, at: int, end: int, until: frozenset[int] = frozenset()) -> Iterator[tuple[int, int, int]]:
+    """(id, start, end) of the elements' bodies, up to one whose id is in until. An unknown size reaches to the end, or for a cluster to the next of its level."""
     while at < end and data[at]:
         kind, at = read_number(data, at, True)
-        if at >= end:
+        if at >= end or kind in until:
             return
         size, at = read_number(data, at, False)
-        stop = end if size < 0 else at + size
+        stop = at + size if size >= 0 else max([at, *[stop for _, _, stop in elements(data, at, end, TOP)]]) if kind == CLUSTER else end
         if stop > end:
             return
         yield kind, at, stop
@@ -151,49 +154,87 @@ def laced_sizes(data: bytes, at: int, end: int, kind: int) -> tuple[list[int], i
     return sizes, at
 
 
+class Found(NamedTuple):
+    packets: list[Packet]
+    cues: list[tuple[int, int]]  # (time, byte place of the cluster)
+    codecs: dict[int, str]  # of each track
+    error: str | None = None
+
+
+def _uint(data: bytes, a: int, b: int) -> int:
+    return int.from_bytes(data[a:b], "big")
+
+
+def _block(data: bytes, a: int, b: int, time: int, key: bool | None, packets: list[Packet]) -> None:
+    track, at = read_number(data, a, False)
+    stamp, flags = time + struct.unpack_from(">h", data, at)[0], data[at + 2]
+    sizes, at = laced_sizes(data, at + 3, b, flags >> 1 & 3)
+    lead = bool(flags & 0x80) if key is None else key
+    for n in sizes:
+        packets.append(Packet(track, stamp, lead, at, n))
+        at += n
+
+
+def _cluster(data: bytes, a: int, b: int, packets: list[Packet]) -> None:
+    time = 0
+    for kind, c, d in elements(data, a, b):
+        if kind == TIME:
+            time = _uint(data, c, d)
+        elif kind == SIMPLE:
+            _block(data, c, d, time, None, packets)
+        elif kind == GROUP:
+            inner = {x: (y, z) for x, y, z in elements(data, c, d)}
+            if BLOCK in inner:
+                _block(data, *inner[BLOCK], time, REFERENCE not in inner, packets)
+
+
+def _segment(data: bytes, a: int, b: int, found: Found) -> None:
+    for part, c, d in elements(data, a, b):
+        if part == TRACKS:
+            for _, e, f in elements(data, c, d):
+                track = {k: (x, y) for k, x, y in elements(data, e, f)}
+                if NUMBER in track and CODEC in track:
+                    found.codecs[_uint(data, *track[NUMBER])] = data[slice(*track[CODEC])].decode("ascii", "replace")
+        elif part == CLUSTER:
+            _cluster(data, c, d, found.packets)
+        elif part == CUES:
+            for _, e, f in elements(data, c, d):
+                cue = {x: (y, z) for x, y, z in elements(data, e, f)}
+                for x, y, z in elements(data, *cue.get(CUE_PLACES, (0, 0))):
+                    if x == CUE_CLUSTER:
+                        found.cues.append((_uint(data, *cue[CUE_TIME]), a + _uint(data, y, z)))
+
+
+def read(data: bytes) -> Found:
+    """What the file holds; with an error if it contradicts itself, beside what was read up to there."""
+    found = Found([], [], {})
+    try:
+        for kind, a, b in elements(data, 0, len(data)):
+            if kind == SEGMENT:
+                _segment(data, a, b, found)
+    except (IndexError, KeyError, struct.error, ValueError) as e:
+        return found._replace(error=f"{type(e).__name__}: {e}")
+    return found
+
+
 def parse(data: bytes) -> tuple[list[Packet], list[tuple[int, int]], dict[int, str]]:
-    """(packets, cues as (time, byte place of the cluster), codec of each track)."""
+    """(packets, cues, codecs); ValueError if the file contradicts itself."""
+    found = read(data)
+    if found.error:
+        raise ValueError(found.error)
+    return found[:3]
+
+
+def packets_since(data: bytes, time: int, cues: list[tuple[int, int]]) -> list[Packet]:
+    """Packets with that timestamp or later, from the last cluster on whose cue is not after it; from the first one without such a cue."""
     packets: list[Packet] = []
-    cues: list[tuple[int, int]] = []
-    codecs: dict[int, str] = {}
-    uint = lambda a, b: int.from_bytes(data[a:b], "big")
-
-    def block(a: int, b: int, time: int, key: bool | None) -> None:
-        track, at = read_number(data, a, False)
-        stamp, flags = time + struct.unpack_from(">h", data, at)[0], data[at + 2]
-        sizes, at = laced_sizes(data, at + 3, b, flags >> 1 & 3)
-        lead = bool(flags & 0x80) if key is None else key
-        for n in sizes:
-            packets.append(Packet(track, stamp, lead, at, n))
-            at += n
-
-    for kind, a, b in elements(data, 0, len(data)):
-        if kind != SEGMENT:
-            continue
-        for part, c, d in elements(data, a, b):
-            if part == TRACKS:
-                for _, e, f in elements(data, c, d):
-                    found = {k: (x, y) for k, x, y in elements(data, e, f)}
-                    if NUMBER in found and CODEC in found:
-                        codecs[uint(*found[NUMBER])] = data[slice(*found[CODEC])].decode("ascii", "replace")
-            elif part == CLUSTER:
-                time = 0
-                for k, e, f in elements(data, c, d):
-                    if k == TIME:
-                        time = uint(e, f)
-                    elif k == SIMPLE:
-                        block(e, f, time, None)
-                    elif k == GROUP:
-                        inner = {x: (y, z) for x, y, z in elements(data, e, f)}
-                        if BLOCK in inner:
-                            block(*inner[BLOCK], time, REFERENCE not in inner)
-            elif part == CUES:
-                for _, e, f in elements(data, c, d):
-                    inner = {x: (y, z) for x, y, z in elements(data, e, f)}
-                    for x, y, z in elements(data, *inner.get(CUE_PLACES, (0, 0))):
-                        if x == CUE_CLUSTER:
-                            cues.append((uint(*inner[CUE_TIME]), a + uint(y, z)))
-    return packets, cues, codecs
+    start = max([place for t, place in cues if t <= time], default=None)
+    if start is None:
+        return [p for p in parse(data)[0] if p.timestamp >= time]
+    for kind, a, b in elements(data, start, len(data)):
+        if kind == CLUSTER:
+            _cluster(data, a, b, packets)
+    return [p for p in packets if p.timestamp >= time]
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:
@@ -233,19 +274,20 @@ def media_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def packet_table(files: DataFrame, id_col: str, bytes_col: str) -> DataFrame:
-    """One row per packet of Matroska files given as bytes: id, packet (from 0), track, timestamp, key, offset, size."""
+    """One row per packet of Matroska files given as bytes: id, packet (from 0), track, timestamp, key, offset, size, error. A file that
+    contradicts itself has one more row, with the error alone; null and empty files have no row."""
     id_type = files.schema[id_col].dataType.simpleString()
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, data in enumerate(b.column(1).to_pylist()):
-                packets = parse(data or b"")[0]
-                cols = list(zip(*packets, strict=True)) or [()] * 5
-                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
-                ids = b.column(0).take(pa.array([i] * len(packets), pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(range(len(packets)), pa.int64()), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))],
-                    [id_col, "packet", "track", "timestamp", "key", "offset", "size"],
-                )
-
-    return files.select(id_col, bytes_col).mapInArrow(run, f"{id_col} {id_type}, packet long, track long, timestamp long, key boolean, offset long, size long")
+                found = read(data or b"")
+                rows = [(k, *p, None) for k, p in enumerate(found.packets)]
+                if found.error:
+                    rows.append((None,) * 6 + (found.error,))
+                cols = list(zip(*rows, strict=True)) or [()] * 7
+                ids = b.column(0).take(pa.array([i] * len(rows), pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [id_col, "packet", "track", "timestamp", "key", "offset", "size", "error"])
+
+    return files.select(id_col, bytes_col).mapInArrow(run, f"{id_col} {id_type}, packet long, track long, timestamp long, key boolean, offset long, size long, error string")

@@ -430,6 +430,37 @@ def test_cues_and_packet_table(spark):
     assert len(rows) == len(packets) and rows[5]["offset"] == packets[5].offset
 
 
+def test_clusters_of_unknown_size_end_at_the_next(spark):
+    data = media.write(bytes(range(256)) * 3125)
+    packets, cues, _ = media.parse(data)
+    assert len(packets) == 12_500 and len(cues) == 4
+    live = bytearray(data)
+    for _, place in cues:  # the size's bits all ones: unknown
+        width = 9 - live[place + 4].bit_length()
+        live[place + 4 : place + 4 + width] = ((1 << 7 * width + 1) - 1).to_bytes(width, "big")
+    again = media.parse(bytes(live))
+    assert again[0] == packets and again[1] == cues
+    for time in (0, 1, 20_000, packets[-1].timestamp, 10**9):
+        assert media.packets_since(bytes(live), time, cues) == [p for p in packets if p.timestamp >= time]
+
+
+def test_damaged_files_give_rows_and_an_error(spark):
+    rng = random.Random(6)
+    data = media.write(bytes(range(256)) * 40)
+    files = []
+    for i in range(2000):
+        x = bytearray(data)
+        for _ in range(rng.randint(1, 6)):
+            x[rng.randrange(len(x) if i % 2 else 200)] = rng.randrange(256)
+        files.append((i, bytes(x)))
+        try:
+            media.parse(bytes(x))
+        except ValueError:
+            pass
+    rows = media.packet_table(spark.createDataFrame([*files[:200], (-1, data)], "id long, b binary"), "id", "b").collect()
+    assert sum(r["error"] is None for r in rows if r["id"] == -1) == len(media.parse(data)[0]) and all((r["error"] is None) == (r["packet"] is not None) for r in rows)
+
+
 def test_language_on_held_out_rows(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
