@@ -8,13 +8,13 @@ which quarter of the counts it lies (two bits). Two digests differ by at most
 the difference over its bound.
 
 The edited text of a document takes its end from the next document's start, ids
-descending. Rows are dealt by ranges of ids; each range also gets the first row of the
-range that follows, so no order over all rows is needed.
+descending. Rows are dealt by ranges of ids, as many as the session has shuffle partitions, and each range is read in order as a stream; the first
+and the last row of each are written beside the results and meet those of the next range in a join, so there is no order over all rows.
 
 Defined cases: null text counts as empty; texts under five bytes have counts
-of zero; equal texts have equal digests; rows with equal ids stand in the order
-of their texts, null ids come last; a single row is its own next; an empty table gives no rows;
-other columns are ignored.
+of zero; texts of any length are digested whole, in pieces; equal texts have equal digests; ids of any type that has an order; rows with equal ids stand in the order
+of a hash of their texts and may lie in several ranges, unless the texts are equal too; null ids come last; a single row is its own next; an empty table gives no rows;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,8 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from docloom.llm.common import saved
 
 BUCKETS = 128
 #: Triplets (places of their bytes in the window) and the salt of each.
@@ -35,9 +39,6 @@ TRIPLETS = ((0, 1, 2, 2), (0, 1, 3, 3), (0, 2, 3, 5), (0, 2, 4, 7), (0, 1, 4, 11
 LENGTH_MOST, RATIO_MOST = 12, 6
 MOST = 3 * BUCKETS + LENGTH_MOST + 2 * RATIO_MOST
 BYTES_AT_ONCE = 1 << 18
-#: Rows in a range of ids, about.
-RANGE_ROWS = 4_000
-MOST_RANGES = 2_048
 
 
 def bucket_counts(raw: bytes) -> np.ndarray:
@@ -93,76 +94,72 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str, rows_in_range: int = RANGE_ROWS) -> tuple[DataFrame, int]:
-    """Rows (range, lent, id, text) in ranges of ids: 'lent' rows are the first of the range that follows."""
-    ids = docs.select(F.col(id_col).alias("id"))
-    n = ids.count()
-    parts = min(MOST_RANGES, max(1, n // rows_in_range))
-    cuts = ids.where("id is not null").approxQuantile("id", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
-    cuts = sorted({int(c) for c in cuts}, reverse=True)
-    # the number of bounds at or above the id: range 0 has the highest ids, the last the lowest and those without id
-    number = F.when(F.col("id").isNull(), F.lit(len(cuts))).otherwise(_range_no(cuts))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("range", number.cast("int"))
-    heads = ids.withColumn("range", number.cast("int")).groupBy("range").agg(F.max("id").alias("head"))
-    used = sorted(r["range"] for r in heads.select("range").collect())
-    before = {r: used[i - 1] for i, r in enumerate(used)}
-    lend = docs.sparkSession.createDataFrame([(r, before[r]) for r in used], "range int, to int")
-    heads = heads.join(F.broadcast(lend), "range").select(F.col("range").alias("r"), "head", "to")
-    sent = rows.join(F.broadcast(heads), (F.col("range") == F.col("r")) & F.col("id").eqNullSafe(F.col("head")), "left")
-    targets = F.when(F.col("to").isNull(), F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("lent")))).otherwise(
-        F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("lent")), F.struct(F.col("to").alias("range"), F.lit(True).alias("lent")))
-    )
-    return sent.select(F.inline(targets), "id", "text"), len(used)
-
-
-def _range_no(cuts: list[int]):
-    """How many of the descending bounds are above the id, by a binary search in the form of nested conditions."""
-
-    def part(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("id") >= F.lit(cuts[mid]), part(lo, mid)).otherwise(part(mid + 1, hi))
-
-    return part(0, len(cuts))
-
-
-def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: fingerprints of it and of its edited text, and their likeness."""
-    id_type = docs.schema[id_col].dataType.simpleString()
-    dealt, ranges = with_next(docs, id_col, text_col)
-    names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+RESULT = (("n_chars", T.LongType()), ("edited_sha256", T.StringType()), ("fingerprint", T.StringType()), ("edited_fingerprint", T.StringType()), ("near_edited", T.DoubleType()), ("near_next", T.DoubleType()))
+KINDS = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+#: What a row of the written table is: a result, or the first or last row of its range.
+DONE, FIRST, LAST = 0, 1, 2
+
+
+def raw_digest(text: str) -> np.ndarray:
+    return digest(text.encode("utf-8", "surrogatepass"))
+
+
+def result_of(text: str, own: np.ndarray, following: str, next_digest: np.ndarray) -> tuple:
+    new = edited(text, following).encode("utf-8", "surrogatepass")
+    d = digest(new)
+    return len(text), hashlib.sha256(new).hexdigest(), fingerprint_hex(own), fingerprint_hex(d), likeness(own, d), likeness(own, next_digest)
+
+
+def result_columns(rows: list[tuple]) -> list[pa.Array]:
+    return [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * len(KINDS), KINDS, strict=True)]
+
+
+def in_ranges(docs: DataFrame, ranges: int | None = None) -> DataFrame:
+    """docs (id, text): the results of all rows but the last of each range, and its first and last row with their texts."""
+    schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("part", T.IntegerType()), docs.schema["id"], T.StructField("text", T.StringType()), *[T.StructField(n, t) for n, t in RESULT]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last = TaskContext.get().partitionId(), None
+
+        def batch(kind: int, ids: pa.Array, texts: list[str | None], rows: list[tuple]) -> pa.RecordBatch:
+            n = len(ids)
+            fixed = [pa.array([kind] * n, pa.int32()), pa.array([part] * n, pa.int32()), ids, pa.array(texts, pa.string())]
+            return pa.RecordBatch.from_arrays([*fixed, *(result_columns(rows) if rows else [pa.nulls(n, k) for k in KINDS])], schema.names)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        """(range, lent, id, text), and at the end None."""
         for b in batches:
-            yield from zip(*[c.to_pylist() for c in b.columns], strict=True)
-        yield None
+            for at in range(0, b.num_rows, 1000):
+                ids, texts = b.column(0).slice(at, 1000), b.column(1).slice(at, 1000).to_pylist()
+                if last is None:
+                    yield batch(FIRST, ids.slice(0, 1), texts[:1], [])
+                digests = [raw_digest(t) for t in texts]
+                if last is not None:
+                    ids, texts, digests = pa.concat_arrays([last[0], ids]), [last[1], *texts], [last[2], *digests]
+                rows = [result_of(texts[i], digests[i], texts[i + 1], digests[i + 1]) for i in range(len(texts) - 1)]
+                if rows:
+                    yield batch(DONE, ids.slice(0, len(rows)), [None] * len(rows), rows)
+                last = (ids.slice(len(rows), 1), texts[-1], digests[-1])
+        if last is not None:
+            yield batch(LAST, last[0], [last[1]], [])
+
+    rows = docs.withColumn("hash", F.xxhash64("text"))
+    order = (F.col("id").desc_nulls_last(), F.col("hash"))
+    dealt = rows.repartitionByRange(ranges, *order) if ranges else rows.repartitionByRange(*order)
+    return dealt.sortWithinPartitions(*order, "text").select("id", "text").mapInArrow(run, schema)
+
+
+def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
+    """One row per document: fingerprints of it and of its edited text, and their likeness."""
+    names = [n for n, _ in RESULT]
+    found = saved(in_ranges(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), ranges), "digests")
+    parts = sorted(r["part"] for r in found.where(F.col("kind") == FIRST).select("part").collect())  # one number for each range
+    follows = docs.sparkSession.createDataFrame(list(zip(parts, parts[1:] + parts[:1], strict=True)), "part int, following int")
+    last, first = found.where(F.col("kind") == LAST).select("part", "id", "text"), found.where(F.col("kind") == FIRST).select(F.col("part").alias("following"), F.col("text").alias("next"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list = []
-        out: list[tuple] = []
-        last = None  # (range, id, text, bytes, digest) of the row whose next is awaited
-        for row in rows(batches):
-            if row is not None and last is not None and last[0] == row[0] and last[4] is None:
-                continue  # more of the lent rows
-            own = None
-            if row is not None and (not row[1] or last is not None and last[0] == row[0]):
-                raw = row[3].encode("utf-8", "surrogatepass")
-                own = (row[0], row[2], row[3], raw, digest(raw))
-            if last is not None and own is not None and last[0] == own[0]:
-                new = edited(last[2], own[2]).encode("utf-8", "surrogatepass")
-                d = digest(new)
-                ids.append(last[1])
-                out.append((len(last[2]), hashlib.sha256(new).hexdigest(), fingerprint_hex(last[4]), fingerprint_hex(d), likeness(last[4], d), likeness(last[4], own[4])))
-                if row[1]:
-                    own = (row[0], None, None, None, None)
-            last = own
-            if len(out) >= 2000 or row is None:
-                cols = zip(*out, strict=True) if out else [()] * len(kinds)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.from_numpy_dtype("int64") if id_type == "bigint" else None), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
-                ids, out = [], []
-
-    shuffled = dealt.repartition("range").sortWithinPartitions(F.col("range"), F.col("lent"), F.col("id").desc_nulls_last(), F.col("text"))
-    return shuffled.mapInArrow(run, f"{id_col} {id_type}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+        for b in batches:
+            rows = [result_of(t, raw_digest(t), n, raw_digest(n)) for t, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *result_columns(rows)], ["id", *names])
+
+    edges = last.join(F.broadcast(follows), "part").join(first, "following").select("id", "text", "next")
+    edges = edges.mapInArrow(run, T.StructType([found.schema["id"], *[T.StructField(n, t) for n, t in RESULT]]))
+    return found.where(F.col("kind") == DONE).select("id", *names).unionByName(edges).withColumnRenamed("id", id_col)

@@ -270,20 +270,19 @@ def test_components_of_long_chains(spark):
     assert all(got[i] == 0 for i in range(1, 201)) and all(got[1000 + i] == 1000 for i in range(1, 100))
 
 
-def test_digest_and_edits(spark, docs, rows, monkeypatch):
-    ordered = sorted(rows, key=lambda r: -r[0])
-    for size in (4000, 7):
-        monkeypatch.setattr(digest, "RANGE_ROWS", size)
-        dealt = digest.with_next(docs, "doc_id", "text", size)[1]
-        assert dealt >= (1 if size == 4000 else 5)
-        monkeypatch.setattr(digest.with_next, "__defaults__", (size,))
-        got = {r["doc_id"]: r for r in digest.digest_rows(docs).collect()}
-        for k, (i, text, _, _) in enumerate(ordered):
-            after = ordered[(k + 1) % len(ordered)][1]
-            half = len(text) // 2
-            new = text[: len(text) - half] + after[:half]
-            assert got[i]["edited_sha256"] == hashlib.sha256(new.encode()).hexdigest() and got[i]["n_chars"] == len(text)
-            assert 0 <= got[i]["near_next"] <= 1 and 0 <= got[i]["near_edited"] <= 1
+@pytest.mark.parametrize("kind", ["bigint", "string", "decimal(20,0)"])
+@pytest.mark.parametrize("ranges", [None, 1, 13])
+def test_digest_and_edits(docs, rows, kind, ranges):
+    ordered = sorted(rows, key=lambda r: str(r[0]) if kind == "string" else r[0], reverse=True)
+    typed = docs.withColumn("doc_id", docs.doc_id.cast(kind))
+    assert ranges is None or digest.in_ranges(typed.selectExpr("doc_id as id", "text"), ranges).where("kind = 1").count() >= min(ranges, 8)
+    got = {int(r["doc_id"]): r for r in digest.digest_rows(typed, ranges=ranges).collect()}
+    for k, (i, text, _, _) in enumerate(ordered):
+        after = ordered[(k + 1) % len(ordered)][1]
+        half = len(text) // 2
+        new = text[: len(text) - half] + after[:half]
+        assert got[i]["edited_sha256"] == hashlib.sha256(new.encode()).hexdigest() and got[i]["n_chars"] == len(text)
+        assert got[i]["near_next"] == digest.likeness(digest.raw_digest(text), digest.raw_digest(after))
     assert sum(r["near_edited"] > r["near_next"] for r in got.values()) > 0.9 * len(got)
 
 
