@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import SPACE, let, strip
+from docloom.store import stored
 
 # Defaults of the scoring rule, of fusion, and of candidate numbers.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -46,23 +47,25 @@ def _joined_runs(items: Column, n: int) -> Column:
 
 @dataclass
 class Bm25Index:
-    """postings (term, chunk_id, tf, dl), terms (term, df, idf), stats (n, avgdl: one row)."""
+    """Written tables postings (term, chunk_id, tf, dl) and terms (term, df, idf), the number of chunks and their mean length."""
 
     postings: DataFrame
     terms: DataFrame
-    stats: DataFrame
+    n: int
+    mean_length: float
 
 
 def bm25_index(corpus: DataFrame, tokens: Column, id_col: str = "chunk_id") -> Bm25Index:
-    """Index of corpus; the inverse document frequency floors negative values at a share of the vocabulary's mean."""
-    bags = corpus.select(F.col(id_col).alias("chunk_id"), tokens.alias("tokens")).withColumn("dl", F.size("tokens"))
-    stats = bags.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    postings = bags.select("chunk_id", "dl", F.explode("tokens").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.crossJoin(F.broadcast(stats.select("n"))).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).drop("n")
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return Bm25Index(postings, terms, stats)
+    """Index of corpus; the inverse document frequency floors negative values at a share of the vocabulary's mean. The corpus is tokenized once."""
+    bags = corpus.select(F.col(id_col).alias("chunk_id"), tokens.alias("tokens"))
+    postings = bags.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    postings = stored(postings, "postings")
+    n = corpus.count()
+    words = postings.agg(F.sum("tf")).first()[0] or 0
+    counts = stored(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms")
+    raw = counts.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = raw.agg(F.avg("raw")).first()[0] or 0.0
+    return Bm25Index(postings, raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw")).alias("idf")), n, words / max(1, n))
 
 
 def top_k(scored: DataFrame, k: int, by: list[str] | None = None, key: str = "query_id", score: str = "score", tie: str = "chunk_id") -> DataFrame:
@@ -73,8 +76,8 @@ def top_k(scored: DataFrame, k: int, by: list[str] | None = None, key: str = "qu
 def bm25_scores(queries: DataFrame, index: Bm25Index) -> DataFrame:
     """queries (query_id, tokens): (query_id, chunk_id, score) of all chunks with a common term; repeated terms count again."""
     asked = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    found = asked.join(index.terms, "term").join(index.postings, "term").crossJoin(F.broadcast(index.stats))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    found = asked.join(index.terms, "term").select("query_id", "term", (F.col("times") * F.col("idf") * (K1 + 1)).alias("weight")).join(index.postings, "term")
+    part = F.col("weight") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(index.mean_length)))
     return found.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
 
 
@@ -157,7 +160,7 @@ def rrf_fuse(channels: dict[str, DataFrame], k: int, weights: dict[str, float] =
 def hybrid_topk(bm25: DataFrame, dense: DataFrame, k: int = SMALL_TOP) -> DataFrame:
     """Fuses both channels to the larger of k and the number of candidates. Queries without a dense hit (no
     usable vector) go on with the other channel alone, marked in dense_error."""
-    fused = rrf_fuse({"dense": dense, "bm25": bm25}, max(k, CANDIDATES))
+    fused = stored(rrf_fuse({"dense": dense, "bm25": bm25}, max(k, CANDIDATES)), "fused")
     whole = Window.partitionBy("query_id")
     return fused.withColumn("dense_error", F.max("dense_rank").over(whole).isNull())
 
@@ -191,9 +194,11 @@ class Hierarchy:
 
 
 def search_hierarchical(small_hits: DataFrame, small_to_mid: DataFrame, mid_to_big: DataFrame, reranked: bool = False) -> Hierarchy:
-    """Three levels of ranked evidence, and one row of counts per query."""
-    mid = roll_up(small_hits, small_to_mid, "mid_id", MID_TOP, {"small_count": "*"})
+    """Three levels of ranked evidence, and one row of counts per query. Each level is written and computed once."""
+    small_hits = stored(small_hits, "small_hits")
+    mid = stored(roll_up(small_hits, small_to_mid, "mid_id", MID_TOP, {"small_count": "*"}), "mid_hits")
     big = roll_up(mid, mid_to_big, "big_id", BIG_TOP, {"mid_count": "*", "small_count": "small_count"})
+    big = stored(big, "big_hits")
     levels = [d.select("query_id", F.lit(name).alias("level")) for name, d in (("small", small_hits), ("mid", mid), ("big", big))]
     meta = levels[0].unionByName(levels[1]).unionByName(levels[2]).groupBy("query_id").agg(
         *[F.count_if(F.col("level") == name).alias(f"{name}_hits") for name in ("small", "mid", "big")], F.lit(reranked).alias("reranked")

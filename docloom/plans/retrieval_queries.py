@@ -1,4 +1,4 @@
-"""Queries of retrieval: documents are chunks, the first words of benchmark items are queries."""
+"""Queries of retrieval: documents are chunks; benchmark items, and every vector whose id is divisible by 20, are queries."""
 
 from __future__ import annotations
 
@@ -10,17 +10,16 @@ from docloom.plans.registry import Tables, query
 
 TOKENS = "CASE WHEN len(a) = 0 THEN [lower(v)] ELSE list_transform(a, lambda x: lower(x)) END"
 BAG = f"SELECT id, {TOKENS} AS tokens FROM (SELECT id, v, regexp_extract_all(v, '[A-Za-z0-9_]+') AS a FROM (SELECT {{id}} AS id, trim(regexp_replace({{text}}, '\\s+', ' ', 'g')) AS v FROM {{of}}))"
-QUERY_TEXT = "array_to_string(string_split(text, ' ')[1:8], ' ')"
 BM25 = f"""bags AS ({BAG.format(id='doc_id', text='text', of='documents')}),
   stats AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM bags),
   postings AS (SELECT id, term, dl, count(*) AS tf FROM (SELECT id, len(tokens) AS dl, unnest(tokens) AS term FROM bags) GROUP BY ALL),
   raw AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM postings, stats GROUP BY term),
   terms AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
-  asked AS (SELECT id AS query_id, term, count(*) AS times FROM (SELECT id, unnest(tokens) AS term FROM ({BAG.format(id='item_id', text=QUERY_TEXT, of='benchmark')})) GROUP BY ALL),
+  asked AS (SELECT id AS query_id, term, count(*) AS times FROM (SELECT id, unnest(tokens) AS term FROM ({BAG.format(id='item_id', text='text', of='benchmark')})) GROUP BY ALL),
   bm25_all AS (SELECT query_id, id AS chunk_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
     FROM asked JOIN terms USING (term) JOIN postings USING (term), stats GROUP BY ALL),
   bm25 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm25_all WHERE score > 0) WHERE rank <= 20)"""
-DENSE = """vecs AS (SELECT vec_id AS chunk_id, embedding::DOUBLE[] AS v, label FROM embeddings), qv AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 40),
+DENSE = """vecs AS (SELECT vec_id AS chunk_id, embedding::DOUBLE[] AS v, label FROM embeddings), qv AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0),
   dense_all AS (SELECT query_id, chunk_id, list_cosine_similarity(q, v) AS score FROM qv, vecs),
   dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM dense_all) WHERE rank <= 20)"""
 FUSED = f"""{BM25}, {DENSE},
@@ -39,8 +38,7 @@ def corpus(t: Tables) -> DataFrame:
 
 
 def asked(t: Tables) -> DataFrame:
-    text = F.array_join(F.slice(F.split("text", " "), 1, 8), " ")
-    return t.benchmark.select(F.col("item_id").alias("query_id"), R.tokenize(text).alias("tokens"))
+    return t.benchmark.select(F.col("item_id").alias("query_id"), R.tokenize(F.col("text")).alias("tokens"))
 
 
 def index(t: Tables) -> R.Bm25Index:
@@ -56,7 +54,7 @@ def vectors(t: Tables) -> DataFrame:
 
 
 def query_vectors(t: Tables) -> DataFrame:
-    return t.embeddings.where("vec_id < 40").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 def dense_hits(t: Tables) -> DataFrame:
@@ -128,14 +126,14 @@ def hybrid_topk(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH {BM25}, {DENSE.replace('vec_id < 40', 'vec_id < 40 AND vec_id % 4 <> 0')}, parts AS (SELECT query_id, chunk_id, 'dense' AS channel, rank, 0.65 / (60 + rank) AS part FROM dense
+    f"""WITH {BM25}, {DENSE.replace('vec_id % 20 = 0', 'vec_id % 20 = 0 AND vec_id % 60 <> 0')}, parts AS (SELECT query_id, chunk_id, 'dense' AS channel, rank, 0.65 / (60 + rank) AS part FROM dense
       UNION ALL SELECT query_id, chunk_id, 'bm25', rank, 0.35 / (60 + rank) FROM bm25),
     sums AS (SELECT query_id, chunk_id, sum(part) AS score, max(rank) FILTER (channel = 'dense') AS dense_rank, max(rank) FILTER (channel = 'bm25') AS bm25_rank FROM parts GROUP BY ALL)
     SELECT {HITS}, max(dense_rank) OVER (PARTITION BY query_id) IS NULL AS dense_error FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, dense_rank NULLS LAST, bm25_rank NULLS LAST, chunk_id) AS rank FROM sums) WHERE rank <= 20"""
 )
 def dense_fallback(t: Tables) -> DataFrame:
-    some = R.dense_topk(query_vectors(t).where("query_id % 4 <> 0"), vectors(t))
+    some = R.dense_topk(query_vectors(t).where("query_id % 60 <> 0"), vectors(t))
     return hits(R.hybrid_topk(bm25_hits(t), some), "dense_error")
 
 
@@ -224,8 +222,8 @@ def recall_meta(t: Tables) -> DataFrame:
 
 
 VARIANT_SQL = BM25.replace(
-    "(" + BAG.format(id="item_id", text=QUERY_TEXT, of="benchmark") + ")",
-    "(" + BAG.format(id="id", text="text", of="(SELECT item_id || '#a' AS id, array_to_string(string_split(text, ' ')[1:8], ' ') AS text FROM benchmark UNION ALL SELECT item_id || '#b', array_to_string(string_split(text, ' ')[5:12], ' ') FROM benchmark)") + ")",
+    "(" + BAG.format(id="item_id", text="text", of="benchmark") + ")",
+    "(" + BAG.format(id="id", text="text", of="(SELECT item_id || '#a' AS id, text FROM benchmark UNION ALL SELECT item_id || '#b', array_to_string(list_reverse(string_split(text, ' '))[1:len(string_split(text, ' ')) // 2], ' ') FROM benchmark)") + ")",
 )
 
 
@@ -235,6 +233,7 @@ VARIANT_SQL = BM25.replace(
 )
 def multi_query_recall(t: Tables) -> DataFrame:
     words = F.split("text", " ")
-    forms = [t.benchmark.select(F.col("item_id").cast("string").alias("query_id"), F.lit(v).alias("variant"), F.array_join(F.slice(words, at, 8), " ").alias("text")) for v, at in (("a", 1), ("b", 5))]
+    half = F.array_join(F.slice(F.reverse(words), 1, F.floor(F.size(words) / 2).cast("int")), " ")
+    forms = [t.benchmark.select(F.col("item_id").cast("string").alias("query_id"), F.lit(v).alias("variant"), c.alias("text")) for v, c in (("a", F.col("text")), ("b", half))]
     idx = index(t)
     return hits(R.multi_query_recall(forms[0].unionByName(forms[1]), lambda q: R.bm25_topk(q.select("query_id", R.tokenize(F.col("text")).alias("tokens")), idx), 10))
