@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.functions.text import SENTENCE_END, SPACE
+
 
 def token_counter(count: Callable[[list[str]], list[int]]) -> Callable[[Column], Column]:
     """A column function from a batch token counter; null counts 0."""
@@ -71,24 +74,34 @@ def text_model(call: Callable[[list[dict]], list[str]], name: str) -> Callable[[
     return lambda prompts: in_batches(prompts, call, name, "string")
 
 
+def normal(text: str) -> str:
+    return strip_space(re.sub("\n{3,}", "\n\n", re.sub("[ \t]+", " ", text.replace("\ufeff", ""))))
+
+
+def strip_space(text: str) -> str:
+    return re.sub(f"^{SPACE}+|{SPACE}+$", "", text)
+
+
 @F.udtf(returnType="piece_no int, piece string")
 class ChunkText:
-    """chunk_text(text, max_tokens) for SQL: sentences packed to max_tokens (two characters a token), longer ones in windows."""
+    """chunk_text(text, max_tokens) for SQL: the parts of a paragraph as split_paragraph makes them, streamed, so that SQL can have the limit in a column."""
 
     def eval(self, text: str, most: int):
-        import re
-
-        parts, cur = [], ""
-        for s in re.split(r"(?<=[.!?。！？;；])\s+", " ".join((text or "").split())):
-            if cur and (len(cur) // 2 + max(1, len(s) // 2)) > most:
-                parts.append(cur)
-                cur = ""
-            while len(s) > 2 * most:
-                parts.append(s[: 2 * most])
-                s = s[2 * most :]
-            cur = f"{cur} {s}".strip() if s else cur
-        for i, p in enumerate([*parts, cur] if cur else parts):
-            yield i, p
+        value, cur, tokens, no = normal(text or ""), "", 0, 0
+        for s in [value] if len(value) // 2 <= most else map(strip_space, re.split(SENTENCE_END, value)):
+            n = max(1, len(s) // 2) if s else 0
+            if cur and (n > most or tokens + n > most):
+                yield no, cur
+                no, cur, tokens = no + 1, "", 0
+            if n > most:
+                for at in range(0, len(s), 2 * most):
+                    if part := strip_space(s[at : at + 2 * most]):
+                        yield no, part
+                        no += 1
+            elif s:
+                cur, tokens = f"{cur} {s}" if cur else s, tokens + n
+        if cur:
+            yield no, cur
 
 
 def register(spark) -> None:

@@ -101,15 +101,23 @@ def sanity_checks(answers: DataFrame, least: int = 10, most: int = 5000) -> Data
     return out.withColumn("all_ok", whole)
 
 
+# Words of checkpoints, and of answers that meet them.
+IMPLIED, NO_REPEAT, RESOLVED, CONTROLS, POLICY = "路由|检索", "不重复", "消解|指代", "按钮|模式", "通用|退货"
+REPEATED, OTHERS, CONTROL_WORDS, POLICY_WORDS = "滤网", "其他", "模式|按钮|mode|button|press|按", "退货|退换|return"
+
+
 def dialogue_checks(turns: DataFrame) -> DataFrame:
-    """turns (dialogue, turn, question, answer, checks array): each checkpoint by the class of its words."""
-    x = turns.withColumn("before", F.lag("answer").over(Window.partitionBy("dialogue").orderBy("turn"))).select("dialogue", "turn", "question", "answer", "before", F.explode("checks").alias("check"))
+    """turns (dialogue, turn, answer, rewritten, checks array): each checkpoint by the class of its words, in this order: routing and retrieval are
+    implied by an answer; no repeat of the first topic at the answer's start; a resolved reference shows in a rewritten question or a longer
+    answer; controls and policy by their words; else any answer of some length."""
+    x = turns.select("dialogue", "turn", "answer", "rewritten", F.explode("checks").alias("check"))
     a, c = F.col("answer"), F.col("check")
     ok = (
-        F.when(F.contains(c, F.lit("重复")), F.col("before").isNull() | (a != F.col("before")))
-        .when(F.contains(c, F.lit("指代")), ~a.rlike("不清楚|无法确定|哪个") & (F.length(a) > 20))
-        .when(c.rlike("模式|按钮"), a.rlike("模式|按钮|按键|键"))
-        .when(F.contains(c, F.lit("退货")), a.rlike("退货|退款|换货"))
+        F.when(c.rlike(IMPLIED), True)
+        .when(c.rlike(NO_REPEAT), ~F.contains(F.left(a, F.lit(200)), F.lit(REPEATED)) | F.contains(a, F.lit(OTHERS)))
+        .when(c.rlike(RESOLVED), (F.length("rewritten") > 0) | (F.length(a) > 50))
+        .when(c.rlike(CONTROLS), F.lower(a).rlike(CONTROL_WORDS))
+        .when(c.rlike(POLICY), F.lower(a).rlike(POLICY_WORDS))
         .otherwise(F.length(a) > 20)
     )
     return x.groupBy("dialogue", "turn").agg(F.bool_and(ok).alias("ok"), F.count(F.lit(1)).alias("checks"))

@@ -12,6 +12,7 @@ from docloom.operators import evaluation as A
 from docloom.operators import graph as G
 from docloom.operators import retrieval as R
 from docloom.operators import structure as S
+from docloom.store import new_folder
 from docloom.plans.fixtures import md_lines
 from docloom.plans.registry import Tables, query
 from docloom.plans.retrieval_queries import BM25, bm25_hits
@@ -105,30 +106,10 @@ def batch_records(t: Tables) -> DataFrame:
     return got.select("query_id", "success", F.array_join(F.transform("retrieved", lambda x: x.cast("string")), ",").alias("retrieved"))
 
 
-@query("SELECT doc_id, md5(regexp_replace(text, '\\s', '', 'g')) AS md5 FROM documents")
-def split_list(t: Tables) -> DataFrame:
-    """A list of a document's lines in parts; the parts hold every character but the bullets and blanks."""
-    md = F.concat(F.lit("- "), F.replace("text", F.lit("\n"), F.lit("\n- ")))
-    parts = S.split_list(md, 400)
-    back = F.array_join(F.transform(parts, lambda p: F.regexp_replace(p, r"(?m)^- ", "")), "")
-    return t.documents.select("doc_id", F.md5(F.regexp_replace(back, r"\s", "")).alias("md5"))
-
-
-@query("SELECT doc_id, md5(regexp_replace(text, '\\s', '', 'g')) AS md5 FROM documents")
-def split_code(t: Tables) -> DataFrame:
-    parts = S.split_code(F.concat(F.lit("```\n"), "text", F.lit("\n```")), 300)
-    body = F.array_join(F.transform(parts, lambda p: p.substr(F.lit(5), F.length(p) - 8)), "")
-    return t.documents.select("doc_id", F.md5(F.regexp_replace(body, r"\s", "")).alias("md5"))
-
-
 @query("SELECT conv_id AS session_id, max(turn) AS version, arg_max(text, turn) AS summary FROM conversations GROUP BY conv_id")
 def save_sessions(t: Tables) -> DataFrame:
     """Sessions written version by version to the shared folder, and the last of each read back."""
-    import tempfile
-    import uuid
-
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="docloom-")
-    path = f"{base}/sessions-{uuid.uuid4().hex}"
+    path = new_folder(t.spark, "sessions")
     rows = t.conversations.select((F.col("conv_id") % 8).alias("user_id"), F.col("conv_id").alias("session_id"), F.col("turn").alias("version"), F.col("text").alias("summary"))
     I.save_sessions(rows, path)
     return I.load_sessions(t.spark, path).select("session_id", "version", "summary")
@@ -155,7 +136,16 @@ def format_context(t: Tables) -> DataFrame:
     return K.format_context(x.select("query_id", "rank", F.struct(F.left("text", F.lit(800)).alias("text"), "source").alias("item")), 3000)
 
 
-@query("SELECT conv_id AS dialogue, turn, length(text) > 20 AS ok, 1::BIGINT AS checks FROM conversations")
+CHECKS = "array('路由正确', '检索有结果', '不重复上文', '指代消解', '说明按钮', '退货政策', '其他', '通用问题')"
+TAIL = "CASE conv_id % 4 WHEN 0 THEN '' WHEN 1 THEN ' Press it' WHEN 2 THEN ' to RETURN' ELSE ' 其他' END"
+
+
+@query(
+    f"""SELECT conv_id AS dialogue, turn, CASE c % 8 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN NOT contains(substr(a, 1, 200), '滤网') OR contains(a, '其他') WHEN 3 THEN r > 0 OR length(a) > 50
+      WHEN 4 THEN contains(lower(a), 'press') OR contains(lower(a), 'mode') OR contains(lower(a), 'button') WHEN 5 THEN contains(lower(a), 'return') WHEN 6 THEN length(a) > 20 ELSE contains(lower(a), 'return') END AS ok, 1::BIGINT AS checks
+    FROM (SELECT *, conv_id + turn AS c, CASE WHEN turn % 2 = 0 THEN '滤网 ' ELSE '' END || CASE WHEN conv_id % 3 = 0 THEN 'short' ELSE text END || {TAIL} AS a, turn % 3 AS r FROM conversations)"""
+)
 def dialogue_checks(t: Tables) -> DataFrame:
-    x = t.conversations.select(F.col("conv_id").alias("dialogue"), "turn", F.lit("q").alias("question"), F.col("text").alias("answer"), F.array(F.lit("其他")).alias("checks"))
+    answer = F.expr(f"concat(CASE WHEN turn % 2 = 0 THEN '滤网 ' ELSE '' END, CASE WHEN conv_id % 3 = 0 THEN 'short' ELSE text END, {TAIL})")
+    x = t.conversations.select(F.col("conv_id").alias("dialogue"), "turn", answer.alias("answer"), F.expr("repeat('r', turn % 3)").alias("rewritten"), F.expr(f"array({CHECKS}[(conv_id + turn) % 8])").alias("checks"))
     return K.dialogue_checks(x)
