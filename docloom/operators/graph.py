@@ -129,8 +129,9 @@ def point_expansion(seeds: DataFrame, grounded: DataFrame, relations: DataFrame,
 
 
 def point_links(points: DataFrame) -> DataFrame:
-    """points (point, source_chunk_ids): MENTIONS from chunk to point and GROUNDED_IN back."""
-    pairs = points.select("point", F.explode("source_chunk_ids").alias("chunk_id")).distinct()
+    """points (point, chunk_id), or (point, source_chunk_ids): MENTIONS from chunk to point and GROUNDED_IN back."""
+    rows = points if "chunk_id" in points.columns else points.select("point", F.explode("source_chunk_ids").alias("chunk_id"))
+    pairs = rows.select("point", "chunk_id").distinct()
     there = pairs.select(F.col("chunk_id").cast("string").alias("src"), F.col("point").cast("string").alias("dst"), F.lit("MENTIONS").alias("edge_type"))
     return there.unionByName(pairs.select(F.col("point").cast("string").alias("src"), F.col("chunk_id").cast("string").alias("dst"), F.lit("GROUNDED_IN").alias("edge_type")))
 

@@ -10,10 +10,11 @@ from docloom.operators import lookup as L
 from docloom.plans.fixtures import MD_LINES, md_lines
 from docloom.plans.registry import Tables, query
 from docloom.plans.text_queries import IMG
+from docloom.store import new_folder
 
 EVIDENCE = "evidence AS (SELECT DISTINCT p_brand AS doc_id, l_orderkey AS question_id, p_partkey AS chunk_id FROM lineitem JOIN part ON p_partkey = l_partkey)"
 SEMANTIC = """sem AS (SELECT a.p_brand AS doc_id, a.p_partkey AS src, b.p_partkey AS dst FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type <> b.p_type
-  AND abs(a.p_size - b.p_size) = 1 WHERE a.p_partkey % 10 = 0 AND b.p_partkey % 10 = 0)"""
+  AND abs(a.p_size - b.p_size) = 1 AND a.p_partkey // 1000 = b.p_partkey // 1000)"""
 CO = f"{EVIDENCE}, co AS (SELECT DISTINCT a.doc_id, a.chunk_id AS src, b.chunk_id AS dst FROM evidence a JOIN evidence b ON a.doc_id = b.doc_id AND a.question_id = b.question_id AND a.chunk_id <> b.chunk_id)"
 EDGES = f"{CO}, {SEMANTIC}, edges AS (SELECT doc_id, src, dst, 'CO_EVIDENCE' AS edge_type, 0.5 AS weight FROM co UNION ALL SELECT doc_id, src, dst, 'SEMANTIC', 1.0 FROM sem)"
 RELS = "CASE src % 6 WHEN 0 THEN 'REQUIRES' WHEN 1 THEN 'CAUSES' WHEN 2 THEN 'RESOLVED_BY' WHEN 3 THEN 'AFFECTS' WHEN 4 THEN 'NEXT_STEP' ELSE 'OTHER' END"
@@ -25,9 +26,10 @@ def evidence(t: Tables) -> DataFrame:
 
 
 def semantic(t: Tables) -> DataFrame:
-    p = t.part.where("p_partkey % 10 = 0")
-    a, b = p.select(F.col("p_brand").alias("doc_id"), F.col("p_partkey").alias("src"), F.col("p_type").alias("ta"), F.col("p_size").alias("sa")), p.select(F.col("p_brand").alias("doc_id"), F.col("p_partkey").alias("dst"), F.col("p_type").alias("tb"), F.col("p_size").alias("sb"))
-    near = a.withColumn("size", F.explode(F.array(F.col("sa") - 1, F.col("sa") + 1))).join(b.withColumn("size", F.col("sb")), ["doc_id", "size"]).where("ta <> tb")
+    """Parts of a brand, of one thousand of keys, next to each other in size: as many for each part at every size of the table."""
+    p = t.part.withColumn("run", F.expr("p_partkey div 1000"))
+    a, b = p.select(F.col("p_brand").alias("doc_id"), "run", F.col("p_partkey").alias("src"), F.col("p_type").alias("ta"), F.col("p_size").alias("sa")), p.select(F.col("p_brand").alias("doc_id"), "run", F.col("p_partkey").alias("dst"), F.col("p_type").alias("tb"), F.col("p_size").alias("sb"))
+    near = a.withColumn("size", F.explode(F.array(F.col("sa") - 1, F.col("sa") + 1))).join(b.withColumn("size", F.col("sb")), ["doc_id", "run", "size"]).where("ta <> tb")
     return G.semantic_edges(near.select("doc_id", "src", "dst", F.lit("near").alias("descr")))
 
 
@@ -89,10 +91,11 @@ def pair_sample(t: Tables) -> DataFrame:
     return G.pair_sample(G.section_pairs(chunks(t)), 100)
 
 
-@query(f"WITH {PAIRS} SELECT doc_id, a, b FROM pairs WHERE (a * 31 + b) % 50 = 7 AND (a + b) % 3 <> 0")
+@query(f"WITH {PAIRS} SELECT doc_id, count(*) AS n_pairs, sum(a * 7 + b)::BIGINT AS checksum FROM pairs WHERE (a + b) % 3 <> 0 GROUP BY doc_id")
 def unprocessed_pairs(t: Tables) -> DataFrame:
-    pairs = G.section_pairs(chunks(t)).where("(a * 31 + b) % 50 = 7")
-    return G.unprocessed_pairs(pairs, pairs.where("(a + b) % 3 = 0").select(F.col("b").alias("a"), F.col("a").alias("b")))
+    pairs = G.section_pairs(chunks(t))
+    left = G.unprocessed_pairs(pairs, pairs.where("(a + b) % 3 = 0").select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return left.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum(F.col("a") * 7 + F.col("b")).alias("checksum"))
 
 
 @query(f"WITH {PAIRS} SELECT DISTINCT doc_id FROM pairs WHERE doc_id NOT IN (SELECT p_brand FROM part WHERE p_partkey % 100 = 0)")
@@ -100,13 +103,13 @@ def pending_only(t: Tables) -> DataFrame:
     return chunks(t).select("doc_id").distinct().join(t.part.where("p_partkey % 100 = 0").select(F.col("p_brand").alias("doc_id")), "doc_id", "left_anti")
 
 
-SEEDS = "seeds AS (SELECT p_size AS query_id, p_partkey AS chunk_id, 1.0 / rank AS score, rank FROM (SELECT p_size, p_partkey, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS rank FROM part WHERE p_partkey % 10 = 0) WHERE rank <= 4)"
+SEEDS = "seeds AS (SELECT p_size AS query_id, p_partkey AS chunk_id, 1.0 / rank AS score, rank FROM (SELECT p_size, p_partkey, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS rank FROM part) WHERE rank <= 4)"
 
 
 def seeds(t: Tables) -> DataFrame:
     from docloom.operators.retrieval import top_k
 
-    p = t.part.where("p_partkey % 10 = 0").select(F.col("p_size").alias("query_id"), F.col("p_partkey").alias("chunk_id"))
+    p = t.part.select(F.col("p_size").alias("query_id"), F.col("p_partkey").alias("chunk_id"))
     return top_k(p, 4, [F.col("chunk_id")]).withColumn("score", 1.0 / F.col("rank"))
 
 
@@ -172,17 +175,15 @@ def point_expansion(t: Tables) -> DataFrame:
 
 
 def with_checkpoints(t: Tables, make):
-    """Checkpoints go to the shared folder of the session, or to a temporary one where none is set."""
-    import tempfile
-
+    """Checkpoints go to the shared folder of the session."""
     if not t.spark.conf.get("spark.checkpoint.dir", None):
-        t.spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="docloom-"))
+        t.spark.sparkContext.setCheckpointDir(new_folder(t.spark, "checkpoints"))
     return make()
 
 
 @query("SELECT p_partkey::VARCHAR AS src, 'sp' || p_size AS dst, 'MENTIONS' AS edge_type FROM part UNION SELECT 'sp' || p_size, p_partkey::VARCHAR, 'GROUNDED_IN' FROM part")
 def point_links(t: Tables) -> DataFrame:
-    return G.point_links(t.part.groupBy(F.concat(F.lit("sp"), "p_size").alias("point")).agg(F.collect_list("p_partkey").alias("source_chunk_ids")))
+    return G.point_links(t.part.select(F.concat(F.lit("sp"), "p_size").alias("point"), F.col("p_partkey").alias("chunk_id")))
 
 
 @query(f"WITH {EVIDENCE} SELECT DISTINCT a.doc_id, a.chunk_id AS src, a.question_id AS via, b.chunk_id AS dst FROM evidence a JOIN evidence b ON a.doc_id = b.doc_id AND a.question_id = b.question_id AND a.chunk_id <> b.chunk_id")

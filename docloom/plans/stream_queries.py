@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.plans.evaluation_queries import PAIR
 from docloom.plans.fixtures import TURNS
 from docloom.plans.registry import Tables, query
+from docloom.store import new_folder
 from docloom.streaming import requests as S
 
 
@@ -20,8 +18,7 @@ def stream(t: Tables, name: str) -> DataFrame:
 
 
 def once(t: Tables, df: DataFrame) -> DataFrame:
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="docloom-")
-    at = f"{base}/streams/{uuid.uuid4().hex}"
+    at = new_folder(t.spark, "streams")
     return S.run_once(df, f"{at}/checkpoint", f"{at}/out")
 
 
@@ -78,7 +75,13 @@ def stream_session_memory(t: Tables) -> DataFrame:
     return once(t, S.session_memory(stream(t, "conversations")))
 
 
-@query()
+@query(
+    """WITH RECURSIVE p AS (SELECT 'up' || user_id % 10 AS upstream, epoch_us(ts) / 1e6 AS tm, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) AS n FROM events),
+    f AS (SELECT upstream, n, bad::INT AS fails, -1e18::DOUBLE AS until, NULL::DOUBLE AS opened FROM p WHERE n = 1 UNION ALL
+      SELECT p.upstream, p.n, CASE WHEN paused THEN f.fails WHEN opens OR NOT p.bad THEN 0 ELSE f.fails + 1 END, CASE WHEN opens THEN p.tm + 30 ELSE f.until END, CASE WHEN opens THEN p.tm END
+      FROM f JOIN (SELECT * FROM p) p ON p.upstream = f.upstream AND p.n = f.n + 1, LATERAL (SELECT p.tm < f.until AS paused), LATERAL (SELECT NOT paused AND p.bad AND f.fails + 1 >= 3 AS opens))
+    SELECT upstream, round(opened, 6) AS unhealthy_from, round(opened + 30, 6) AS unhealthy_to FROM f WHERE opened IS NOT NULL"""
+)
 def cooldown_windows(t: Tables) -> DataFrame:
-    p = t.events.select(F.concat(F.lit("up"), F.col("user_id") % 10).alias("upstream"), _at().alias("at"), (F.col("event_type") == "error").alias("failed"))
-    return S.cooldown_windows(p)
+    p = t.events.select(F.concat(F.lit("up"), F.col("user_id") % 10).alias("upstream"), _at().alias("at"), (F.col("event_type") == "error").alias("failed"), "event_id")
+    return S.cooldown_windows(p).select("upstream", F.round("unhealthy_from", 6).alias("unhealthy_from"), F.round("unhealthy_to", 6).alias("unhealthy_to"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,13 +33,17 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def load_chunk_tables(spark: SparkSession, paths: list[str], schema: str = CHUNK_SCHEMA) -> DataFrame:
-    """Chunks of several manuals; of an id that comes twice the last file's row stays."""
-    parts = None
-    for i, p in enumerate(paths):
-        one = read_jsonl(spark, p, schema).withColumn("_file", F.lit(i))
-        parts = one if parts is None else parts.unionByName(one)
+    """Chunks of several manuals, in one scan; of an id that comes twice the last path's row stays. Missing paths are left out."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    there = [p for p in paths if (at := jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(conf).exists(at)]
+    if not there:
+        return spark.createDataFrame([], schema)
+    bare = lambda p: re.sub(r"^[a-z0-9]+:/*|^/*", "/", p)  # noqa: E731  a path without scheme
+    file = F.regexp_replace("_metadata.file_path", r"^[a-z0-9]+:/*|^/*", "/")
+    place = F.array_max(F.filter(F.transform(F.array(*[F.lit(bare(p)) for p in there]), lambda p, i: F.when(F.startswith(file, p), i)), lambda i: i.isNotNull()))
+    rows = spark.read.schema(schema).json(there).withColumn("_file", place)
     w = Window.partitionBy("chunk_id").orderBy(F.desc("_file"), F.desc("content_hash"))
-    return parts.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_file")
+    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_file")
 
 
 def write_chunks(chunks: DataFrame, path: str, mode: str = "append", fmt: str = "parquet") -> None:

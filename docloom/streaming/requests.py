@@ -9,11 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docloom.operators.lookup import CANDIDATES, KEPT, TTL_SECONDS
+from docloom.store import stored
 
 # Failures that make an upstream unhealthy, and seconds of its pause.
 ALLOWED_FAILS, COOLDOWN_SECONDS = 3, 30
@@ -146,11 +148,25 @@ def run_once(stream: DataFrame, checkpoint: str, out: str, mode: str = "append")
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
-def incremental_ingest(manuals: DataFrame, table: str, checkpoint: str, chunk: Callable[[DataFrame], DataFrame]) -> None:
-    """A stream of manuals (doc_id, md): chunks of each new file replace those of its doc_id in a parquet folder by doc_id."""
+def incremental_ingest(manuals: DataFrame, table: str, checkpoint: str, chunk: Callable[[DataFrame], DataFrame], version: str, buckets: int = 64) -> None:
+    """A stream of manuals (doc_id, md, <version>): chunks of each manual's newest version replace those of its doc_id in a parquet folder of
+    `buckets` buckets of ids. Of equal versions in a batch the greater text stays; a later batch always replaces an earlier one. Only the buckets that
+    a batch touches are written again."""
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
 
     def upsert(batch: DataFrame, epoch: int) -> None:
-        last = batch.dropDuplicates(["doc_id"])
-        chunk(last).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").parquet(table)
+        spark = batch.sparkSession
+        last = batch.groupBy("doc_id").agg(F.max(F.struct(version, "md")).alias("newest")).select("doc_id", "newest.*")
+        new = chunk(last).withColumn("bucket", bucket)
+        try:
+            old = spark.read.schema(new.schema).parquet(table)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            old = spark.createDataFrame([], new.schema)
+        ids = stored(last.select("doc_id"), "ingest_ids")
+        kept = old.join(ids.select(bucket.alias("bucket")).distinct(), "bucket", "left_semi").join(ids, "doc_id", "left_anti").select(*new.columns)
+        merged = stored(kept.unionByName(new), "ingest")
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
 
     manuals.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
