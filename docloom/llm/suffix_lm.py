@@ -6,10 +6,11 @@ that it gains `gain` nats or more over all its occurrences; suffixes of retained
 grows with the corpus. Distributions are smoothed towards the suffix's, up to the uniform one. A symbol's probability comes from the longest suffix of what precedes it that is a
 state of the tree.
 
-Nothing of the tree is held whole anywhere. A gram is a symbol with the `depth` symbols before it. The grams of all texts, with their
+A gram is a symbol with the `depth` symbols before it. The grams of all texts, with their
 training counts, are a table; each shorter context's counts, distributions and divergences are joins and groups of such tables, in which a key has 256 rows at most from the next
-longer ones. Texts are dealt to buckets of about BUCKET characters by a hash; the different grams of a bucket are looked up in the last table by a join, and meet the
-bucket's texts again in a sorted partition.
+longer ones. The last table has a probability for each gram. Up to FEW_GRAMS rows (36 MB) it is broadcast; a larger one never leaves the executors:
+texts are dealt to buckets of about BUCKET characters by a hash, the different grams of a bucket are looked up by a join, and meet the bucket's texts
+in a sorted partition. Both ways give the same scores.
 
 Beside it stands the base score of single words. Counts of all training words are
 a table; the `frequent` most common of up to LONGEST bytes are broadcast (20 MB at most), the others join by word.
@@ -22,8 +23,9 @@ model is uniform over 256 symbols; other columns are ignored, whatever their nam
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +41,11 @@ DEPTH = 5
 LEAST, GAIN = 4, 4.0
 #: Weight of the suffix's distribution, in counts for each different symbol that followed the context.
 PRIOR = 4.0
-#: Characters of text in a bucket, about.
-BUCKET = 16_000_000
+#: Grams up to which their probabilities are broadcast, and characters of text in a bucket, about, beyond.
+FEW_GRAMS = 3_000_000
+BUCKET = 32_000_000
+#: Different grams that a task holds before it hands them on.
+HELD = 4_000_000
 FREQUENT, LONGEST = 100_000, 64
 CHUNK = 1 << 20
 
@@ -70,7 +75,8 @@ def merged(tables: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def grams(docs: DataFrame, depth: int) -> DataFrame:
-    """docs (p, held, text), each p in one partition and in a row: (p, code, n) for each gram of a bucket; n is its count in training texts."""
+    """docs (p, held, text), each p in a row: (p, code, n) for the grams of each p in a task; n is a gram's count in training texts. Over HELD different grams
+    a p's rows come in several parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: int | None = None
@@ -107,6 +113,8 @@ def grams(docs: DataFrame, depth: int) -> DataFrame:
                 if held_back > CHUNK:
                     count()
                     held_back = 0
+                    if len(tables[0][0]) > HELD:
+                        yield from out()
         yield from out()
 
     return docs.select("p", "held", "text").mapInArrow(run, "p int, code long, n long")
@@ -168,20 +176,62 @@ def word_counts(train: DataFrame, text_col: str) -> DataFrame:
     return train.select(text_col).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+class GramTable:
+    """Logarithms by gram: a hash table with open addresses, looked up for whole arrays."""
+
+    EMPTY = -1
+
+    def __init__(self, codes: np.ndarray, logs: np.ndarray):
+        self.bits = max(4, (2 * len(codes)).bit_length())
+        self.keys = np.full(1 << self.bits, self.EMPTY, dtype=np.int64)
+        self.logs = np.zeros(1 << self.bits, dtype=np.float32)
+        left, step = np.arange(len(codes)), 0
+        while len(left):
+            at = self.place(codes[left], step)
+            free = np.flatnonzero(self.keys[at] == self.EMPTY)
+            _, first = np.unique(at[free], return_index=True)
+            chosen = free[first]
+            self.keys[at[chosen]], self.logs[at[chosen]] = codes[left[chosen]], logs[left[chosen]]
+            left, step = np.delete(left, chosen), step + 1
+        self.steps = step
+
+    def place(self, codes: np.ndarray, step: int) -> np.ndarray:
+        mixed = (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
+        return (mixed.astype(np.int64) + step) & ((1 << self.bits) - 1)
+
+    def total(self, codes: np.ndarray) -> float:
+        """Sum over grams, all of which the table has."""
+        at = self.place(codes, 0)
+        found = self.keys[at] == codes
+        out = float(self.logs[at[found]].sum(dtype=np.float64))
+        left = codes[~found]
+        for step in range(1, self.steps):
+            if not len(left):
+                return out
+            at = self.place(left, step)
+            found = self.keys[at] == left
+            out += float(self.logs[at[found]].sum(dtype=np.float64))
+            left = left[~found]
+        if len(left):
+            raise KeyError("a gram is not in the table")
+        return out
+
+
+#: The last broadcast table that a worker has laid out, by its name.
+_TABLES: dict[str, GramTable] = {}
+
+
 def score_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, frequent: int = FREQUENT) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark, id_type = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     held = split_no(F.col(id_col), 10) == 0
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held.alias("held"))
-    size = docs.agg(F.sum(F.length("text")).alias("chars"), F.count_if(~F.col("held")).alias("train")).first()
-    buckets = max(1, -(-(size["chars"] or 0) // BUCKET))
-    docs = docs.withColumn("p", F.pmod(F.xxhash64("id", "text"), F.lit(buckets)).cast("int"))
-    looked_for = saved(grams(docs.repartition(buckets, "p").sortWithinPartitions("p"), depth), "lookups")
-    known = tree_scores(looked_for.groupBy("code").agg(F.sum("n").alias("n")), depth)
-    found = looked_for.select("p", "code").join(known.withColumnRenamed("p", "likely"), "code").select("p", "code", F.log10("likely").cast("float").alias("log"))
+    counted = grams(docs.withColumn("p", F.lit(0)), depth).groupBy("code").agg(F.sum("n").alias("n"))
+    known = saved(tree_scores(counted, depth).select("code", F.log10("p").cast("float").alias("log")), "scores")
+    few = known.count() <= FEW_GRAMS
 
     vocab = saved(word_counts(docs.where("not held"), "text"), "words")
-    ends = size["train"]
+    ends = docs.where("not held").count()
     row = vocab.agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).first()
     v, n = row["v"] + (ends > 0), (row["n"] or 0) + ends
     base = n + 0.1 * (v + 1)
@@ -190,13 +240,61 @@ def score_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     common = spark.sparkContext.broadcast({bytes(r["word"]): log_of(r["n"]) for r in frequent_words})
     end_log, end_known = log_of(ends), int(ends > 0)
 
+    def scored_rows(texts: list[str | None], table: GramTable) -> list[tuple]:
+        get, out = common.value.get, []
+        for text in texts:
+            words = words_of(text)
+            mine = [get(w) for w in words]
+            rare = [w for w, x in zip(words, mine, strict=True) if x is None]
+            score = math.fsum(table.total(c) for c in codes_of(words, depth))
+            out.append((len(words) + 1, len(words) - len(rare) + end_known, math.fsum(x for x in mine if x is not None) + end_log, score, rare))
+        return out
+
+    def result(ids: pa.Array, held: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()))
+        cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([ids, held, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["id", "held", "n_tokens", "known", "part", "score", "rare"])
+
+    shape = f"id {id_type}, held boolean, n_tokens long, known long, part double, score double, rare array<binary>"
+    if few:
+        arrow = known.toArrow()
+        name = uuid.uuid4().hex
+        sent = spark.sparkContext.broadcast((arrow.column("code").to_numpy(), arrow.column("log").to_numpy()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if name not in _TABLES:
+                _TABLES.clear()
+                _TABLES[name] = GramTable(*sent.value)
+            for b in batches:
+                yield result(b.column(0), b.column(2), scored_rows(b.column(1).to_pylist(), _TABLES[name]))
+
+        scored = docs.select("id", "text", "held").mapInArrow(run, shape)
+    else:
+        scored = in_buckets(docs, known, depth, id_type, scored_rows, result, shape)
+    scored = saved(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    spread = scored.select("row", F.explode("rare").alias("word"))
+    more = spread.join(vocab, "word", "left").groupBy("row").agg(
+        F.sum(F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(base))).alias("rest"), F.count("n").alias("more")
+    )
+    return scored.join(more, "row", "left").select(
+        F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("part") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score",
+    )
+
+
+def in_buckets(docs: DataFrame, known: DataFrame, depth: int, id_type: str, scored_rows: Callable, result: Callable, shape: str) -> DataFrame:
+    """The scored texts, each bucket of which meets the part of the table known that it asks for."""
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = max(1, -(-chars // BUCKET))
+    docs = docs.withColumn("p", F.pmod(F.xxhash64("id", "text"), F.lit(buckets)).cast("int"))
+    asked = grams(docs.repartition(buckets, "p").sortWithinPartitions("p"), depth).select("p", "code")
+    found = asked.join(known, "code").select("p", "code", "log")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = common.value.get
-        now, parts, codes, logs = None, [], np.zeros(0, np.int64), np.zeros(0)
+        now, parts, table = None, [], None
         for b in batches:
             p, is_text = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
             edges = np.flatnonzero((p[1:] != p[:-1]) | (is_text[1:] != is_text[:-1])) + 1
-            out, rows = [], []
             for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), b.num_rows], strict=True):
                 if lo == hi:
                     continue
@@ -207,31 +305,12 @@ def score_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     continue
                 if parts:
                     codes, logs = (np.concatenate(x) for x in zip(*parts, strict=True))
-                    order = np.argsort(codes)
-                    codes, logs, parts = codes[order], logs[order].astype(np.float64), []
-                for i, text in enumerate(b.column(5).slice(lo, hi - lo).to_pylist(), lo):
-                    words = words_of(text)
-                    mine = [get(w) for w in words]
-                    rare = [w for w, x in zip(words, mine, strict=True) if x is None]
-                    score = math.fsum(float(logs[np.searchsorted(codes, c)].sum()) for c in codes_of(words, depth))
-                    rows.append(i)
-                    out.append((len(words) + 1, len(words) - len(rare) + end_known, math.fsum(x for x in mine if x is not None) + end_log, score, rare))
-            cols = list(zip(*out, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()))
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(4).take(at), b.column(6).take(at), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["id", "held", "n_tokens", "known", "part", "score", "rare"])
+                    codes, first = np.unique(codes, return_index=True)
+                    table, parts = GramTable(codes, logs[first]), []
+                yield result(b.column(4).slice(lo, hi - lo), b.column(6).slice(lo, hi - lo), scored_rows(b.column(5).slice(lo, hi - lo).to_pylist(), table))
 
     null = lambda kind: F.lit(None).cast(kind)
     tables = found.select("p", F.lit(False).alias("is_text"), "code", "log", null(id_type).alias("id"), null("string").alias("text"), null("boolean").alias("held"))
     texts = docs.select("p", F.lit(True).alias("is_text"), null("long").alias("code"), null("float").alias("log"), "id", "text", "held")
     meet = tables.unionByName(texts).repartition(buckets, "p").sortWithinPartitions("p", "is_text")
-    scored = meet.mapInArrow(run, f"id {id_type}, held boolean, n_tokens long, known long, part double, score double, rare array<binary>")
-    scored = saved(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    spread = scored.select("row", F.explode("rare").alias("word"))
-    more = spread.join(vocab, "word", "left").groupBy("row").agg(
-        F.sum(F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(base))).alias("rest"), F.count("n").alias("more")
-    )
-    return scored.join(more, "row", "left").select(
-        F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("part") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score",
-    )
+    return meet.mapInArrow(run, shape)
