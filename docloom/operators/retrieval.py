@@ -60,7 +60,7 @@ def bm25_index(corpus: DataFrame, tokens: Column, id_col: str = "chunk_id") -> B
     bags = corpus.select(F.col(id_col).alias("chunk_id"), tokens.alias("tokens"))
     postings = bags.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
     postings = stored(postings, "postings")
-    n = corpus.count()
+    n = corpus.select(id_col).count()
     words = postings.agg(F.sum("tf")).first()[0] or 0
     counts = stored(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms")
     raw = counts.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))

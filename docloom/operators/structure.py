@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as X
+from docloom.store import stored
 
 # Sizes of big, mid and small chunks (target, most tokens), and images in a small one.
 BIG, MID, SMALL = (900, 1200), (520, 760), (220, 320)
@@ -278,7 +279,7 @@ def big_entries(elements: DataFrame, size: tuple[int, int] = BIG) -> DataFrame:
     whole = Window.partitionBy(*keys, "group_no")
     total = F.floor(F.sum(F.length("markdown") + 2).over(whole) / 2) - 1 + 256 * F.sum(F.size("images")).over(whole)
     both = both.withColumn("oversized", (F.greatest(total, F.lit(1)) > most))
-    parts = F.when(~F.col("oversized") | (F.col("kind") == "heading"), F.array("markdown")).otherwise(split_element(F.col("kind"), F.col("markdown"), F.col("text"), most))
+    parts = F.when(~F.col("oversized") | (F.col("kind") == "heading"), F.array("markdown")).when(F.col("tokens").between(1, most), F.array("markdown")).otherwise(split_element(F.col("kind"), F.col("markdown"), F.col("text"), most))
     cut = both.select(*keys, "group_no", "oversized", *[f for f in fields if f not in ("markdown", "tokens", "text")], "text", F.size(parts).alias("n_parts"), F.posexplode(parts).alias("part_no", "markdown"))
     cut = cut.withColumn("text", F.when(F.col("n_parts") > 1, F.col("markdown")).otherwise(F.col("text"))).withColumn("tokens", X.markdown_tokens(F.col("markdown")))
     again = F.when(F.element_at("e", 1)["oversized"], split_oversized(F.transform("e", lambda x: F.struct(x["tokens"].alias("tokens"))), most)).otherwise(F.array_repeat(F.lit(0), F.size("e")))
@@ -306,7 +307,7 @@ def _level(entries: DataFrame, keys: list[str], size: tuple[int, int], name: str
     """Entries of a chunk, split where they are too large, packed into chunks one level down."""
     target, most = size
     own = [*ENTRY, "header_path"]
-    parts = split_element(F.col("kind"), F.col("markdown"), F.col("text"), most)
+    parts = F.when(F.col("tokens").between(1, most), F.array("markdown")).otherwise(split_element(F.col("kind"), F.col("markdown"), F.col("text"), most))
     cut = entries.select(*keys, F.struct(*[c for c in ("element_no", "part_no", "sub_no") if c in entries.columns]).alias("place"), *[c for c in own if c not in ("markdown", "tokens", "text")], "text", F.size(parts).alias("n"), F.posexplode(parts).alias("cut_no", "markdown"))
     cut = cut.withColumn("text", F.when(F.col("n") > 1, F.col("markdown")).otherwise(F.col("text"))).withColumn("tokens", X.markdown_tokens(F.col("markdown")))
     items = F.transform("e", lambda x: F.struct(x["tokens"].alias("tokens"), x["kind"].alias("kind"), F.size(x["images"]).alias("n_images")))
@@ -315,22 +316,24 @@ def _level(entries: DataFrame, keys: list[str], size: tuple[int, int], name: str
     return rows.withColumn("sub_no", F.row_number().over(at)).withColumnRenamed("group_no", name).drop("place", "cut_no")
 
 
-def chunk_tables(elements: DataFrame, big: tuple[int, int] = BIG, mid: tuple[int, int] = MID, small: tuple[int, int] = SMALL) -> dict[str, DataFrame]:
-    """Tables big, mid and small, with ids that carry the numbers of the chunks above."""
+def chunk_tables(elements: DataFrame, big: tuple[int, int] = BIG, mid: tuple[int, int] = MID, small: tuple[int, int] = SMALL, levels: tuple[str, ...] = ("big", "mid", "small")) -> dict[str, DataFrame]:
+    """Tables big, mid and small, or those levels of them, with ids that carry the numbers of the chunks above. What several levels need is written once."""
     four = lambda c: F.lpad(F.col(c).cast("string"), 4, "0")
     doc = F.col("doc_id").cast("string")
-    b = numbered(big_entries(elements, big), ["doc_id"], ["section_no", "coarse_no", "group_no"], "big_no")
+    b = stored(numbered(big_entries(stored(elements, "elements"), big), ["doc_id"], ["section_no", "coarse_no", "group_no"], "big_no"), "big_entries")
     m = _level(b, ["doc_id", "big_no"], mid, "mid_no")
+    m = stored(m, "mid_entries") if "small" in levels else m
     s = _level(m, ["doc_id", "big_no", "mid_no"], small, "small_no", SMALL_IMAGES)
     big_id = F.concat(doc, F.lit("_big_"), four("big_no"))
     mid_id = F.concat(doc, F.lit("_mid_"), four("big_no"), F.lit("_"), four("mid_no"))
     small_id = F.concat(doc, F.lit("_small_"), four("big_no"), F.lit("_"), four("mid_no"), F.lit("_"), four("small_no"))
-    return {
+    tables = {
         "big": roll(b, ["doc_id", "big_no"], ["section_no", "coarse_no", "group_no", "element_no", "part_no"]).withColumn("chunk_id", big_id),
         "mid": roll(m, ["doc_id", "big_no", "mid_no"], ["sub_no"]).withColumn("chunk_id", mid_id).withColumn("big_chunk_id", big_id),
         "small": roll(s, ["doc_id", "big_no", "mid_no", "small_no"], ["sub_no"]).withColumn("chunk_id", small_id).withColumn("big_chunk_id", big_id).withColumn("mid_chunk_id", mid_id)
         .withColumn("embedding_payload", X.embedding_payload(F.col("text"), F.col("images"))),
     }
+    return {level: tables[level] for level in levels}
 
 
 def incremental_chunks(old: DataFrame, new: DataFrame, id_col: str = "chunk_id", hash_col: str = "content_hash") -> DataFrame:

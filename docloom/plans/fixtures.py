@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.plans.registry import Tables
+from docloom.store import spread
 
 #: Markdown of a line, by its place in the document.
-MD_CASE = """CASE WHEN i % 12 = 0 THEN concat('# ', substr(line, 1, 40))
-     WHEN i % 4 = 0 THEN concat('## ', substr(line, 1, 40))
+MD_CASE = """CASE WHEN i % 12 = 0 THEN concat('# ', line)
+     WHEN i % 4 = 0 THEN concat('## ', line)
      WHEN i % 9 = 5 THEN concat('![fig](img/D', doc_id, '_', i, '.png)')
      WHEN i % 6 IN (1, 2) THEN concat('- ', line)
      ELSE line END"""
@@ -20,7 +21,7 @@ MD_LINES = f"""md_lines AS (
 
 
 def md_lines(t: Tables) -> DataFrame:
-    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
+    lines = spread(t.documents.select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
     return lines.select("doc_id", F.col("i").alias("line_no"), F.expr(MD_CASE).alias("md"))
 
 
@@ -28,9 +29,9 @@ MD_DOCS = MD_LINES + ", md_docs AS (SELECT doc_id, string_agg(md, chr(10) ORDER
 
 
 def md_docs(t: Tables) -> DataFrame:
-    """Whole markdown documents, made in place without a shuffle."""
+    """Whole markdown documents, made in place."""
     made = f"array_join(transform(split(text, '\\n', -1), (line, i) -> {MD_CASE}), '\\n')"
-    return t.documents.select("doc_id", F.expr(made).alias("md"))
+    return spread(t.documents.select("doc_id", "text")).select("doc_id", F.expr(made).alias("md"))
 
 
 TURNS = """turns AS (

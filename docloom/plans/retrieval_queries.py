@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators import retrieval as R
 from docloom.plans.registry import Tables, query
+from docloom.store import spread
 
 TOKENS = "CASE WHEN len(a) = 0 THEN [lower(v)] ELSE list_transform(a, lambda x: lower(x)) END"
 BAG = f"SELECT id, {TOKENS} AS tokens FROM (SELECT id, v, regexp_extract_all(v, '[A-Za-z0-9_]+') AS a FROM (SELECT {{id}} AS id, trim(regexp_replace({{text}}, '\\s+', ' ', 'g')) AS v FROM {{of}}))"
@@ -34,7 +35,7 @@ def hits(df: DataFrame, *more: str) -> DataFrame:
 
 
 def corpus(t: Tables) -> DataFrame:
-    return t.documents.select(F.col("doc_id").alias("chunk_id"), "text")
+    return spread(t.documents.select(F.col("doc_id").alias("chunk_id"), "text"))
 
 
 def asked(t: Tables) -> DataFrame:

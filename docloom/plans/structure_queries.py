@@ -88,7 +88,7 @@ def chunk_rollup(t: Tables) -> DataFrame:
 
 
 def chunk_rows(t: Tables, level: str) -> DataFrame:
-    c = S.chunk_tables(elements(t))[level]
+    c = S.chunk_tables(elements(t), levels=(level,))[level]
     ups = [u for u in ("big_chunk_id", "mid_chunk_id") if u in c.columns]
     return c.select("chunk_id", *ups, X.breadcrumb(F.col("header_path")).alias("header_path"), F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "token_count", "content_hash")
 
