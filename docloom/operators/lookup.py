@@ -59,7 +59,7 @@ def cache_entries(requests: DataFrame, ttl: int = TTL_SECONDS) -> DataFrame:
         F.concat(acc["hits"], F.array(acc["entry"].isNotNull() & (x["at"] - acc["entry"] < ttl))).alias("hits"),
     )
     hits = F.aggregate("rs", start, step, lambda acc: acc["hits"])
-    return r.select("key", F.inline(F.arrays_zip("rs", hits.alias("hit")))).select("rs.request_id", "key", "hit")
+    return r.select("key", F.inline_outer(F.arrays_zip("rs", hits.alias("hit")))).select("rs.request_id", "key", "hit")
 
 
 def resolve_images(refs: DataFrame, inventory: DataFrame) -> DataFrame:

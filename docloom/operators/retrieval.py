@@ -58,7 +58,9 @@ class Bm25Index:
 def bm25_index(corpus: DataFrame, tokens: Column, id_col: str = "chunk_id") -> Bm25Index:
     """Index of corpus; the inverse document frequency floors negative values at a share of the vocabulary's mean. The corpus is tokenized once."""
     bags = corpus.select(F.col(id_col).alias("chunk_id"), tokens.alias("tokens"))
-    postings = bags.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    # an outer generator, as the other has Spark tokenize once more for a filter on the number of tokens
+    rows = bags.select("chunk_id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term")).where("term IS NOT NULL")
+    postings = rows.groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
     postings = stored(postings, "postings")
     n = corpus.select(id_col).count()
     words = postings.agg(F.sum("tf")).first()[0] or 0
@@ -75,7 +77,7 @@ def top_k(scored: DataFrame, k: int, by: list[str] | None = None, key: str = "qu
 
 def bm25_scores(queries: DataFrame, index: Bm25Index) -> DataFrame:
     """queries (query_id, tokens): (query_id, chunk_id, score) of all chunks with a common term; repeated terms count again."""
-    asked = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    asked = queries.select("query_id", F.explode_outer("tokens").alias("term")).where("term IS NOT NULL").groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     found = asked.join(index.terms, "term").select("query_id", "term", (F.col("times") * F.col("idf") * (K1 + 1)).alias("weight")).join(index.postings, "term")
     part = F.col("weight") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(index.mean_length)))
     return found.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))

@@ -1,6 +1,7 @@
 """Markdown documents as tables of lines, sections, elements and three levels of chunks.
 
-All of it works per document on windows and folds; documents are never gathered. A line job knows
+All of it works per document on windows and folds; documents are never gathered. Arrays that are dear to make go through
+outer generators, as the others have Spark make them once more for a filter on their size. A line job knows
 ATX headings, fences, pipe tables, lists with lazy continuation, block quotes and paragraphs.
 """
 
@@ -20,7 +21,8 @@ SEPARATOR = 1
 
 
 def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "md") -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, "\r?\n", -1)).alias("line_no", "md"))
+    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode_outer(F.split(text_col, "\r?\n", -1)).alias("line_no", "md"))
+    return lines.where("line_no IS NOT NULL")
 
 
 def structured_lines(lines: DataFrame) -> DataFrame:
@@ -262,7 +264,7 @@ ENTRY = ("kind", "markdown", "text", "tokens", "images", "line_start", "line_end
 def _grouped(rows: DataFrame, keys: list[str], order: list[str], ids: Column, fields: list[str]) -> DataFrame:
     """rows with a group number: each key's rows in order are folded by `ids`, an expression over the array `e`."""
     e = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, *[f for f in fields if f not in order]))).alias("e"))
-    return e.select(*keys, F.inline(F.arrays_zip(F.col("e"), ids.alias("group_no")))).select(*keys, "e.*", "group_no")
+    return e.select(*keys, F.inline_outer(F.arrays_zip(F.col("e"), ids.alias("group_no")))).select(*keys, "e.*", "group_no")
 
 
 def big_entries(elements: DataFrame, size: tuple[int, int] = BIG) -> DataFrame:
@@ -280,7 +282,7 @@ def big_entries(elements: DataFrame, size: tuple[int, int] = BIG) -> DataFrame:
     total = F.floor(F.sum(F.length("markdown") + 2).over(whole) / 2) - 1 + 256 * F.sum(F.size("images")).over(whole)
     both = both.withColumn("oversized", (F.greatest(total, F.lit(1)) > most))
     parts = F.when(~F.col("oversized") | (F.col("kind") == "heading"), F.array("markdown")).when(F.col("tokens").between(1, most), F.array("markdown")).otherwise(split_element(F.col("kind"), F.col("markdown"), F.col("text"), most))
-    cut = both.select(*keys, "group_no", "oversized", *[f for f in fields if f not in ("markdown", "tokens", "text")], "text", F.size(parts).alias("n_parts"), F.posexplode(parts).alias("part_no", "markdown"))
+    cut = both.select(*keys, "group_no", "oversized", *[f for f in fields if f not in ("markdown", "tokens", "text")], "text", F.size(parts).alias("n_parts"), F.posexplode_outer(parts).alias("part_no", "markdown")).where("part_no IS NOT NULL")
     cut = cut.withColumn("text", F.when(F.col("n_parts") > 1, F.col("markdown")).otherwise(F.col("text"))).withColumn("tokens", X.markdown_tokens(F.col("markdown")))
     again = F.when(F.element_at("e", 1)["oversized"], split_oversized(F.transform("e", lambda x: F.struct(x["tokens"].alias("tokens"))), most)).otherwise(F.array_repeat(F.lit(0), F.size("e")))
     return _grouped(cut.withColumnRenamed("group_no", "coarse_no"), [*keys, "coarse_no"], ["element_no", "part_no"], again, ["element_no", "part_no", "oversized", "header_path", "title", *ENTRY])
@@ -308,7 +310,7 @@ def _level(entries: DataFrame, keys: list[str], size: tuple[int, int], name: str
     target, most = size
     own = [*ENTRY, "header_path"]
     parts = F.when(F.col("tokens").between(1, most), F.array("markdown")).otherwise(split_element(F.col("kind"), F.col("markdown"), F.col("text"), most))
-    cut = entries.select(*keys, F.struct(*[c for c in ("element_no", "part_no", "sub_no") if c in entries.columns]).alias("place"), *[c for c in own if c not in ("markdown", "tokens", "text")], "text", F.size(parts).alias("n"), F.posexplode(parts).alias("cut_no", "markdown"))
+    cut = entries.select(*keys, F.struct(*[c for c in ("element_no", "part_no", "sub_no") if c in entries.columns]).alias("place"), *[c for c in own if c not in ("markdown", "tokens", "text")], "text", F.size(parts).alias("n"), F.posexplode_outer(parts).alias("cut_no", "markdown")).where("cut_no IS NOT NULL")
     cut = cut.withColumn("text", F.when(F.col("n") > 1, F.col("markdown")).otherwise(F.col("text"))).withColumn("tokens", X.markdown_tokens(F.col("markdown")))
     items = F.transform("e", lambda x: F.struct(x["tokens"].alias("tokens"), x["kind"].alias("kind"), F.size(x["images"]).alias("n_images")))
     rows = _grouped(cut, keys, ["place", "cut_no"], pack_entries(items, target, most, images), ["place", "cut_no", *own])

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from docloom.plans.registry import Tables
 from docloom.store import spread
 
-#: Markdown of a line, by its place in the document.
-MD_CASE = """CASE WHEN i % 12 = 0 THEN concat('# ', line)
-     WHEN i % 4 = 0 THEN concat('## ', line)
+#: Markdown of a line, by its place in the document; short lines make headings.
+MD_CASE = """CASE WHEN i % 12 = 0 AND length(line) <= 60 THEN concat('# ', line)
+     WHEN i % 4 = 0 AND length(line) <= 60 THEN concat('## ', line)
      WHEN i % 9 = 5 THEN concat('![fig](img/D', doc_id, '_', i, '.png)')
      WHEN i % 6 IN (1, 2) THEN concat('- ', line)
      ELSE line END"""
@@ -21,7 +21,7 @@ MD_LINES = f"""md_lines AS (
 
 
 def md_lines(t: Tables) -> DataFrame:
-    lines = spread(t.documents.select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
+    lines = spread(t.documents.select("doc_id", "text")).select("doc_id", F.posexplode_outer(F.split("text", "\n", -1)).alias("i", "line")).where("i IS NOT NULL")
     return lines.select("doc_id", F.col("i").alias("line_no"), F.expr(MD_CASE).alias("md"))
 
 

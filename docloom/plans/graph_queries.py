@@ -10,7 +10,7 @@ from docloom.operators import lookup as L
 from docloom.plans.fixtures import MD_LINES, md_lines
 from docloom.plans.registry import Tables, query
 from docloom.plans.text_queries import IMG
-from docloom.store import new_folder
+from docloom.store import new_folder, spread
 
 EVIDENCE = "evidence AS (SELECT DISTINCT p_brand AS doc_id, l_orderkey AS question_id, p_partkey AS chunk_id FROM lineitem JOIN part ON p_partkey = l_partkey)"
 SEMANTIC = """sem AS (SELECT a.p_brand AS doc_id, a.p_partkey AS src, b.p_partkey AS dst FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type <> b.p_type
@@ -219,7 +219,7 @@ def evidence_to_chunks(t: Tables) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("doc_id").orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, -1)
-    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).withColumn("chunk_id", (F.col("i") + 1).cast("long"))
+    lines = spread(t.documents.select("doc_id", "text")).select("doc_id", F.posexplode_outer(F.split("text", "\n", -1)).alias("i", "line")).withColumn("chunk_id", (F.col("i") + 1).cast("long"))
     start = F.coalesce(F.sum(F.length("line") + 1).over(w), F.lit(0)) + 1
     spans = lines.select("doc_id", "chunk_id", start.alias("start"), F.length("line").alias("n")).where("n > 0").select("doc_id", "chunk_id", "start", (F.col("start") + F.col("n") - 1).alias("end"))
     return L.evidence_to_chunks(contained(t).select("doc_id", "ref_id", "start", "end"), spans)
@@ -229,7 +229,7 @@ def contained(t: Tables) -> DataFrame:
     """Passages of a stated set within documents, with their places. The passages go to every document as one array per block of 256."""
     b = t.benchmark.select(F.struct("item_id", F.col("text").alias("passage")).alias("b"), F.pmod(F.col("item_id"), F.lit(max(1, t.benchmark.count() // 256))).alias("block"))
     blocks = b.groupBy("block").agg(F.collect_list("b").alias("bs")).select("bs")
-    found = t.documents.crossJoin(blocks).select("doc_id", "text", F.inline(F.expr("filter(bs, b -> contains(text, b.passage))")))
+    found = spread(t.documents.select("doc_id", "text")).crossJoin(blocks).select("doc_id", "text", F.inline_outer(F.expr("filter(bs, b -> contains(text, b.passage))"))).where("passage IS NOT NULL")
     start = F.instr("text", F.col("passage"))
     return found.select("doc_id", F.col("item_id").alias("ref_id"), start.cast("long").alias("start"), (start + F.length("passage") - 1).cast("long").alias("end"))
 

@@ -84,7 +84,7 @@ def reset_session(t: Tables) -> DataFrame:
     return C.reset_session(t.conversations, 3).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {LINES} SELECT doc_id, line_no::BIGINT AS line_no, t1 AS h1, CASE WHEN p2 > p1 THEN t2 END AS h2 FROM pathed")
+@query(f"WITH {LINES} SELECT doc_id, line_no::BIGINT AS line_no, coalesce(t1, t2) AS h1, CASE WHEN p2 > p1 THEN t2 END AS h2 FROM pathed")
 def header_carry(t: Tables) -> DataFrame:
     x = S.structured_lines(md_lines(t))
     return x.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.try_element_at("header_path", F.lit(1)).alias("h1"), F.try_element_at("header_path", F.lit(2)).alias("h2"))

@@ -15,10 +15,11 @@ from docloom.operators import structure as S
 from docloom.plans.registry import Tables, query
 from docloom.plans.retrieval_queries import BM25, asked, index
 from docloom.plans.text_queries import norm
+from docloom.store import spread
 
 
 def numbered_parts(df: DataFrame, key: str, parts) -> DataFrame:
-    return df.select(key, F.posexplode(parts).alias("n", "part")).select(key, F.col("n").cast("long").alias("part_no"), F.md5("part").alias("md5"))
+    return spread(df).select(key, F.posexplode_outer(parts).alias("n", "part")).where("n IS NOT NULL").select(key, F.col("n").cast("long").alias("part_no"), F.md5("part").alias("md5"))
 
 
 RAGGED = "concat('|', p_name, '|', p_brand, '|\n|---|---|\n| ', p_type, ' |\n|a|b|', p_size, '|')"
@@ -113,7 +114,7 @@ def split_table_rows(t: Tables) -> DataFrame:
 def split_oversized(t: Tables) -> DataFrame:
     """The lines of every document as parts of an oversized group."""
     tokens = F.transform(F.split("text", "\n", -1), lambda x: F.struct(F.greatest(F.lit(1).cast("long"), F.floor(F.length(x) / 2)).alias("tokens")))
-    return t.documents.select("doc_id", F.posexplode(S.split_oversized(tokens, 150)).alias("i", "g")).select("doc_id", (F.col("i") + 1).cast("long").alias("line_no"), F.col("g").cast("long").alias("group_no"))
+    return t.documents.select("doc_id", F.posexplode_outer(S.split_oversized(tokens, 150)).alias("i", "g")).select("doc_id", (F.col("i") + 1).cast("long").alias("line_no"), F.col("g").cast("long").alias("group_no"))
 
 
 def replies(t: Tables) -> DataFrame:

@@ -22,7 +22,7 @@ LINES = f"""{MD_LINES},
       last_value(CASE WHEN level = 1 THEN line_no END IGNORE NULLS) OVER w AS p1, last_value(CASE WHEN level = 1 THEN title END IGNORE NULLS) OVER w AS t1,
       last_value(CASE WHEN level = 2 THEN line_no END IGNORE NULLS) OVER w AS p2, last_value(CASE WHEN level = 2 THEN title END IGNORE NULLS) OVER w AS t2,
       lag(kind) OVER w AS before FROM heads WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
-  pathed AS (SELECT *, CASE WHEN p2 > p1 THEN t1 || ' > ' || t2 ELSE t1 END AS path,
+  pathed AS (SELECT *, concat_ws(' > ', t1, CASE WHEN p2 > coalesce(p1, -1) THEN t2 END) AS path,
       sum((kind = 'heading' OR kind <> coalesce(before, ''))::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS block_no FROM lines)"""
 ELEMENTS = rf"""{LINES},
   blocks AS (SELECT doc_id, section_no, block_no, max(kind) AS kind, min(line_no) AS line_start, max(line_no) + 1 AS line_end, max(title) AS title,
@@ -37,7 +37,7 @@ def elements(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH {LINES} SELECT doc_id, section_no::BIGINT AS section_no, max(level)::BIGINT AS level, max(title) AS heading, max(CASE WHEN kind = 'heading' THEN path END) AS header_path,
+    f"""WITH {LINES} SELECT doc_id, section_no::BIGINT AS section_no, max(level)::BIGINT AS level, max(title) AS heading, coalesce(max(CASE WHEN kind = 'heading' THEN path END), '') AS header_path,
     min(line_no)::BIGINT AS line_start, (max(CASE WHEN kind <> 'blank' THEN line_no END) + 1)::BIGINT AS line_end FROM pathed GROUP BY doc_id, section_no"""
 )
 def section_table(t: Tables) -> DataFrame:

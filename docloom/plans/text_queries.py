@@ -78,7 +78,7 @@ def image_refs(t: Tables) -> DataFrame:
         SELECT doc_id, string_split(regexp_replace({norm('text')}, '([.!?。！？;；])\s+', '\1' || chr(1), 'g'), chr(1)) AS parts FROM documents)) WHERE s <> ''"""
 )
 def split_sentences(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.posexplode(X.split_sentences(F.col("text"))).alias("k", "sentence")).select(
+    return t.documents.select("doc_id", F.posexplode_outer(X.split_sentences(F.col("text"))).alias("k", "sentence")).where("k IS NOT NULL").select(
         "doc_id", F.col("k").cast("long").alias("sentence_no"), "sentence"
     )
 
@@ -90,7 +90,7 @@ def split_sentences(t: Tables) -> DataFrame:
 )
 def overlap_windows(t: Tables) -> DataFrame:
     v = F.replace("text", F.lit("\n"), F.lit(" "))
-    return t.documents.select("doc_id", F.posexplode(X.overlap_windows(v, 200, 20)).alias("i", "piece")).select(
+    return t.documents.select("doc_id", F.posexplode_outer(X.overlap_windows(v, 200, 20)).alias("i", "piece")).where("i IS NOT NULL").select(
         "doc_id", F.col("i").cast("long").alias("piece_no"), F.md5("piece").alias("piece_md5")
     )
 

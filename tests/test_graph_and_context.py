@@ -98,8 +98,16 @@ def test_context_budget(spark):
 def test_small_tables(spark):
     tags = A.missing_tags(spark.createDataFrame([("a", "<x>..</x><y>")], "name string, text string"), spark.createDataFrame([("a", "x"), ("a", "y"), ("a", "z"), ("b", "x")], "name string, tag string")).collect()
     assert sorted((r["name"], r["tag"], r["missing"], r["unclosed"]) for r in tags) == [("a", "y", False, True), ("a", "z", True, False), ("b", "x", True, False)]
-    d = spark.createDataFrame([(1, 1, "q", "按模式按钮即可", ["按钮"]), (1, 2, "q", "x" * 30, ["不重复", "指代"]), (1, 3, "q", "x" * 30, ["不重复"])], "dialogue int, turn int, question string, answer string, checks array<string>")
-    assert [r["ok"] for r in K.dialogue_checks(d).orderBy("turn").collect()] == [True, True, False]
     hits = spark.createDataFrame([(1, "c2", 2), (1, "c1", 1)], "query_id int, chunk_id string, rank int")
     rec = K.batch_records(spark.createDataFrame([(1,), (2,)], "query_id int"), hits, spark.createDataFrame([(1, "a", ["i"])], "query_id int, content string, images array<string>")).orderBy("query_id").collect()
     assert rec[0]["retrieved"] == ["c1", "c2"] and rec[0]["success"] and not rec[1]["success"] and rec[1]["retrieved"] == []
+
+
+def test_dialogue_checks(spark):
+    rows = [
+        (1, "ok", "", ["路由到手册"], True), (2, "", "", ["检索到片段"], True), (3, "滤网要洗", "", ["不重复"], False), (4, "滤网要洗, 其他也要", "", ["不重复"], True), (5, "x" * 200 + "滤网", "", ["不重复"], True),
+        (6, "短", "改写", ["指代消解"], True), (7, "短", "", ["消解"], False), (8, "长" * 51, "", ["指代"], True), (9, "PRESS it", "", ["按钮"], True), (10, "转动", "", ["模式"], False),
+        (11, "can RETURN it", "", ["退货"], True), (12, "退款", "", ["通用问题"], False), (13, "y" * 21, "", ["其他检查"], True), (14, "y" * 20, "", ["别的"], False), (15, "按" + "y" * 20, "", ["按钮", "别的"], True), (16, "按", "", ["按钮", "别的"], False),
+    ]
+    d = spark.createDataFrame([(1, n, a, r, c) for n, a, r, c, _ in rows], "dialogue long, turn long, answer string, rewritten string, checks array<string>")
+    assert [r["ok"] for r in K.dialogue_checks(d).orderBy("turn").collect()] == [ok for *_, ok in rows]

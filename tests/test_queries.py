@@ -78,12 +78,13 @@ def test_cooldown_stream_equals_batch(spark, tmp_path):
 
 
 def test_incremental_ingest(spark, tmp_path):
-    schema = "doc_id string, md string"
+    """The newest version of a manual in a batch stays, and a later batch replaces it; other manuals of its bucket are kept."""
+    schema = "doc_id string, md string, v long"
     chunk = lambda d: d.selectExpr("doc_id", "explode(split(md, ' ')) as w")
-    for n, rows in enumerate(([("a", "x y"), ("b", "z")], [("a", "q")])):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
-        S.incremental_ingest(spark.readStream.schema(schema).json(str(tmp_path / "in")), str(tmp_path / "t"), str(tmp_path / "c"), chunk)
-        assert n or spark.read.parquet(str(tmp_path / "t")).count() == 3
+    for n, rows in enumerate(([("a", "old", 1), ("a", "x y", 2), ("b", "z", 1), ("a", "older", 0)], [("a", "q", 0)])):
+        spark.createDataFrame(rows, schema).repartition(3).write.mode("append").json(str(tmp_path / "in"))
+        S.incremental_ingest(spark.readStream.schema(schema).json(str(tmp_path / "in")), str(tmp_path / "t"), str(tmp_path / "c"), chunk, "v", buckets=2)
+        assert n or sorted(r["w"] for r in spark.read.parquet(str(tmp_path / "t")).collect()) == ["x", "y", "z"]
     assert sorted((r["doc_id"], r["w"]) for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [("a", "q"), ("b", "z")]
 
 

@@ -84,4 +84,4 @@ def test_hooks(spark):
     assert all(r["rerank_score"] is None and r["attempts"] == 3 and "down" in r["error"] for r in bad)
     H.register(spark)
     got = spark.sql("SELECT * FROM chunk_text('One two. Three four. Five.', 6)").collect()
-    assert " ".join(r["piece"] for r in got) == "One two. Three four. Five."
+    assert [(r["piece_no"], r["piece"]) for r in got] == [(0, "One two."), (1, "Three four."), (2, "Five.")]
