@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_DIR: list[str] = []
+from docloom.store import new_folder
 
 #: A word, as all operators here take it: no ASCII white space inside.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,21 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one where it is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared
-    if not _OWN_DIR:
-        _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="docloom-"))
-    return _OWN_DIR[0]
-
-
 def saved(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, and survives lost executors."""
     spark = df.sparkSession
     small_batches(spark)
-    path = f"{scratch_dir(spark)}/docloom/{tag}-{uuid.uuid4().hex}"
+    path = new_folder(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -20,7 +20,7 @@ authors), and one per block (at most `max_blocks` plus one for each source). Sin
 
 Defined cases: a null text has size 0; null is a source of its own and stands
 last; documents of size 0 are drawn with their block at no cost; equal rows (same id, same text) are
-drawn alike; a null id is allowed; a very long document is drawn whole or not at all; documents with one hash stand in the order of their blocks; an empty table gives an empty result; all
+drawn alike; a null id is allowed; a very long document is drawn whole or not at all; documents with one hash stand in the order of their blocks; the last words of a source's target are sought in one task, among some LAST_DOCS documents; an empty table gives an empty result; all
 columns of the input are kept in mixed(), and the operator's own columns
 replace any of the same name.
 """

@@ -8,8 +8,9 @@ which every fifth is kept back to turn decision values into probabilities.
 
 Defined cases: null text counts as empty, and empty texts get a score; rows without a label or
 with a null one train nothing; with one class only, or none, every score is that class's share
-(0.5 without any); several labels of an id count as the least; repeated rows and null
-ids are kept; other columns are ignored.
+(0.5 without any); several labels of an id count as the least; texts of any length are read whole, in pieces; equal hashes in the
+sample go by id, then text; a score of just 0.3 is predicted 1; repeated rows and null
+ids are kept; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -471,6 +471,58 @@ def test_language_on_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_language_equals_a_plain_version(docs, rows):
+    """Counts, log-odds, scales, trust and decoding, with dictionaries and loops."""
+    letter = lambda b: b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32
+
+    def grams(text):
+        raw = [letter(b) for b in f" {text} ".encode()]
+        return [((raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 2654435761 % (1 << 32)) >> 17 for i in range(len(raw) - 2)]
+
+    train = [(t, lang) for i, t, lang, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1 and lang is not None]
+    languages = sorted({lang for _, lang in train})
+    counts = {lang: Counter() for lang in languages}
+    for t, lang in train:
+        counts[lang].update(grams(t))
+    size = {lang: sum(c.values()) + 0.5 * 32768 for lang, c in counts.items()}
+    share = lambda lang, g: (counts[lang][g] + 0.5) / size[lang]
+    code = langid.codewords(len(languages)).tolist()
+    bits = range(len(code[0]))
+    sides = [[[k for k, w in enumerate(code) if (w[j] > 0) == on] for on in (True, False)] for j in bits]
+    known = {}
+
+    def odds(g):
+        if g not in known:
+            x = [share(lang, g) for lang in languages]
+            mean = lambda ks, f: sum(f(x[k]) for k in ks) / len(ks)
+            known[g] = [math.log(mean(sides[j][0], float)) - math.log(mean(sides[j][1], float)) for j in bits]
+        return known[g]
+
+    def output(text):
+        gs = grams(text)
+        return [sum(odds(g)[j] for g in gs) / len(gs) for j in bits]
+
+    outs = {(t, lang): output(t) for t, lang in train}
+    distinct = {(i, t): (t, lang) for i, t, lang, _ in rows if (t, lang) in outs and zlib.crc32(str(i).encode()) % 3 != 1}
+    sample = [(outs[k], k[1]) for k in distinct.values()]
+    scale = [max(1e-6, float(np.median([abs(o[j]) for o, _ in sample]))) for j in bits]
+    trust = []
+    for k, lang in enumerate(languages):
+        mine = [o for o, x in sample if x == lang]
+        right = [max(0.01, sum(o[j] * code[k][j] > 0 for o in mine) / len(mine)) for j in bits]
+        trust.append([r / sum(right) for r in right])
+    got = {r["doc_id"]: r for r in langid.identify(docs).collect()}
+    for i, t, _, _ in rows:
+        if not any(c.isalpha() for c in t or ""):
+            assert got[i]["lang_pred"] == "und"
+            continue
+        o = [x / s for x, s in zip(output(t), scale, strict=True)]
+        d = [sum(trust[k][j] * max(0.0, 1 - code[k][j] * o[j]) for j in bits) for k in range(len(languages))]
+        e = [math.exp(-6 * (x - min(d))) for x in d]
+        best = d.index(min(d))
+        assert got[i]["lang_pred"] == languages[best] and abs(got[i]["score"] - e[best] / sum(e)) < 1e-3
+
+
 @pytest.mark.parametrize("n", [2, 4, 7, 12])
 def test_codewords_differ(n):
     code = langid.codewords(n)
@@ -487,6 +539,52 @@ def test_quality_on_held_out_rows(spark):
     assert all(r["predicted"] == int(r["score"] >= 0.3) for r in got)
 
 
+def test_quality_equals_a_plain_version(spark, docs, rows, sf):
+    """Features by sets, ratios by dictionaries, and scores of all rows from the fitted weights."""
+    labels = table(spark, sf, "labels")
+    marks = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5}
+
+    def plain(text):
+        raw = f" {text} ".encode()
+        found = {(int.from_bytes(raw[i : i + 3], "big") * 2654435761 % (1 << 32)) >> 16 for i in range(len(raw) - 2)}
+        found |= {((int.from_bytes(raw[i : i + 4], "big") * 0x9E3779B1 % (1 << 32)) ^ 0x55555555) >> 16 for i in range(len(raw) - 3)}
+        w = text.split()
+        share = sum(a == b for a, b in zip(w, w[1:], strict=False)) / len(w) if w else 0.0
+        return found | {quality.BUCKETS} | {quality.BUCKETS + 1 + k for k, step in enumerate(quality.REPEATS) if share > step}
+
+    own = {i: plain(t or "") for i, t, _, _ in rows}
+    counts = [Counter(), Counter()]
+    for i, mark in marks.items():
+        if i in own:
+            counts[mark].update(own[i])
+    total = [sum(c.values()) + quality.WIDTH for c in counts]
+    ratio = lambda f: 1.0 if f == quality.BUCKETS else math.log((counts[1][f] + 1) / total[1]) - math.log((counts[0][f] + 1) / total[0])
+    keep = "crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0"
+    model = quality.fit(docs.where(keep), labels.where(keep))
+    got = {r["doc_id"]: r for r in quality.classify(docs, labels).collect()}
+    for i, found in own.items():
+        v = {f: ratio(f) for f in found}
+        z = model.slope * sum(model.weights[f] * x for f, x in v.items()) / math.sqrt(sum(x * x for x in v.values())) + model.shift
+        assert abs(got[i]["score"] - 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))) < 1e-6
+        assert got[i]["predicted"] == int(got[i]["score"] >= 0.3)
+
+
+def test_dual_coordinate_descent_reaches_the_least_loss():
+    rng = np.random.default_rng(4)
+    rows = [np.sort(rng.choice(12, 5, replace=False)) for _ in range(120)]
+    y = np.where(np.array([r[0] + rng.integers(0, 4) for r in rows]) > 3, 1.0, -1.0)
+    x = np.zeros((120, 12))
+    for i, r in enumerate(rows):
+        x[i, r] = 1 / math.sqrt(5)
+    loss = lambda w: 0.5 * w @ w + np.maximum(0, 1 - y * (x @ w)).sum()
+    w = np.zeros(12)
+    best = loss(w)
+    for k in range(1, 20_000):
+        w = w - (w - ((y * (x @ w) < 1) * y) @ x) / k
+        best = min(best, loss(w))
+    assert loss(quality.dual_coordinate_descent(rows, y, np.ones(12), np.ones(120), rounds=200)) <= best * 1.001
+
+
 def test_dual_coordinate_descent_separates():
     rng = np.random.default_rng(0)
     rows, y = [], []
