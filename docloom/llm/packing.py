@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from docloom.llm.common import saved
 
 #: Distinct chunks of text whose ids a worker remembers; beyond, it forgets the later half.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 #: Text on which two encoders of one vocabulary must agree.
 PROBE = "It's 12 o'clock; élan vital!! naïve 中文 \U0001f44d  <|endoftext|> don't\n\n  x_y = {'a': [1, 2.50]}\t\x85 "
 #: Items in one group of one round.
