@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.text import truncate_ellipsis
+from docloom.functions.text import let, truncate_ellipsis
 
 RULE = "\n\n---\n\n"
 
@@ -42,9 +42,17 @@ def format_context(evidence: DataFrame, max_chars: int, language: str = "en") ->
         comma = F.when(F.size(acc["items"]) > 0, 1).otherwise(0)
         whole = F.to_json(item)
         room = F.lit(max_chars) - acc["used"] - comma
-        # one escape more or less moves the length: the longest cut that fits is sought among all lengths
-        lengths = F.sequence(F.lit(0), F.greatest(F.length(item["text"]) - 1, F.lit(0)))
-        best = F.array_max(F.filter(lengths, lambda n: (n > 0) & (F.length(with_text(item, _cut(item["text"], n))) <= room)))
+        # a longer cut never has shorter JSON, so the longest that fits is found by halving what is left of the lengths
+        fits_at = lambda n: F.length(with_text(item, _cut(item["text"], n))) <= room
+
+        def halve(at: Column, _: Column) -> Column:
+            upper, lower = lambda n: F.struct(n.alias("lo"), at["hi"].alias("hi")), lambda n: F.struct(at["lo"].alias("lo"), (n - 1).alias("hi"))
+            middle = F.floor((at["lo"] + at["hi"] + 1) / 2).cast("int")
+            return F.when(at["lo"] >= at["hi"], at).otherwise(let(middle, lambda n: F.when(fits_at(n), upper(n)).otherwise(lower(n))))
+
+        whole_range = F.struct(F.lit(0).alias("lo"), F.greatest(F.length(item["text"]) - 1, F.lit(0)).alias("hi"))
+        found = F.aggregate(F.sequence(F.lit(1), F.lit(31)), whole_range, halve, lambda at: at["lo"])
+        best = F.nullif(found, F.lit(0))
         cut = with_text(item, _cut(item["text"], best))
         fits = F.length(whole) <= room
         new = F.when(fits, whole).otherwise(cut)

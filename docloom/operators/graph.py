@@ -35,8 +35,9 @@ def question_edges(evidence: DataFrame) -> DataFrame:
     return evidence.select("doc_id", F.col("question_id").alias("src"), F.col("chunk_id").alias("dst"), F.lit("ANSWERS").alias("edge_type"), F.lit(CO_WEIGHT).alias("weight")).distinct()
 
 
-def co_evidence_edges(evidence: DataFrame, most_chunks: int | None = None) -> DataFrame:
-    """Both directions between chunks that answer one question of one document. `most_chunks` bounds a question's fan-out, by chunk id."""
+def co_evidence_edges(evidence: DataFrame, most_chunks: int | None = 200) -> DataFrame:
+    """Both directions between chunks that answer one question of one document. A question's fan-out is its first `most_chunks` chunks, by id, as
+    its edges grow with their square; None takes all."""
     e = evidence.select("doc_id", "question_id", "chunk_id").distinct()
     if most_chunks is not None:
         w = Window.partitionBy("doc_id", "question_id").orderBy("chunk_id")

@@ -130,10 +130,22 @@ def normalize_evidence_ref(t: Tables) -> DataFrame:
     return I.evidence_refs(refs).select("question_id", "file", *[F.col(c).cast("long").alias(c) for c in ("ref_no", "start_line", "end_line")])
 
 
-@query()
+@query(
+    f"""WITH {BM25}, its AS (SELECT query_id, rank, text, '{{"text":' || to_json(text)::VARCHAR || ',"source":' || to_json(source)::VARCHAR || '}}' AS item, ',"source":' || to_json(source)::VARCHAR || '}}' AS rest
+      FROM bm25 JOIN documents ON doc_id = chunk_id WHERE rank <= 5),
+    run AS (SELECT *, 31 + sum(length(item) + 1) OVER (PARTITION BY query_id ORDER BY rank) - 1 AS upto FROM its),
+    first AS (SELECT query_id, min(rank) AS rank FROM run WHERE upto > 3000 GROUP BY query_id),
+    last AS (SELECT query_id, rank, text, rest, 3000 - (upto - length(item)) - 8 - length(rest) - 2 - 3 AS room FROM run JOIN first USING (query_id, rank)),
+    chars AS (SELECT query_id, room, m, c, sum(CASE WHEN c IN ('"', chr(92), chr(10), chr(13), chr(9), chr(8), chr(12)) THEN 2 WHEN c < ' ' THEN 6 ELSE 1 END) OVER (PARTITION BY query_id ORDER BY m) AS wide
+      FROM (SELECT query_id, room, generate_subscripts(cs, 1) AS m, unnest(cs) AS c FROM (SELECT query_id, room, string_split(text, '') AS cs FROM last))),
+    cut AS (SELECT query_id, max(m) AS m FROM (SELECT query_id, m, room, max(CASE WHEN c <> ' ' THEN wide ELSE 0 END) OVER (PARTITION BY query_id ORDER BY m) AS w FROM chars) JOIN last l USING (query_id) WHERE w <= l.room AND m <= length(text) - 4 GROUP BY query_id),
+    kept AS (SELECT query_id, rank, item FROM run WHERE upto <= 3000 UNION ALL
+      SELECT query_id, rank, '{{"text":' || to_json(rtrim(substr(text, 1, coalesce(m, 0)), ' ') || '...')::VARCHAR || rest FROM last LEFT JOIN cut USING (query_id) WHERE room >= 0)
+    SELECT query_id, '{{"language":"en","evidence":[' || coalesce(string_agg(item, ',' ORDER BY rank), '') || ']}}' AS context FROM (SELECT DISTINCT query_id FROM its) LEFT JOIN kept USING (query_id) GROUP BY query_id"""
+)
 def format_context(t: Tables) -> DataFrame:
     x = bm25_hits(t).where("rank <= 5").join(t.documents, F.col("doc_id") == F.col("chunk_id"))
-    return K.format_context(x.select("query_id", "rank", F.struct(F.left("text", F.lit(800)).alias("text"), "source").alias("item")), 3000)
+    return K.format_context(x.select("query_id", "rank", F.struct("text", "source").alias("item")), 3000)
 
 
 CHECKS = "array('路由正确', '检索有结果', '不重复上文', '指代消解', '说明按钮', '退货政策', '其他', '通用问题')"

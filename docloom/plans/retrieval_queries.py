@@ -115,6 +115,14 @@ def ann_topk(t: Tables) -> DataFrame:
     return hits(R.ann_topk(query_vectors(t), vectors(t)))
 
 
+@query("SELECT count(*) AS n_queries, true AS recalled FROM embeddings WHERE vec_id % 20 = 0")
+def ann_recall(t: Tables) -> DataFrame:
+    """Whether the approximate search finds nine tenths and more of the exact one's hits."""
+    exact, found = dense_hits(t), R.ann_topk(query_vectors(t), vectors(t)).select("query_id", "chunk_id", F.lit(1).alias("found"))
+    share = exact.join(found, ["query_id", "chunk_id"], "left").groupBy("query_id").agg((F.count("found") / F.count(F.lit(1))).alias("recall"))
+    return share.agg(F.count(F.lit(1)).alias("n_queries"), (F.avg("recall") >= 0.9).alias("recalled"))
+
+
 @query(f"WITH {FUSED} SELECT {HITS}, dense_rank::BIGINT AS dense_rank, bm25_rank::BIGINT AS bm25_rank FROM fused")
 def rrf_fuse(t: Tables) -> DataFrame:
     fused = R.rrf_fuse({"dense": dense_hits(t), "bm25": bm25_hits(t)}, 20)
