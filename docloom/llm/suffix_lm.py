@@ -13,10 +13,10 @@ texts are dealt to buckets of about BUCKET characters by a hash, the different g
 in a sorted partition. Both ways give the same scores.
 
 Beside it stands the base score of single words. Counts of all training words are
-a table; the `frequent` most common of up to LONGEST bytes are broadcast (20 MB at most), the others join by word.
+a table; the most common of up to LONGEST bytes, `frequent` at most, are broadcast (20 MB at most), the others join by word.
 
 Defined cases: null text counts as empty and consists of its end; texts of any length are scored whole, in pieces; rows with a null id are training
-or held out as crc32 of an empty text says; repeated rows each get a row; words of equal count are taken as common in order; without training rows the
+or held out as crc32 of an empty text says; repeated rows each get a row; words of equal count are common together or not; without training rows the
 model is uniform over 256 symbols; other columns are ignored, whatever their names; an empty table gives no rows.
 """
 
@@ -176,6 +176,18 @@ def word_counts(train: DataFrame, text_col: str) -> DataFrame:
     return train.select(text_col).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(vocab: DataFrame, most: int) -> DataFrame:
+    """The words whose count is in the highest sixteenths of octaves, as many of these as hold `most` words together: no task sends more than its share."""
+    grade = F.floor(F.log2("n") * 16)
+    held, cut = 0, math.inf
+    for r in sorted(vocab.groupBy(grade.alias("grade")).agg(F.count(F.lit(1)).alias("words")).collect(), key=lambda r: -r["grade"]):
+        held += r["words"]
+        if held > most:
+            break
+        cut = r["grade"]
+    return vocab.where(grade >= F.lit(float(cut)))
+
+
 class GramTable:
     """Logarithms by gram: a hash table with open addresses, looked up for whole arrays."""
 
@@ -236,7 +248,7 @@ def score_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     v, n = row["v"] + (ends > 0), (row["n"] or 0) + ends
     base = n + 0.1 * (v + 1)
     log_of = lambda c: math.log10((c + 0.1) / base)
-    frequent_words = vocab.where(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(frequent).collect()
+    frequent_words = most_frequent(vocab.where(F.length("word") <= LONGEST), frequent).collect()
     common = spark.sparkContext.broadcast({bytes(r["word"]): log_of(r["n"]) for r in frequent_words})
     end_log, end_known = log_of(ends), int(ends > 0)
 
