@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: White space as a regular-expression class: ASCII and Unicode, as Python strips it.
 SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: The same characters, as a string.
+SPACES = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
 # Patterns of image links, list items and sentence ends.
 IMAGE = r"!\[[^\]]*\]\(([^)]+)\)"
 LIST_ITEM = r"^(\s*)([-+*]|\d+[.)])\s+"
@@ -21,7 +23,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def normalize_text(c: Column) -> Column:
