@@ -6,23 +6,19 @@ rows are dealt out. Ranks start at 1. Hit tables have query_id, chunk_id, rank a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import SPACE, let, strip
+from docloom.operators.vectors import RESCORED, CellIndex, block_product, candidates, cell_index
 from docloom.store import stored
 
 # Defaults of the scoring rule, of fusion, and of candidate numbers.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K, CHANNEL_WEIGHTS = 60, {"dense": 0.65, "bm25": 0.35}
 CANDIDATES, SMALL_TOP, MID_TOP, BIG_TOP = 20, 10, 5, 3
-#: Query vectors that one pass over the vectors scores.
-QUERY_BLOCK = 4096
 
 
 def tokenize(c: Column, words: Column | None = None, ngrams: bool = True) -> Column:
@@ -89,62 +85,27 @@ def bm25_topk(queries: DataFrame, index: Bm25Index, k: int = CANDIDATES) -> Data
 
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b))), F.lit(0.0))  # of a zero vector: 0
 
 
 def dense_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Cosine of every query of a stated set with every vector; (query_id, vector) against (chunk_id, vector).
-
-    The queries go to the vectors as one packed block per 256, so the set of vectors is not shuffled."""
-    blocks = queries.select(F.struct("query_id", F.col("vector").alias("qv")).alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(max(1, queries.count() // 256))).alias("block"))
-    blocks = blocks.groupBy("block").agg(F.collect_list("q").alias("qs")).select("qs")
-    return vectors.crossJoin(blocks).select("chunk_id", "vector", F.inline("qs")).select("query_id", "chunk_id", cosine(F.col("qv"), F.col("vector")).alias("score"))
+    """Cosine of every query of a stated set with every vector; (query_id, vector) against (chunk_id, vector)."""
+    return block_product(queries, vectors, None)
 
 
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES) -> DataFrame:
-    """Exact cosine top-k: query blocks of bounded size against all vectors by matrix products, top-k in each batch first."""
-    id_type = vectors.schema["chunk_id"].dataType.simpleString()
-    query_type = queries.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {query_type}, chunk_id {id_type}, score double"
-    n = queries.count()
-    parts = max(1, -(-n // QUERY_BLOCK))
-    out = None
-    for p in range(parts):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p).select("query_id", "vector").collect()
-        ids = [r["query_id"] for r in rows]
-        q = np.array([r["vector"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-
-        def run(batches: Iterator[pa.RecordBatch], q=q, ids=ids) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows or not ids:
-                    continue
-                v = np.array(b.column(1).to_pylist(), dtype=np.float64)
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                s = q @ v.T
-                m = min(k, s.shape[1])
-                # all that tie with the k-th stay, so that ties are settled by id later
-                cut = np.partition(np.round(s, 9), s.shape[1] - m, axis=1)[:, s.shape[1] - m]
-                r, c = np.nonzero(np.round(s, 9) >= cut[:, None])
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in r.tolist()]), b.column(0).take(pa.array(c)), pa.array(s[r, c])], ["query_id", "chunk_id", "score"])
-
-        found = vectors.select("chunk_id", "vector").mapInArrow(run, schema)
-        out = found if out is None else out.unionByName(found)
-    return top_k(out, k)
-
-
-def ann_topk(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, bucket: float = 1.2, tables: int = 6, reach: float = 1.35) -> DataFrame:
-    """Approximate top-k: random projections find candidates on unit vectors, exact cosine ranks them."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))))
-    left = queries.select("query_id", F.col("vector").alias("qv"), array_to_vector(unit(F.col("vector"))).alias("x"))
-    right = vectors.select("chunk_id", "vector", array_to_vector(unit(F.col("vector"))).alias("x"))
-    model = BucketedRandomProjectionLSH(inputCol="x", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=7).fit(right)
-    near = model.approxSimilarityJoin(left, right, reach)
-    scored = near.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.chunk_id").alias("chunk_id"), cosine(F.col("datasetA.qv"), F.col("datasetB.vector")).alias("score"))
-    return top_k(scored, k)
+    """Exact cosine top-k: each block of vectors and each block of queries meet once, in a matrix product that keeps its own top-k."""
+    return top_k(block_product(queries, vectors, k), k)
+
+
+def ann_topk(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, index: CellIndex | None = None, probes: int | None = None, rescored: int | None = None) -> DataFrame:
+    """Approximate top-k: candidates by cells and codes, `rescored` of each query's scored exactly. The index can be made once and given."""
+    index = index or cell_index(vectors, k)
+    if index is None:
+        return dense_topk(queries, vectors, k)
+    found = candidates(queries, index, rescored or RESCORED * k, probes)
+    pairs = found.join(queries.select("query_id", F.col("vector").alias("qv")), "query_id").join(index.vectors, "chunk_id")
+    return top_k(pairs.select("query_id", "chunk_id", cosine(F.col("qv"), F.col("vector")).alias("score")), k)
 
 
 def rrf_fuse(channels: dict[str, DataFrame], k: int, weights: dict[str, float] = CHANNEL_WEIGHTS, rrf_k: int = RRF_K) -> DataFrame:
