@@ -6,7 +6,8 @@ Candidates: a word's bigrams with their places are put in order of rarity over a
 third one has in the word, that one's other places. Of the first three, two that do not overlap are its pivots; dynamic programming over places takes the pair of least frequency. One edit spoils
 one of two disjoint bigrams at most, so of two near words the one whose third bigram is the rarer (or as rare) has a pivot in the other's prefix. Its place is bounded:
 equal in words of equal length, and up to one higher in the word that is longer by one. So bigram, length and place of the pivot are the
-join key; keys with over SPLIT pivots are split into blocks of pivots, to each of which the prefixes go. Pairs are verified in the join itself.
+join key; keys with over SPLIT pivots are split into blocks of pivots, to each of which the prefixes go. Pairs are verified in the join itself: by
+the letters they hold, as bits, then by their edit distance.
 
 Rarer bigrams also bound what a key holds, and as there are at most 90 * 90 of them their order is broadcast. A word's form has at least twice its count, so
 chains of forms are short; roots are found by doubling.
@@ -95,8 +96,18 @@ def signature(word: str, order: dict[str, tuple[int, int]]) -> tuple[int, list[t
     return last, [(word[p : p + 2], p) for p in pivots_of(first)], [(word[p : p + 2], p) for _, p, _ in prefix]
 
 
+def letter_mark(word: str) -> int:
+    """64 bits: which letters a word holds, and which of them an odd number of times. One edit changes two bits of either half at most."""
+    odd = held = 0
+    for c in word:
+        b = 1 << (ord(c) & 31)
+        odd ^= b
+        held |= b
+    return (held << 32 | odd) - (held >> 31 << 64)
+
+
 def index_rows(words: DataFrame) -> DataFrame:
-    """Rows (pivot, gram, len, place, last, word, n): of a pivot its own key, of a prefix's bigram each key that a near word's pivot can have."""
+    """Rows (pivot, gram, len, place, last, mark, word, n): of a pivot its own key, of a prefix's bigram each key that a near word's pivot can have."""
     grams = words.select(F.explode(F.expr("transform(sequence(1, char_length(word) - 1), i -> substring(word, i, 2))")).alias("gram")).groupBy("gram").count()
     order = {r["gram"]: (rank, r["count"]) for rank, r in enumerate(grams.orderBy("count", "gram").collect())}  # at most 90 * 90
     shared = words.sparkSession.sparkContext.broadcast(order)
@@ -107,15 +118,14 @@ def index_rows(words: DataFrame) -> DataFrame:
             out: list[tuple] = []
             for word, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 last, pivots, prefix = signature(word, order)
-                size = len(word)
-                out += [(True, g, size, p, last, word, n) for g, p in pivots]
-                out += [(False, g, size + more, p + by, last, word, n) for g, p in prefix for more, by in ((0, 0), (1, 0), (1, 1), (-1, 0), (-1, -1)) if p + by >= 0]
-            types = (pa.bool_(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["pivot", "gram", "len", "place", "last", "word", "n"]) if out else pa.RecordBatch.from_arrays(
-                [pa.array([], t) for t in types], ["pivot", "gram", "len", "place", "last", "word", "n"]
-            )
+                size, mark = len(word), letter_mark(word)
+                out += [(True, g, size, p, last, mark, word, n) for g, p in pivots]
+                out += [(False, g, size + more, p + by, last, mark, word, n) for g, p in prefix for more, by in ((0, 0), (1, 0), (1, 1), (-1, 0), (-1, -1)) if p + by >= 0]
+            columns = zip(*out, strict=True) if out else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types.values(), strict=True)], list(types))
 
-    return words.mapInArrow(run, "pivot boolean, gram string, len int, place int, last int, word string, n long")
+    types = {"pivot": pa.bool_(), "gram": pa.string(), "len": pa.int32(), "place": pa.int32(), "last": pa.int32(), "mark": pa.int64(), "word": pa.string(), "n": pa.int64()}
+    return words.mapInArrow(run, "pivot boolean, gram string, len int, place int, last int, mark long, word string, n long")
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
@@ -124,9 +134,9 @@ def near_pairs(words: DataFrame) -> DataFrame:
     rows = saved(index_rows(words), "grams")
     sizes = saved(rows.where("pivot").groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("blocks")), "keys")
     rows = rows.join(sized(sizes), key)
-    left = rows.where("pivot").select(*key, F.expr("cast(pmod(xxhash64(word), blocks) as int)").alias("block"), F.col("last").alias("la"), F.col("word").alias("a"), F.col("n").alias("na"))
-    right = rows.where("NOT pivot").select(*key, F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.col("last").alias("lb"), F.col("word").alias("b"), F.col("n").alias("nb"))
-    met = left.join(right, [*key, "block"]).where("la <= lb AND a <> b AND levenshtein(a, b, 1) = 1")
+    left = rows.where("pivot").select(*key, F.expr("cast(pmod(xxhash64(word), blocks) as int)").alias("block"), F.col("last").alias("la"), F.col("mark").alias("ma"), F.col("word").alias("a"), F.col("n").alias("na"))
+    right = rows.where("NOT pivot").select(*key, F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.col("last").alias("lb"), F.col("mark").alias("mb"), F.col("word").alias("b"), F.col("n").alias("nb"))
+    met = left.join(right, [*key, "block"]).where("la <= lb AND a <> b AND bit_count((ma ^ mb) & 4294967295L) <= 2 AND bit_count(shiftrightunsigned(ma ^ mb, 32)) <= 2 AND levenshtein(a, b, 1) = 1")
     pairs = met.select(F.least("a", "b").alias("a"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
     once = saved(pairs.distinct(), "near")
     return once.unionByName(once.select(F.col("b").alias("a"), F.col("nb").alias("na"), F.col("a").alias("b"), F.col("na").alias("nb")))
