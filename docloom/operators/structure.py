@@ -1,7 +1,7 @@
 """Markdown documents as tables of lines, sections, elements and three levels of chunks.
 
-All of it works per document on windows and folds; documents are never gathered. Arrays that are dear to make go through
-outer generators, as the others have Spark make them once more for a filter on their size. A line job knows
+All of it works per document on windows; documents are never gathered. Greedy packing is done by jumps: where the next group opens is found for every
+row at once, by running sums, and the openings that count are reached by jumps of doubling width. Arrays that are dear to make go through outer generators, as the others have Spark make them once more for a filter on their size. A line job knows
 ATX headings, fences, pipe tables, lists with lazy continuation, block quotes and paragraphs.
 """
 
@@ -210,82 +210,102 @@ def render_list(md: Column) -> Column:
     return F.array_join(F.aggregate(F.split(md, "\n"), start, step, lambda acc: acc["out"]), "\n")
 
 
-def pack_groups(items: Column, target: int, most: int) -> Column:
-    """Coarse groups: numbers of the group of each item. items: array of (tokens, kind). An item opens a new group where the current one
-    has reached the target or would pass `most` with it; images never do."""
-    start = F.struct(F.lit(0).cast("long").alias("cur"), F.array().cast("array<int>").alias("ids"))
-
-    def step(acc: Column, e: Column) -> Column:
-        last = F.coalesce(F.try_element_at(acc["ids"], F.lit(-1)), F.lit(0))
-        opens = (F.size(acc["ids"]) > 0) & (e["kind"] != "image") & ((acc["cur"] >= target) | (acc["cur"] + SEPARATOR + e["tokens"] > most))
-        return F.struct(F.when(opens, e["tokens"]).otherwise(acc["cur"] + e["tokens"]).alias("cur"), F.concat(acc["ids"], F.array(F.when(opens, last + 1).otherwise(last))).alias("ids"))
-
-    return F.aggregate(items, start, step, lambda acc: acc["ids"])
-
-
-def pack_entries(items: Column, target: int, most: int, images: int | None = None) -> Column:
-    """Groups of entries (tokens, kind, n_images): an entry opens a new one where the images pass their quota, the target is
-    reached (not for an image), or the tokens with a separator pass `most`."""
-    start = F.struct(F.lit(0).cast("long").alias("cur"), F.lit(0).alias("pics"), F.array().cast("array<int>").alias("ids"))
-
-    def step(acc: Column, e: Column) -> Column:
-        last = F.coalesce(F.try_element_at(acc["ids"], F.lit(-1)), F.lit(0))
-        over = (acc["cur"] >= target) & (e["kind"] != "image") | (acc["cur"] + SEPARATOR + e["tokens"] > most)
-        if images is not None:
-            over = over | (acc["pics"] + e["n_images"] > images)
-        opens = (F.size(acc["ids"]) > 0) & over
-        fresh = opens | (F.size(acc["ids"]) == 0)
-        return F.struct(
-            F.when(fresh, e["tokens"]).otherwise(acc["cur"] + SEPARATOR + e["tokens"]).alias("cur"),
-            F.when(fresh, e["n_images"]).otherwise(acc["pics"] + e["n_images"]).alias("pics"),
-            F.concat(acc["ids"], F.array(F.when(opens, last + 1).otherwise(last))).alias("ids"),
-        )
-
-    return F.aggregate(items, start, step, lambda acc: acc["ids"])
-
-
-def split_oversized(items: Column, most: int) -> Column:
-    """Groups of parts (tokens): a part opens a new group where it would pass `most` and itself fits; a group that reaches `most` closes."""
-    start = F.struct(F.lit(0).cast("long").alias("cur"), F.lit(0).alias("next"), F.lit(True).alias("empty"), F.array().cast("array<int>").alias("ids"))
-
-    def step(acc: Column, e: Column) -> Column:
-        flush = ~acc["empty"] & (acc["cur"] + SEPARATOR + e["tokens"] > most) & (e["tokens"] <= most)
-        group = F.when(flush, acc["next"] + 1).otherwise(acc["next"])
-        cur = F.when(flush | acc["empty"], e["tokens"]).otherwise(acc["cur"] + SEPARATOR + e["tokens"])
-        full = cur >= most
-        return F.struct(F.when(full, F.lit(0).cast("long")).otherwise(cur).alias("cur"), F.when(full, group + 1).otherwise(group).alias("next"), full.alias("empty"), F.concat(acc["ids"], F.array(group)).alias("ids"))
-
-    return F.aggregate(items, start, step, lambda acc: acc["ids"])
+def _first(key: str, total: str, reach: int, with_it: bool) -> Column:
+    """Place of the first row whose sum before it (with_it: whose sum with it) is `reach` more than the own sum before; n where there is none. Sums only
+    grow, so the rows below that bound are counted instead of searched, by a frame that slides along."""
+    below = F.count(F.lit(1)).over(Window.partitionBy(key).orderBy(total).rangeBetween(Window.unboundedPreceding, reach - 1))
+    if not with_it:
+        return below
+    return F.when((below < F.col("n")) | (F.col(f"{total}_all") >= F.col(total) + reach), below - 1).otherwise(F.col("n"))
+
+
+def group_numbers(follows: Column) -> Column:
+    """Numbers of the groups of a key's rows, from each row's `follows`: where the next group would open if one opened here. Jumps of doubling width are laid
+    out as arrays, and the d-th opening is found by the bits of d."""
+    size = F.size(follows)
+    at = lambda jumps, v: F.when(v >= size, size).otherwise(F.get(jumps, v))
+    double = lambda all_jumps, k: X.let(F.get(all_jumps, k - 1), lambda last: F.concat(all_jumps, F.array(F.transform(last, lambda v: at(last, v)))))
+    levels = F.ceil(F.log2(size)).cast("int")
+    jumps = F.aggregate(F.sequence(F.lit(1), levels), F.array(follows), double)
+    opening = lambda js, d: F.aggregate(F.sequence(F.lit(0), F.size(js) - 1), F.lit(0), lambda v, k: F.when(F.getbit(d, k) == 1, at(F.get(js, k), v)).otherwise(v))
+    openings = X.let(jumps, lambda js: F.filter(F.transform(F.sequence(F.lit(0), size - 1), lambda d: opening(js, d)), lambda v: v < size))
+    spread_out = X.let(openings, lambda os: F.flatten(F.transform(os, lambda o, g: F.array_repeat(g, F.coalesce(F.get(os, g + 1), size) - o))))
+    return F.when(size == 1, F.array(F.lit(0))).otherwise(spread_out)
+
+
+def _cut(rows: DataFrame, keys: list[str], order: list[str], separator: int, reaches: dict[str, tuple[str, int, bool]], follows) -> DataFrame:
+    """rows with group_no. Sums and places are windows over numbers only; `follows` (rows of a key, row) gives the place of the next opening."""
+    placed = rows.withColumn("_key", F.struct(*keys)).withColumn("_pos", F.row_number().over(Window.partitionBy("_key").orderBy(*order)) - 1)
+    pictures = F.size("images") if "images" in rows.columns else F.lit(0)
+    text = F.col("kind") != "image" if "kind" in rows.columns else F.lit(True)
+    x = placed.select("_key", F.col("_pos").alias("pos"), "tokens", pictures.alias("pictures"), text.alias("text"))
+    past = Window.partitionBy("_key").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy("_key")
+    x = x.withColumn("n", F.count(F.lit(1)).over(whole).cast("int"))
+    for name, of in (("sums", F.col("tokens") + separator), ("pics", F.col("pictures").cast("long"))):
+        x = x.withColumn(f"{name}_end", F.sum(of).over(past)).withColumn(name, F.col(f"{name}_end") - of).withColumn(f"{name}_all", F.sum(of).over(whole))
+    ahead = Window.partitionBy("_key").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = x.withColumn("text_at", F.coalesce(F.min(F.when(F.col("text"), F.col("pos"))).over(ahead), F.col("n")))
+    for name, (total, reach, with_it) in reaches.items():
+        x = x.withColumn(name, _first("_key", total, reach, with_it).cast("int"))
+    of_key = x.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("pos", "n", "tokens", "sums", "sums_end", "text_at", *reaches))).alias("e"))
+    cut = of_key.select("_key", X.let(F.transform("e", lambda r: follows(F.col("e"), r)), group_numbers).alias("groups"))
+    return placed.join(cut, "_key").withColumn("group_no", F.element_at("groups", F.col("_pos") + 1)).drop("_key", "_pos", "groups")
+
+
+def _next_text(e: Column, r: Column, at: Column) -> Column:
+    """The first row from `at` on that is no image."""
+    return F.when(at >= r["n"], r["n"]).otherwise(F.get(e, at)["text_at"])
+
+
+def pack_groups(rows: DataFrame, keys: list[str], order: list[str], target: int, most: int) -> DataFrame:
+    """rows (tokens, kind) with group_no, coarse groups: a row opens a new one where the current has reached the target or would pass `most` with it
+    and a separator; images never do."""
+    after = lambda r: F.greatest(F.least(r["reached"], r["passed"]), r["pos"] + 1)
+    return _cut(rows, keys, order, 0, {"reached": ("sums", target, False), "passed": ("sums", most - SEPARATOR + 1, True)}, lambda e, r: _next_text(e, r, after(r)))
+
+
+def pack_entries(rows: DataFrame, keys: list[str], order: list[str], target: int, most: int, images: int | None = None) -> DataFrame:
+    """rows (tokens, kind, images) with group_no: an entry opens a new group where the images pass their quota, the target is
+    reached (not for an image), or the tokens with separators pass `most`."""
+    reaches = {"reached": ("sums", target + SEPARATOR, False), "passed": ("sums", most + SEPARATOR + 1, True)}
+    if images is not None:
+        reaches["pictured"] = ("pics", images + 1, True)
+    after = lambda r, c: F.greatest(r[c], r["pos"] + 1)
+    return _cut(rows, keys, order, SEPARATOR, reaches, lambda e, r: F.least(_next_text(e, r, after(r, "reached")), *[after(r, c) for c in reaches if c != "reached"]))
+
+
+def split_oversized(rows: DataFrame, keys: list[str], order: list[str], most: int) -> DataFrame:
+    """rows (tokens) with group_no: a part opens a new group where it would pass `most` and itself fits; a group that reaches `most` closes."""
+
+    def follows(e: Column, r: Column) -> Column:
+        at = F.greatest(r["full"], r["pos"])
+        passes = lambda x: (x["sums_end"] - r["sums"] > most + SEPARATOR) & (x["tokens"] <= most)
+        return F.when(at >= r["n"], r["n"]).otherwise(F.when((at > r["pos"]) & passes(F.get(e, at)), at).otherwise(at + 1))
+
+    return _cut(rows, keys, order, SEPARATOR, {"full": ("sums", most + SEPARATOR, True)}, follows)
 
 
 ENTRY = ("kind", "markdown", "text", "tokens", "images", "line_start", "line_end")
 
 
-def _grouped(rows: DataFrame, keys: list[str], order: list[str], ids: Column, fields: list[str]) -> DataFrame:
-    """rows with a group number: each key's rows in order are folded by `ids`, an expression over the array `e`."""
-    e = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, *[f for f in fields if f not in order]))).alias("e"))
-    return e.select(*keys, F.inline_outer(F.arrays_zip(F.col("e"), ids.alias("group_no")))).select(*keys, "e.*", "group_no")
-
-
 def big_entries(elements: DataFrame, size: tuple[int, int] = BIG) -> DataFrame:
     """Entries with section_no and group_no of their big chunk. The heading goes with its section's first group; a group that is then
     too large has its elements split and packed again."""
     target, most = size
     keys, order = ["doc_id", "section_no"], ["element_no"]
     fields = [*order, "header_path", "title", *ENTRY]
-    body = elements.where("kind <> 'heading'")
-    items = F.transform("e", lambda x: F.struct(x["tokens"].alias("tokens"), x["kind"].alias("kind")))
-    packed = _grouped(body, keys, order, pack_groups(items, target, most), fields)
+    packed = pack_groups(elements.where("kind <> 'heading'").select(*keys, *fields), keys, order, target, most)
     heads = elements.where("kind = 'heading'").select(*keys, *fields, F.lit(0).alias("group_no"))
     both = packed.select(*keys, *fields, "group_no").unionByName(heads)
     whole = Window.partitionBy(*keys, "group_no")
     total = F.floor(F.sum(F.length("markdown") + 2).over(whole) / 2) - 1 + 256 * F.sum(F.size("images")).over(whole)
     both = both.withColumn("oversized", (F.greatest(total, F.lit(1)) > most))
     parts = F.when(~F.col("oversized") | (F.col("kind") == "heading"), F.array("markdown")).when(F.col("tokens").between(1, most), F.array("markdown")).otherwise(split_element(F.col("kind"), F.col("markdown"), F.col("text"), most))
-    cut = both.select(*keys, "group_no", "oversized", *[f for f in fields if f not in ("markdown", "tokens", "text")], "text", F.size(parts).alias("n_parts"), F.posexplode_outer(parts).alias("part_no", "markdown")).where("part_no IS NOT NULL")
+    cut = both.select(*keys, F.col("group_no").alias("coarse_no"), "oversized", *[f for f in fields if f not in ("markdown", "tokens", "text")], "text", F.size(parts).alias("n_parts"), F.posexplode_outer(parts).alias("part_no", "markdown")).where("part_no IS NOT NULL")
     cut = cut.withColumn("text", F.when(F.col("n_parts") > 1, F.col("markdown")).otherwise(F.col("text"))).withColumn("tokens", X.markdown_tokens(F.col("markdown")))
-    again = F.when(F.element_at("e", 1)["oversized"], split_oversized(F.transform("e", lambda x: F.struct(x["tokens"].alias("tokens"))), most)).otherwise(F.array_repeat(F.lit(0), F.size("e")))
-    return _grouped(cut.withColumnRenamed("group_no", "coarse_no"), [*keys, "coarse_no"], ["element_no", "part_no"], again, ["element_no", "part_no", "oversized", "header_path", "title", *ENTRY])
+    cut = stored(cut.drop("n_parts"), "big_parts")
+    return split_oversized(cut.where("oversized"), [*keys, "coarse_no"], ["element_no", "part_no"], most).unionByName(cut.where("NOT oversized").withColumn("group_no", F.lit(0)))
 
 
 def roll(entries: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -312,8 +332,7 @@ def _level(entries: DataFrame, keys: list[str], size: tuple[int, int], name: str
     parts = F.when(F.col("tokens").between(1, most), F.array("markdown")).otherwise(split_element(F.col("kind"), F.col("markdown"), F.col("text"), most))
     cut = entries.select(*keys, F.struct(*[c for c in ("element_no", "part_no", "sub_no") if c in entries.columns]).alias("place"), *[c for c in own if c not in ("markdown", "tokens", "text")], "text", F.size(parts).alias("n"), F.posexplode_outer(parts).alias("cut_no", "markdown")).where("cut_no IS NOT NULL")
     cut = cut.withColumn("text", F.when(F.col("n") > 1, F.col("markdown")).otherwise(F.col("text"))).withColumn("tokens", X.markdown_tokens(F.col("markdown")))
-    items = F.transform("e", lambda x: F.struct(x["tokens"].alias("tokens"), x["kind"].alias("kind"), F.size(x["images"]).alias("n_images")))
-    rows = _grouped(cut, keys, ["place", "cut_no"], pack_entries(items, target, most, images), ["place", "cut_no", *own])
+    rows = pack_entries(stored(cut, f"{name}_parts"), keys, ["place", "cut_no"], target, most, images).drop("n")
     at = Window.partitionBy(*keys).orderBy("place", "cut_no")
     return rows.withColumn("sub_no", F.row_number().over(at)).withColumnRenamed("group_no", name).drop("place", "cut_no")
 

@@ -113,8 +113,9 @@ def split_table_rows(t: Tables) -> DataFrame:
 )
 def split_oversized(t: Tables) -> DataFrame:
     """The lines of every document as parts of an oversized group."""
-    tokens = F.transform(F.split("text", "\n", -1), lambda x: F.struct(F.greatest(F.lit(1).cast("long"), F.floor(F.length(x) / 2)).alias("tokens")))
-    return t.documents.select("doc_id", F.posexplode_outer(S.split_oversized(tokens, 150)).alias("i", "g")).select("doc_id", (F.col("i") + 1).cast("long").alias("line_no"), F.col("g").cast("long").alias("group_no"))
+    lines = spread(t.documents).select("doc_id", F.posexplode_outer(F.split("text", "\n", -1)).alias("i", "line")).where("i IS NOT NULL")
+    parts = lines.select("doc_id", (F.col("i") + 1).cast("long").alias("line_no"), F.greatest(F.lit(1).cast("long"), F.floor(F.length("line") / 2)).alias("tokens"))
+    return S.split_oversized(parts, ["doc_id"], ["line_no"], 150).select("doc_id", "line_no", F.col("group_no").cast("long").alias("group_no"))
 
 
 def replies(t: Tables) -> DataFrame:

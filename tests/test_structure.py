@@ -106,9 +106,43 @@ def test_chunks_nest_and_cover(spark):
         assert squeeze("".join(r["markdown"] for r in sorted(t[level], key=lambda r: r["chunk_id"]))) == words
 
 
+def packed(spark, rows, pack, *sizes):
+    """Group numbers of rows (tokens, kind, pictures) of one key, in their order."""
+    made = [(None, i, n, k, ["x"] * p) for i, (n, k, p) in enumerate(rows)]
+    df = spark.createDataFrame(made, "doc_id string, at int, tokens long, kind string, images array<string>").repartition(3)
+    return [r["group_no"] for r in sorted(pack(df, ["doc_id"], ["at"], *sizes).collect(), key=lambda r: r["at"])]
+
+
+def walked(rows, rule):
+    """rule: one of the three packings, said as a walk over the rows."""
+    out, cur, pics, group, empty = [], 0, 0, 0, True
+    for n, kind, p in rows:
+        opens, n_cur, closes = rule(cur, pics, n, kind, p, empty)
+        group += opens and not empty
+        cur, pics = n_cur if not (opens or empty) else n, p if opens or empty else pics + p
+        empty = False
+        out.append(group)
+        if closes and (n if cur == n else cur) >= closes:
+            group, empty, cur, pics = group + 1, True, 0, 0
+    return out
+
+
 def test_pack_groups_rule(spark):
-    items = F.array(*[F.struct(F.lit(n).cast("long").alias("tokens"), F.lit(k).alias("kind")) for n, k in ((5, "p"), (4, "p"), (3, "p"), (50, "image"), (1, "p"))])
-    assert run(spark, S.pack_groups(items, 8, 10)) == [0, 0, 1, 1, 2]
-    parts = F.array(*[F.struct(F.lit(n).cast("long").alias("tokens")) for n in (4, 4, 12, 3, 10)])
-    assert run(spark, S.split_oversized(parts, 10)) == [0, 0, 0, 1, 2]
+    assert packed(spark, [(5, "p", 0), (4, "p", 0), (3, "p", 0), (50, "image", 0), (1, "p", 0)], S.pack_groups, 8, 10) == [0, 0, 1, 1, 2]
+    assert packed(spark, [(n, "p", 0) for n in (4, 4, 12, 3, 10)], S.split_oversized, 10) == [0, 0, 0, 1, 2]
     assert run(spark, X.breadcrumb(F.array(F.lit("a"), F.lit(" "), F.lit("b")))) == "a > b"
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 33, 3000])
+def test_jumps_equal_a_walk(spark, n):
+    """Empty rows, rows above every limit, images at the ends; the key is null."""
+    import random
+
+    rng = random.Random(n)
+    rows = [(rng.choice([0, 1, 3, 5, 9, 40]), rng.choice(["p", "p", "image"]), rng.randint(0, 2)) for _ in range(n)]
+    groups = lambda cur, pics, t, k, p, empty: (k != "image" and (cur >= 12 or cur + 1 + t > 20), cur + t, None)
+    entries = lambda cur, pics, t, k, p, empty: (cur >= 12 and k != "image" or cur + 1 + t > 20 or pics + p > 3, cur + 1 + t, None)
+    pieces = lambda cur, pics, t, k, p, empty: (cur + 1 + t > 20 and t <= 20, cur + 1 + t, 20)
+    assert packed(spark, rows, S.pack_groups, 12, 20) == walked(rows, groups)
+    assert packed(spark, rows, S.pack_entries, 12, 20, 3) == walked(rows, entries)
+    assert packed(spark, rows, S.split_oversized, 20) == walked(rows, pieces)
