@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from docloom.functions import text as X
+from docloom.store import stored
 
 # Life of a cache entry, candidates looked at, entries kept.
 TTL_SECONDS, CANDIDATES, KEPT = 3600, 5, 50
+#: Words of a run that passages are found by, runs up to which they are broadcast (numbers only), and what is between words.
+GRAM, FEW, GAP = 3, 2_000_000, r"\s+"
 
 
 def evidence_to_chunks(evidence: DataFrame, spans: DataFrame, bin_size: int = 512) -> DataFrame:
@@ -20,6 +26,60 @@ def evidence_to_chunks(evidence: DataFrame, spans: DataFrame, bin_size: int = 51
     return e.join(s, ["doc_id", "bin"]).where((F.col("es") <= F.col("se")) & (F.col("ee") >= F.col("ss")) & (F.col("bin") == first)).select("doc_id", "ref_id", "chunk_id")
 
 
+def _inner(text: Column) -> Column:
+    """Words of a text but for the first and the last, which can be parts of words elsewhere."""
+    return X.let(F.split(text, GAP, -1), lambda ws: F.slice(ws, 2, F.greatest(F.size(ws) - 2, F.lit(0))))
+
+
+def _grams(words: Column, n: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.xxhash64(F.array_join(F.slice(words, i, n), " "), F.lit(n)))
+
+
+def passages_in(texts: DataFrame, passages: DataFrame) -> DataFrame:
+    """texts (doc_id, text) and passages (ref_id, passage): (doc_id, ref_id, start, end) of every occurrence, overlapping ones too; places from 1, end inclusive.
+
+    Of each passage the rarest run of GRAM words inside it, or the rarest word where there are fewer, is the key by which texts are found; runs are
+    counted in the texts themselves, those of no passage go before any shuffle as far as the passages' runs are few. Found texts are verified. Passages without a
+    whole word inside are searched in every text. Null and empty ones occur nowhere."""
+    spark, given = texts.sparkSession, passages.where("passage <> ''").withColumn("inner", _inner(F.col("passage")))
+    sized = F.when(F.size("inner") >= GRAM, GRAM).when(F.size("inner") >= 1, 1).otherwise(0)
+    given = stored(given.select("ref_id", "passage", "inner", sized.alias("size")), "passages")
+    sizes = {r["size"] for r in given.select("size").distinct().collect()}
+    found = None
+    for n in sorted(sizes - {0}):
+        asked = stored(given.where(F.col("size") == n).select("ref_id", F.explode(F.array_distinct(_grams(F.col("inner"), n))).alias("gram")), "grams")
+        wanted = stored(asked.select("gram").distinct(), "wanted")
+        if wanted.count() <= FEW:
+            wanted = F.broadcast(wanted)
+        words = texts.select("doc_id", F.xxhash64("text").alias("of"), F.split("text", GAP, -1).alias("words")).where(F.size("words") >= n)
+        runs = words.select("doc_id", "of", F.explode_outer(_grams(F.col("words"), n)).alias("gram")).join(wanted, "gram", "left_semi")
+        runs = stored(runs.distinct(), "runs")
+        counted = asked.join(runs.groupBy("gram").agg(F.count(F.lit(1)).alias("texts")), "gram", "left")
+        rarest = counted.groupBy("ref_id").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "gram")).alias("least")).where("least.texts > 0").select("ref_id", F.col("least.gram").alias("gram"))
+        pairs = runs.join(rarest, "gram").select("doc_id", "of", "ref_id").distinct()
+        found = pairs if found is None else found.unionByName(pairs)
+    if 0 in sizes:
+        short = given.where("size = 0").select("ref_id", F.col("passage").alias("short"))
+        pairs = texts.join(short, F.contains("text", F.col("short"))).select("doc_id", F.xxhash64("text").alias("of"), "ref_id").distinct()
+        found = pairs if found is None else found.unionByName(pairs)
+    if found is None:
+        found = spark.createDataFrame([], T.StructType([texts.schema["doc_id"], T.StructField("of", T.LongType()), passages.schema["ref_id"]]))
+    # texts by id and hash: rows that share an id are told apart
+    whole = texts.select(F.struct("doc_id", F.xxhash64("text").alias("of")).alias("key"), "text")
+    both = found.select(F.struct("doc_id", "of").alias("key"), "ref_id").join(whole, "key").join(given.select("ref_id", "passage"), "ref_id")
+    return both.select("key.doc_id", "ref_id", F.length("passage").cast("long").alias("n"), F.explode(occurrences(F.col("text"), F.col("passage"))).alias("start")).select(
+        "doc_id", "ref_id", "start", (F.col("start") + F.col("n") - 1).alias("end")
+    )
+
+
+def occurrences(text: Column, part: Column) -> Column:
+    """Places, from 1, of all occurrences of a part, overlapping ones too."""
+    ahead = F.concat(F.lit("(?="), F.regexp_replace(part, r"([\\\[\](){}.*+?^$|])", r"\\$1"), F.lit(")"))
+    step = lambda places, k: F.concat(places, F.array(F.position(part, text, F.coalesce(F.get(places, F.size(places) - 1), F.lit(0)).cast("int") + 1).cast("long")))
+    times = F.regexp_count(text, ahead)
+    return F.when(times == 0, F.array().cast("array<bigint>")).otherwise(F.aggregate(F.sequence(F.lit(1), times), F.array().cast("array<bigint>"), step))
+
+
 def cache_exact_lookup(requests: DataFrame, entries: DataFrame, ttl: int = TTL_SECONDS) -> DataFrame:
     """requests (request_id, key, ts), entries (entry_id, key, ts): the newest entry of the key that is not too old.
 

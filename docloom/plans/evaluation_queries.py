@@ -18,7 +18,7 @@ GOLD = "gold AS (SELECT item_id AS query_id, doc_id AS chunk_id, lang FROM docum
 
 
 def gold(t: Tables) -> DataFrame:
-    return contained(t).select(F.col("ref_id").alias("query_id"), F.col("doc_id").alias("chunk_id"))
+    return contained(t).select(F.col("ref_id").alias("query_id"), F.col("doc_id").alias("chunk_id")).distinct()
 
 
 @query(

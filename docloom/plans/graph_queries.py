@@ -212,7 +212,8 @@ def build_report(t: Tables) -> DataFrame:
 @query(
     """WITH spans AS (SELECT doc_id, i AS chunk_id, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS s, length(line) AS n FROM (
       SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
-    ev AS (SELECT doc_id, item_id AS ref_id, instr(d.text, b.text) AS s, instr(d.text, b.text) + length(b.text) - 1 AS e FROM documents d JOIN benchmark b ON contains(d.text, b.text))
+    pairs AS (SELECT doc_id, item_id AS ref_id, d.text AS t, b.text AS p, unnest(range(1, length(d.text) - length(b.text) + 2)) AS s FROM documents d JOIN benchmark b ON contains(d.text, b.text)),
+    ev AS (SELECT doc_id, ref_id, s, s + length(p) - 1 AS e FROM pairs WHERE substr(t, s, length(p)) = p)
     SELECT ev.doc_id, ref_id, chunk_id FROM ev JOIN spans p ON p.doc_id = ev.doc_id AND p.n > 0 AND p.s + p.n - 1 >= ev.s AND p.s <= ev.e"""
 )
 def evidence_to_chunks(t: Tables) -> DataFrame:
@@ -226,12 +227,9 @@ def evidence_to_chunks(t: Tables) -> DataFrame:
 
 
 def contained(t: Tables) -> DataFrame:
-    """Passages of a stated set within documents, with their places. The passages go to every document as one array per block of 256."""
-    b = t.benchmark.select(F.struct("item_id", F.col("text").alias("passage")).alias("b"), F.pmod(F.col("item_id"), F.lit(max(1, t.benchmark.count() // 256))).alias("block"))
-    blocks = b.groupBy("block").agg(F.collect_list("b").alias("bs")).select("bs")
-    found = spread(t.documents.select("doc_id", "text")).crossJoin(blocks).select("doc_id", "text", F.inline_outer(F.expr("filter(bs, b -> contains(text, b.passage))"))).where("passage IS NOT NULL")
-    start = F.instr("text", F.col("passage"))
-    return found.select("doc_id", F.col("item_id").alias("ref_id"), start.cast("long").alias("start"), (start + F.length("passage") - 1).cast("long").alias("end"))
+    """Passages of the benchmark within documents, with all their places."""
+    passages = t.benchmark.select(F.col("item_id").alias("ref_id"), F.col("text").alias("passage"))
+    return L.passages_in(spread(t.documents.select("doc_id", "text")), passages)
 
 
 REQ = "req AS (SELECT event_id AS request_id, user_id || '|' || event_type AS key, event_type AS model, ts FROM events), ent AS (SELECT event_id AS entry_id, user_id || '|' || event_type AS key, event_type AS model, ts FROM events WHERE event_id % 3 = 0)"
