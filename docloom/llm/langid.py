@@ -53,20 +53,22 @@ def trigrams(text: str) -> Iterator[np.ndarray]:
 
 
 def codewords(n: int, seed: int = 5) -> np.ndarray:
-    """n rows of +1 and -1."""
+    """n rows of +1 and -1, all different. Two languages have a code of one bit, which corrects nothing; more bits are drawn where no draw will do."""
     if n <= 1:
         return np.ones((n, 1))
     if n <= 7:
         columns = [[1] + [1 if c >> i & 1 else -1 for i in range(n - 1)] for c in range((1 << (n - 1)) - 1)]
         return np.array(columns, dtype=float).T
-    rng, bits, best, most = np.random.default_rng(seed), math.ceil(10 * math.log2(n)), None, -1
-    for _ in range(100):
-        code = rng.choice([-1.0, 1.0], size=(n, bits))
-        if (np.abs(code.sum(axis=0)) == n).any():
-            continue
-        apart = int(min((code[i] != code[i + 1 :]).sum(axis=1).min() for i in range(n - 1)))
-        if apart > most:
-            best, most = code, apart
+    rng, bits, best, most = np.random.default_rng(seed), math.ceil(10 * math.log2(n)), None, 0
+    while best is None:
+        for _ in range(100):
+            code = rng.choice([-1.0, 1.0], size=(n, bits))
+            if (np.abs(code.sum(axis=0)) == n).any():
+                continue
+            apart = int(min((code[i] != code[i + 1 :]).sum(axis=1).min() for i in range(n - 1)))
+            if apart > most:
+                best, most = code, apart
+        bits += bits // 2
     return best
 
 

@@ -1,7 +1,6 @@
 """Quality classifier: a linear support vector machine on n-grams scaled by naive Bayes ratios.
 
-Features are indicators of a text's byte n-grams (three and four bytes, hashed) and of how often a word follows itself. Over all
-labelled training rows each feature is counted in each class; the log-ratio of its
+Features are indicators of a text's byte n-grams (three and four bytes, hashed). Over all labelled training rows each feature is counted in each class; the log-ratio of its
 smoothed shares scales the indicator. A hinge-loss model over these, texts at unit length, is fitted by dual
 coordinate descent on a bounded sample of labelled rows (`sample` of each class, by least hash of the id), of
 which every fifth is kept back to turn decision values into probabilities.
@@ -17,7 +16,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +25,8 @@ from pyspark.sql import functions as F
 from docloom.llm.common import split_no
 
 BUCKETS = 1 << 16
-#: Past the hashed n-grams: bias, and steps of how many words repeat the one before.
-REPEATS = (0.0, 0.01, 0.05, 0.2)
-WIDTH = BUCKETS + 1 + len(REPEATS)
+#: The hashed n-grams, and a bias.
+WIDTH = BUCKETS + 1
 #: Labelled rows of each class, at most, that the hinge-loss model is fitted on.
 SAMPLE = 3_000
 CHUNK = 1 << 18
@@ -46,11 +43,7 @@ def features(text: str | None) -> np.ndarray:
         seen[(three * np.uint32(2654435761)) >> np.uint32(16)] = True
         if len(x) > 3:
             seen[((three[:-1] << np.uint32(8) | x[3:]) * np.uint32(0x9E3779B1) ^ np.uint32(0x55555555)) >> np.uint32(16)] = True
-    words = text.split()
-    share = sum(map(eq, words, words[1:])) / len(words) if words else 0.0
     seen[BUCKETS] = True
-    for i, step in enumerate(REPEATS):
-        seen[BUCKETS + 1 + i] = share > step
     return np.flatnonzero(seen)
 
 

@@ -29,7 +29,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -75,8 +74,8 @@ def text_fingerprint(text: str | None, words: int = 3) -> int:
 
 #: Texts whose shingles tell which are common, how many of these are known, and in how many of the texts they are at least.
 SAMPLE, COMMON, OFTEN = 10_000, 200_000, 4
-#: Members of a token's group compared before links are joined again, and group size beyond which a group is compared in pairs of blocks.
-NEAR, WIDE = 32, 2048
+#: Rows of a shingle's group that are dealt to one block.
+WIDE = 2048
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -119,33 +118,6 @@ def may_link(sizes: np.ndarray, other: np.ndarray, differ: np.ndarray, similarit
     return (np.minimum(sizes, other) >= similarity * np.maximum(sizes, other) - 1e-9) & (differ * (1 + similarity) <= (1 - similarity) * (sizes + other) + 1e-6)
 
 
-def group_pairs(nodes: list[int], roots: list[int], sizes: list[int], bits: list[bytes], blocks: list[int], similarity: float, least: int, most: int | None) -> Iterator[tuple[int, int]]:
-    """Pairs of a group's members, in order of size, that are in different components and may link. Of members at most `most` places
-    apart and at least `least`; blocks: if these differ, only pairs of different blocks."""
-    node, root, size, block = (np.array(x, dtype=np.int64) for x in (nodes, roots, sizes, blocks))
-    words = np.array([len(b) // 8 for b in bits])
-    for w in np.unique(words).tolist():  # sizes of linked sets differ by a quarter at most, so words are w or twice that
-        own = np.flatnonzero((words == w) | (words == 2 * w))
-        table = np.stack([folded(np.frombuffer(bits[i], "<u8"), w) for i in own])
-        n, r, k, mine = size[own], root[own], block[own], words[own] == w
-        crossing = bool((k != k[0]).any())
-        for d in range(least, min(len(own), (most or len(own)) + 1)):
-            near = n[:-d] >= similarity * n[d:] - 1e-9
-            if not near.any():
-                break
-            at = np.flatnonzero(near & (r[:-d] != r[d:]) & (mine[:-d] | mine[d:]) & ((k[:-d] != k[d:]) | (not crossing)))
-            for lo in range(0, len(at), 1 << 14):
-                x = at[lo : lo + (1 << 14)]
-                differ = np.bitwise_count(table[x] ^ table[x + d]).sum(axis=1, dtype=np.int64)
-                x = x[may_link(n[x], n[x + d], differ, similarity)]
-                yield from zip(np.minimum(node[own[x]], node[own[x + d]]).tolist(), np.maximum(node[own[x]], node[own[x + d]]).tolist(), strict=True)
-
-
-def pair_batches(pairs: Iterator[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
-    while some := list(islice(pairs, 1 << 16)):
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*some, strict=True)], ["a", "b"])
-
-
 def filtered_pairs(pairs: DataFrame, features: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) that may link by size and parity."""
 
@@ -164,29 +136,41 @@ def filtered_pairs(pairs: DataFrame, features: DataFrame, similarity: float) ->
     return close.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(run, "a long, b long")
 
 
-def grouped_pairs(groups: DataFrame, roots: DataFrame, features: DataFrame, similarity: float, least: int, most: int | None) -> DataFrame:
-    """groups (token, n, fp): the pairs of each group's members that are not yet in one component and may link, as group_pairs takes them.
-    Without `most`, large groups are dealt to blocks and each two of these are compared in a task of their own."""
-    at = groups.where(F.col("n") > least).join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    open_ = at.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token")
-    blocks = F.when(F.col("n") > WIDE, F.ceil(F.col("n") / WIDE)).otherwise(1).cast("int") if most is None else F.lit(1)
-    rows = at.join(open_, "token").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("fp", F.lit(1)), "blocks").cast("int"))
-    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("p", F.least("block", "with")).withColumn("q", F.greatest("block", "with"))
-    rows = rows.join(features.select("fp", "size", "bits"), "fp").select("token", "p", "q", "blocks", "fp", "root", "size", "bits", "block")
+def reachable(a: str, b: str, similarity: float) -> str:
+    """SQL: whether rows (size, pos) of one shingle, a no larger than b, can be of linked sets, if it is the first in order that both have: what is left of both, the
+    shingle included, must hold the overlap that the similarity asks for."""
+    share = similarity / (1 + similarity)
+    return f"{a}_size <= {b}_size AND {a}_size >= {similarity} * {b}_size - 1e-9 AND least({a}_size - {a}_pos, {b}_size - {b}_pos) >= {share} * ({a}_size + {b}_size) - 1e-6"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def members() -> Iterator[tuple]:
-            for b in batches:
-                yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
 
-        def found() -> Iterator[tuple[int, int]]:
-            for key, group in groupby(members(), key=lambda m: m[:4]):
-                _, _, _, _, nodes, root, sizes, bits, block = zip(*group, strict=True)
-                yield from group_pairs(nodes, root, sizes, bits, block, similarity, 1 if key[3] > 1 else least, most)
+def star_pairs(rows: DataFrame, keys: list[str], similarity: float) -> DataFrame:
+    """rows (fp, size, pos, ...): each with the least row of its keys' group, if they may link. As many pairs as rows at most."""
+    centre = rows.groupBy(*keys).agg(F.min(F.struct("fp", "size", "pos")).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys, F.col("c.fp").alias("c_fp"), F.col("c.size").alias("c_size"), F.col("c.pos").alias("c_pos"))
+    met = rows.select(*keys, "fp", F.col("size").alias("r_size"), F.col("pos").alias("r_pos")).join(centre, keys).where("fp <> c_fp")
+    return met.where(f"({reachable('c', 'r', similarity)}) OR ({reachable('r', 'c', similarity)})").select(F.least("fp", "c_fp").alias("a"), F.greatest("fp", "c_fp").alias("b"))
 
-        yield from pair_batches(found())
 
-    return rows.repartition("token", "p", "q").sortWithinPartitions("token", "p", "q", "size", "fp").mapInArrow(run, "a long, b long").distinct()
+def open_pairs(rows: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """rows (token, fp, size, pos): all pairs of a shingle's group that are not yet in one component and may link.
+
+    Of two such sets the smaller has a common shingle in its first ninth (at 0.8; an index row), the larger one in its first fifth (all rows). Groups are keyed by
+    classes of size as well, in which partners are neighbours. A class whose rows are in one component makes no pairs; in others the rows of its
+    most frequent component meet only those of the rest. Index rows are dealt to blocks, each of which the others go to."""
+    base = math.log(1 / similarity) * 1.001
+    ours = rows.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")).withColumn("class", F.floor(F.log("size") / base).cast("int"))
+    index = F.col("pos") < F.col("size") - F.ceil(2 * similarity / (1 + similarity) * F.col("size") - 1e-6) + 1
+    left = ours.where(index)
+    right = ours.withColumn("class", F.explode(F.array(F.col("class"), F.col("class") - 1)))
+    counted = left.select("token", "class", "root", F.lit(1).alias("i")).unionByName(right.select("token", "class", "root", F.lit(0).alias("i"))).groupBy("token", "class", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("i").alias("i"))
+    groups = counted.groupBy("token", "class").agg(F.count(F.lit(1)).alias("roots"), F.sum("i").alias("i"), F.max(F.struct("n", "root")).alias("most")).where("roots > 1 AND i > 0")
+    groups = saved(groups.select("token", "class", F.col("most.root").alias("main"), F.ceil(F.col("i") / WIDE).cast("int").alias("blocks")), "open")
+    key = ["token", "class"]
+    l = left.join(groups, key).select(*key, F.expr("cast(pmod(xxhash64(fp, 1), blocks) as int)").alias("block"), (F.col("root") != F.col("main")).alias("l_stray"), F.col("fp").alias("l_fp"), F.col("root").alias("l_root"), F.col("size").alias("l_size"), F.col("pos").alias("l_pos"))  # noqa: E741
+    r = right.join(groups, key).select(*key, F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), (F.col("root") != F.col("main")).alias("stray"), F.col("fp").alias("r_fp"), F.col("root").alias("r_root"), F.col("size").alias("r_size"), F.col("pos").alias("r_pos"))
+    # strays meet all rows; rows of the main component meet strays
+    l = l.withColumn("stray", F.explode(F.when(F.col("l_stray"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))))  # noqa: E741
+    met = l.join(r, [*key, "block", "stray"]).where(f"l_root <> r_root AND {reachable('l', 'r', similarity)}")
+    return met.select(F.least("l_fp", "r_fp").alias("a"), F.greatest("l_fp", "r_fp").alias("b")).distinct()
 
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", words: int = 3, name: str = "fp") -> DataFrame:
@@ -330,11 +314,14 @@ def common_shingles(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndar
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, max_bits: int = 2) -> DataFrame:
     """docs without the documents that a chain of links leads to a kept one: of each component the row with the least id stays.
 
-    Texts of equal shingle sets are one node; two nodes link if their whole shingle sets have at least `similarity`. Candidates come in three
-    rounds, each without the pairs that are in one component by then: fingerprints within max_bits, by the ring of segments; then, as that similarity allows for more bits
-    than any ring can prune by, nodes that share a shingle of their prefixes, the rarest fifth of each, which two such sets always do: first all
-    members of a shingle's group with the least one, then those of different components with each other. Pairs that sizes or parities rule
-    out are left out; all others are verified.
+    Texts of equal shingle sets are one node; two nodes link if their whole shingle sets have at least `similarity`. Candidates come in
+    rounds: fingerprints within max_bits, by the ring of segments; then, as that similarity allows for more bits
+    than any ring can prune by, nodes that share a shingle of their prefixes, the rarest fifth of each, which two such sets always do: first those that share two
+    shingles in a row, or one, each with the least of its group; then all that are not yet in one component, by places and sizes (open_pairs). Pairs that sizes or
+    parities rule out are left out; all others are verified. Shingles' groups hold numbers only; parities are looked up for each pair that is left.
+
+    A crowd of texts that share most of their shingles, but less than links need, makes no pairs where these shingles are known to be common: they come last in order,
+    past the places that can link. Shingles too rare for the sample (fewer than 4 of 10,000 texts) can make the square of their texts, in blocks.
 
     Null and empty texts have the empty set and are one node; rows with equal ids go by their place; a component with null ids only keeps its first row;
     columns of docs may have any names."""
@@ -366,9 +353,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     more = saved(prints.join(nodes.select("fp", F.col("row").alias("kept")), "fp").where("row <> kept").select("row"), "more")
     whole = without(marked, row, more)
     features = whole.select(F.col(node).alias("fp"), F.col(size).alias("size"), F.col(bits).alias("bits"))
-    keys = whole.select(F.col(node).alias("fp"), F.explode(front).alias("token"))
-    tokens = saved(keys.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "tokens")
-    groups = saved(keys.join(tokens.where("n > 2").select("token", "n", "a"), "token"), "groups")
+    keys = whole.select(F.col(node).alias("fp"), F.col(size).alias("size"), F.posexplode(F.arrays_zip(front, F.slice(F.concat(front, F.array(F.lit(None).cast("long"))), 2, 1 << 30).alias("next"))).alias("pos", "of"))
+    keys = keys.select("fp", "size", F.col("pos").cast("long").alias("pos"), F.col(f"of.{front}").alias("token"), F.col("of.next").alias("next"))
+    tokens = saved(keys.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token"), "tokens")
+    groups = saved(keys.join(tokens, "token"), "groups")
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = saved(pairs, "pairs")
@@ -382,18 +370,20 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     for c in ("a", "b"):
         ring = ring.join(one.select(F.col("mark").alias(c), F.col("a").alias(f"node_{c}")), c)
     near = saved(equal.unionByName(ring.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))), "near")
-    in_pairs = tokens.where("n = 2").select(F.explode(F.array("a", "b")).alias("fp")).unionByName(near.select(F.explode(F.array("a", "b")).alias("fp")))
-    features = saved(features.join(in_pairs.unionByName(groups.select("fp")).distinct(), "fp"), "features")
+    in_pairs = groups.select("fp").unionByName(near.select(F.explode(F.array("a", "b")).alias("fp"))).distinct()
+    features = saved(features.join(in_pairs, "fp"), "features")
     links = verified(filtered_pairs(near, features, similarity))
-    roots = components(links).withColumnRenamed("node", "fp")
-    stars = tokens.where("n = 2").select("a", "b").unionByName(groups.where("fp <> a").select("a", F.col("fp").alias("b"))).distinct()
-    for c in ("a", "b"):
-        stars = stars.join(roots.select(F.col("fp").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
-    open_ = stars.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
-    links = links.unionByName(verified(filtered_pairs(open_, features, similarity)))
-    for least, most in ((1, NEAR), (NEAR + 1, None)):
+
+    def still_open(pairs: DataFrame) -> DataFrame:
         roots = components(links).withColumnRenamed("node", "fp")
-        links = links.unionByName(verified(grouped_pairs(groups, roots, features, similarity, least, most)))
+        for c in ("a", "b"):
+            pairs = pairs.join(roots.select(F.col("fp").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
+        return pairs.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b").distinct()
+
+    stars = star_pairs(groups.where("next IS NOT NULL"), ["token", "next"], similarity).unionByName(star_pairs(groups, ["token"], similarity))
+    links = links.unionByName(verified(filtered_pairs(still_open(stars), features, similarity)))
+    roots = components(links).withColumnRenamed("node", "fp")
+    links = links.unionByName(verified(filtered_pairs(open_pairs(groups, roots, similarity), features, similarity)))
     roots = components(links).withColumnRenamed("node", "fp")
     member = nodes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     stays = member.groupBy("root").agg(F.min("first").alias("first")).select("root", F.col("first.row").alias("kept"))

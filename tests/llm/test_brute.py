@@ -548,9 +548,7 @@ def test_quality_equals_a_plain_version(spark, docs, rows, sf):
         raw = f" {text} ".encode()
         found = {(int.from_bytes(raw[i : i + 3], "big") * 2654435761 % (1 << 32)) >> 16 for i in range(len(raw) - 2)}
         found |= {((int.from_bytes(raw[i : i + 4], "big") * 0x9E3779B1 % (1 << 32)) ^ 0x55555555) >> 16 for i in range(len(raw) - 3)}
-        w = text.split()
-        share = sum(a == b for a, b in zip(w, w[1:], strict=False)) / len(w) if w else 0.0
-        return found | {quality.BUCKETS} | {quality.BUCKETS + 1 + k for k, step in enumerate(quality.REPEATS) if share > step}
+        return found | {quality.BUCKETS}
 
     own = {i: plain(t or "") for i, t, _, _ in rows}
     counts = [Counter(), Counter()]
@@ -620,10 +618,10 @@ def stay(texts, links):
     return {i for i in range(len(texts)) if find(i) == i}
 
 
-@pytest.mark.parametrize("wide", [2048, 50])
+@pytest.mark.parametrize("wide", [2048, 5])
 def test_links_of_drifting_chains_and_of_families_behind_one_passage(spark, monkeypatch, wide):
     """No tolerance: chains of copies each like its neighbours only, and families in which a passage is most of each text."""
-    monkeypatch.setattr(simhash, "WIDE", wide, raising=False)
+    monkeypatch.setattr(simhash, "WIDE", wide)
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
     texts = []
