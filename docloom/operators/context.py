@@ -123,7 +123,7 @@ def dialogue_checks(turns: DataFrame) -> DataFrame:
     ok = (
         F.when(c.rlike(IMPLIED), True)
         .when(c.rlike(NO_REPEAT), ~F.contains(F.left(a, F.lit(200)), F.lit(REPEATED)) | F.contains(a, F.lit(OTHERS)))
-        .when(c.rlike(RESOLVED), (F.length("rewritten") > 0) | (F.length(a) > 50))
+        .when(c.rlike(RESOLVED), (F.length(F.coalesce("rewritten", F.lit(""))) > 0) | (F.length(a) > 50))
         .when(c.rlike(CONTROLS), F.lower(a).rlike(CONTROL_WORDS))
         .when(c.rlike(POLICY), F.lower(a).rlike(POLICY_WORDS))
         .otherwise(F.length(a) > 20)

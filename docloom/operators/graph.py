@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.store import stored
+
 # Weights of edge types, of relations in paths, and the limits of expansion.
 CO_WEIGHT, SEMANTIC_WEIGHT = 0.5, 1.0
 TYPE_WEIGHTS = {"SEMANTIC": 1.0, "CO_EVIDENCE": 0.5}
@@ -35,18 +37,33 @@ def question_edges(evidence: DataFrame) -> DataFrame:
     return evidence.select("doc_id", F.col("question_id").alias("src"), F.col("chunk_id").alias("dst"), F.lit("ANSWERS").alias("edge_type"), F.lit(CO_WEIGHT).alias("weight")).distinct()
 
 
-def co_evidence_edges(evidence: DataFrame, most_chunks: int | None = 200) -> DataFrame:
-    """Both directions between chunks that answer one question of one document. A question's fan-out is its first `most_chunks` chunks, by id, as
-    its edges grow with their square; None takes all."""
+def co_evidence_classes(evidence: DataFrame) -> DataFrame:
+    """evidence (doc_id, question_id, chunk_id): a row for each question with the number of its chunks and of the links between them. With the evidence itself, this is
+    the co-evidence graph in linear size: the chunks of a question are all linked with each other."""
+    n = evidence.select("doc_id", "question_id", "chunk_id").distinct().groupBy("doc_id", "question_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+    return n.withColumn("n_links", F.col("n_chunks") * (F.col("n_chunks") - 1))
+
+
+def co_evidence_edges(evidence: DataFrame) -> DataFrame:
+    """All links written out, both directions: the square of a question's chunks. Expansion goes by the questions instead (co_neighbours)."""
     e = evidence.select("doc_id", "question_id", "chunk_id").distinct()
-    if most_chunks is not None:
-        w = Window.partitionBy("doc_id", "question_id").orderBy("chunk_id")
-        e = e.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most_chunks).drop("n")
     a, b = e.withColumnRenamed("chunk_id", "src"), e.withColumnRenamed("chunk_id", "dst")
     pairs = a.join(b, ["doc_id", "question_id"]).where("src <> dst").select("doc_id", "src", "dst").distinct()
     return pairs.withColumn("edge_type", F.lit("CO_EVIDENCE")).withColumn("weight", F.lit(CO_WEIGHT))
 
 
+def co_neighbours(frontier: DataFrame, evidence: DataFrame, most: int) -> DataFrame:
+    """Of each chunk of frontier (src) its first `most` partners by id: (src, dst, edge_type, weight). They are among the first `most` + 1 chunks of its
+    questions, so a question hands on no more, whatever it has."""
+    e = evidence.select("doc_id", "question_id", "chunk_id").distinct()
+    asked = e.join(frontier.select(F.col("src").alias("chunk_id")).distinct(), "chunk_id").select("doc_id", "question_id", F.col("chunk_id").alias("src"))
+    members = e.join(asked.select("doc_id", "question_id").distinct(), ["doc_id", "question_id"], "left_semi")
+    within = Window.partitionBy("doc_id", "question_id").orderBy("chunk_id")
+    first = members.withColumn("n", F.row_number().over(within)).where(F.col("n") <= most + 1).select("doc_id", "question_id", F.col("chunk_id").alias("dst"))
+    pairs = asked.join(first, ["doc_id", "question_id"]).where("src <> dst").select("src", "dst").distinct()
+    return pairs.withColumn("n", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).where(F.col("n") <= most).select("src", "dst", F.lit("CO_EVIDENCE").alias("edge_type"), F.lit(CO_WEIGHT).alias("weight"))
+
+
 def semantic_edges(confirmed: DataFrame) -> DataFrame:
     """confirmed (doc_id, src, dst, descr): one edge for each pair, with the least description."""
     return confirmed.groupBy("doc_id", "src", "dst").agg(F.min("descr").alias("descr")).withColumn("edge_type", F.lit("SEMANTIC")).withColumn("weight", F.lit(SEMANTIC_WEIGHT))
@@ -63,31 +80,50 @@ def pair_key(a: Column, b: Column) -> Column:
     return F.concat_ws("|", F.least(a, b).cast("string"), F.greatest(a, b).cast("string"))
 
 
-def pair_sample(pairs: DataFrame, most: int = 3000, seed: int = 42) -> DataFrame:
-    """At most `most` pairs of each document, by a hash of the pair: the same however the rows are dealt out."""
-    turn = F.md5(F.concat(pair_key(F.col("a"), F.col("b")), F.lit(f"#{seed}")))
-    w = Window.partitionBy("doc_id").orderBy(turn, "a", "b")
-    return pairs.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).drop("n")
+def pair_sample(chunks: DataFrame, most: int = 3000, seed: int = 42) -> DataFrame:
+    """chunks (doc_id, big, chunk_id): `most` pairs of each document, or all it has, as section_pairs makes them, but only these are made.
+
+    Pairs are numbered: chunks stand in order of section and id, and each is paired with all of later sections. The numbers are cut into `most` equal runs
+    and one of each is drawn by hash; it is turned back into two places by the running number of pairs. A null section is one of its own."""
+    own = Window.partitionBy("doc_id").orderBy("big", "chunk_id")
+    c = chunks.select("doc_id", F.coalesce(F.col("big").cast("string"), F.lit("")).alias("big"), "chunk_id").distinct()
+    c = c.withColumn("pos", F.row_number().over(own) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("doc_id")))
+    later = F.col("n") - F.max("pos").over(Window.partitionBy("doc_id", "big")) - 1  # chunks of later sections
+    c = stored(c.withColumn("later", later).withColumn("start", F.sum("later").over(Window.partitionBy("doc_id").orderBy("pos")) - F.col("later")), "places")
+    totals = c.groupBy("doc_id").agg(F.sum("later").alias("pairs"))
+    bound = lambda i: F.expr(f"({i}) * (pairs div {most}) + least({i}, pairs % {most})")
+    few = totals.where("pairs > 0").select("doc_id", "pairs", F.explode(F.sequence(F.lit(0), F.least(F.col("pairs"), F.lit(most)).cast("int") - 1)).alias("i"))
+    draw = F.conv(F.substring(F.md5(F.concat_ws("#", F.col("doc_id").cast("string"), "i", F.lit(seed))), 1, 12), 16, 10).cast("long")
+    drawn = few.select("doc_id", F.when(F.col("pairs") <= most, F.col("i")).otherwise(bound("i") + F.pmod(draw, bound("i + 1") - bound("i"))).cast("long").alias("number"))
+    # each number goes to the last chunk that starts at or before it
+    at = c.where("later > 0").select("doc_id", F.col("start").alias("number"), F.lit(0).alias("asks"), F.struct("chunk_id", "start", (F.col("n") - F.col("later")).alias("first")).alias("chunk"))
+    both = at.unionByName(drawn.select("doc_id", "number", F.lit(1).alias("asks"), F.lit(None).cast(at.schema["chunk"].dataType).alias("chunk")))
+    w = Window.partitionBy("doc_id").orderBy("number", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("chunk", F.last("chunk", ignorenulls=True).over(w)).where("asks = 1").select("doc_id", F.col("chunk.chunk_id").alias("x"), (F.col("chunk.first") + F.col("number") - F.col("chunk.start")).alias("pos"))
+    return found.join(c.select("doc_id", "pos", F.col("chunk_id").alias("y")), ["doc_id", "pos"]).select("doc_id", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def unprocessed_pairs(pairs: DataFrame, processed: DataFrame) -> DataFrame:
     return pairs.withColumn("key", pair_key(F.col("a"), F.col("b"))).join(processed.select(pair_key(F.col("a"), F.col("b")).alias("key")), "key", "left_anti").drop("key")
 
 
-def neighbours(frontier: DataFrame, edges: DataFrame, most: int = NEIGHBOURS) -> DataFrame:
-    """Out-neighbours of frontier (…, src) by edge type, the `most` heaviest of each; ties by id."""
+def neighbours(frontier: DataFrame, edges: DataFrame, most: int = NEIGHBOURS, evidence: DataFrame | None = None) -> DataFrame:
+    """Out-neighbours of frontier (…, src) by edge type, the `most` heaviest of each; ties by id. Co-evidence comes with the edges, or from evidence."""
     w = Window.partitionBy("src", "edge_type").orderBy(F.desc("weight"), "dst")
     top = edges.select("src", "dst", "edge_type", F.coalesce("weight", F.lit(0.5)).alias("weight")).withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).drop("n")
+    if evidence is not None:
+        top = top.unionByName(co_neighbours(frontier, evidence, most))
     return frontier.join(top, "src")
 
 
-def expand_hits(seeds: DataFrame, edges: DataFrame, limit: int = EXPANDED) -> DataFrame:
-    """One hop from seeds (query_id, chunk_id, score): the best score of each new neighbour, at most `limit` a query."""
+def expand_hits(seeds: DataFrame, edges: DataFrame, limit: int = EXPANDED, evidence: DataFrame | None = None) -> DataFrame:
+    """One hop from seeds (query_id, chunk_id, score): the best score of each new neighbour, at most `limit` a query. Co-evidence comes with
+    the edges, or from evidence."""
     start = seeds.select("query_id", F.col("chunk_id").alias("src"), F.coalesce("score", F.lit(1.0)).alias("seed_score"))
     weight = F.coalesce(*[F.when(F.col("edge_type") == k, F.lit(v)) for k, v in TYPE_WEIGHTS.items()])
     only = edges.where(F.col("edge_type").isin(*TYPE_WEIGHTS))
     wanted = only.join(start.select("src").distinct(), "src", "left_semi")
-    found = neighbours(start, wanted).withColumn("graph_score", F.col("weight") * F.col("seed_score") * weight)
+    found = neighbours(start, wanted, evidence=evidence).withColumn("graph_score", F.col("weight") * F.col("seed_score") * weight)
     best = found.groupBy("query_id", F.col("dst").alias("chunk_id")).agg(
         F.max("graph_score").alias("graph_score"), F.min_by(F.struct("edge_type", F.col("src").alias("seed_chunk")), F.struct(-F.round("graph_score", 9), F.col("src"), F.col("edge_type"))).alias("by")
     )
@@ -172,4 +208,5 @@ def graph_integrity(nodes: DataFrame, small_chunks: DataFrame) -> DataFrame:
     have = nodes.groupBy("doc_id").agg(F.count_if(F.col("label") == "Manual").alias("manuals"), F.count_if(F.col("label") == "Small").alias("smalls"))
     want = small_chunks.groupBy("doc_id").agg(F.countDistinct("id").alias("chunks"))
     joined = want.join(have, "doc_id", "full")
-    return joined.select("doc_id", (F.col("manuals") == 1).alias("one_manual"), (F.col("smalls") > 0).alias("has_small"), (F.col("smalls") == F.col("chunks")).alias("counts_agree"))
+    held = {"one_manual": F.col("manuals") == 1, "has_small": F.col("smalls") > 0, "counts_agree": F.coalesce("smalls", F.lit(0)) == F.coalesce("chunks", F.lit(0))}
+    return joined.select("doc_id", *[F.coalesce(c, F.lit(False)).alias(n) for n, c in held.items()])

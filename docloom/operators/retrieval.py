@@ -19,6 +19,8 @@ from docloom.store import stored
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K, CHANNEL_WEIGHTS = 60, {"dense": 0.65, "bm25": 0.35}
 CANDIDATES, SMALL_TOP, MID_TOP, BIG_TOP = 20, 10, 5, 3
+#: Postings of a query's rarest terms that its bound comes from, to the end of the term that passes it.
+RARE_POSTINGS = 2000
 
 
 def tokenize(c: Column, words: Column | None = None, ngrams: bool = True) -> Column:
@@ -43,7 +45,7 @@ def _joined_runs(items: Column, n: int) -> Column:
 
 @dataclass
 class Bm25Index:
-    """Written tables postings (term, chunk_id, tf, dl) and terms (term, df, idf), the number of chunks and their mean length."""
+    """Written tables postings (term, chunk_id, tf, dl) and terms (term, df, idf, best: the most that a posting gives), the number of chunks and their mean length."""
 
     postings: DataFrame
     terms: DataFrame
@@ -51,6 +53,11 @@ class Bm25Index:
     mean_length: float
 
 
+def saturation(mean_length: float) -> Column:
+    """What a posting (tf, dl) gives, before its term's weight; below 1."""
+    return F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean_length)))
+
+
 def bm25_index(corpus: DataFrame, tokens: Column, id_col: str = "chunk_id") -> Bm25Index:
     """Index of corpus; the inverse document frequency floors negative values at a share of the vocabulary's mean. The corpus is tokenized once."""
     bags = corpus.select(F.col(id_col).alias("chunk_id"), tokens.alias("tokens"))
@@ -60,10 +67,10 @@ def bm25_index(corpus: DataFrame, tokens: Column, id_col: str = "chunk_id") -> B
     postings = stored(postings, "postings")
     n = corpus.select(id_col).count()
     words = postings.agg(F.sum("tf")).first()[0] or 0
-    counts = stored(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms")
+    counts = stored(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max(saturation(words / max(1, n))).alias("best")), "terms")
     raw = counts.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw")).first()[0] or 0.0
-    return Bm25Index(postings, raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw")).alias("idf")), n, words / max(1, n))
+    return Bm25Index(postings, raw.select("term", "df", "best", F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw")).alias("idf")), n, words / max(1, n))
 
 
 def top_k(scored: DataFrame, k: int, by: list[str] | None = None, key: str = "query_id", score: str = "score", tie: str = "chunk_id") -> DataFrame:
@@ -71,16 +78,45 @@ def top_k(scored: DataFrame, k: int, by: list[str] | None = None, key: str = "qu
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bm25_scores(queries: DataFrame, index: Bm25Index) -> DataFrame:
-    """queries (query_id, tokens): (query_id, chunk_id, score) of all chunks with a common term; repeated terms count again."""
+def asked_terms(queries: DataFrame, index: Bm25Index) -> DataFrame:
+    """queries (query_id, tokens): their known terms with df, weight and the most that a chunk gets from it; repeated terms count again."""
     asked = queries.select("query_id", F.explode_outer("tokens").alias("term")).where("term IS NOT NULL").groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    found = asked.join(index.terms, "term").select("query_id", "term", (F.col("times") * F.col("idf") * (K1 + 1)).alias("weight")).join(index.postings, "term")
-    part = F.col("weight") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(index.mean_length)))
-    return found.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
+    weight = F.col("times") * F.col("idf") * (K1 + 1)
+    return asked.join(index.terms, "term").select("query_id", "term", "df", weight.alias("weight"), (weight * F.col("best")).alias("most"))
+
+
+def term_scores(asked: DataFrame, index: Bm25Index, *more: Column) -> DataFrame:
+    found = asked.join(index.postings, "term")
+    return found.groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * saturation(index.mean_length)).alias("score"), *more)
+
+
+def bm25_scores(queries: DataFrame, index: Bm25Index) -> DataFrame:
+    """queries (query_id, tokens): (query_id, chunk_id, score) of all chunks with a common term."""
+    return term_scores(asked_terms(queries, index), index)
+
+
+def bounded_terms(queries: DataFrame, index: Bm25Index, k: int) -> DataFrame:
+    """asked_terms with the query's bound (what its k-th hit has at least, by its rarest terms alone), `lead` (whether the term's postings are
+    read: the others of the query together give less than the bound) and what those others give at most. Queries with a negative weight read all."""
+    asked = stored(asked_terms(queries, index), "asked")
+    by_df = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+    rare = asked.withColumn("before", F.coalesce(F.sum("df").over(by_df), F.lit(0))).where(F.col("before") < RARE_POSTINGS)
+    bound = top_k(term_scores(rare, index), k).where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
+    whole = Window.partitionBy("query_id")
+    x = asked.join(bound, "query_id", "left").withColumn("bound", F.when(F.min("weight").over(whole) >= 0, F.coalesce("bound", F.lit(0.0))).otherwise(0.0))
+    small = F.sum("most").over(whole.orderBy("most", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    x = x.withColumn("lead", small >= F.col("bound") - 1e-6)
+    return x.withColumn("others", F.coalesce(F.sum(F.when(~F.col("lead"), F.col("most"))).over(whole), F.lit(0.0)))
 
 
 def bm25_topk(queries: DataFrame, index: Bm25Index, k: int = CANDIDATES) -> DataFrame:
-    return top_k(bm25_scores(queries, index).where("score > 0"), k)
+    """The k best chunks of each query. Postings of its leading terms are read whole; of the others only those of chunks that can still reach the bound."""
+    terms = stored(bounded_terms(queries, index, k), "bounded")
+    first = term_scores(terms.where("lead"), index, F.max("bound").alias("bound"), F.max("others").alias("others"))
+    open_ = stored(first.where("score + others >= bound - 1e-6").select("query_id", "chunk_id", "score"), "candidates")
+    rest = terms.where("NOT lead").select("query_id", "term", "weight").join(open_.select("query_id", "chunk_id"), "query_id").join(index.postings, ["term", "chunk_id"])
+    parts = open_.unionByName(rest.select("query_id", "chunk_id", (F.col("weight") * saturation(index.mean_length)).alias("score")))
+    return top_k(parts.groupBy("query_id", "chunk_id").agg(F.sum("score").alias("score")).where("score > 0"), k)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -55,8 +55,9 @@ def kind(df: DataFrame, c: str) -> str:
 
 def block_product(queries: DataFrame, vectors: DataFrame, k: int | None) -> DataFrame:
     """Rows (query_id, chunk_id, score): each query's k best hits in every block of vectors, or all pairs of a stated query set where k is None."""
-    q = queries.where("vector IS NOT NULL").select("query_id", "vector")
-    v = vectors.where("vector IS NOT NULL").select("chunk_id", "vector")
+    # other names on either side, as both can come from one table
+    q = queries.where("vector IS NOT NULL").select("query_id", F.col("vector").alias("asked"))
+    v = vectors.where("vector IS NOT NULL").select("chunk_id", F.col("vector").alias("held"))
     n_q, n_v = q.count(), v.count()
     across, down = max(1, -(-n_q // QUERY_BLOCK)), max(1, -(-n_v // VECTOR_BLOCK))
     both = F.explode(F.sequence(F.lit(0), F.lit(across - 1)))
@@ -64,7 +65,7 @@ def block_product(queries: DataFrame, vectors: DataFrame, k: int | None) -> Data
     right = q.withColumn("s", blocks("query_id", n_q, QUERY_BLOCK)).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
 
     def product(v: pa.Table, q: pa.Table) -> pa.Table:
-        scores = matrix(q.column("vector")) @ matrix(v.column("vector")).T if len(q) and len(v) else np.zeros((len(q), len(v)))
+        scores = matrix(q.column("asked")) @ matrix(v.column("held")).T if len(q) and len(v) else np.zeros((len(q), len(v)))
         r, c = best(scores, k)
         return pa.table([q.column("query_id").take(pa.array(r)), v.column("chunk_id").take(pa.array(c)), pa.array(scores[r, c])], ["query_id", "chunk_id", "score"])
 

@@ -44,11 +44,12 @@ def align_pics(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", a.alias("a")).select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.regexp_replace("a.text", "<PIC> c", " c")).otherwise(F.col("a.text")).alias("content"), F.array_join(F.filter("a.images", lambda i: i != "z"), ",").alias("images"))
 
 
-@query("SELECT doc_id, doc_id % 4 < 2 AS ok FROM documents")
+@query("SELECT doc_id, length(text) % 3 < 2 AND strlen(text) <= 2000 AS ok FROM documents")
 def validate_image_urls(t: Tables) -> DataFrame:
-    kind = F.expr("CASE doc_id % 4 WHEN 0 THEN 'png' WHEN 1 THEN 'webp' WHEN 2 THEN 'gif' ELSE 'png' END")
-    url = F.concat(F.lit("data:image/"), kind, F.lit(";base64,"), F.base64(F.expr("cast(CASE WHEN doc_id % 4 = 3 THEN repeat('x', 100) ELSE 'x' END as binary)")))
-    return t.documents.select("doc_id", X.image_url_ok(url, 50).alias("ok"))
+    """Each text stands in for an image's bytes; its length tells the kind."""
+    kind = F.expr("CASE length(text) % 3 WHEN 0 THEN 'png' WHEN 1 THEN 'webp' ELSE 'gif' END")
+    url = F.concat(F.lit("data:image/"), kind, F.lit(";base64,"), F.regexp_replace(F.base64(F.col("text").cast("binary")), r"\s", ""))
+    return t.documents.select("doc_id", X.image_url_ok(url, 2000).alias("ok"))
 
 
 @query(
@@ -120,12 +121,13 @@ def export_answers(t: Tables) -> DataFrame:
     return t.benchmark.select(F.col("item_id").alias("id"), I.answer_ret(F.concat(F.lit("answer "), "item_id"), F.array(F.concat(F.lit("i"), "item_id"))).alias("ret"))
 
 
-@query("SELECT doc_id AS question_id, k::BIGINT AS ref_no, CASE k WHEN 0 THEN 'a.md' WHEN 1 THEN 'b.md' ELSE 'c.md' END AS file, (doc_id % 50 + 1 + k)::BIGINT AS start_line, (doc_id % 50 + 1 + k + CASE k WHEN 0 THEN 2 ELSE 0 END)::BIGINT AS end_line FROM documents, range(0, 3) r(k)")
+@query("SELECT doc_id AS question_id, k::BIGINT AS ref_no, source || CASE k WHEN 0 THEN '_a.md' WHEN 1 THEN '_b.md' ELSE '_c.md' END AS file, (length(text) + k)::BIGINT AS start_line, (length(text) + k + CASE k WHEN 0 THEN instr(text, ' ') ELSE 0 END)::BIGINT AS end_line FROM documents, range(0, 3) r(k)")
 def normalize_evidence_ref(t: Tables) -> DataFrame:
-    n = F.col("doc_id") % 50 + 1
-    one = F.concat(F.lit('"a.md:'), n.cast("string"), F.lit("-"), (n + 2).cast("string"), F.lit('"'))
-    two = F.concat(F.lit('{"file":"b.md","lines":"'), (n + 1).cast("string"), F.lit('"}'))
-    three = F.concat(F.lit('{"source":"c.md","lines":['), (n + 2).cast("string"), F.lit("]}"))
+    """Files are the documents' sources; lines are their lengths and places in them."""
+    n, s = F.length("text"), F.col("source")
+    one = F.concat(F.lit('"'), s, F.lit("_a.md:"), n.cast("string"), F.lit("-"), (n + F.instr("text", " ")).cast("string"), F.lit('"'))
+    two = F.concat(F.lit('{"file":"'), s, F.lit('_b.md","lines":"'), (n + 1).cast("string"), F.lit('"}'))
+    three = F.concat(F.lit('{"source":"'), s, F.lit('_c.md","lines":['), (n + 2).cast("string"), F.lit("]}"))
     refs = t.documents.select(F.col("doc_id").alias("question_id"), F.posexplode(F.array(one, two, three)).alias("ref_no", "j")).select("question_id", "ref_no", F.parse_json("j").alias("ref"))
     return I.evidence_refs(refs).select("question_id", "file", *[F.col(c).cast("long").alias(c) for c in ("ref_no", "start_line", "end_line")])
 
@@ -159,5 +161,5 @@ TAIL = "CASE conv_id % 4 WHEN 0 THEN '' WHEN 1 THEN ' Press it' WHEN 2 THEN ' to
 )
 def dialogue_checks(t: Tables) -> DataFrame:
     answer = F.expr(f"concat(CASE WHEN turn % 2 = 0 THEN '滤网 ' ELSE '' END, CASE WHEN conv_id % 3 = 0 THEN 'short' ELSE text END, {TAIL})")
-    x = t.conversations.select(F.col("conv_id").alias("dialogue"), "turn", answer.alias("answer"), F.expr("repeat('r', turn % 3)").alias("rewritten"), F.expr(f"array({CHECKS}[(conv_id + turn) % 8])").alias("checks"))
+    x = t.conversations.select(F.col("conv_id").alias("dialogue"), "turn", answer.alias("answer"), F.expr("nullif(repeat('r', turn % 3), '')").alias("rewritten"), F.expr(f"array({CHECKS}[(conv_id + turn) % 8])").alias("checks"))
     return K.dialogue_checks(x)

@@ -72,6 +72,20 @@ def tokenize5(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.size(bag).cast("long").alias("n_tokens"), F.md5(F.array_join(bag, " ")).alias("tokens_md5"))
 
 
+HAN = "translate(text, 'aeiouy', '水火木金土日')"
+
+
+@query(
+    f"""SELECT doc_id, len(tokens)::BIGINT AS n_tokens, md5(array_to_string(tokens, ' ')) AS tokens_md5 FROM (SELECT doc_id, CASE WHEN v = '' THEN [] ELSE list_transform(words, lambda x: lower(x)) || han
+        || list_transform(range(1, len(han)), lambda i: han[i] || han[i + 1]) || list_transform(range(1, len(han) - 1), lambda i: han[i] || han[i + 1] || han[i + 2]) END AS tokens
+      FROM (SELECT doc_id, v, regexp_extract_all(v, '[A-Za-z0-9_]+') AS words, regexp_extract_all(v, '[\u4e00-\u9fff]') AS han FROM (SELECT doc_id, trim(regexp_replace({HAN}, '\\s+', ' ', 'g')) AS v FROM documents)))"""
+)
+def tokenize_han(t: Tables) -> DataFrame:
+    """Texts with Han characters for vowels: words, characters, and their runs of two and three."""
+    bag = R.tokenize(F.expr(HAN))
+    return t.documents.select("doc_id", F.size(bag).cast("long").alias("n_tokens"), F.md5(F.array_join(bag, " ")).alias("tokens_md5"))
+
+
 @query(f"WITH b AS ({BAG.format(id='item_id', text='text', of='benchmark')}) SELECT id AS item_id, array_to_string(tokens, ' ') AS tokens FROM b")
 def tokenize_baseline(t: Tables) -> DataFrame:
     return t.benchmark.select("item_id", F.array_join(R.tokenize(F.col("text"), ngrams=False), " ").alias("tokens"))

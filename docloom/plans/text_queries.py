@@ -31,10 +31,10 @@ def normalize_text(t: Tables) -> DataFrame:
 @query(
     """SELECT doc_id, CASE WHEN regexp_matches(slug, '^[A-Za-z]') THEN substr(slug, 1, 80) || '_' || substr(md5(v), 1, 12) ELSE 'doc_' || substr(md5(v), 1, 12) END AS safe_id
     FROM (SELECT doc_id, v, regexp_replace(regexp_replace(trim(v), '[^0-9A-Za-z_]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug
-          FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' || doc_id ELSE substr(text, 1, 120) END AS v FROM documents))"""
+          FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' || doc_id ELSE text END AS v FROM documents))"""
 )
 def safe_id(t: Tables) -> DataFrame:
-    v = F.expr("CASE WHEN doc_id % 3 = 0 THEN string(doc_id) ELSE substr(text, 1, 120) END")
+    v = F.expr("CASE WHEN doc_id % 3 = 0 THEN string(doc_id) ELSE text END")
     return t.documents.select("doc_id", X.safe_id(v, "doc").alias("safe_id"))
 
 
@@ -129,11 +129,11 @@ def product_name(t: Tables) -> DataFrame:
 
 @query(
     """SELECT doc_id, string_agg(w, ',' ORDER BY k) AS words FROM (SELECT doc_id, w, min(k) AS k FROM (
-      SELECT doc_id, trim(unnest(string_split(substr(text, 1, 300), ' '))) AS w, generate_subscripts(string_split(substr(text, 1, 300), ' '), 1) AS k
+      SELECT doc_id, trim(unnest(string_split(text, ' '))) AS w, generate_subscripts(string_split(text, ' '), 1) AS k
       FROM (SELECT doc_id, replace(text, chr(10), ' ') AS text FROM documents)) WHERE w <> '' GROUP BY doc_id, w) GROUP BY doc_id"""
 )
 def ordered_unique(t: Tables) -> DataFrame:
-    words = F.split(F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 300), " ")
+    words = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")
     return t.documents.select("doc_id", F.array_join(X.ordered_unique(words), ",").alias("words"))
 
 
@@ -150,7 +150,8 @@ def truncate_ellipsis(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", X.truncate_ellipsis(F.col("text"), 50).alias("short"))
 
 
-REFS = "concat('[', doc_id % 90 + 1, '-', doc_id % 90 + 4, ', ', doc_id % 7 + 100, CASE WHEN doc_id % 2 = 0 THEN ',x' ELSE '，' END, doc_id % 11 + 200, '～', doc_id % 11 + 203, ']')"
+#: Ranges by places in the text: of its first blank and its first full stop, and its length.
+REFS = "concat('[', instr(text, ' ') + 1, '-', instr(text, ' ') + length(text), ', ', instr(text, '.') + 100, CASE WHEN length(text) % 2 = 0 THEN concat(',', left(text, 1)) ELSE '，' END, length(text), '～', length(text) + instr(text, '.'), ']')"
 
 
 @query(

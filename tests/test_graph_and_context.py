@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -41,9 +42,35 @@ def test_extraction(spark):
     assert G.drop_manual(spark.createDataFrame([("a",), ("b",)], "doc_id string"), "a").count() == 1
 
 
-def test_fan_out_bound(spark):
-    e = spark.createDataFrame([("d", 1, i) for i in range(6)], "doc_id string, question_id int, chunk_id int")
-    assert G.co_evidence_edges(e).count() == 30 and G.co_evidence_edges(e, 3).count() == 6
+def test_expansion_by_questions_equals_the_written_links(spark):
+    """A question of 300 chunks among small ones; classes count the links that the edges write out."""
+    rng = random.Random(2)
+    rows = [("d", 1, i) for i in range(300)] + [("d", q, rng.randrange(400)) for q in range(2, 80) for _ in range(4)] + [("e", 1, 900), ("e", 1, 901)]
+    e = spark.createDataFrame(rows, "doc_id string, question_id int, chunk_id int")
+    edges = G.co_evidence_edges(e)
+    one = spark.createDataFrame([("d", 1, i) for i in range(6)], "doc_id string, question_id int, chunk_id int")
+    assert G.co_evidence_edges(one).count() == G.co_evidence_classes(one).first()["n_links"] == 30
+    frontier = spark.createDataFrame([(i,) for i in (0, 7, 250, 299, 350, 900, 999)], "src int")
+    cols = ["src", "dst", "edge_type", "weight"]
+    want = {tuple(r) for r in G.neighbours(frontier, edges).select(*cols).collect()}
+    assert {tuple(r) for r in G.neighbours(frontier, edges.where("false"), evidence=e).select(*cols).collect()} == want and len(want) > 60
+
+
+@pytest.mark.parametrize("most", [1, 7, 500])
+def test_pairs_are_drawn_without_making_all(spark, most):
+    rows = [("big", f"s{i % 5}", i) for i in range(40)] + [("one", "s", i) for i in range(5)] + [("none", None, 1)] + [("two", None, 1), ("two", "x", 2)]
+    chunks = spark.createDataFrame(rows, "doc_id string, big string, chunk_id int")
+    all_pairs = {(d, a, b) for d, s, a in rows for e, r, b in rows if d == e and a < b and s != r}
+    got = [tuple(r) for r in G.pair_sample(chunks, most).collect()]
+    assert len(got) == len(set(got)) == min(most, 640) + 1 and set(got) <= all_pairs
+    assert sorted(got) == sorted(tuple(r) for r in G.pair_sample(chunks.repartition(5), most).collect())
+
+
+def test_a_missing_rewritten_question_fails_its_check(spark):
+    from docloom.operators import context as K
+
+    turns = spark.createDataFrame([("d", 1, "short", None, ["指代消解"]), ("d", 2, "short", "who", ["指代消解"])], "dialogue string, turn int, answer string, rewritten string, checks array<string>")
+    assert {r["turn"]: r["ok"] for r in K.dialogue_checks(turns).collect()} == {1: False, 2: True}
 
 
 def test_interval_join_plan_and_rows(spark):

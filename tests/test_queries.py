@@ -94,3 +94,17 @@ def test_the_entry_works_without_the_llm_folders(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and 'bm25_topk' in q and not set(e.oracle_sql()) - set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
+def test_bounds_skip_postings_and_lose_no_hit(spark, sf):
+    from docloom.operators import retrieval as R
+    from docloom.plans.registry import Tables
+    from docloom.plans.retrieval_queries import asked, index
+
+    t = Tables(spark, sf)
+    idx, queries = index(t), asked(t)
+    hits = lambda df: {(r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 9)) for r in df.collect()}
+    for k in (1, 20, 10_000):
+        assert hits(R.bm25_topk(queries, idx, k)) == hits(R.top_k(R.bm25_scores(queries, idx).where("score > 0"), k))
+    read = R.bounded_terms(queries, idx, 20).groupBy("lead").agg({"df": "sum"}).collect()
+    assert {r["lead"]: r["sum(df)"] for r in read}[True] < sum(r["sum(df)"] for r in read) / 2
