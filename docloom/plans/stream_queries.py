@@ -72,7 +72,8 @@ def stream_recent_candidates(t: Tables) -> DataFrame:
 
 @query(f"WITH {TURNS} SELECT conv_id, turn, count(*) OVER w AS n, string_agg({PAIR}, chr(10)) OVER w AS recent FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)")
 def stream_session_memory(t: Tables) -> DataFrame:
-    return once(t, S.session_memory(stream(t, "conversations")))
+    """A turn stands in for a minute."""
+    return once(t, S.session_memory(stream(t, "conversations").withColumn("at", (F.col("turn") + 1) * 60.0)))
 
 
 @query(

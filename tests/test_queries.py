@@ -108,3 +108,19 @@ def test_bounds_skip_postings_and_lose_no_hit(spark, sf):
         assert hits(R.bm25_topk(queries, idx, k)) == hits(R.top_k(R.bm25_scores(queries, idx).where("score > 0"), k))
     read = R.bounded_terms(queries, idx, 20).groupBy("lead").agg({"df": "sum"}).collect()
     assert {r["lead"]: r["sum(df)"] for r in read}[True] < sum(r["sum(df)"] for r in read) / 2
+
+
+def test_state_goes_after_its_time(spark, tmp_path):
+    """Three triggers: many keys, one key after their time to live, and one more that comes after the watermark has moved; hits are those of one batch."""
+    schema = "request_id long, key string, at double"
+    base = 1_700_000_000.0
+    parts = [[(i, f"k{i % 40}", base + i) for i in range(80)], [(100, "late", base + 9000.0)], [(101, "k1", base + 9001.0), (102, "late", base + 9002.0)]]
+    for n, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        q = S.cache_exact(source, 3600.0).writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+        assert held[-1] <= (40, 41, 2)[n] and (n < 2 or held[-1] == 2)
+    got = {r["request_id"]: r["hit"] for r in spark.read.schema("request_id long, key string, hit boolean").parquet(str(tmp_path / "out")).collect()}
+    assert got == {i: i >= 40 for i in range(80)} | {100: False, 101: False, 102: True}
