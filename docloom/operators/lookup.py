@@ -92,20 +92,35 @@ def cache_exact_lookup(requests: DataFrame, entries: DataFrame, ttl: int = TTL_S
     return last.select("request_id", F.when(fresh, F.col("last.entry_id")).alias("entry_id"), F.coalesce(fresh, F.lit(False)).alias("hit"))
 
 
-def cache_candidates(requests: DataFrame, entries: DataFrame, most: int = CANDIDATES) -> DataFrame:
-    """The newest entries of the same model before each request, at most `most`, by one pass over each model's time order."""
+def cache_candidates(requests: DataFrame, entries: DataFrame, most: int = CANDIDATES, bin: str = "hour") -> DataFrame:
+    """The newest entries of the same model before each request, at most `most`: (request_id, entry_id, rank).
+
+    A model's time is cut into bins, each of which is scanned alone, so a model with a third of all requests is many tasks. What a bin hands on is its `most`
+    newest entries; carried over the bins (a row for each), they complete the requests that their own bin leaves short."""
     e = entries.select("model", F.col("ts").alias("at"), F.lit(1).alias("order"), F.lit(None).cast(requests.schema["request_id"].dataType).alias("request_id"), F.col("entry_id"))
     r = requests.select("model", F.col("ts").alias("at"), F.lit(0).alias("order"), "request_id", F.lit(None).cast(e.schema["entry_id"].dataType).alias("entry_id"))
-    both = e.unionByName(r)
-    w = Window.partitionBy("model").orderBy("at", "order", "entry_id")
-    n = F.count("entry_id").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    seen = both.withColumn("n", n)
-    numbered = seen.where("order = 1").select("model", "entry_id", F.col("n").alias("no"))
-    asked = seen.where("order = 0 AND n > 0").select("model", "request_id", "n", F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - most + 1), F.col("n"))).alias("no"))
-    return asked.join(numbered, ["model", "no"]).select("request_id", "entry_id", (F.col("n") - F.col("no") + 1).alias("rank"))
+    both = e.unionByName(r).withColumn("bin", F.date_trunc(bin, "at"))
+    own = Window.partitionBy("model", "bin")
+    seen = both.withColumn("n", F.count("entry_id").over(own.orderBy("at", "order", "entry_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("all", F.count("entry_id").over(own))
+    seen = stored(seen, "seen")
+    numbered, asked = seen.where("order = 1").select("model", "bin", "entry_id", F.col("n").alias("no"), "all"), seen.where("order = 0").select("model", "bin", "request_id", "n")
+    places = asked.where("n > 0").select("model", "bin", "request_id", "n", F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - most + 1), F.col("n"))).alias("no"))
+    near = places.join(numbered, ["model", "bin", "no"]).select("request_id", "entry_id", (F.col("n") - F.col("no") + 1).alias("rank"))
+
+    last = numbered.where(F.col("no") > F.col("all") - most).groupBy("model", "bin").agg(F.sort_array(F.collect_list(F.struct("no", "entry_id")))["entry_id"].alias("ids"))
+    bins = Window.partitionBy("model").orderBy("bin")
+    tail = F.flatten(F.collect_list("ids").over(bins.rowsBetween(1 - most, Window.currentRow)))
+    upto = last.withColumn("upto", F.slice(tail, F.greatest(F.lit(1), F.size(tail) - most + 1), most))
+    # of each bin with requests: what the last bin with entries before it hands on
+    known = asked.select("model", "bin").distinct().join(upto.select("model", "bin", "upto"), ["model", "bin"], "full")
+    carried = known.withColumn("carried", F.last("upto", ignorenulls=True).over(bins.rowsBetween(Window.unboundedPreceding, -1))).where("carried IS NOT NULL").select("model", "bin", "carried")
+    far = asked.where(F.col("n") < most).join(carried, ["model", "bin"]).select("request_id", "n", F.posexplode(F.reverse("carried")).alias("pos", "entry_id"))
+    far = far.where(F.col("n") + F.col("pos") < most).select("request_id", "entry_id", (F.col("n") + F.col("pos") + 1).alias("rank"))
+    return near.unionByName(far)
 
 
 def bounded_recent(entries: DataFrame, key: str = "model", most: int = KEPT) -> DataFrame:
+    """The newest `most` entries of each key. Spark limits the groups in each task before it shuffles, so a hot key hands on no more than `most` rows a task."""
     w = Window.partitionBy(key).orderBy(F.desc("ts"), F.desc("entry_id"))
     return entries.withColumn("age", F.row_number().over(w)).where(F.col("age") <= most)
 

@@ -32,3 +32,21 @@ def test_no_passages_no_texts_and_long_ones(spark):
     assert found(spark, [(1, "x")], []) == [] and found(spark, [], [(1, "a b c d e")]) == []
     passages = [(1, long[60_000:61_000]), (2, "w976 w0 w1 w2 w3"), (3, "w5 w4 w3 w2 w1")]
     assert found(spark, [(1, long)], passages) == plain([(1, long)], passages)
+
+
+def test_candidates_over_bins_equal_a_plain_search(spark):
+    """Entries and requests at equal times, bins without entries, models without any, a hot model; and the plan of the newest entries."""
+    import datetime
+
+    rng = random.Random(3)
+    start = datetime.datetime(2024, 1, 1)
+    at = lambda: start + datetime.timedelta(minutes=rng.choice([rng.randrange(600), rng.randrange(100) * 60, rng.randrange(3000)]))
+    entries = [(i, rng.choice("aaaab"), at()) for i in range(150)]
+    requests = [(i, rng.choice("aaaabc"), at()) for i in range(400)]
+    e = spark.createDataFrame(entries, "entry_id long, model string, ts timestamp")
+    r = spark.createDataFrame(requests, "request_id long, model string, ts timestamp")
+    want = {(q, x, k + 1) for q, m, t in requests for k, (_, x) in enumerate(sorted(((s, i) for i, n, s in entries if n == m and s < t), reverse=True)[:5])}
+    for size in ("hour", "day"):
+        assert {tuple(x) for x in L.cache_candidates(r, e, bin=size).collect()} == want
+    assert L.cache_candidates(r.limit(0), e).count() == 0 and L.cache_candidates(r, e.limit(0)).count() == 0
+    assert "WindowGroupLimit" in L.bounded_recent(e)._jdf.queryExecution().executedPlan().toString()
