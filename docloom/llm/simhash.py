@@ -74,8 +74,8 @@ def text_fingerprint(text: str | None, words: int = 3) -> int:
 
 #: Texts whose shingles tell which are common, how many of these are known, and in how many of the texts they are at least.
 SAMPLE, COMMON, OFTEN = 10_000, 200_000, 4
-#: Rows of a shingle's group that are dealt to one block.
-WIDE = 2048
+#: Rows of a shingle's group that are dealt to one block; rows from which a shingle of prefixes goes to the end of the order, and how many of these are known.
+WIDE, MANY, KNOWN = 2048, 16, 500_000
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -99,6 +99,25 @@ def prefix(h: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: fl
     return h[: n - math.ceil(similarity * n - 1e-9) + 1] if n else h
 
 
+def with_known(common: np.ndarray, counts: np.ndarray, known: np.ndarray, n: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest shingles of the sample, their counts scaled to all texts, and those found to be frequent in prefixes."""
+    both, at = np.unique(np.concatenate([common, known]), return_inverse=True)
+    out = np.zeros(len(both))
+    np.maximum.at(out, at, np.concatenate([counts * scale, n]))
+    return both, out
+
+
+def fronts_again(texts: DataFrame, words: int, common: np.ndarray, counts: np.ndarray, similarity: float) -> DataFrame:
+    """texts (fp, size, text): (fp, size, front), prefixes by the given order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fronts = [prefix(shingle_set(t, words), common, counts, similarity).view(np.int64) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fronts, pa.list_(pa.int64()))], ["fp", "size", "front"])
+
+    return texts.select("fp", "size", "text").mapInArrow(run, "fp long, size long, front array<long>")
+
+
 def parity_bits(h: np.ndarray) -> bytes:
     """Parity of the hashes by their low bits, in at least twice as many bits as hashes (a power of two). Two sets differ in at
     least as many members as their parities in bits; halves of a parity combined by XOR give that of half the size."""
@@ -321,7 +340,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     parities rule out are left out; all others are verified. Shingles' groups hold numbers only; parities are looked up for each pair that is left.
 
     A crowd of texts that share most of their shingles, but less than links need, makes no pairs where these shingles are known to be common: they come last in order,
-    past the places that can link. Shingles too rare for the sample (fewer than 4 of 10,000 texts) can make the square of their texts, in blocks.
+    past the places that can link. Known are those of a sample, and those that MANY prefixes hold: these prefixes are made again, with such shingles last. The order changes no
+    result; beyond the KNOWN most frequent of them, a shingle's texts can make the square of their number, in blocks.
 
     Null and empty texts have the empty set and are one node; rows with equal ids go by their place; a component with null ids only keeps its first row;
     columns of docs may have any names."""
@@ -353,8 +373,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     more = saved(prints.join(nodes.select("fp", F.col("row").alias("kept")), "fp").where("row <> kept").select("row"), "more")
     whole = without(marked, row, more)
     features = whole.select(F.col(node).alias("fp"), F.col(size).alias("size"), F.col(bits).alias("bits"))
-    keys = whole.select(F.col(node).alias("fp"), F.col(size).alias("size"), F.posexplode(F.arrays_zip(front, F.slice(F.concat(front, F.array(F.lit(None).cast("long"))), 2, 1 << 30).alias("next"))).alias("pos", "of"))
-    keys = keys.select("fp", "size", F.col("pos").cast("long").alias("pos"), F.col(f"of.{front}").alias("token"), F.col("of.next").alias("next"))
+    fronts = whole.select(F.col(node).alias("fp"), F.col(size).alias("size"), F.col(front).alias("front"))
+    held = fronts.select("fp", F.explode("front").alias("token"))
+    frequent = saved(held.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MANY).orderBy(F.desc("n"), "token").limit(KNOWN), "frequent")
+    known = frequent.toArrow()  # at most KNOWN numbers
+    if len(known):
+        # prefixes without a frequent shingle are the same in the new order
+        affected = sized(saved(held.join(sized(frequent.select("token")), "token").select("fp").distinct(), "affected"))
+        order = with_known(common, counts, known.column("token").to_numpy().view(np.uint64), known.column("n").to_numpy(), max(1.0, marked.count() / SAMPLE))
+        texts = whole.select(F.col(node).alias("fp"), F.col(size).alias("size"), F.col(f"`{text_col}`").alias("text")).join(affected, "fp", "left_semi")
+        fronts = saved(fronts.join(affected, "fp", "left_anti").unionByName(fronts_again(texts, words, *order, similarity)), "fronts")
+    keys = fronts.select("fp", "size", F.posexplode(F.arrays_zip("front", F.slice(F.concat("front", F.array(F.lit(None).cast("long"))), 2, 1 << 30).alias("next"))).alias("pos", "of"))
+    keys = keys.select("fp", "size", F.col("pos").cast("long").alias("pos"), F.col("of.front").alias("token"), F.col("of.next").alias("next"))
     tokens = saved(keys.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token"), "tokens")
     groups = saved(keys.join(tokens, "token"), "groups")
 
