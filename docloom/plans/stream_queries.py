@@ -45,6 +45,14 @@ def latency_p95_5m(t: Tables) -> DataFrame:
     return S.latency_p95(t.events)
 
 
+@query(
+    f"""SELECT window_start, any_value(n) AS n, round(max(value) FILTER (k = ceil(0.95 * n)), 6) AS p95 FROM (SELECT window_start, value, count(*) OVER w AS n, row_number() OVER (w ORDER BY value) AS k FROM ({SLIDES.format(60, 5)}) WINDOW w AS (PARTITION BY window_start)) GROUP BY 1"""
+)
+def latency_sketch_5m(t: Tables) -> DataFrame:
+    """The value of that rank, which sketches give exactly for windows of so few events."""
+    return S.latency_sketches(t.events).select("window_start", "n", "p95")
+
+
 @query("SELECT floor(epoch(ts) / 300)::BIGINT * 300 AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def tumbling_status_counts(t: Tables) -> DataFrame:
     return S.tumbling_counts(t.events)

@@ -124,3 +124,22 @@ def test_state_goes_after_its_time(spark, tmp_path):
         assert held[-1] <= (40, 41, 2)[n] and (n < 2 or held[-1] == 2)
     got = {r["request_id"]: r["hit"] for r in spark.read.schema("request_id long, key string, hit boolean").parquet(str(tmp_path / "out")).collect()}
     assert got == {i: i >= 40 for i in range(80)} | {100: False, 101: False, 102: True}
+
+
+def test_sketches_of_many_events_and_of_a_stream(spark, tmp_path):
+    """60,000 latencies in one window: the rank is within the bound; a stream's windows are the batch's."""
+    from pyspark.sql import functions as F
+
+    many = spark.range(60_000).select(F.timestamp_seconds(1_700_000_040 + F.col("id") % 240).alias("ts"), ((F.col("id") * 7919) % 60_000).cast("double").alias("value"))
+    got = S.latency_sketches(many).where("n = 60000").first()
+    assert abs(got["p95"] / 60_000 - 0.95) < 0.005
+    few = spark.range(500).select(F.timestamp_seconds(1_700_000_000 + F.col("id") * 7).alias("ts"), ((F.col("id") * 31) % 97).cast("double").alias("value"))
+    few.coalesce(1).write.parquet(str(tmp_path / "in"))
+    late = spark.range(1).select(F.timestamp_seconds(F.lit(1_800_000_000)).alias("ts"), F.lit(0.0).alias("value"))
+    source = spark.readStream.schema(few.schema).parquet(str(tmp_path / "in"))
+    for df in (None, late):
+        if df is not None:
+            df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        out = S.run_once(S.latency_sketches(source).select("window_start", "n", "p95"), str(tmp_path / "c"), str(tmp_path / "o"))
+    want = {tuple(r) for r in S.latency_sketches(few).select("window_start", "n", "p95").collect()}
+    assert {tuple(r) for r in out.collect() if r["window_start"] < 1_790_000_000} == want
