@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import SPACE, let, strip
@@ -73,6 +73,18 @@ def bm25_index(corpus: DataFrame, tokens: Column, id_col: str = "chunk_id") -> B
     return Bm25Index(postings, raw.select("term", "df", "best", F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw")).alias("idf")), n, words / max(1, n))
 
 
+def save_bm25(index: Bm25Index, path: str) -> None:
+    """Writes an index under a path of the user's, to be read again by any number of searches."""
+    index.postings.write.parquet(f"{path}/postings")
+    index.terms.write.parquet(f"{path}/terms")
+    index.terms.sparkSession.createDataFrame([(index.n, float(index.mean_length))], "n long, mean_length double").coalesce(1).write.parquet(f"{path}/size")
+
+
+def read_bm25(spark: SparkSession, path: str) -> Bm25Index:
+    size = spark.read.parquet(f"{path}/size").first()
+    return Bm25Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), size["n"], size["mean_length"])
+
+
 def top_k(scored: DataFrame, k: int, by: list[str] | None = None, key: str = "query_id", score: str = "score", tie: str = "chunk_id") -> DataFrame:
     w = Window.partitionBy(key).orderBy(*(by or [F.round(F.col(score), 9).desc(), F.col(tie)]))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

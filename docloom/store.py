@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_OPEN = threading.local()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,8 +27,23 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN[0]
 
 
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[str]:
+    """Owns what is written within it, in this thread: all intermediate tables go at its end, so results that rest on them are to be written or collected before.
+    Tables written outside of any workspace stay until the folder is cleared."""
+    root = f"{shared_folder(spark)}/docloom/work-{uuid.uuid4().hex}"
+    _OPEN.roots = [*getattr(_OPEN, "roots", []), root]
+    try:
+        yield root
+    finally:
+        _OPEN.roots = [r for r in _OPEN.roots if r != root]
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def new_folder(spark: SparkSession, tag: str) -> str:
-    return f"{shared_folder(spark)}/docloom/{tag}-{uuid.uuid4().hex}"
+    roots = getattr(_OPEN, "roots", [])
+    return f"{roots[-1] if roots else shared_folder(spark) + '/docloom'}/{tag}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:

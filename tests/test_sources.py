@@ -85,3 +85,32 @@ def test_hooks(spark):
     H.register(spark)
     got = spark.sql("SELECT * FROM chunk_text('One two. Three four. Five.', 6)").collect()
     assert [(r["piece_no"], r["piece"]) for r in got] == [(0, "One two."), (1, "Three four."), (2, "Five.")]
+
+
+def test_a_workspace_removes_what_was_written_in_it(spark):
+    import os
+
+    from docloom.store import new_folder, stored, workspace
+
+    with workspace(spark) as root:
+        assert stored(spark.range(3), "t").count() == 3 and new_folder(spark, "x").startswith(root)
+        with workspace(spark) as inner:
+            stored(spark.range(2), "u")
+            there = inner.removeprefix("file://")
+            assert os.path.isdir(there)
+        assert not os.path.exists(there) and new_folder(spark, "x").startswith(root)
+        assert os.path.isdir(root.removeprefix("file://"))
+    assert not os.path.exists(root.removeprefix("file://")) and not new_folder(spark, "x").startswith(root)
+
+
+def test_a_named_index_is_read_again(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from docloom.operators import retrieval as R
+
+    docs = spark.createDataFrame([(i, f"word{i % 7} and term{i % 3} here") for i in range(50)], "chunk_id long, text string")
+    made = R.bm25_index(docs, R.tokenize(F.col("text")))
+    R.save_bm25(made, str(tmp_path / "index"))
+    asked = docs.limit(5).select(F.col("chunk_id").alias("query_id"), R.tokenize(F.col("text")).alias("tokens"))
+    hits = lambda i: sorted(map(tuple, R.bm25_topk(asked, i, 3).select("query_id", "chunk_id", "rank", F.round("score", 9)).collect()))
+    assert hits(R.read_bm25(spark, str(tmp_path / "index"))) == hits(made)
