@@ -190,23 +190,27 @@ def repair_image_markers(c: Column, allowed: Column) -> Column:
 def align_pics(c: Column, images: Column) -> Column:
     """(text, images): each placeholder has the image of its place. It stays if the image is unseen, there is text before
     or after it, and there is text before it or the placeholder before it went. Unequal numbers change nothing."""
-    parts = F.split(c, PIC, -1)
     has_text = lambda x: x.rlike(r"(?U)\w")
-    start = F.struct(F.element_at(parts, 1).alias("text"), F.array().cast("array<string>").alias("kept"), F.lit(False).alias("last"))
-
-    def step(acc: Column, i: Column) -> Column:
-        image, after = F.element_at(images, i), F.element_at(parts, i + 1)
-        before = has_text(F.element_at(parts, i))
-        keep = ~F.array_contains(acc["kept"], image) & (before | has_text(after)) & (before | ~acc["last"])
-        return F.struct(
-            F.concat(acc["text"], F.when(keep, F.lit(PIC)).otherwise(F.lit("")), after).alias("text"),
-            F.when(keep, F.concat(acc["kept"], F.array(image))).otherwise(acc["kept"]).alias("kept"),
-            keep.alias("last"),
-        )
-
-    fits = (F.size(parts) - 1 == F.size(images)) & (F.size(images) > 0)
-    folded = F.when(fits, F.aggregate(F.sequence(F.lit(1), F.size(images)), start, step))
-    return F.struct(strip(F.coalesce(folded["text"], c)).alias("text"), F.coalesce(folded["kept"], images).alias("images"))
+
+    def aligned(given: Column) -> Column:
+        parts, images = given["parts"], given["images"]
+        start = F.struct(F.element_at(parts, 1).alias("text"), F.array().cast("array<string>").alias("kept"), F.lit(False).alias("last"))
+
+        def step(acc: Column, i: Column) -> Column:
+            image, after = F.element_at(images, i), F.element_at(parts, i + 1)
+            before = has_text(F.element_at(parts, i))
+            keep = ~F.array_contains(acc["kept"], image) & (before | has_text(after)) & (before | ~acc["last"])
+            return F.struct(
+                F.concat(acc["text"], F.when(keep, F.lit(PIC)).otherwise(F.lit("")), after).alias("text"),
+                F.when(keep, F.concat(acc["kept"], F.array(image))).otherwise(acc["kept"]).alias("kept"),
+                keep.alias("last"),
+            )
+
+        fits = (F.size(parts) - 1 == F.size(images)) & (F.size(images) > 0)
+        folded = F.when(fits, F.aggregate(F.sequence(F.lit(1), F.size(images)), start, step))
+        return F.struct(strip(F.coalesce(folded["text"], given["whole"])).alias("text"), F.coalesce(folded["kept"], images).alias("images"))
+
+    return let(F.struct(F.split(c, PIC, -1).alias("parts"), images.alias("images"), c.alias("whole")), aligned)
 
 
 def image_url_ok(c: Column, max_bytes: int = 5 * 1024 * 1024) -> Column:

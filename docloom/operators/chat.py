@@ -36,6 +36,7 @@ def history_context(sessions: DataFrame, turns: DataFrame, summaries: DataFrame,
     x = sessions.select(key).distinct().join(g, key, "left").join(summaries.select(key, "summary"), key, "left")
     some, has = F.coalesce(F.size("recent"), F.lit(0)) > 0, F.coalesce(F.col("summary") != "", F.lit(False)) & F.lit(strategy != "sliding_window")
     text = format_turns(F.col("recent"))
+    # The headings of a history.
     head = {"sliding_window": F.lit(""), "summary": F.lit("最近一轮:\n"), "sliding_summary": F.format_string("最近 %d 轮对话:\n", F.size("recent"))}[strategy]
     body = F.concat_ws("\n\n", F.when(has, F.concat(F.lit("历史摘要: "), "summary")), F.concat(head, text))
     return x.select(key, F.when(some, body).otherwise("").alias("context"), F.when(some, F.size("recent")).otherwise(0).cast("long").alias("turns_used"), (some & has).alias("summary_used"))

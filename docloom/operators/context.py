@@ -18,12 +18,14 @@ def assemble_context(blocks: DataFrame, max_tokens: int = 12000) -> DataFrame:
     x = blocks.withColumn("i", F.row_number().over(w)).withColumn("fits", (upto <= 3 * max_tokens) | (F.col("i") == 1))
     kept = F.filter(F.sort_array(F.collect_list(F.struct("i", "block", "fits"))), lambda b: b["fits"])
     g = x.groupBy("query_id").agg(kept.alias("kept"), F.count(F.lit(1)).alias("n"))
+    # Fixed value: the notice.
     notice = F.format_string("\n... (截断，共 %d 个结果，仅展示前 %d 个)", F.col("n"), F.size("kept"))
     parts = F.concat(F.transform("kept", lambda b: b["block"]), F.when(F.size("kept") < F.col("n"), F.array(notice)).otherwise(F.array().cast("array<string>")))
     return g.select("query_id", F.array_join(parts, RULE).alias("context"), F.size("kept").cast("long").alias("shown"), F.col("n").cast("long").alias("found"))
 
 
 def format_block(doc: str, title: str, chunk: str, content: str, source: str) -> Column:
+    # The words of a block.
     return F.concat(F.lit("["), F.col(doc), F.lit("] "), F.col(title), F.lit(" (小块: "), F.col(chunk).cast("string"), F.lit(")\n  来源："), F.col(source), F.lit("\n  内容：\n"), F.col(content))
 
 

@@ -29,19 +29,26 @@ def extract_json(t: Tables) -> DataFrame:
     return v.select("event_id", F.try_variant_get("v", "$.u", "bigint").alias("user_id"), F.try_variant_get("v", "$.t", "string").alias("event_type"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'See <PIC>, then end' ELSE 'See, then end' END AS content FROM documents")
+@query(
+    r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(replace(text, '. ', '. ' || CASE WHEN length(text) % 2 = 0 THEN '<PIC>' ELSE '' END || '  '), '[ \t]{2,}', ' ', 'g'), '\s+([，。；、,.!?！？])', '\1', 'g'), ' ' || chr(10))) AS content_md5 FROM documents"""
+)
 def repair_image_markers(t: Tables) -> DataFrame:
-    text = F.concat(F.lit("See [图片:D"), "doc_id", F.lit("_0] , then  (图：X_1) end"))
-    allowed = F.expr("CASE WHEN doc_id % 2 = 0 THEN array(concat('D', doc_id, '_0.png')) ELSE array('none.png') END")
-    return t.documents.select("doc_id", X.repair_image_markers(text, allowed).alias("content"))
+    """A marker after each sentence; texts of even length allow its image."""
+    text = F.replace("text", F.lit(". "), F.concat(F.lit(". [图片:D"), F.col("doc_id").cast("string"), F.lit("_0]  ")))
+    allowed = F.when(F.length("text") % 2 == 0, F.array(F.concat(F.lit("D"), "doc_id", F.lit("_0.png")))).otherwise(F.array(F.lit("none.png")))
+    return t.documents.select("doc_id", F.md5(X.repair_image_markers(text, allowed)).alias("content_md5"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'a<PIC>b c' ELSE 'a<PIC>b<PIC> c' END AS content, CASE WHEN doc_id % 3 = 0 THEN 'x' ELSE 'x,y' || doc_id END AS images FROM documents")
+@query(
+    """SELECT doc_id, md5(trim(array_to_string(list_transform(parts, lambda p, i: CASE WHEN i BETWEEN 2 AND 4 THEN '<PIC>' || p ELSE p END), ''), ' ' || chr(10))) AS content_md5, ['', 'x0', 'x0,x1', 'x0,x1,x2'][least(len(parts), 4)] AS images
+    FROM (SELECT doc_id, string_split(text, '. ') AS parts FROM documents)"""
+)
 def align_pics(t: Tables) -> DataFrame:
-    images = F.expr("CASE WHEN doc_id % 3 = 0 THEN array('x', 'x', 'z') ELSE array('x', concat('y', doc_id), 'z') END")
-    a = X.align_pics(F.lit("a<PIC>b<PIC><PIC> c"), images)
-    # the third follows a kept one without text between, or a duplicate that went
-    return t.documents.select("doc_id", a.alias("a")).select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.regexp_replace("a.text", "<PIC> c", " c")).otherwise(F.col("a.text")).alias("content"), F.array_join(F.filter("a.images", lambda i: i != "z"), ",").alias("images"))
+    """A placeholder for each end of a sentence, with three images in turn: each is kept once."""
+    parts = F.split("text", "\\. ")
+    images = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(0), F.size(parts) - 2), lambda i: F.concat(F.lit("x"), (i % 3).cast("string")))).otherwise(F.array().cast("array<string>"))
+    a = X.align_pics(F.array_join(parts, X.PIC), images)
+    return t.documents.select("doc_id", a.alias("a")).select("doc_id", F.md5("a.text").alias("content_md5"), F.array_join("a.images", ",").alias("images"))
 
 
 @query("SELECT doc_id, length(text) % 3 < 2 AND strlen(text) <= 2000 AS ok FROM documents")
@@ -116,9 +123,9 @@ def save_sessions(t: Tables) -> DataFrame:
     return I.load_sessions(t.spark, path).select("session_id", "version", "summary")
 
 
-@query("SELECT item_id AS id, '\"' || 'answer ' || item_id || '\",[\"i' || item_id || '\"]' AS ret FROM benchmark")
+@query("SELECT item_id AS id, to_json(text)::VARCHAR || ',[\"i' || item_id || '\"]' AS ret FROM benchmark")
 def export_answers(t: Tables) -> DataFrame:
-    return t.benchmark.select(F.col("item_id").alias("id"), I.answer_ret(F.concat(F.lit("answer "), "item_id"), F.array(F.concat(F.lit("i"), "item_id"))).alias("ret"))
+    return t.benchmark.select(F.col("item_id").alias("id"), I.answer_ret(F.col("text"), F.array(F.concat(F.lit("i"), "item_id"))).alias("ret"))
 
 
 @query("SELECT doc_id AS question_id, k::BIGINT AS ref_no, source || CASE k WHEN 0 THEN '_a.md' WHEN 1 THEN '_b.md' ELSE '_c.md' END AS file, (length(text) + k)::BIGINT AS start_line, (length(text) + k + CASE k WHEN 0 THEN instr(text, ' ') ELSE 0 END)::BIGINT AS end_line FROM documents, range(0, 3) r(k)")

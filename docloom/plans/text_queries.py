@@ -192,7 +192,10 @@ def embedding_payload(t: Tables) -> DataFrame:
     return md_docs(t).select("doc_id", X.embedding_payload(F.col("md"), images).alias("p")).select("doc_id", F.md5("p.text").alias("text_md5"), "p.image")
 
 
-@query("SELECT doc_id, 'see [a' || doc_id || '] and [' || CASE WHEN doc_id % 2 = 0 THEN 'b' ELSE 'missing image' END || '] end' AS answer FROM documents")
+@query(
+    """SELECT doc_id, md5(array_to_string(list_transform(string_split(text, '. '), lambda p, i: CASE WHEN i = 1 THEN p ELSE '[' || coalesce(['a' || doc_id, 'b'][i - 1], 'missing image') || ']' || p END), '')) AS answer_md5 FROM documents"""
+)
 def render_answer(t: Tables) -> DataFrame:
-    images = F.expr("CASE WHEN doc_id % 2 = 0 THEN array(concat('a', doc_id), 'b') ELSE array(concat('a', doc_id)) END")
-    return t.documents.select("doc_id", X.render_answer(F.lit("see <PIC> and <PIC> end"), images).alias("answer"))
+    """A placeholder for each end of a sentence, and two images."""
+    answer = X.render_answer(F.replace("text", F.lit(". "), F.lit(X.PIC)), F.array(F.concat(F.lit("a"), "doc_id"), F.lit("b")))
+    return t.documents.select("doc_id", F.md5(answer).alias("answer_md5"))
