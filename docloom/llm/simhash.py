@@ -170,11 +170,12 @@ def star_pairs(rows: DataFrame, keys: list[str], similarity: float) -> DataFrame
 
 
 def open_pairs(rows: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """rows (token, fp, size, pos): all pairs of a shingle's group that are not yet in one component and may link.
+    """rows (token, fp, size, pos, prev, prev2): all pairs of a shingle's group that are not yet in one component and may link.
 
     Of two such sets the smaller has a common shingle in its first ninth (at 0.8; an index row), the larger one in its first fifth (all rows). Groups are keyed by
     classes of size as well, in which partners are neighbours. A class whose rows are in one component makes no pairs; in others the rows of its
-    most frequent component meet only those of the rest. Index rows are dealt to blocks, each of which the others go to."""
+    most frequent component meet only those of the rest. Index rows are dealt to blocks, each of which the others go to. A pair with a common shingle among
+    the two before is left to an earlier group: the first that both are in, to which the bounds of places refer, has none."""
     base = math.log(1 / similarity) * 1.001
     ours = rows.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")).withColumn("class", F.floor(F.log("size") / base).cast("int"))
     index = F.col("pos") < F.col("size") - F.ceil(2 * similarity / (1 + similarity) * F.col("size") - 1e-6) + 1
@@ -184,11 +185,12 @@ def open_pairs(rows: DataFrame, roots: DataFrame, similarity: float) -> DataFram
     groups = counted.groupBy("token", "class").agg(F.count(F.lit(1)).alias("roots"), F.sum("i").alias("i"), F.max(F.struct("n", "root")).alias("most")).where("roots > 1 AND i > 0")
     groups = saved(groups.select("token", "class", F.col("most.root").alias("main"), F.ceil(F.col("i") / WIDE).cast("int").alias("blocks")), "open")
     key = ["token", "class"]
-    l = left.join(groups, key).select(*key, F.expr("cast(pmod(xxhash64(fp, 1), blocks) as int)").alias("block"), (F.col("root") != F.col("main")).alias("l_stray"), F.col("fp").alias("l_fp"), F.col("root").alias("l_root"), F.col("size").alias("l_size"), F.col("pos").alias("l_pos"))  # noqa: E741
-    r = right.join(groups, key).select(*key, F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), (F.col("root") != F.col("main")).alias("stray"), F.col("fp").alias("r_fp"), F.col("root").alias("r_root"), F.col("size").alias("r_size"), F.col("pos").alias("r_pos"))
+    l = left.join(groups, key).select(*key, F.expr("cast(pmod(xxhash64(fp, 1), blocks) as int)").alias("block"), (F.col("root") != F.col("main")).alias("l_stray"), F.col("fp").alias("l_fp"), F.col("root").alias("l_root"), F.col("size").alias("l_size"), F.col("pos").alias("l_pos"), F.col("prev").alias("l_prev"), F.col("prev2").alias("l_prev2"))  # noqa: E741
+    r = right.join(groups, key).select(*key, F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), (F.col("root") != F.col("main")).alias("stray"), F.col("fp").alias("r_fp"), F.col("root").alias("r_root"), F.col("size").alias("r_size"), F.col("pos").alias("r_pos"), F.col("prev").alias("r_prev"), F.col("prev2").alias("r_prev2"))
     # strays meet all rows; rows of the main component meet strays
     l = l.withColumn("stray", F.explode(F.when(F.col("l_stray"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))))  # noqa: E741
-    met = l.join(r, [*key, "block", "stray"]).where(f"l_root <> r_root AND {reachable('l', 'r', similarity)}")
+    met_before = "coalesce(l_prev = r_prev, false) OR coalesce(l_prev = r_prev2, false) OR coalesce(l_prev2 = r_prev, false) OR coalesce(l_prev2 = r_prev2, false)"
+    met = l.join(r, [*key, "block", "stray"]).where(f"l_root <> r_root AND {reachable('l', 'r', similarity)} AND NOT ({met_before})")
     return met.select(F.least("l_fp", "r_fp").alias("a"), F.greatest("l_fp", "r_fp").alias("b")).distinct()
 
 
@@ -383,8 +385,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
         order = with_known(common, counts, known.column("token").to_numpy().view(np.uint64), known.column("n").to_numpy(), max(1.0, marked.count() / SAMPLE))
         texts = whole.select(F.col(node).alias("fp"), F.col(size).alias("size"), F.col(f"`{text_col}`").alias("text")).join(affected, "fp", "left_semi")
         fronts = saved(fronts.join(affected, "fp", "left_anti").unionByName(fronts_again(texts, words, *order, similarity)), "fronts")
-    keys = fronts.select("fp", "size", F.posexplode(F.arrays_zip("front", F.slice(F.concat("front", F.array(F.lit(None).cast("long"))), 2, 1 << 30).alias("next"))).alias("pos", "of"))
-    keys = keys.select("fp", "size", F.col("pos").cast("long").alias("pos"), F.col("of.front").alias("token"), F.col("of.next").alias("next"))
+    keys = fronts.select("fp", "size", F.posexplode(F.transform("front", lambda t, i: F.struct(t.alias("token"), F.get("front", i - 1).alias("prev"), F.get("front", i - 2).alias("prev2")))).alias("pos", "of"))
+    keys = keys.select("fp", "size", F.col("pos").cast("long").alias("pos"), "of.*")
     tokens = saved(keys.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token"), "tokens")
     groups = saved(keys.join(tokens, "token"), "groups")
 
@@ -410,7 +412,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
             pairs = pairs.join(roots.select(F.col("fp").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
         return pairs.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b").distinct()
 
-    stars = star_pairs(groups.where("next IS NOT NULL"), ["token", "next"], similarity).unionByName(star_pairs(groups, ["token"], similarity))
+    stars = star_pairs(groups.where("prev IS NOT NULL"), ["token", "prev"], similarity).unionByName(star_pairs(groups, ["token"], similarity))
     links = links.unionByName(verified(filtered_pairs(still_open(stars), features, similarity)))
     roots = components(links).withColumnRenamed("node", "fp")
     links = links.unionByName(verified(filtered_pairs(open_pairs(groups, roots, similarity), features, similarity)))
