@@ -80,7 +80,7 @@ def _expires(state: GroupState, at: float) -> None:
 
 def cache_exact(requests: DataFrame, ttl: float = TTL_SECONDS, late: str = "10 minutes") -> DataFrame:
     """requests (request_id, key, at in seconds): hit or miss; a miss writes the entry, a hit does not renew it. A key's entry leaves the state when the watermark
-    has passed its end. Grouped state with timeouts: typed state with timers took 18 ms a key in Python workers, this takes 0.3 ms."""
+    has passed its end. Grouped state with timeouts: typed state with timers took some 18 ms a key in Python workers, in a trial of 100 keys."""
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         columns = ["request_id", "key", "hit"]
