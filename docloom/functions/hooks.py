@@ -84,9 +84,10 @@ def strip_space(text: str) -> str:
 
 @F.udtf(returnType="piece_no int, piece string")
 class ChunkText:
-    """chunk_text(text, max_tokens) for SQL: the parts of a paragraph as split_paragraph makes them, streamed, so that SQL can have the limit in a column."""
+    """chunk_text(text, max_tokens) for SQL: the parts of a paragraph as split_paragraph makes them, streamed, so that SQL can have the limit in a column. A third
+    argument has the characters that are taken off the windows of long sentences; all white space where it is left out."""
 
-    def eval(self, text: str, most: int):
+    def eval(self, text: str, most: int, edges: str | None = None):
         value, cur, tokens, no = normal(text or ""), "", 0, 0
         for s in [value] if len(value) // 2 <= most else map(strip_space, re.split(SENTENCE_END, value)):
             n = max(1, len(s) // 2) if s else 0
@@ -95,7 +96,7 @@ class ChunkText:
                 no, cur, tokens = no + 1, "", 0
             if n > most:
                 for at in range(0, len(s), 2 * most):
-                    if part := strip_space(s[at : at + 2 * most]):
+                    if part := strip_space(s[at : at + 2 * most]) if edges is None else s[at : at + 2 * most].strip(edges):
                         yield no, part
                         no += 1
             elif s:
