@@ -76,6 +76,8 @@ def text_fingerprint(text: str | None, words: int = 3) -> int:
 SAMPLE, COMMON, OFTEN = 10_000, 200_000, 4
 #: Rows of a shingle's group that are dealt to one block; rows from which a shingle of prefixes goes to the end of the order, and how many of these are known.
 WIDE, MANY, KNOWN = 2048, 16, 500_000
+#: Rounds in which open groups meet some rows of their most frequent component, at most so many, before all that is open meets.
+TURNS, CENTRES = 2, 32
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -162,6 +164,15 @@ def reachable(a: str, b: str, similarity: float) -> str:
     return f"{a}_size <= {b}_size AND {a}_size >= {similarity} * {b}_size - 1e-9 AND least({a}_size - {a}_pos, {b}_size - {b}_pos) >= {share} * ({a}_size + {b}_size) - 1e-6"
 
 
+def shared_tokens(fronts: DataFrame) -> DataFrame:
+    """fronts (fp, size, front): (token, fp, size, pos, prev, prev2) of each place whose token another prefix holds, too, with the two tokens before it. Only tokens and
+    places are dealt by token; those that are shared go back to their prefixes."""
+    held = fronts.select("fp", F.posexplode("front").alias("pos", "token"))
+    shared = held.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("n > 1").groupBy("fp").agg(F.collect_list("pos").alias("places"))
+    of = F.transform("places", lambda i: F.struct(F.get("front", i).alias("token"), i.cast("long").alias("pos"), F.get("front", i - 1).alias("prev"), F.get("front", i - 2).alias("prev2")))
+    return fronts.join(shared, "fp").select("fp", "size", F.explode(of).alias("of")).select("of.token", "fp", "size", "of.pos", "of.prev", "of.prev2")
+
+
 def star_pairs(rows: DataFrame, keys: list[str], similarity: float) -> DataFrame:
     """rows (fp, size, pos, ...): each with the least row of its keys' group, if they may link. As many pairs as rows at most."""
     centre = rows.groupBy(*keys).agg(F.min(F.struct("fp", "size", "pos")).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys, F.col("c.fp").alias("c_fp"), F.col("c.size").alias("c_size"), F.col("c.pos").alias("c_pos"))
@@ -169,6 +180,22 @@ def star_pairs(rows: DataFrame, keys: list[str], similarity: float) -> DataFrame
     return met.where(f"({reachable('c', 'r', similarity)}) OR ({reachable('r', 'c', similarity)})").select(F.least("fp", "c_fp").alias("a"), F.greatest("fp", "c_fp").alias("b"))
 
 
+def open_stars(rows: DataFrame, roots: DataFrame, similarity: float, turn: int) -> DataFrame:
+    """rows (token, fp, size, pos, ...): of a shingle's group within a class of size, each row that is not in the most frequent component, with up to CENTRES rows of
+    that component (one for each 16 of its rows), if they may link. Which ones changes with each turn, and classes lie half a class apart. As many pairs as CENTRES times the rows at most."""
+    base = math.log(1 / similarity) * 1.001
+    key = ["token", "class"]
+    ours = rows.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")).withColumn("class", F.floor(F.log("size") / base + turn / 2).cast("int"))
+    main = ours.groupBy(*key, "root").agg(F.count(F.lit(1)).alias("n")).groupBy(*key).agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root")).alias("most")).where("roots > 1")
+    main = main.select(*key, F.col("most.root").alias("main"), F.least(F.ceil(F.col("most.n") / 16), F.lit(CENTRES)).cast("int").alias("centres"))
+    ours = saved(ours.join(main, key).select(*key, "root", "main", "centres", "fp", "size", "pos"), "open")
+    by = F.xxhash64("fp", F.lit(turn))
+    centre = ours.where("root = main").groupBy(*key, F.expr(f"pmod(xxhash64({turn}, fp), centres)").alias("at")).agg(F.min(F.struct(by.alias("by"), "fp", "size", "pos")).alias("c"))
+    centre = centre.select(*key, F.col("c.fp").alias("c_fp"), F.col("c.size").alias("c_size"), F.col("c.pos").alias("c_pos"))
+    met = ours.where("root <> main").select(*key, "fp", F.col("size").alias("r_size"), F.col("pos").alias("r_pos")).join(centre, key)
+    return met.where(f"({reachable('c', 'r', similarity)}) OR ({reachable('r', 'c', similarity)})").select(F.least("fp", "c_fp").alias("a"), F.greatest("fp", "c_fp").alias("b")).distinct()
+
+
 def open_pairs(rows: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """rows (token, fp, size, pos, prev, prev2): all pairs of a shingle's group that are not yet in one component and may link.
 
@@ -385,10 +412,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
         order = with_known(common, counts, known.column("token").to_numpy().view(np.uint64), known.column("n").to_numpy(), max(1.0, marked.count() / SAMPLE))
         texts = whole.select(F.col(node).alias("fp"), F.col(size).alias("size"), F.col(f"`{text_col}`").alias("text")).join(affected, "fp", "left_semi")
         fronts = saved(fronts.join(affected, "fp", "left_anti").unionByName(fronts_again(texts, words, *order, similarity)), "fronts")
-    keys = fronts.select("fp", "size", F.posexplode(F.transform("front", lambda t, i: F.struct(t.alias("token"), F.get("front", i - 1).alias("prev"), F.get("front", i - 2).alias("prev2")))).alias("pos", "of"))
-    keys = keys.select("fp", "size", F.col("pos").cast("long").alias("pos"), "of.*")
-    tokens = saved(keys.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token"), "tokens")
-    groups = saved(keys.join(tokens, "token"), "groups")
+    groups = saved(shared_tokens(fronts), "groups")
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = saved(pairs, "pairs")
@@ -414,6 +438,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
 
     stars = star_pairs(groups.where("prev IS NOT NULL"), ["token", "prev"], similarity).unionByName(star_pairs(groups, ["token"], similarity))
     links = links.unionByName(verified(filtered_pairs(still_open(stars), features, similarity)))
+    for turn in range(TURNS):
+        roots = components(links).withColumnRenamed("node", "fp")
+        links = links.unionByName(verified(filtered_pairs(open_stars(groups, roots, similarity, turn), features, similarity)))
     roots = components(links).withColumnRenamed("node", "fp")
     links = links.unionByName(verified(filtered_pairs(open_pairs(groups, roots, similarity), features, similarity)))
     roots = components(links).withColumnRenamed("node", "fp")
