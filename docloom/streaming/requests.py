@@ -24,6 +24,8 @@ ALLOWED_FAILS, COOLDOWN_SECONDS = 3, 30
 SKETCH_K = 4000
 #: Seconds after which the state of a model or a conversation without requests goes.
 IDLE_SECONDS = 86_400
+#: Rows that a key's fold hands on at once.
+ROWS_AT_ONCE = 50_000
 
 
 def windowed(events: DataFrame, measures: dict[str, Column], length: str = "5 minutes", slide: str | None = None, late: str = "10 minutes", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -104,7 +106,7 @@ def cache_exact(requests: DataFrame, ttl: float = TTL_SECONDS, late: str = "10 m
 
 def recent_candidates(requests: DataFrame, most: int = CANDIDATES, kept: int = KEPT, idle: float = IDLE_SECONDS, late: str = "10 minutes") -> DataFrame:
     """requests (request_id, model, at, is_entry): the newest entries of the model before each request, from the newest `kept`. A model without requests
-    for `idle` seconds is forgotten."""
+    for `idle` seconds is forgotten. Of a model's rows in a batch only three numbers each are held; what is found leaves by ROWS_AT_ONCE rows."""
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         columns = ["request_id", "entry_id", "rank"]
@@ -113,13 +115,17 @@ def recent_candidates(requests: DataFrame, most: int = CANDIDATES, kept: int = K
             yield pd.DataFrame([], columns=columns)
             return
         ids, last, new = (list(state.get[0]), state.get[1], list(state.get[2])) if state.exists else ([], None, [])
-        out = []
-        for r in _ordered(pdfs, ["at", "request_id"]).itertuples():
+        out: list[tuple[int, int, int]] = []
+        x = _ordered((p[["request_id", "at", "is_entry"]] for p in pdfs), ["at", "request_id"])
+        for r in x.itertuples():
             if last is None or r.at > last:
                 ids, new, last = (ids + new)[-kept:], [], r.at
             out += [(r.request_id, e, i + 1) for i, e in enumerate(reversed(ids[-most:]))]
             if r.is_entry:
                 new.append(r.request_id)
+            if len(out) >= ROWS_AT_ONCE:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
         if last is not None:
             state.update((ids, last, new))
             _expires(state, last + idle)
