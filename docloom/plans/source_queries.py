@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,24 +15,31 @@ from docloom.functions import text as X
 from docloom.plans.registry import Tables, query
 from docloom.plans.stream_queries import stream
 from docloom.sources import files as I
-from docloom.store import new_folder
+from docloom.store import new_folder, spread
 from docloom.streaming import requests as S
 
 
 def files_of(t: Tables, rows: DataFrame, ending: str) -> str:
-    """A folder with a file for each row of rows (name, text); each file ends with a line end."""
-    base = new_folder(t.spark, "files")
-    rows.select("name", "text").write.partitionBy("name").text(f"{base}/parts")
+    """A folder with a file for each row of rows (name, text), written by the tasks; each file ends with a line end, and is there whole or not at all."""
     jvm = t.spark.sparkContext._jvm
-    path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = path(base).getFileSystem(t.spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(path(f"{base}/files"))
-    for folder in fs.listStatus(path(f"{base}/parts")):
-        name = folder.getPath().getName()
-        if name.startswith("name="):
-            part = next(f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-"))
-            fs.rename(part, path(f"{base}/files/{name[5:]}{ending}"))
-    return f"{base}/files"
+    at = jvm.org.apache.hadoop.fs.Path(f"{new_folder(t.spark, 'files')}/files")
+    fs = at.getFileSystem(t.spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    folder = fs.makeQualified(at).toString()
+    uri = re.sub("^file:/+", "file:///", folder)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = FileSystem.from_uri(uri)
+        for b in batches:
+            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                part = f"{root}/_{uuid.uuid4().hex}"
+                with files.open_output_stream(part) as out:
+                    out.write(f"{text or ''}\n".encode())
+                files.move(part, f"{root}/{name}{ending}")
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    spread(rows.select("name", "text")).mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    return folder
 
 
 @query(
