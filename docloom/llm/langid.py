@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import split_no
+from docloom.llm.common import give_back, split_no
 
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
@@ -184,5 +184,6 @@ def recognised(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id",
         for b in batches:
             said = [model.predict(t) for t in b.column(at).to_pylist()]
             yield b.filter(pa.array([lang != UNKNOWN and score >= least for lang, score, _ in said], pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -27,6 +27,7 @@ import zlib
 from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import cache
 from itertools import islice
 
 import numpy as np
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import saved
+from docloom.llm.common import give_back, saved
 
 #: Distinct chunks of text whose ids a worker remembers; beyond, it forgets the later half.
 REMEMBERED = 400_000
@@ -50,30 +51,41 @@ NEARLY_FULL = 0.985
 _ODD_SPACE = re.compile(r"[^\S \n]")
 
 
+def tokenizer_of(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
+@cache
+def probe_ids(path: str) -> tuple[int, ...]:
+    """The tokenizer's ids of PROBE."""
+    return tuple(tokenizer_of(path).encode(PROBE, add_special_tokens=False).ids)
+
+
 class IdEncoder:
     """Ids of texts, as little-endian 32-bit bytes.
 
     The tokenizer's rules for words split a text before any space between two characters that are
     not white space, so the ids of a text are those of its space-led chunks, one after
-    the other, and each distinct chunk is encoded once.
+    the other, and each distinct chunk is encoded once. Where probe_ids are given and the ranks give them, too, the tokenizer is not loaded.
     """
 
-    def __init__(self, path: str, ranks: str | None = None, special: bool = False):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+    def __init__(self, path: str, ranks: str | None = None, special: bool = False, probe: tuple[int, ...] | None = None):
+        self.fast = self.same_by_ranks(ranks, probe or probe_ids(path)) if ranks else None
+        self.tokenizer = tokenizer_of(path) if special or not self.fast else None
         own = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         self.special = {c: array("I", [self.tokenizer.token_to_id(c)]).tobytes() for c in own}
         self.at_special = re.compile("(" + "|".join(re.escape(c) for c in sorted(own, key=len, reverse=True)) + ")") if own else None
-        self.fast = self.same_by_ranks(ranks) if ranks else None
         if self.fast:
-            del self.tokenizer
+            self.tokenizer = None
         self.spaced: dict[str, bytes] = {}  # by the chunk without its leading space
         self.plain: dict[str, bytes] = {}
 
-    def same_by_ranks(self, ranks: str):
+    def same_by_ranks(self, ranks: str, probe: tuple[int, ...]):
         """A quicker encoder of the same vocabulary, given as ranks; None unless it gives the tokenizer's ids on PROBE."""
         import public_tokenizers
         import tiktoken
@@ -81,7 +93,7 @@ class IdEncoder:
         with open(ranks, "rb") as f:
             merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
-        return fast.encode_ordinary if fast.encode_ordinary(PROBE) == self.tokenizer.encode(PROBE, add_special_tokens=False).ids else None
+        return fast.encode_ordinary if tuple(fast.encode_ordinary(PROBE)) == probe else None
 
     def ids(self, chunk: str) -> bytes:
         got = self.fast(chunk) if self.fast else self.tokenizer.encode(chunk, add_special_tokens=False).ids
@@ -146,10 +158,12 @@ def pieces_of(ids: bytes, capacity: int) -> list[tuple[int, int]]:
 def token_pieces(docs: DataFrame, tokenizer: str, ranks: str | None, capacity: int, end_id: int, id_col: str, text_col: str, special: bool = False) -> DataFrame:
     id_type = docs.schema[id_col].dataType
     schema = f"{id_col} {id_type.simpleString()}, piece int, start long, length long, ids_crc32 long"
+    probe = probe_ids(tokenizer) if ranks else None  # on the driver, so that no worker has two encoders
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (tokenizer, special) not in _ENCODERS:
-            _ENCODERS[tokenizer, special] = IdEncoder(tokenizer, ranks, special)
+            give_back()
+            _ENCODERS[tokenizer, special] = IdEncoder(tokenizer, ranks, special, probe)
         encoder, end = _ENCODERS[tokenizer, special], np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
             rows: list[int] = []

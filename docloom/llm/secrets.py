@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.common import give_back
+
 KINDS = ("assign", "access", "hex")
 # The base patterns and the lengths below which their matches are dropped.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -384,5 +386,6 @@ def redacted(docs: DataFrame, text_col: str = "text", length_col: str | None = "
                 old = cols[length_at].to_pylist()
                 cols[length_at] = pa.array([n if t == was else len(t) for n, t, was in zip(old, texts, before, strict=True)], cols[length_at].type)
             yield pa.RecordBatch.from_arrays(cols, names)
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import saved, sized
+from docloom.llm.common import give_back, saved, sized
 
 SHINGLES_AT_ONCE = 1 << 16
 
@@ -394,6 +394,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
             fronts = pa.array([prefix(h, common, counts, similarity).view(np.int64) for h in sets], pa.list_(pa.int64()))
             added = [fps, pa.array([len(h) for h in sets], pa.int64()), pa.array([parity_bits(h) for h in sets], pa.binary()), fronts, pa.array(np.array(marks, dtype=np.int64))]
             yield pa.RecordBatch.from_arrays([*b.columns, *added], schema.names)
+        give_back()
 
     marked = saved(docs.mapInArrow(run, schema).withColumn(row, F.monotonically_increasing_id()), "marked")
     prints = marked.select(F.col(f"`{id_col}`").alias("id"), F.col(node).alias("fp"), F.col(mark).alias("mark"), F.col(row).alias("row"))
