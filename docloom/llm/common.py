@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,11 +30,27 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, and survives lost executors."""
     spark = df.sparkSession
     small_batches(spark)
+    tidy(spark)
     path = new_folder(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Share of its heap limit that the driver may hold before it collects its garbage.
+HELD = 0.55
+
+
+def tidy(spark: SparkSession) -> bool:
+    """Has the driver collect its garbage where its heap has grown past HELD. Hundreds of short jobs leave plans, broadcasts and shuffle files behind, which
+    Spark drops, and gives the memory of, only then."""
+    heap = spark._jvm.java.lang.Runtime.getRuntime()
+    if heap.totalMemory() <= HELD * heap.maxMemory():
+        return False
+    gc.collect()
+    spark._jvm.System.gc()
+    return True
+
+
 def give_back() -> None:
     """Returns free memory to the system. A Python worker lives on from stage to stage, and its allocators keep what an earlier stage took."""
     pa.default_memory_pool().release_unused()

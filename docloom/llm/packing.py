@@ -63,7 +63,9 @@ def tokenizer_of(path: str):
 @cache
 def probe_ids(path: str) -> tuple[int, ...]:
     """The tokenizer's ids of PROBE."""
-    return tuple(tokenizer_of(path).encode(PROBE, add_special_tokens=False).ids)
+    ids = tuple(tokenizer_of(path).encode(PROBE, add_special_tokens=False).ids)
+    give_back()
+    return ids
 
 
 class IdEncoder:
